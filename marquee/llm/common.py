@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK = 1 << 20  # bytes of text handled at once
+CHUNK = 1 << 19  # bytes of text handled at once
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -39,8 +39,8 @@ from . import bytesnp as B
 from .common import binaries, buffer, runs
 
 GRAM = 20
-BLOCK_BYTES = 12 << 20
-PART_ENTRIES = 1_500_000
+BLOCK_BYTES = 6 << 20
+PART_ENTRIES = 500_000
 MOST_BLOCKS = 100_000
 _POS = np.uint64(0xFFFFFF)
 _PIECE = 8 << 20  # a longer text is cut into pieces that overlap by width - 1
@@ -169,7 +169,7 @@ def _answering(nth: int):
         blobs, blocks, part = t["blob"], t["block"], t["part"][0].as_py()
         levels, batches, several = Levels(), [], []
         for i in order:
-            both = np.frombuffer(blobs[int(i)].as_py(), np.uint64)
+            both = np.frombuffer(blobs[int(i)].as_buffer(), np.uint64)
             h, g = both[: len(both) // 2], both[len(both) // 2 :]
             met, full = levels.scan(h, g)
             if nth == 1:
@@ -179,6 +179,7 @@ def _answering(nth: int):
         flagged = np.unique(np.concatenate(several)) if several else np.empty(0, np.uint64)
         out = [(b, part, nth, np.packbits(full).tobytes(), np.packbits(np.isin(h, flagged)).tobytes() if nth == 1 else b"") for b, h, full in batches]
         cols = list(zip(*out, strict=True))
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), "pass": pa.array(cols[2], pa.int32()), "full": pa.array(cols[3], pa.binary()), "several": pa.array(cols[4], pa.binary())})
 
     return scan
@@ -283,6 +284,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes:
 
     def build(_key: tuple, t: pa.Table) -> pa.Table:
         b = _Block(t, width, k)
+        pa.default_memory_pool().release_unused()
         return _messages(b.block, b.uh, b.ug, parts)
 
     def narrow(_key: tuple, t: pa.Table, said: pa.Table) -> pa.Table:
