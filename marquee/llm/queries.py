@@ -45,3 +45,14 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = shards_by_bytes(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+@_query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page, with block decisions passed on to aliases."""
+    from .url_filters import judge
+
+    return judge(_read(spark, sf_dir, "pages"), URL_RULES)
