@@ -56,3 +56,25 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import judge
 
     return judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 ids."""
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+@_query
+def op10_elias_fano_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie, read back from the written files."""
+    from .token_store import read, write
+
+    return read(write(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
