@@ -78,3 +78,49 @@ def op10_elias_fano_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read, write
 
     return read(write(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
+@_query
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without sentences of repeated spans."""
+    from .sentence_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of each pair of conversations."""
+    from .chat_format import pairs_by_parity, preference_pairs
+
+    return preference_pairs(pairs_by_parity(_read(spark, sf_dir, "conversations")))
+
+
+ORACLES["op5_chat_format"] = """
+with t as (
+  select conv_id // 2 pair_id, conv_id % 2 = 0 is_chosen, conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, role, text) k
+  from conversations where conv_id is not null),
+p as (
+  select pair_id, min(conv_id) filter (is_chosen) chosen_id, min(conv_id) filter (not is_chosen) rejected_id,
+         count(*) filter (is_chosen) nc, count(*) filter (not is_chosen) nr
+  from t group by pair_id having nc > 0 and nr > 0),
+d as (
+  select c.pair_id, min(c.k) k from t c join t r on c.pair_id = r.pair_id and c.k = r.k and c.is_chosen and not r.is_chosen
+  where c.role <> r.role or c.text <> r.text group by c.pair_id),
+n as (select p.*, coalesce(d.k - 1, least(nc, nr)) n from p left join d using (pair_id)),
+x as (
+  select n.pair_id, n.n, t.is_chosen, t.k, t.role, t.text, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) s,
+         sum(case when t.k > n.n then length(t.role) + length(t.text) + 13 else 0 end) over (partition by t.pair_id, t.is_chosen order by t.k) e
+  from t join n using (pair_id)),
+g as (
+  select pair_id,
+         coalesce(string_agg(s, '' order by k) filter (is_chosen and k <= n), '') prompt,
+         coalesce(string_agg(s, '' order by k) filter (is_chosen and k > n), '') chosen,
+         coalesce(string_agg(s, '' order by k) filter (not is_chosen and k > n), '') rejected,
+         coalesce(string_agg((e - length(text) - 8)::bigint || ':' || e::bigint, ',' order by k) filter (is_chosen and k > n and role = 'assistant'), '') chosen_loss,
+         coalesce(string_agg((e - length(text) - 8)::bigint || ':' || e::bigint, ',' order by k) filter (not is_chosen and k > n and role = 'assistant'), '') rejected_loss
+  from x group by pair_id)
+select n.pair_id, n.chosen_id, n.rejected_id, n.n::int n_prompt_turns, g.prompt, g.chosen, g.rejected, g.chosen_loss, g.rejected_loss
+from n join g using (pair_id)
+"""
