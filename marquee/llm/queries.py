@@ -124,3 +124,11 @@ g as (
 select n.pair_id, n.chosen_id, n.rejected_id, n.n::int n_prompt_turns, g.prompt, g.chosen, g.rejected, g.chosen_loss, g.rejected_loss
 from n join g using (pair_id)
 """
+
+
+@_query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 4-word shingles are 85 % alike."""
+    from .jaccard_join import classes
+
+    return classes(_read(spark, sf_dir, "documents"), words=4, percent=85)
