@@ -20,7 +20,8 @@ suffix that both texts sampled.
 
 Answers come back as one bit for each entry in its block's order. A passage in
 a third of all documents is one entry for each block, not for each document.
-Fingerprints of 128 bits stand for equality of strings.
+Fingerprints of 104 bits (56 of h, 48 of g) stand for equality of strings; on
+the wire an entry has about 12 bytes, as h is sorted and sent as differences.
 
 Defined results: null text is empty; a text shorter than ``width`` stays whole;
 rows of the same id count as one document and are never held against each
@@ -39,12 +40,13 @@ from . import bytesnp as B
 from .common import binaries, buffer, runs
 
 GRAM = 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 PART_ENTRIES = 500_000
 MOST_BLOCKS = 100_000
 _POS = np.uint64(0xFFFFFF)
 _PIECE = 8 << 20  # a longer text is cut into pieces that overlap by width - 1
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_H, _G = np.uint64(8), np.uint64((1 << 48) - 1)  # h is shifted to 56 bits, g masked to 48
 
 
 class Levels:
@@ -133,7 +135,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int, k: int) -> dict[str, n
         return none
     p = at[lo]
     region = B.mix(hasher.raw(lo, hi + width) + (p - lo).astype(np.uint64) * _C1 + (hi - lo).astype(np.uint64) * _C2)
-    return {"row": np.searchsorted(off, lo, "right") - 1, "lo": lo, "hi": hi, "at": p, "h": grams[p], "g": region, "hasher": hasher}
+    return {"row": np.searchsorted(off, lo, "right") - 1, "lo": lo, "hi": hi, "at": p, "h": grams[p] >> _H, "g": region & _G}
 
 
 def pieces(buf: np.ndarray, off: np.ndarray, width: int):
@@ -148,13 +150,34 @@ def pieces(buf: np.ndarray, off: np.ndarray, width: int):
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return ((h >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _packed(h: np.ndarray, g: np.ndarray) -> bytes:
+    """The width of the differences, their number, the first h, the differences, then g in six bytes each."""
+    step = np.diff(h)
+    width = max(1, -(-int(step.max()).bit_length() // 8)) if len(step) else 1
+    cut = lambda x, w: np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].tobytes()
+    return bytes([width]) + np.array([len(h), h[0]], "<u8").tobytes() + cut(step, width) + cut(g, 6)
+
+
+def _unpacked(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width, (n, base) = int(blob[0]), blob[1:17].view("<u8").tolist()
+
+    def wide(at: int, count: int, w: int) -> np.ndarray:
+        out = np.zeros((count, 8), np.uint8)
+        out[:, :w] = blob[at : at + count * w].reshape(count, w)
+        return out.view("<u8").ravel()
+
+    h = np.full(n, base, np.uint64)
+    h[1:] += np.cumsum(wide(17, n - 1, width))
+    return h, wide(17 + (n - 1) * width, n, 6)
 
 
 def _messages(block: int, h: np.ndarray, g: np.ndarray, parts: int) -> pa.Table:
-    """Sorted pairs cut by ranges of h; each blob holds the h, then the g."""
+    """Sorted pairs cut by ranges of h."""
     bound = np.searchsorted(_part(h, parts), np.arange(parts + 1, dtype=np.uint64))
-    rows = [(p, block, h[a:b].tobytes() + g[a:b].tobytes()) for p, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+    rows = [(p, block, _packed(h[a:b], g[a:b])) for p, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
     part, blocks, blob = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array(blocks, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
@@ -169,8 +192,7 @@ def _answering(nth: int):
         blobs, blocks, part = t["blob"], t["block"], t["part"][0].as_py()
         levels, batches, several = Levels(), [], []
         for i in order:
-            both = np.frombuffer(blobs[int(i)].as_buffer(), np.uint64)
-            h, g = both[: len(both) // 2], both[len(both) // 2 :]
+            h, g = _unpacked(np.frombuffer(blobs[int(i)].as_py(), np.uint8))
             met, full = levels.scan(h, g)
             if nth == 1:
                 several += [h[met & ~full], h[1:][h[1:] == h[:-1]]]
@@ -199,7 +221,6 @@ class _Block:
         self.found = []
         for row, skip, buf, off in pieces(self.buf, self.off, width):
             a = anchors(buf, off, width, k)
-            a.pop("hasher", None)
             self.found.append((row, skip, buf, a))
         cat = lambda n, t: np.concatenate([a[n] for _, _, _, a in self.found] or [np.empty(0, t)])
         self.h, self.g = cat("h", np.uint64), cat("g", np.uint64)
@@ -257,8 +278,8 @@ class _Block:
             raw = B.Hasher(buf).raw(at, at + self.width)
             starts.append(at + self.off[row] + skip)
             ranks.append(self.rank[np.repeat(a["row"][mine] + row, count)])
-            one.append(B.mix(raw + _C1))
-            two.append(B.mix(np.repeat(a["h"][mine], count) + (np.repeat(a["at"][mine], count) - at).astype(np.uint64) * _C2) ^ B.mix(raw * _C2))
+            one.append(B.mix(raw + _C1) >> _H)
+            two.append((B.mix(np.repeat(a["h"][mine], count) + (np.repeat(a["at"][mine], count) - at).astype(np.uint64) * _C2) ^ B.mix(raw * _C2)) & _G)
         if not starts:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
         return np.concatenate(starts), np.concatenate(ranks), np.concatenate(one), np.concatenate(two)
