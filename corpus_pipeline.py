@@ -1,11 +1,82 @@
-"""Placeholder until the stages are in."""
+"""A corpus from raw documents to training sequences, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept; all but the last return the columns of ``documents``.
+
+1. quality rules: documents that the learned decision list or the base rules reject go;
+2. n-gram Jaccard join: of each class of near duplicates (five words, 0.8) the least id stays;
+3. suffix-array dedup: 50-byte strings that a smaller id has are cut out; documents
+   of which nothing is left go (bytes of a cut character are dropped);
+4. benchmark decontamination: documents with a passage of a test item go;
+5. packing: concatenated and cut into sequences of 1024 ids.
+
+Rows with a null id pass through the stages that decide by id. Rows of one id
+share one decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marquee.llm import decontamination, jaccard_join, packing, quality_rules, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(docs, labels).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one of the least id."""
+    found = jaccard_join.classes(docs, words=5, percent=80)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 50 bytes that a document of a smaller id has."""
+    left = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(_decoded(F.col("_kept")))
+    out = docs.join(left, "doc_id", "left").where("_kept is null or octet_length(_kept) > 0")
+    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def _decoded(kept):
+    """UTF-8 text of bytes; what is left of a cut character goes."""
+    return F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a test item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = decontamination.matches(docs, items).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("suffix_array_dedup", substrings),
+    ("benchmark_decontamination", decontaminated),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs

@@ -132,3 +132,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import classes
 
     return classes(_read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@_query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of test items in documents, with their alignment."""
+    from .decontamination import matches
+
+    return matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
