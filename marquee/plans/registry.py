@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Imports the modules whose queries register themselves."""
+    from . import listings  # noqa: F401
+
+
+load()
