@@ -164,3 +164,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(docs, labels)
     out = features(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' columns.
+
+    The row number keeps the filter above the projections: pushed below, it
+    would repeat their expressions many times over.
+    """
+    out = judge(docs, labels).withColumn("_at", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_at") >= 0)).select(*docs.columns)
