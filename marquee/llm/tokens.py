@@ -1,10 +1,10 @@
 """Token ids of whole texts, word by word.
 
 A text is cut where neither tokenizer joins anything: before a run of ASCII
-white space that follows a character which is certainly no white space. Each
-distinct piece of a batch is encoded once by the tokenizers library and kept in
-a bounded cache; the ids of a text are those of its pieces in order. Pieces of
-one batch are told apart by 64 bits of a hash.
+white space that follows a character which is certainly no white space, and
+between an ASCII letter and an ASCII mark. Each distinct piece is encoded once
+by the tokenizers library and kept in a bounded table; the ids of a text are
+those of its pieces in order. Pieces are told apart by 64 bits of a hash.
 """
 
 from __future__ import annotations
@@ -18,7 +18,16 @@ from pyarrow import Array, ChunkedArray
 from . import bytesnp as B
 from .common import buffer, runs
 
-MOST_CACHED = 400_000
+MOST_KNOWN = 1_500_000
+CHUNK = 2 << 20
+AT_ONCE = 5_000
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x7F] = True
+_MARK[48:58] = False
+_MARK &= ~_LETTER
 
 
 class Encoder:
@@ -30,7 +39,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.glue = glue_space
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: hashes of pieces in order; where each one's ids begin in ids, and how many they are."""
+        self.known, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
 
     def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of pieces over the buffer; row bounds are cuts."""
@@ -49,20 +63,31 @@ class Encoder:
                 unsure[np.minimum(np.flatnonzero(buf == lead) + 2, n - 1)] = True
             before[1:] &= ~unsure[:-1]
         cut[:-1] = space & before
+        cut[1:-1] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
         cut[off] = True
         at = np.flatnonzero(cut)
         return at[:-1], at[1:]
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > MOST_CACHED:
-                self.known = {w: self.known[w] for w in words if w in self.known}
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """Encodes pieces that are not known."""
+        flat, sizes = [], []
+        for i in range(0, len(words), AT_ONCE):
+            some = [w.decode() for w in words[i : i + AT_ONCE]]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(e.ids, dtype=np.uint32))
+            sizes.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
+        size = np.concatenate(sizes)
+        begin = len(self.ids) + np.r_[0, np.cumsum(size)[:-1]]
+        self.ids = np.concatenate([self.ids, *flat])
+        known = np.concatenate([self.known, h])
+        order = np.argsort(known, kind="stable")
+        self.known, self.begin, self.size = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table, and which hashes it has."""
+        at = np.searchsorted(self.known, h)
+        at[at == len(self.known)] = 0
+        return at, (self.known[at] == h) if len(self.known) else np.zeros(len(h), bool)
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, each followed by ``end``; where each row begins (with the end)."""
@@ -71,11 +96,15 @@ class Encoder:
         start, stop = start[full], stop[full]
         rows = len(off) - 1
         if len(start):
-            raw = buf.tobytes()
-            _, first, inv = np.unique(B.Hasher(buf).slices(start, stop), return_index=True, return_inverse=True)
-            ids = self._encode([raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            flat, base = np.concatenate(ids), np.r_[0, np.cumsum(size)[:-1]]
+            h, first, inv = np.unique(B.Hasher(buf).slices(start, stop), return_index=True, return_inverse=True)
+            if len(self.known) > MOST_KNOWN:
+                self._forget()
+            new = np.flatnonzero(~self._find(h)[1])
+            if len(new):
+                raw = buf.tobytes()
+                self._learn(h[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+            at = self._find(h)[0]
+            size, base, flat = self.size[at], self.begin[at], self.ids
             row = np.searchsorted(off, start, "right") - 1
             many = size[inv]
         else:
@@ -90,7 +119,7 @@ class Encoder:
     def column(self, col: Array | ChunkedArray, end: int):
         """(first row, ids, begins) of chunks of a text column."""
         buf, off = buffer(col)
-        for i, j in runs(off):
+        for i, j in runs(off, CHUNK):
             ids, begin = self.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
             yield i, ids, begin
 
