@@ -13,6 +13,10 @@ similarity is at least ``percent`` / 100; a class is what links connect.
   rare shingle share at least p + 1 frequent ones there, so some two that both
   hold lie at most three places apart in either; the keys are the rare shingles
   and the combinations of two frequent ones up to three places apart.
+* The prefixes are longer by ``extra`` shingles, so that partners share at least
+  extra + 1 of them. A document whose keys are all rare single shingles and of
+  which fewer than that are shared with documents of a like size has no partner
+  and leaves, with its keys, before any set is compared.
 * Keys are split by classes of set size, dropped if only one document has them,
   and kept once for each set of documents.
 * Each document goes to its most common key; groups are compared in blocks of
@@ -46,6 +50,8 @@ COUNT_BYTES = 4 << 20
 LEAST_COUNT = 4
 BLOCK = 1_024
 HOME_ROUNDS = 2
+EXTRA = 3
+PEELS = 3
 _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -82,10 +88,11 @@ def sets(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(row, np.arange(len(off)))
 
 
-def keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of one set; see the module."""
+def keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The index keys of one set, and how many of them any partner shares at least; see the module."""
     n = len(s)
-    p = n - -(-percent * n // 100) + 1
+    need = -(-percent * n // 100)
+    p = n - need + 1 + min(EXTRA, need - 1)
     if len(frequent):
         at = np.searchsorted(frequent, s)
         at[at == len(frequent)] = 0
@@ -94,12 +101,13 @@ def keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     else:
         rare = s
     if len(rare) >= p:
-        return rare[:p]
+        partner = -(-percent * -(-percent * n // 100) // 100)  # a partner's own prefix may be longer by less
+        return rare[:p], min(EXTRA, max(partner - 1, 0)) + 1
     f = s[often][: 2 * p - len(rare)]
     combos = [B.mix(f[:-d] * _S1 + B.mix(f[d:] * _S2)) for d in (1, 2, 3) if len(f) > d]
     # 2p may reach beyond the set: then fewer are shared, and the single ones stand in
     single = [B.mix(f ^ _S2)] if len(f) < 2 * p - len(rare) or len(f) < 8 else []
-    return np.unique(np.concatenate([rare, *combos, *single]))
+    return np.unique(np.concatenate([rare, *combos, *single])), 1
 
 
 def _links(docs: list[int], comp: list[int], hist: list[tuple], sets_: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -179,27 +187,33 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
                 if len(h):
                     one[full] = np.add.reduceat(B.mix(h ^ _S1), bounds[full])
                     two[full] = np.bitwise_xor.reduceat(B.mix(h * _S2), bounds[full])
-                each = [keys(h[a:b], frequent.value, percent) if b > a else h[:0] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                each, least = zip(*(keys(h[a:b], frequent.value, percent) if b > a else (h[:0], 1) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)
                 flat = np.concatenate(each).view(np.int64)
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(i, j - i), "n": pa.array(n), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64)),
-                    "keys": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in each])], pa.int32()), pa.array(flat)),
+                    "least": pa.array(least, pa.int32()), "keys": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in each])], pa.int32()), pa.array(flat)),
                 })
 
-    signed = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "jaccard-keys")
+    signed = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, least int, keys array<long>"), "jaccard-keys")
     known = signed.where("n > 0 and doc_id is not null")
     reps = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     # every key of every distinct set; those of one document alone go, before and after the split by size
-    entries = known.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", F.explode("keys").alias("key"))
+    entries = known.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "least", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     step = float(np.log(100 / percent))
     level = F.floor(F.log(F.col("n")) / step + 1e-9)
-    split = entries.join(shared, "key").select("doc_id", "n", F.explode(F.array(level, level + 1)).alias("level"), "key").select("doc_id", F.xxhash64("key", "level").alias("key"))
-    split = _freed(table(split, "jaccard-entries"))
-    member = F.xxhash64("doc_id")
-    groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    split = entries.join(shared, "key").select("doc_id", "least", F.explode(F.array(level, level + 1)).alias("level"), F.col("key").alias("k"))
+    split = split.select("doc_id", "least", "level", F.xxhash64("k", "level").alias("key"))
+    for peel in range(PEELS):
+        split = _freed(table(split, f"jaccard-entries-{peel}"))
+        met = split.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+        split = split.join(met, "key")
+        enough = split.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("most")).where("c >= most").select("doc_id", "level")
+        split = split.join(enough, ["doc_id", "level"])
+    split = _freed(table(split.select("doc_id", "key").distinct(), "jaccard-entries"))
+    groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     groups = groups.where("lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key"))
-    alive = _freed(table(split.join(groups.select("key"), "key").select("doc_id", "key").distinct(), "jaccard-shared"))
+    alive = _freed(table(split.join(groups.select("key"), "key").select("doc_id", "key"), "jaccard-shared"))
     wanted = alive.select("doc_id").distinct()
 
     def gather(batches):
