@@ -21,8 +21,10 @@ similarity is at least ``percent`` / 100; a class is what links connect.
   and kept once for each set of documents.
 * Each document goes to its most common key; groups are compared in blocks of
   ``block`` documents, by exact intersections, and give only the links that
-  join two classes. Keys that still hold documents of several classes that were
-  never compared are compared the same way, until none is left.
+  join two classes.
+* Keys that still hold documents of several classes and homes: a document then
+  visits the other homes of its keys and is compared to their documents of such
+  keys; a key of more than ``most_homes`` homes is compared as a group itself.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
 blocks, and no pair is ever a row.
@@ -49,9 +51,9 @@ MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
 LEAST_COUNT = 4
 BLOCK = 1_024
-HOME_ROUNDS = 2
+MOST_HOMES = 8
 EXTRA = 3
-PEELS = 3
+PEELS = 1
 _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -137,7 +139,7 @@ def _links(docs: list[int], comp: list[int], hist: list[tuple], sets_: list[np.n
             continue
         may = root != root[x]
         may[: x + 1] &= side[: x + 1] == 1
-        if side[x] == 0 and (side == 1).any():
+        if side[x] == 0:
             may &= side == 1
         for k in range(past.shape[1]):
             may &= past[:, k] != past[x, k]
@@ -224,32 +226,23 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "set": pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())})
 
     held = _freed(table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, set binary"), "jaccard-sets", compression="none"))
-    edges: DataFrame | None = None
     state = wanted.select("doc_id", F.col("doc_id").alias("comp"))
-    homes: list[str] = []
-    for nth in range(HOME_ROUNDS + 1):
-        size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-        if nth < HOME_ROUNDS:
-            best = alive.join(size, "key").groupBy("doc_id").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
-            counts = best.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-            place = best.join(counts, "key")
-        else:
-            place = alive.join(size, "key")
-        found = _freed(table(_compare(place, state, homes, held, block, percent), f"jaccard-links-{nth}"))
-        edges = found if edges is None else edges.unionByName(found)
-        if nth == HOME_ROUNDS:
-            break
-        labels = connected_components(edges)
-        name = f"home{nth}"
-        state = state.drop("comp").join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        state = table(state.join(best.select("doc_id", F.col("key").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.xxhash64("doc_id", F.lit(nth)))), f"jaccard-state-{nth}")
-        homes.append(name)
-        seen = alive.join(state, "doc_id")
-        spread = [F.min(c).alias(f"lo_{c}") for c in ("comp", *homes)] + [F.max(c).alias(f"hi_{c}") for c in ("comp", *homes)]
-        open_ = seen.groupBy("key").agg(*spread).where(" and ".join(f"lo_{c} <> hi_{c}" for c in ("comp", *homes))).select("key")
-        alive = _freed(table(alive.join(open_, "key"), f"jaccard-open-{nth}"))
-        if alive.isEmpty():
-            break
+    size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    best = alive.join(size, "key").groupBy("doc_id").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
+    place = best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
+    edges = _freed(table(_compare(place, state, [], held, block, percent), "jaccard-links-home"))
+    labels = connected_components(edges)
+    state = state.drop("comp").join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    state = table(state.join(best.select("doc_id", F.col("key").alias("home")), "doc_id"), "jaccard-state")
+    seen = alive.join(state, "doc_id")
+    homes = seen.groupBy("key").agg(F.count_distinct("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and homes > 1").select("key", "homes")
+    seen = _freed(table(seen.join(homes, "key"), "jaccard-open"))
+    few, many = seen.where(F.col("homes") <= MOST_HOMES), seen.where(F.col("homes") > MOST_HOMES)
+    visits = few.select("doc_id", "key", "home").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home").select("doc_id", F.col("to").alias("key")).distinct()
+    residents = few.select("doc_id", F.col("home").alias("key")).distinct()
+    edges = edges.unionByName(_freed(table(_visit(visits, residents, state, held, block, percent), "jaccard-links-visits")))
+    place = many.select("doc_id", "key").join(many.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+    edges = edges.unionByName(_freed(table(_compare(place, state, ["home"], held, block, percent), "jaccard-links-keys")))
     labels = connected_components(edges)
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -263,21 +256,38 @@ def _freed(df: DataFrame) -> DataFrame:
     return df
 
 
+def _group(rows: DataFrame, homes: list[str], held: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """Links (a, b) within the groups (key, i, j) of rows; apart: only between side 0 and side 1."""
+
+    def group(_key: tuple, t: pa.Table) -> pa.Table:
+        ids, first = np.unique(t["doc_id"].to_numpy(), return_index=True)
+        side = t["side"].to_numpy() if apart or t["i"][0].as_py() != t["j"][0].as_py() else np.full(len(t), -1)
+        found = []
+        if not apart or (side == 0).any() and (side == 1).any():
+            blobs = t["set"]
+            found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), [tuple(t[h][int(k)].as_py() for h in homes) for k in first], [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in first], side[first], percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.join(held, "doc_id").groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
+
+
 def _compare(place: DataFrame, state: DataFrame, homes: list[str], held: DataFrame, block: int, percent: int) -> DataFrame:
-    """Links (a, b) found within the groups of place (doc_id, key, c), in blocks of documents."""
+    """Links found within the groups of place (doc_id, key, c), in blocks of documents."""
     blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")
     rows = place.join(state, "doc_id").withColumn("_n", blocks).withColumn("_b", mine)
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("side"), "doc_id", "comp", *homes).distinct()
-    rows = rows.join(held, "doc_id")
-
-    def group(_key: tuple, t: pa.Table) -> pa.Table:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        side = np.full(len(t), -1) if i == j else t["side"].to_numpy()
-        ids, first = np.unique(t["doc_id"].to_numpy(), return_index=True)
-        blobs = t["set"]
-        found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), [tuple(t[h][int(k)].as_py() for h in homes) for k in first], [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in first], side[first], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
+    return _group(rows, homes, held, percent, False)
+
+
+def _visit(visits: DataFrame, residents: DataFrame, state: DataFrame, held: DataFrame, block: int, percent: int) -> DataFrame:
+    """Links between the visitors (doc_id, key) of a home and its residents, in blocks of both."""
+    blocks = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+    n = blocks(visits, "nv").join(blocks(residents, "nr"), "key")
+    mine = lambda name: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    v = visits.join(n, "key").select("key", "doc_id", mine("nv").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"))
+    r = residents.join(n, "key").select("key", "doc_id", every("nv").alias("i"), mine("nr").alias("j"), F.lit(1).alias("side"))
+    rows = v.unionByName(r).join(state.select("doc_id", "comp"), "doc_id").select("key", "i", "j", "side", "doc_id", "comp")
+    return _group(rows, [], held, percent, True)
