@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK = 1 << 19  # bytes of text handled at once
 
+pa.set_memory_pool(pa.system_memory_pool())  # workers are kept; what they free is to go back
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""

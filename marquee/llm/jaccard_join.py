@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import bytesnp as B
-from .common import buffer, runs, table
+from .common import buffer, runs, table, tidy
 
 MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
@@ -172,6 +172,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 often = n >= LEAST_COUNT
                 yield pa.record_batch({"h": pa.array(h[often].view(np.int64)), "n": pa.array(n[often])})
+            del buf, off
+            tidy()
 
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 10 * LEAST_COUNT)
     top = counted.orderBy(F.desc("n"), "h").limit(most_frequent).select("h").collect()  # bounded by most_frequent
@@ -195,6 +197,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
                     "doc_id": batch.column("doc_id").slice(i, j - i), "n": pa.array(n), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64)),
                     "least": pa.array(least, pa.int32()), "keys": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in each])], pa.int32()), pa.array(flat)),
                 })
+            del buf, off
+            tidy()
 
     signed = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, least int, keys array<long>"), "jaccard-keys")
     known = signed.where("n > 0 and doc_id is not null")
@@ -224,6 +228,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
             for i, j in runs(off):
                 h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "set": pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())})
+            del buf, off
+            tidy()
 
     held = _freed(table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, set binary"), "jaccard-sets", compression="none"))
     state = wanted.select("doc_id", F.col("doc_id").alias("comp"))

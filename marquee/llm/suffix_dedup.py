@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesnp as B
-from .common import binaries, buffer, runs
+from .common import binaries, buffer, runs, tidy
 
 GRAM = 20
 BLOCK_BYTES = 3 << 20
@@ -201,7 +201,7 @@ def _answering(nth: int):
         flagged = np.unique(np.concatenate(several)) if several else np.empty(0, np.uint64)
         out = [(b, part, nth, np.packbits(full).tobytes(), np.packbits(np.isin(h, flagged)).tobytes() if nth == 1 else b"") for b, h, full in batches]
         cols = list(zip(*out, strict=True))
-        pa.default_memory_pool().release_unused()
+        tidy()
         return pa.table({"block": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), "pass": pa.array(cols[2], pa.int32()), "full": pa.array(cols[3], pa.binary()), "several": pa.array(cols[4], pa.binary())})
 
     return scan
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes:
 
     def build(_key: tuple, t: pa.Table) -> pa.Table:
         b = _Block(t, width, k)
-        pa.default_memory_pool().release_unused()
+        tidy()
         return _messages(b.block, b.uh, b.ug, parts)
 
     def narrow(_key: tuple, t: pa.Table, said: pa.Table) -> pa.Table:

@@ -16,7 +16,7 @@ import numpy as np
 from pyarrow import Array, ChunkedArray
 
 from . import bytesnp as B
-from .common import buffer, runs
+from .common import buffer, runs, tidy
 
 MOST_KNOWN = 1_500_000
 CHUNK = 2 << 20
@@ -122,6 +122,7 @@ class Encoder:
         for i, j in runs(off, CHUNK):
             ids, begin = self.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
             yield i, ids, begin
+        tidy()
 
 
 @cache
