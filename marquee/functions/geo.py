@@ -18,7 +18,7 @@ REGION = (48.12, 49.24, 1.44, 3.56)
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     s = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(s, F.lit(1.0))))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(s > 1, 1.0).otherwise(s)))  # null if a coordinate is
 
 
 def flat_km(lat: Column, lng: Column, at_lat: float, at_lng: float) -> Column:
