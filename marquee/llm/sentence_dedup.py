@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 RUN = 2
 LEAST_WORDS = 25
 _CUT = re.compile(r"(?<=[.!?]\s)|(?<=\n)")
@@ -74,7 +76,8 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WOR
 
     found = place.mapInArrow(find, "id long, row long, first int, last int, h1 long, h2 long")
     origin = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "first")).alias("o"), F.max(F.struct("id", "row", "first")).alias("z")).where("o <> z")
-    again = found.join(origin.select("h1", "h2", "o"), ["h1", "h2"]).where(F.struct("id", "row", "first") != F.col("o"))
+    origin = table(origin.select("h1", "h2", "o"), "span-origins")  # so that both sides of the join are plain shuffles, which Spark splits where skewed
+    again = found.join(origin, ["h1", "h2"]).where(F.struct("id", "row", "first") != F.col("o"))
     gone = again.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_spans"))
     joined = keyed.join(gone.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
