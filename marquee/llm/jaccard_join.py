@@ -222,21 +222,27 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     alive = _freed(table(split.join(groups.select("key"), "key").select("doc_id", "key"), "jaccard-shared"))
     wanted = alive.select("doc_id").distinct()
 
-    def gather(batches):
-        for batch in batches:
-            buf, off = buffer(batch.column("text"))
-            for i, j in runs(off):
-                h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "set": pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())})
-            del buf, off
-            tidy()
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(doc_id, set) of documents that may be among ids: a filter of fixed size spares the others; a join follows."""
+        bits = spark.sparkContext.broadcast(_bloom(ids))
+
+        def gather(batches):
+            for batch in batches:
+                batch = batch.filter(pa.array(_may_have(bits.value, batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))))
+                buf, off = buffer(batch.column("text"))
+                for i, j in runs(off):
+                    h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
+                    yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "set": pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())})
+                del buf, off
+                tidy()
+
+        return docs.where("doc_id is not null").mapInArrow(gather, "doc_id long, set binary")
 
-    held = _freed(table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, set binary"), "jaccard-sets", compression="none"))
     state = wanted.select("doc_id", F.col("doc_id").alias("comp"))
     size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     best = alive.join(size, "key").groupBy("doc_id").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
     place = best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
-    edges = _freed(table(_compare(place, state, [], held, block, percent), "jaccard-links-home"))
+    edges = _freed(table(_compare(place, state, [], sets_of(place), block, percent), "jaccard-links-home"))
     labels = connected_components(edges)
     state = state.drop("comp").join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     state = table(state.join(best.select("doc_id", F.col("key").alias("home")), "doc_id"), "jaccard-state")
@@ -246,9 +252,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     few, many = seen.where(F.col("homes") <= MOST_HOMES), seen.where(F.col("homes") > MOST_HOMES)
     visits = few.select("doc_id", "key", "home").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home").select("doc_id", F.col("to").alias("key")).distinct()
     residents = few.select("doc_id", F.col("home").alias("key")).distinct()
-    edges = edges.unionByName(_freed(table(_visit(visits, residents, state, held, block, percent), "jaccard-links-visits")))
+    edges = edges.unionByName(_freed(table(_visit(visits, residents, state, sets_of(few), block, percent), "jaccard-links-visits")))
     place = many.select("doc_id", "key").join(many.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
-    edges = edges.unionByName(_freed(table(_compare(place, state, ["home"], held, block, percent), "jaccard-links-keys")))
+    edges = edges.unionByName(_freed(table(_compare(place, state, ["home"], sets_of(many), block, percent), "jaccard-links-keys")))
     labels = connected_components(edges)
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -256,6 +262,33 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     return linked.unionByName(alone)
 
 
+BLOOM_BITS = 1 << 23
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    h = B.mix(ids.astype(np.int64).view(np.uint64) + _S1)
+    return np.stack([h % np.uint64(BLOOM_BITS), (h >> np.uint64(32)) % np.uint64(BLOOM_BITS), B.mix(h) % np.uint64(BLOOM_BITS)]).astype(np.int64)
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A megabyte of bits whatever the number of ids; more ids only make it spare less."""
+
+    def fill(batches):
+        bits = np.zeros(BLOOM_BITS, bool)
+        for batch in batches:
+            bits[_places(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
+        yield pa.record_batch({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in ids.select("doc_id").coalesce(4).mapInArrow(fill, "bits binary").collect():  # four rows of a megabyte at most
+        out |= np.frombuffer(r[0], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _may_have(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return bits[_places(ids)].all(axis=0)
+
+
 def _freed(df: DataFrame) -> DataFrame:
     """df, after a hint to the driver's JVM to let go of shuffle files of finished work."""
     df.sparkSession.sparkContext._jvm.System.gc()
