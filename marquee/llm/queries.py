@@ -140,3 +140,49 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from .decontamination import matches
 
     return matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op2_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (
+  select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end s from w),
+e as (select doc_id, unnest(s) g from s),
+p as (select a.doc_id x, b.doc_id y, count(*) c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join s a on a.doc_id = x join s b on b.doc_id = y where 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+u as (select x, y from l union all select y, x from l),
+r(doc_id, m) as (select doc_id, doc_id from s union select u.y, r.m from r join u on u.x = r.doc_id)
+select s.doc_id, len(s.s)::bigint n_shingles, min(m)::bigint component_id from s join r using (doc_id) group by s.doc_id, s.s
+"""
+
+_NORMAL_SQL = r"""
+case when {h} <> '' then regexp_replace({h}, '^www\.|:(80|443)$', '') || regexp_replace({p}, '(/|/index\.html?|\.html?)$', '')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(split_part({u}, '#', 1), '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '(?i)^(utm_[a-z]+|ref|fbclid|gclid|mc_[a-z]+)(=|$)'))), '&'), ''), '') end"""
+_HOST_SQL = "coalesce(translate(regexp_extract({r}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH_SQL = "coalesce(regexp_extract({r}, '^[^/?#]*([^?#]*)', 1), '')"
+_REST_SQL = "(case when instr({u}, '://') > 0 then substr({u}, instr({u}, '://') + 3) else '' end)"
+
+
+def _url_sql(u: str) -> tuple[str, str, str]:
+    r = _REST_SQL.format(u=u)
+    h, p = _HOST_SQL.format(r=r), _PATH_SQL.format(r=r)
+    return h, p, _NORMAL_SQL.format(h=h, p=p, u=u)
+
+
+_RULES_SQL = " ".join(
+    f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{h}{p} {v}'" for h, p, v in sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r))
+)
+ORACLES["op6_url_filters"] = rf"""
+with recursive a as (select page_id, url, html, {_url_sql('url')[0]} host, {_url_sql('url')[1]} path, {_url_sql('url')[2]} k from pages),
+j as (select *, case {_RULES_SQL} end hit from a),
+tags as (select url, host, k, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*\b(?:rel\s*=\s*["'']?canonical\b|http-equiv\s*=\s*["'']?refresh\b)[^>]*>')) tag from a where url is not null),
+t0 as (select host, k, coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')) t from tags),
+t1 as (select k, case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then 'http://' || host || t end u from t0),
+t2 as (select k x, {_url_sql('u')[2]} y from t1),
+u as (select x, y from t2 where x <> y union all select y, x from t2 where x <> y),
+r(k, m) as (select k, k from j where k is not null union select u.y, r.m from r join u on u.x = r.k),
+c as (select k, min(m) comp from r group by 1),
+d as (select comp, bool_or(hit like '% allow') ok, bool_or(hit like '% block') no from j join c using (k) where hit is not null group by 1)
+select page_id, host, path, split_part(hit, ' ', 1) rule, case when hit is not null then split_part(hit, ' ', 2) when ok then 'allow' when no then 'block' else 'allow' end verdict
+from j left join c using (k) left join d using (comp)
+"""
