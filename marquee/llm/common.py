@@ -48,7 +48,16 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of table() that nothing reads any more; others are left to whoever owns the shared folder."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import bytesnp as B
-from .common import buffer, runs, table, tidy
+from .common import buffer, drop, runs, table, tidy
 
 MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
@@ -210,16 +210,20 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     level = F.floor(F.log(F.col("n")) / step + 1e-9)
     split = entries.join(shared, "key").select("doc_id", "least", F.explode(F.array(level, level + 1)).alias("level"), F.col("key").alias("k"))
     split = split.select("doc_id", "least", "level", F.xxhash64("k", "level").alias("key"))
+    written = []
     for peel in range(PEELS):
         split = _freed(table(split, f"jaccard-entries-{peel}"))
+        written.append(split)
         met = split.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
         split = split.join(met, "key")
         enough = split.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("most")).where("c >= most").select("doc_id", "level")
         split = split.join(enough, ["doc_id", "level"])
     split = _freed(table(split.select("doc_id", "key").distinct(), "jaccard-entries"))
+    written.append(split)
     groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     groups = groups.where("lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key"))
     alive = _freed(table(split.join(groups.select("key"), "key").select("doc_id", "key"), "jaccard-shared"))
+    drop(*written)
     wanted = alive.select("doc_id").distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
