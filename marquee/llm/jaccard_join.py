@@ -23,8 +23,9 @@ similarity is at least ``percent`` / 100; a class is what links connect.
   ``block`` documents, by exact intersections, and give only the links that
   join two classes.
 * Keys that still hold documents of several classes and homes: a document then
-  visits the other homes of its keys and is compared to their documents of such
-  keys; a key of more than ``most_homes`` homes is compared as a group itself.
+  visits the other homes with which it shares as many keys as with any partner,
+  and is compared to their documents of such keys; a key of more than
+  ``MOST_HOMES`` homes is compared as a group itself.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
 blocks, and no pair is ever a row.
@@ -218,11 +219,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
         split = split.join(met, "key")
         enough = split.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("most")).where("c >= most").select("doc_id", "level")
         split = split.join(enough, ["doc_id", "level"])
-    split = _freed(table(split.select("doc_id", "key").distinct(), "jaccard-entries"))
+    split = _freed(table(split.groupBy("doc_id", "key").agg(F.min("least").alias("least")), "jaccard-entries"))
     written.append(split)
     groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    groups = groups.where("lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key"))
-    alive = _freed(table(split.join(groups.select("key"), "key").select("doc_id", "key"), "jaccard-shared"))
+    groups = groups.where("lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    alive = _freed(table(split.join(groups.select("key", "weight"), "key").select("doc_id", "key", "weight", "least"), "jaccard-shared"))
     drop(*written)
     wanted = alive.select("doc_id").distinct()
 
@@ -254,7 +255,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     homes = seen.groupBy("key").agg(F.count_distinct("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and homes > 1").select("key", "homes")
     seen = _freed(table(seen.join(homes, "key"), "jaccard-open"))
     few, many = seen.where(F.col("homes") <= MOST_HOMES), seen.where(F.col("homes") > MOST_HOMES)
-    visits = few.select("doc_id", "key", "home").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home").select("doc_id", F.col("to").alias("key")).distinct()
+    # a partner shares at least ``least`` keys, all of which are seen here if none belongs to many homes
+    met = few.select("doc_id", "key", "home", "weight", "least").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home")
+    visits = met.groupBy("doc_id", "to").agg(F.sum("weight").alias("w"), F.max("least").alias("most")).where("w >= most").select("doc_id", F.col("to").alias("key"))
     residents = few.select("doc_id", F.col("home").alias("key")).distinct()
     edges = edges.unionByName(_freed(table(_visit(visits, residents, state, sets_of(few), block, percent), "jaccard-links-visits")))
     place = many.select("doc_id", "key").join(many.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
