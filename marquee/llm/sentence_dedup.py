@@ -1,10 +1,11 @@
 """Operator 3: substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` with white space, and
-after a new line). From every sentence the shortest run of at least ``run``
-sentences with at least ``least_words`` words is a span; the 128-bit hash of
-its words joins it with equal spans anywhere. The first of equal spans (least
-document id, then place) stays; sentences covered by any other go.
+after a new line). Every run of ``run`` consecutive sentences is a span, however few
+its words, and so are a text of fewer sentences and each sentence of at least
+``least_words`` words; the 128-bit hash of its words joins a span with equal
+ones anywhere. The first of equal spans (least document id, then place) stays;
+sentences covered by any other go. Longer repeated runs consist of such spans.
 
 Spans are aggregated before they are shuffled: a passage in a third of all
 documents is one row a task. Going back from the hash to its spans is a plain
@@ -40,18 +41,10 @@ def sentences(text: str) -> list[str]:
 def spans(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
     """(first piece, last piece, 128-bit hash) of each span."""
     held = [(i, w) for i, p in enumerate(sentences(text)) if (w := p.split())]
-    out, end, words = [], 0, 0
     norm = [" ".join(w) for _, w in held]
-    for k in range(len(held)):
-        end = max(end, k)
-        while end < len(held) and (end - k < run or words < least_words):
-            words += len(held[end][1])
-            end += 1
-        if end - k < run or words < least_words:
-            break
-        out.append((held[k][0], held[end - 1][0], xxhash.xxh3_128_intdigest(" ".join(norm[k:end]))))
-        words -= len(held[k][1])
-    return out
+    wide = min(run, len(held))
+    ends = {(k, k + wide) for k in range(len(held) - wide + 1) if wide} | {(k, k + 1) for k, (_, w) in enumerate(held) if len(w) >= least_words}
+    return [(held[k][0], held[e - 1][0], xxhash.xxh3_128_intdigest(" ".join(norm[k:e]))) for k, e in sorted(ends)]
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

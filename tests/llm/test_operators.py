@@ -158,6 +158,26 @@ def test_sentence_spans(docs, empty):
     assert sentence_dedup.remove_repeats(empty).count() == 0
 
 
+def test_sentence_spans_without_floor(spark):
+    short, single = "Come in. Sit down. ", " ".join(f"w{i}" for i in range(30)) + ". "
+    d = spark.createDataFrame([(1, short + "First end here."), (2, "Second start. " + short), (3, single + "Third end."), (4, "Fourth start. " + single), (5, "One line"), (6, "One line"), (7, "Come in. Go out.")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_dedup.remove_repeats(d).collect()}
+    assert got == {1: (short + "First end here.", 0), 2: ("Second start. ", 2), 3: (single + "Third end.", 0), 4: ("Fourth start. ", 1), 5: ("One line", 0), 6: ("", 1), 7: ("Come in. Go out.", 0)}
+
+
+def test_sentence_spans_against_brute_force(docs):
+    at, gone = {}, collections.defaultdict(set)
+    for i, t in sorted({(float("inf") if r[0] is None else r[0], r[1] or "") for r in rows()}):
+        held = [(k, p.split()) for k, p in enumerate(sentence_dedup.sentences(t)) if p.split()]
+        for k in range(len(held)):
+            for n in {1, 2} if len(held[k][1]) >= 25 or len(held) == 1 else {2}:
+                if k + n <= len(held) and at.setdefault(" ".join(x for _, w in held[k : k + n] for x in w), (i, t, k)) != (i, t, k):
+                    gone[i, t] |= {p for p, _ in held[k : k + n]}
+    for r in sentence_dedup.remove_repeats(docs.select("doc_id", F.col("text").alias("t"), "text")).collect():
+        i = float("inf") if r.doc_id is None else r.doc_id
+        assert r.n_removed == len(gone[i, r.t or ""])
+
+
 # ---------------------------------------------------------------- 4
 
 
