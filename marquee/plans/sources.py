@@ -20,7 +20,7 @@ def _iso(x):
 
 
 def _orders(s, d):
-    return t(s, d, "orders").where("o_orderkey % 5 = 0")
+    return t(s, d, "orders")
 
 
 @query("src_01_jsonld", "select o_orderkey k, o_orderpriority title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') start_date, 'V' || o_custkey venue_name, (o_orderkey % 900 * 100)::int price_min, o_orderkey % 10 = 0 is_cancelled from orders where o_orderkey % 5 = 0")
@@ -56,7 +56,7 @@ def src_06(s, d):
     k = c("o_orderkey")
     occ = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T12:00:00+00:00_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T13:00:00+00:00"))
     r = F.struct(k.cast("string").alias("id"), F.concat(occ, F.lit(";"), occ).alias("occurrences"), F.when(k % 10 == 0, "gratuit sous condition").otherwise("payant").alias("price_type"), F.struct(F.when(k % 3 == 0, 0.0).otherwise(48.85).alias("lat"), F.lit(2.35).alias("lon")).alias("lat_lon"))
-    return S.open_data(_orders(s, d).where("month(o_orderdate) not in (3, 9, 10)").select(F.to_json(r).alias("v")), "v").select("source_id", "start_date", "price_status", "lat")
+    return S.open_data(_orders(s, d).select(F.to_json(r).alias("v")), "v").select("source_id", "start_date", "price_status", "lat")
 
 
 @query("src_08_open_agenda", "select o_orderkey source_id, case when o_orderkey % 3 = 0 then 'en ' else 'fr ' end || o_orderpriority title, o_orderdate start_date, o_orderdate + interval 1 day end_date, 2 n_timings, o_orderkey % 10 = 0 is_online from orders where o_orderkey % 5 = 0")
@@ -123,7 +123,7 @@ def src_20(s, d):
 @query("src_21_artist_events", "select 'b' || o_orderkey source_id, o_orderdate + interval 20 hour - interval 1 hour * (case when month(o_orderdate) between 4 and 8 then 2 else 1 end) start_date, 'V' || o_custkey venue_name, o_orderpriority || ',' || o_orderstatus artists from orders where o_orderkey % 5 = 0 and month(o_orderdate) not in (3, 9, 10)")
 def src_21(s, d):
     e = F.struct(F.concat(F.lit("b"), c("o_orderkey").cast("string")).alias("id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T20:00:00")).alias("datetime"), F.struct(F.concat(F.lit("V"), c("o_custkey").cast("string")).alias("name")).alias("venue"), F.array("o_orderpriority", "o_orderstatus").alias("lineup"))
-    out = S.artist_events(_orders(s, d).where("month(o_orderdate) not in (3, 9, 10)").select(F.to_json(F.array(e)).alias("v")), "v")
+    out = S.artist_events(_orders(s, d).select(F.to_json(F.array(e)).alias("v")), "v")
     return out.select("source_id", "start_date", "venue_name", F.array_join("artists", ",").alias("artists"))
 
 
@@ -137,7 +137,7 @@ def num_01(s, d):
     k = c("o_orderkey")
     n = (k % 80).cast("string")
     text = F.when(k % 4 == 0, "Entrée libre").when(k % 4 == 1, F.concat(F.lit("Plein tarif : "), n, F.lit(" €"))).when(k % 4 == 2, F.concat(F.lit("De "), n, F.lit(" à "), (k % 80 + 12).cast("string"), F.lit(",50 euros"))).otherwise("Sur place, saison 2026")
-    return t(s, d, "orders").where("o_orderkey % 80 > 0").select(k.alias("k"), S.price(text).alias("p")).select("k", c("p.min").alias("lo"), c("p.max").alias("hi"), c("p.status").alias("status"))
+    return t(s, d, "orders").select(k.alias("k"), S.price(text).alias("p")).select("k", c("p.min").alias("lo"), c("p.max").alias("hi"), c("p.status").alias("status"))
 
 
 _MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
