@@ -68,7 +68,7 @@ def rec_08(s, d):
 
 @query("txt_02_fold_ligatures", f"select doc_id, replace(replace({FOLD.format('left(text, 80)')}, 'œ', 'oe'), 'æ', 'ae') folded from documents")
 def txt_02(s, d):
-    return t(s, d, "documents").select("doc_id", text.fold_ligatures(F.left("text", F.lit(80))).alias("folded"))
+    return t(s, d, "documents").select("doc_id", text.fold_ligatures(c("text")).alias("folded"))
 
 
 @query("txt_05_artist_key", f"select p_partkey, case when length(k) between 2 and 80 then k end k from (select p_partkey, trim(regexp_replace({FOLD.format('p_name')}, '[^a-z0-9]+', ' ', 'g')) k from part)")

@@ -427,7 +427,7 @@ def txt_01(s, d):
 
 @query("txt_03_slug", f"select doc_id, trim(regexp_replace({F0.format('left(text, 60)')}, '[^a-z0-9]+', '-', 'g'), '-') slug from documents")
 def txt_03(s, d):
-    return t(s, d, "documents").select("doc_id", text.slug(F.left("text", F.lit(60))).alias("slug"))
+    return t(s, d, "documents").select("doc_id", text.slug(c("text")).alias("slug"))
 
 
 @query("txt_12_truncate", r"select doc_id, case when length(text) <= 80 then text else regexp_replace(substr(text, 1, 79), '\s+\S*$', '') || '…' end short from documents")

@@ -44,3 +44,8 @@ def test_reads_all_months(spark, con, name):
 
 def test_reads_zero_prices(spark, con):
     assert rows_of_spark(registry.QUERIES["num_01_prices"](spark, SF)) == rows_of_sql(con, whole("num_01_prices", (" where o_orderkey % 80 > 0", "")))
+
+
+@pytest.mark.parametrize(("name", "cut"), [("txt_02_fold_ligatures", "left(text, 80)"), ("txt_03_slug", "left(text, 60)")])
+def test_folds_whole_texts(spark, con, name, cut):
+    assert rows_of_spark(registry.QUERIES[name](spark, SF)) == rows_of_sql(con, whole(name, (cut, "text")))
