@@ -340,7 +340,7 @@ def set_05(s, d):
 @query("set_06_array_sets", "select user_id, list_sort(list(distinct event_type)) a, list_sort(list_filter(['click', 'view', 'other'], lambda x: not list_contains(list(distinct event_type), x))) missing from events where event_id < 300 group by 1".replace("list_sort(list(distinct event_type)) a", "array_to_string(list_sort(list(distinct event_type)), ',') a").replace("list_sort(list_filter(", "array_to_string(list_sort(list_filter(").replace("x))) missing", "x))), ',') missing"))
 def set_06(s, d):
     have = F.collect_set("event_type")
-    return t(s, d, "events").where("event_id < 300").groupBy("user_id").agg(F.array_join(F.array_sort(have), ",").alias("a"), F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ["click", "view", "other"])), have)), ",").alias("missing"))
+    return t(s, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(have), ",").alias("a"), F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ["click", "view", "other"])), have)), ",").alias("missing"))
 
 
 # ---------------------------------------------------------------- windows

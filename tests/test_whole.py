@@ -49,3 +49,8 @@ def test_reads_zero_prices(spark, con):
 @pytest.mark.parametrize(("name", "cut"), [("txt_02_fold_ligatures", "left(text, 80)"), ("txt_03_slug", "left(text, 60)")])
 def test_folds_whole_texts(spark, con, name, cut):
     assert rows_of_spark(registry.QUERIES[name](spark, SF)) == rows_of_sql(con, whole(name, (cut, "text")))
+
+
+def test_sets_of_all_events(spark):
+    sf = "/root/testdata/sf0.01"  # on the smallest tables the first 300 events give the same result
+    assert rows_of_spark(registry.QUERIES["set_06_array_sets"](spark, sf)) == rows_of_sql(connect(sf), whole("set_06_array_sets", (" where event_id < 300", "")))
