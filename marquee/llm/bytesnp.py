@@ -1,14 +1,15 @@
 """Vectorised helpers over the UTF-8 bytes of many texts at once.
 
-Texts of one batch lie in one uint8 buffer with int64 offsets; hashes of any
-slice come from one prefix sum of a polynomial modulo 2**64, so the hash of a
-slice depends on its bytes alone, never on its place.
+Texts of one batch lie in one uint8 buffer with int64 offsets. Words and longer
+slices are hashed eight bytes at a time by a chain of mixed words. Windows of at
+most some hundred bytes (:class:`Hasher`) come from one prefix sum of a
+polynomial modulo 2**64, which structured strings of a thousand bytes could
+fool and shorter ones cannot. A hash depends on the bytes alone, never on their
+place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 import numpy as np
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -44,7 +45,7 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of slices of one buffer."""
+    """Hashes of short windows of one buffer."""
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
@@ -57,10 +58,6 @@ class Hasher:
         """Unmixed polynomial values of buf[start:end]."""
         return (self.prefix[end] - self.prefix[start]) * self._down[start]
 
-    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of buf[start:end]; lengths count too."""
-        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * _M2)
-
     def grams(self, k: int) -> np.ndarray:
         """Hashes of every k-byte string, by its start."""
         if len(self.prefix) <= k:
@@ -68,23 +65,31 @@ class Hasher:
         return mix((self.prefix[k:] - self.prefix[:-k]) * self._down[: len(self.prefix) - k])
 
 
-def join(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One buffer of all texts, and where each begins (with the end)."""
-    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) for t in texts], out=offsets[1:])
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), offsets
-
-
-def chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of rows of at most ``most`` bytes together; a longer row stands alone."""
-    i, total = 0, 0
-    for j, n in enumerate(sizes):
-        if j > i and total + n > most:
-            yield i, j
-            i, total = j, 0
-        total += n
-    if i < len(sizes):
-        yield i, len(sizes)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_LONG = 256  # bytes beyond which the words of a slice are summed instead of chained
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of buf[start:end]; those of another salt are independent."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    at8 = np.ndarray((len(buf) + 1,), "<u8", wide, 0, (1,))  # the eight bytes from every place
+    size = end - start
+    out = mix(size.astype(np.uint64) * _M1 + np.uint64(salt * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    open_ = np.flatnonzero((size > 0) & (size <= _LONG))
+    done = 0
+    while len(open_):
+        left = size[open_] - done
+        lane = at8[start[open_] + done] & _KEEP[np.minimum(left, 8)]
+        out[open_] = mix(out[open_] * _R ^ lane)
+        done += 8
+        open_ = open_[left > 8]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        at = np.arange(start[i], end[i], 8)
+        lane = at8[at] & _KEEP[np.minimum(end[i] - at, 8)]
+        key = mix(np.arange(1, len(at) + 1, dtype=np.uint64) * _R + out[i])
+        out[i] = mix(np.array([np.add.reduce(mix(mix(lane ^ key) + key))], np.uint64) + out[i])[0]
+    return out
 
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -1,17 +1,19 @@
-"""What the operators share: scratch tables, and texts as numpy buffers."""
+"""What the operators share: texts as numpy buffers, collected columns and names of inner columns."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..operators.scratch import drop, settled, table
+
+__all__ = ["CHUNK", "binaries", "buffer", "collected", "drop", "free", "runs", "settled", "table", "tidy"]
 
 CHUNK = 1 << 19  # bytes of text handled at once
 
@@ -24,42 +26,6 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="marquee-shared-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; its files go when the frame is collected, if the session cleans them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Written as Parquet in the shared folder and read again, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._written_at = at
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables of table() that nothing reads any more; others are left to whoever owns the shared folder."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the offsets of its rows; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -90,3 +56,17 @@ def runs(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 def binaries(buf: np.ndarray, off: np.ndarray) -> pa.Array:
     """A binary column over one buffer."""
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).cast(pa.binary())
+
+
+def collected(df: DataFrame) -> np.ndarray:
+    """The one column of a frame of a bounded number of rows, without a Python object a row."""
+    col = df.toArrow().column(0).combine_chunks()
+    return col.to_numpy(zero_copy_only=False) if len(col) else np.empty(0, np.int64)
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as it takes not to clash (Spark's names ignore case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name

@@ -45,7 +45,7 @@ def _words(texts: list[str | None]) -> list[np.ndarray]:
 def _hashed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = B.lower_ascii(buf)
     start, end, first = B.words(low, off)
-    return (B.Hasher(low).slices(start, end) if len(start) else np.empty(0, np.uint64)), first
+    return B.hashes(low, start, end), first
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:

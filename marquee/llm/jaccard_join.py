@@ -3,38 +3,41 @@
 A document is the set of its word shingles. Two link if their Jaccard
 similarity is at least ``percent`` / 100; a class is what links connect.
 
-* Documents of equal sets collapse to the least id first.
+* Documents of equal sets collapse to one node first.
 * Shingles that often recur within a few megabytes of text are the frequent
-  class: the ``most_frequent`` most counted, which bounds what is broadcast (any
-  class gives the same links). Shingles are ordered rare first, then by hash.
+  class: about the ``most_frequent`` most counted, which bounds what is broadcast
+  (any class gives the same links). Shingles are ordered rare first, then by hash.
 * A set of n shingles must meet any partner within its first
   p = n - ceil(percent * n / 100) + 1 shingles. If those are all rare, they are
   its keys. Otherwise its prefix is extended to 2p: two such sets that share no
   rare shingle share at least p + 1 frequent ones there, so some two that both
   hold lie at most three places apart in either; the keys are the rare shingles
   and the combinations of two frequent ones up to three places apart.
-* The prefixes are longer by ``extra`` shingles, so that partners share at least
-  extra + 1 of them. A document whose keys are all rare single shingles and of
-  which fewer than that are shared with documents of a like size has no partner
+* The prefixes are longer by ``EXTRA`` shingles, so that partners share at least
+  EXTRA + 1 of them. A node whose keys are all rare single shingles and of
+  which fewer than that are shared with nodes of a like size has no partner
   and leaves, with its keys, before any set is compared.
-* Keys are split by classes of set size, dropped if only one document has them,
-  and kept once for each set of documents.
-* Each document goes to its most common key; groups are compared in blocks of
-  ``block`` documents, by exact intersections, and give only the links that
-  join two classes.
-* Keys that still hold documents of several classes and homes: a document then
-  visits the other homes with which it shares as many keys as with any partner,
-  and is compared to their documents of such keys; a key of more than
-  ``MOST_HOMES`` homes is compared as a group itself.
+* Keys are split by classes of set size, dropped if only one node has them,
+  and kept once for each set of nodes.
+* Each node goes to its most common key, its home. A home is compared, by exact
+  intersections, in blocks of ``block`` nodes: each within itself and with the
+  first one. That joins what is alike in a time that grows with the home; where
+  classes remain apart, all nodes outside the home's largest class are compared
+  with each other and with that class.
+* Keys that still hold nodes of several classes and homes: a node then visits
+  the other homes with which it shares as many keys as with any partner, and is
+  compared to their nodes of such keys; a key of more than ``MOST_HOMES`` homes
+  is compared as a group itself.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
-blocks, and no pair is ever a row.
+blocks, only links that join two classes leave a task, and no pair is ever a
+row. Every step is a written table that goes when it has been read.
 
 Defined results: null or empty text has no shingles and is its own class; fewer
 words than a shingle make one shingle of the whole; rows of one id are one
-node of the graph (each row returned); null ids are left out of the links and
-get a null class. Shingles are told apart by 64 bits of a hash. Other columns
-stay out.
+node of the graph, each compared by its own text (each row returned); null ids
+are left out of the links and get a null class. Shingles are told apart by 64
+bits of a hash. Other columns stay out.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import bytesnp as B
-from .common import buffer, drop, runs, table, tidy
+from .common import buffer, collected, drop, runs, table, tidy
 
 MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
@@ -54,7 +57,6 @@ LEAST_COUNT = 4
 BLOCK = 1_024
 MOST_HOMES = 8
 EXTRA = 3
-PEELS = 1
 _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,7 +67,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray,
     count = np.diff(first)
     if not len(start):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = B.Hasher(buf).slices(start, end)
+    h = B.hashes(buf, start, end)
     acc = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
         acc = B.mix(acc * np.uint64(3) + h[k : k + len(acc)])
@@ -162,8 +164,61 @@ def _links(docs: list[int], comp: list[int], hist: list[tuple], sets_: list[np.n
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the class) of every row; see the module."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = _signed(docs, words, percent, most_frequent)
+    known = signed.where("n > 0 and doc_id is not null")
+    nodes = table(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    alive = _keys(known, nodes, percent)
+    who = table(alive.select("node").distinct().join(nodes.select("node", "rep", "h1"), "node"), "jaccard-open-nodes")
+
+    size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    best = alive.join(size, "key").groupBy("node").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
+    place = table(best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "jaccard-homes")
+    verify = _Verifier(docs, who, words, percent)
+    edges = [verify(_first_blocks(place, block), place)]
+    labels = connected_components(edges[0])
+    state = place.select("node", F.col("key").alias("home"), "c").join(labels.select("node", F.col("component").alias("comp")), "node", "left")
+    state = table(state.withColumn("comp", F.coalesce("comp", "node")), "jaccard-state")
+    drop(place)
+
+    wide = state.where(F.col("c") > block)
+    edges += _compared(wide.select("node", F.col("home").alias("key"), "comp"), verify, block, [])
+    seen = alive.join(state.drop("c"), "node")
+    homes = seen.groupBy("key").agg(F.count_distinct("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and homes > 1").select("key", "homes")
+    seen = table(seen.join(homes, "key"), "jaccard-open")
+    drop(alive, state)
+    few, many = seen.where(F.col("homes") <= MOST_HOMES), seen.where(F.col("homes") > MOST_HOMES)
+    # a partner shares at least ``least`` keys, all of which are seen here if none belongs to many homes
+    met = few.select("node", "comp", "key", "home", "weight", "least").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home")
+    visits = met.groupBy("node", "comp", "to").agg(F.sum("weight").alias("w"), F.max("least").alias("most")).where("w >= most")
+    visits = table(visits.select("node", "comp", F.col("to").alias("key")), "jaccard-visits")
+    residents = few.select("node", "comp", F.col("home").alias("key")).distinct().join(visits.select("key").distinct(), "key")
+    if not visits.isEmpty():
+        edges.append(verify(_visiting(visits, residents, block), visits.select("node").union(residents.select("node"))))
+    edges += _compared(many.select("node", "key", "comp", "home"), verify, block, ["home"])
+    drop(visits, seen, who)
+
+    ids = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("a"), F.max(F.struct("h1", "h2", "n")).alias("z")).where("a <> z").select("doc_id")
+    again = known.join(ids, "doc_id").join(nodes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
+    again = table(again.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).select("a", F.explode("b").alias("b")), "jaccard-links")  # different texts of one id
+    edges.append(again)
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    labels = connected_components(every)
+    drop(*edges)
+    joined = nodes.join(labels, "node", "left")
+    least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    named = joined.join(least, "component", "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("component_id"))
+    linked = known.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = table(linked.unionByName(alone), "jaccard-classes")  # three numbers a document
+    drop(signed, nodes)
+    return out
+
+
+def _frequent(docs: DataFrame, words: int, most: int) -> np.ndarray:
+    """Hashes of the frequent class in order."""
 
     def count(batches):
         for batch in batches:
@@ -177,8 +232,22 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
             tidy()
 
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 10 * LEAST_COUNT)
-    top = counted.orderBy(F.desc("n"), "h").limit(most_frequent).select("h").collect()  # bounded by most_frequent
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)))
+    counted = table(counted.select("h", F.floor(8 * F.log2("n")).cast("int").alias("grade")), "jaccard-counts")
+    grades = sorted(map(tuple, counted.groupBy("grade").count().collect()), reverse=True)  # some hundred rows at most
+    held, least = 0, None
+    for grade, n in grades:
+        held += n
+        if held > most:
+            break
+        least = grade
+    out = np.empty(0, np.int64) if least is None else collected(counted.where(F.col("grade") >= least).select("h"))  # at most ``most``
+    drop(counted)
+    return np.sort(out.astype(np.int64).view(np.uint64))
+
+
+def _signed(docs: DataFrame, words: int, percent: int, most_frequent: int) -> DataFrame:
+    """doc_id, n, two fingerprints of the set, keys, and how many of them a partner shares, of every row."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words, most_frequent))
 
     def sign(batches):
         for batch in batches:
@@ -186,12 +255,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
             for i, j in runs(off):
                 h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
                 n = np.diff(begin)
-                bounds = np.minimum(begin[:-1], max(0, len(h) - 1))
-                full = n > 0
-                one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                if len(h):
-                    one[full] = np.add.reduceat(B.mix(h ^ _S1), bounds[full])
-                    two[full] = np.bitwise_xor.reduceat(B.mix(h * _S2), bounds[full])
+                one, two = _fingerprints(h, begin)
                 each, least = zip(*(keys(h[a:b], frequent.value, percent) if b > a else (h[:0], 1) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)
                 flat = np.concatenate(each).view(np.int64)
                 yield pa.record_batch({
@@ -201,139 +265,176 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
             del buf, off
             tidy()
 
-    signed = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, least int, keys array<long>"), "jaccard-keys")
-    known = signed.where("n > 0 and doc_id is not null")
-    reps = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    # every key of every distinct set; those of one document alone go, before and after the split by size
-    entries = known.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "least", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    step = float(np.log(100 / percent))
-    level = F.floor(F.log(F.col("n")) / step + 1e-9)
-    split = entries.join(shared, "key").select("doc_id", "least", F.explode(F.array(level, level + 1)).alias("level"), F.col("key").alias("k"))
-    split = split.select("doc_id", "least", "level", F.xxhash64("k", "level").alias("key"))
-    written = []
-    for peel in range(PEELS):
-        split = _freed(table(split, f"jaccard-entries-{peel}"))
-        written.append(split)
-        met = split.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-        split = split.join(met, "key")
-        enough = split.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("most")).where("c >= most").select("doc_id", "level")
-        split = split.join(enough, ["doc_id", "level"])
-    split = _freed(table(split.groupBy("doc_id", "key").agg(F.min("least").alias("least")), "jaccard-entries"))
-    written.append(split)
-    groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    groups = groups.where("lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
-    alive = _freed(table(split.join(groups.select("key", "weight"), "key").select("doc_id", "key", "weight", "least"), "jaccard-shared"))
-    drop(*written)
-    wanted = alive.select("doc_id").distinct()
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """(doc_id, set) of documents that may be among ids: a filter of fixed size spares the others; a join follows."""
-        bits = spark.sparkContext.broadcast(_bloom(ids))
-
-        def gather(batches):
-            for batch in batches:
-                batch = batch.filter(pa.array(_may_have(bits.value, batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))))
-                buf, off = buffer(batch.column("text"))
-                for i, j in runs(off):
-                    h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
-                    yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "set": pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())})
-                del buf, off
-                tidy()
-
-        return docs.where("doc_id is not null").mapInArrow(gather, "doc_id long, set binary")
-
-    state = wanted.select("doc_id", F.col("doc_id").alias("comp"))
-    size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    best = alive.join(size, "key").groupBy("doc_id").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
-    place = best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
-    edges = _freed(table(_compare(place, state, [], sets_of(place), block, percent), "jaccard-links-home"))
-    labels = connected_components(edges)
-    state = state.drop("comp").join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    state = table(state.join(best.select("doc_id", F.col("key").alias("home")), "doc_id"), "jaccard-state")
-    seen = alive.join(state, "doc_id")
-    homes = seen.groupBy("key").agg(F.count_distinct("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and homes > 1").select("key", "homes")
-    seen = _freed(table(seen.join(homes, "key"), "jaccard-open"))
-    few, many = seen.where(F.col("homes") <= MOST_HOMES), seen.where(F.col("homes") > MOST_HOMES)
-    # a partner shares at least ``least`` keys, all of which are seen here if none belongs to many homes
-    met = few.select("doc_id", "key", "home", "weight", "least").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home")
-    visits = met.groupBy("doc_id", "to").agg(F.sum("weight").alias("w"), F.max("least").alias("most")).where("w >= most").select("doc_id", F.col("to").alias("key"))
-    residents = few.select("doc_id", F.col("home").alias("key")).distinct()
-    edges = edges.unionByName(_freed(table(_visit(visits, residents, state, sets_of(few), block, percent), "jaccard-links-visits")))
-    place = many.select("doc_id", "key").join(many.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
-    edges = edges.unionByName(_freed(table(_compare(place, state, ["home"], sets_of(many), block, percent), "jaccard-links-keys")))
-    labels = connected_components(edges)
-    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    linked = known.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    out = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, least int, keys array<long>"), "jaccard-keys")
+    frequent.destroy()
+    return out
 
 
-BLOOM_BITS = 1 << 23
+def _fingerprints(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, whatever the order."""
+    n = np.diff(begin)
+    full, at = n > 0, np.minimum(begin[:-1], max(0, len(h) - 1))
+    one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(h):
+        one[full] = np.add.reduceat(B.mix(h ^ _S1), at[full])
+        two[full] = np.bitwise_xor.reduceat(B.mix(h * _S2), at[full])
+    return one, two
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
+def _keys(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, key, weight (how many keys the same nodes share), least: the keys that several nodes have."""
+    same = nodes.select("node", F.col("rep").alias("doc_id"), "h1", "h2", "n")
+    entries = known.join(same, ["doc_id", "h1", "h2", "n"]).select("node", "n", "least", F.explode("keys").alias("key"))
+    # those of one node alone go, before and after the split by size
+    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    step = float(np.log(100 / percent))
+    level = F.floor(F.log(F.col("n")) / step + 1e-9)
+    split = entries.join(shared, "key").select("node", "least", F.explode(F.array(level, level + 1)).alias("level"), F.col("key").alias("k"))
+    split = table(split.select("node", "least", "level", F.xxhash64("k", "level").alias("key")), "jaccard-entries")
+    met = split.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    held = table(split.join(met, "key"), "jaccard-entries")
+    drop(split)
+    enough = held.groupBy("node", "level").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("most")).where("c >= most").select("node", "level")
+    split = table(held.join(enough, ["node", "level"]).groupBy("node", "key").agg(F.min("least").alias("least")), "jaccard-entries")
+    drop(held)
+    groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(node, 1))").alias("x"))
+    groups = groups.where("c > 1").groupBy("c", "s", "x").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    alive = table(split.join(groups.select("key", "weight"), "key").select("node", "key", "weight", "least"), "jaccard-shared")
+    drop(split)
+    return alive
+
+
+# ------------------------------------------------------------ sets of the nodes that are compared
+
+SLOT_BITS = 1 << 16
+BITS_EACH = 12
+MOST_SLOTS = 1 << 12  # 32 MB of bits at most; more ids make the filter spare less
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Three places of each id within its slot."""
     h = B.mix(ids.astype(np.int64).view(np.uint64) + _S1)
-    return np.stack([h % np.uint64(BLOOM_BITS), (h >> np.uint64(32)) % np.uint64(BLOOM_BITS), B.mix(h) % np.uint64(BLOOM_BITS)]).astype(np.int64)
+    return np.stack([(h >> np.uint64(16 * k)) & np.uint64(SLOT_BITS - 1) for k in range(3)]).astype(np.int64)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A megabyte of bits whatever the number of ids; more ids only make it spare less."""
+def _slot(slots: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot")
 
-    def fill(batches):
-        bits = np.zeros(BLOOM_BITS, bool)
-        for batch in batches:
-            bits[_places(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
-        yield pa.record_batch({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.select("doc_id").coalesce(4).mapInArrow(fill, "bits binary").collect():  # four rows of a megabyte at most
-        out |= np.frombuffer(r[0], np.uint8)
-    return np.unpackbits(out).astype(bool)
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bits (a row a slot) of a Bloom filter over doc_id, of a size that follows their number; slots are filled by tasks."""
+    slots = int(max(1, min(MOST_SLOTS, -(-ids.count() * BITS_EACH // SLOT_BITS))))
 
+    def fill(_key: tuple, t: pa.Table) -> pa.Table:
+        bits = np.zeros(SLOT_BITS, bool)
+        bits[_bits(t["doc_id"].to_numpy())] = True
+        return pa.table({"slot": t["slot"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-def _may_have(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return bits[_places(ids)].all(axis=0)
+    out = np.zeros((slots, SLOT_BITS // 8), np.uint8)
+    for slot, bits in ids.select("doc_id", _slot(slots)).groupBy("slot").applyInArrow(fill, "slot int, bits binary").collect():  # MOST_SLOTS rows of 8 KB at most
+        out[slot] = np.frombuffer(bits, np.uint8)
+    return out
 
 
-def _freed(df: DataFrame) -> DataFrame:
-    """df, after a hint to the driver's JVM to let go of shuffle files of finished work."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def _may_have(filter_: np.ndarray, slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bits(ids)
+    return ((filter_[slot, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _group(rows: DataFrame, homes: list[str], held: DataFrame, percent: int, apart: bool) -> DataFrame:
-    """Links (a, b) within the groups (key, i, j) of rows; apart: only between side 0 and side 1."""
+class _Verifier:
+    """Compares the sets of nodes in groups; who: node, rep (the document that has its set), h1."""
 
-    def group(_key: tuple, t: pa.Table) -> pa.Table:
-        ids, first = np.unique(t["doc_id"].to_numpy(), return_index=True)
-        side = t["side"].to_numpy() if apart or t["i"][0].as_py() != t["j"][0].as_py() else np.full(len(t), -1)
-        found = []
-        if not apart or (side == 0).any() and (side == 1).any():
-            blobs = t["set"]
-            found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), [tuple(t[h][int(k)].as_py() for h in homes) for k in first], [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in first], side[first], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def __init__(self, docs: DataFrame, who: DataFrame, words: int, percent: int):
+        self.docs, self.who, self.words, self.percent = docs, who, words, percent
 
-    return rows.join(held, "doc_id").groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
+    def _sets(self, wanted: DataFrame, filter_: np.ndarray, bits) -> DataFrame:
+        """(node, set): a filter spares the documents that are not wanted, a join follows."""
+        words = self.words
 
+        def gather(batches):
+            for batch in batches:
+                ids, slot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "slot"))
+                batch = batch.filter(pa.array(_may_have(bits.value, slot, ids)))
+                buf, off = buffer(batch.column("text"))
+                for i, j in runs(off):
+                    h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
+                    blobs = [h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                    yield pa.record_batch({"rep": batch.column("doc_id").slice(i, j - i), "h1": pa.array(_fingerprints(h, begin)[0].view(np.int64)), "set": pa.array(blobs, pa.binary())})
+                del buf, off
+                tidy()
 
-def _compare(place: DataFrame, state: DataFrame, homes: list[str], held: DataFrame, block: int, percent: int) -> DataFrame:
-    """Links found within the groups of place (doc_id, key, c), in blocks of documents."""
-    blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")
-    rows = place.join(state, "doc_id").withColumn("_n", blocks).withColumn("_b", mine)
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("side"), "doc_id", "comp", *homes).distinct()
-    return _group(rows, homes, held, percent, False)
+        held = self.docs.where("doc_id is not null").select("doc_id", "text", _slot(len(filter_))).mapInArrow(gather, "rep long, h1 long, set binary")
+        return held.join(wanted, ["rep", "h1"]).select("node", "set")
+
+    def __call__(self, rows: DataFrame, nodes: DataFrame, homes: tuple[str, ...] = ()) -> DataFrame:
+        """Links (a, b) within the groups (key, kind, i, j) of rows, which are about nodes, written; sides 0 and 1 are held against each other, side -1 within."""
+        percent = self.percent
+
+        def group(_key: tuple, t: pa.Table) -> pa.Table:
+            ids, first = np.unique(t["node"].to_numpy(), return_index=True)
+            side = t["side"].to_numpy()[first]
+            found = []
+            if (side < 0).any() or (side == 0).any() and (side == 1).any():
+                blobs = t["set"]
+                past = [tuple(t[h][int(k)].as_py() for h in homes) for k in first]
+                found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), past, [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in first], side, percent)
+            return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        wanted = table(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
+        filter_ = _filter(wanted.select(F.col("rep").alias("doc_id")))
+        bits = self.docs.sparkSession.sparkContext.broadcast(filter_)
+        out = table(rows.join(self._sets(wanted, filter_, bits), "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
+        bits.destroy()
+        drop(wanted)
+        return out
+
+
+def _block_of(blocks) -> F.Column:
+    return F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int")
+
+
+def _spot(kind: int, i, j, side):
+    return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+
+def _spots(rows: DataFrame, spots, *more: str) -> DataFrame:
+    return rows.select("node", "key", "comp", *more, F.explode(spots).alias("s")).select("node", "key", "comp", *more, "s.kind", "s.i", "s.j", "s.side")
+
+
+def _first_blocks(place: DataFrame, block: int) -> DataFrame:
+    """place (node, key, c) in groups: each block within itself, and the first block with each other one; three rows a node."""
+    rows = place.where("c > 1").withColumn("comp", F.col("node")).withColumn("_n", F.ceil(F.col("c") / F.lit(block)).cast("int"))
+    rows = rows.withColumn("_b", _block_of(F.col("_n")))
+    alone = _spot(0, F.col("_b"), F.col("_b"), F.lit(-1))
+    others = F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda o: _spot(1, F.lit(0), o, F.lit(0)))
+    spots = F.when(F.col("_n") == 1, F.array(alone)).when(F.col("_b") == 0, F.concat(F.array(alone), others)).otherwise(F.array(alone, _spot(1, F.lit(0), F.col("_b"), F.lit(1))))
+    return _spots(rows, spots)
+
+
+def _compared(rows: DataFrame, verify: _Verifier, block: int, homes: list[str]) -> list[DataFrame]:
+    """Links of rows (node, key, comp, homes) between different classes of a key: nodes outside its largest class with all others."""
+    rows = rows.distinct()
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mains = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    mains = mains.select("key", F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c")).alias("no"), blocks(F.col("m.c")).alias("nm"))
+    rows = table(rows.join(mains, "key"), "jaccard-groups")
+    out = []
+    if not rows.isEmpty():
+        apart = F.col("comp") != F.col("main")
+        b = _block_of(F.when(apart, F.col("no")).otherwise(F.col("nm")))
+        own = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda o: _spot(0, F.least(b, o), F.greatest(b, o), F.when(b == o, -1).when(b > o, 1).otherwise(0)))
+        to_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda m: _spot(1, b, m, F.lit(0)))
+        from_main = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda o: _spot(1, o, b, F.lit(1)))
+        out.append(verify(_spots(rows, F.when(apart, F.concat(own, to_main)).otherwise(from_main), *homes), rows, tuple(homes)))
+    drop(rows)
+    return out
 
 
-def _visit(visits: DataFrame, residents: DataFrame, state: DataFrame, held: DataFrame, block: int, percent: int) -> DataFrame:
-    """Links between the visitors (doc_id, key) of a home and its residents, in blocks of both."""
+def _visiting(visits: DataFrame, residents: DataFrame, block: int) -> DataFrame:
+    """The visitors (node, comp, key) of a home with its residents, in blocks of both."""
     blocks = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
     n = blocks(visits, "nv").join(blocks(residents, "nr"), "key")
-    mine = lambda name: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col(name)).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    v = visits.join(n, "key").select("key", "doc_id", mine("nv").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"))
-    r = residents.join(n, "key").select("key", "doc_id", every("nv").alias("i"), mine("nr").alias("j"), F.lit(1).alias("side"))
-    rows = v.unionByName(r).join(state.select("doc_id", "comp"), "doc_id").select("key", "i", "j", "side", "doc_id", "comp")
-    return _group(rows, [], held, percent, True)
+    v = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda o: _spot(0, _block_of(F.col("nv")), o, F.lit(0)))
+    r = F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda o: _spot(0, o, _block_of(F.col("nr")), F.lit(1)))
+    return _spots(visits.join(n, "key"), v).unionByName(_spots(residents.join(n, "key"), r))

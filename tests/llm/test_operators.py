@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.llm import bytesnp, chat_format, decontamination, jaccard_join, packing, quality_rules, sentence_dedup, sharding, suffix_dedup, token_store, url_filters
+from marquee.llm import bytesnp, chat_format, decontamination, jaccard_join, packing, quality_rules, sentence_dedup, sharding, suffix_dedup, token_store, tokens, url_filters
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part string"
@@ -124,6 +124,24 @@ def test_jaccard_join(docs, k, percent, most):
     assert sorted(map(tuple, got), key=repr) == brute_classes(rows(), k, percent)
 
 
+def test_jaccard_join_of_large_homes(spark):
+    """Near copies and unlike texts that share frequent passages, in more blocks than one."""
+    rng = np.random.default_rng(2)
+    base, passage = [f"w{i}" for i in range(60)], [f"p{i}" for i in range(40)]
+    out = []
+    for i in range(60):  # near copies, some further away
+        t = list(base)
+        for k in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            t[k] = f"x{i}_{k}"
+        out.append((i, " ".join(t)))
+    out += [(100 + i, " ".join(passage + [f"y{i}_{k}" for k in range(int(rng.integers(0, 6)))])) for i in range(40)]
+    out += [(200 + i, " ".join(base[:50] + [f"z{i % 3}_{k}" for k in range(10 + i)])) for i in range(10)]
+    rs = [(i, t, None, None, None, None) for i, t in out]
+    for most in (0, 1000):
+        got = jaccard_join.classes(spark.createDataFrame(rs, SCHEMA).repartition(3), words=2, percent=80, most_frequent=most, block=7).collect()
+        assert sorted(map(tuple, got), key=repr) == brute_classes(rs, 2, 80)
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.classes(empty).count() == 0
 
@@ -278,10 +296,21 @@ def ids_of(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return collections.Counter((i, tuple([*e.ids, end])) for (i, *_), e in zip(rows(), t.encode_batch([r[1] or "" for r in rows()], add_special_tokens=False), strict=True))
 
 
+@pytest.mark.parametrize(("name", "glue"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_are_those_of_the_plain_library_call(name, glue):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    a, b = twins(11)
+    texts = [a, b, f"{a} {b} {a}", "foo <|endoftext|> bar", "<|EndOfText|>x", "<|startoftext|><|endoftext|>", "end <|endoftext", "|> no", None, "", "  a\tb\u00a0c\u2003d\n\n e"]
+    t = Tokenizer.from_file(P.path(name))
+    got = [ids[p:q].tolist() for _, ids, begin in tokens.Encoder(P.path(name), glue).column(pa.array(texts, pa.string()), 7) for p, q in zip(begin[:-1], begin[1:], strict=True)]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in texts]
+
+
 def test_packing_round_trip(docs, empty):
     pieces = packing.pack(docs, P.path("byte_bpe_50k.json"), length=64, with_ids=True).collect()
     flat = sorted((p.sequence_id, p.offset, p) for p in pieces)
@@ -344,10 +373,29 @@ def test_sharding(spark, docs, empty):
 
 def test_slice_hashes_depend_on_bytes_alone():
     buf = np.frombuffer(b"abcabcabd" * 1000, np.uint8)
-    h = bytesnp.Hasher(buf)
     s = np.array([0, 3, 9, 6])
-    a = h.slices(s, s + 3)
+    a = bytesnp.hashes(buf, s, s + 3)
     assert a[0] == a[1] == a[2] != a[3]
+    wide = bytesnp.hashes(buf, np.array([0, 9, 1]), np.array([900, 909, 901]))
+    assert wide[0] == wide[1] != wide[2] and (bytesnp.hashes(buf, s, s + 3, 1) != a).all()
+
+
+def twins(k):
+    """The Thue-Morse word of 2**k letters and its complement, which fool any polynomial modulo 2**64 from k = 11 on."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_are_told_apart():
+    a, b = twins(11)
+    buf = np.frombuffer((a + b).encode(), np.uint8)
+    n = len(a)
+    h = bytesnp.hashes(buf, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    sets_, begin = jaccard_join.sets(np.frombuffer(f"{a} x y z{b} x y z".encode(), np.uint8), np.array([0, n + 6, 2 * n + 12]), 4)
+    assert sets_[begin[0]] != sets_[begin[1]]
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
