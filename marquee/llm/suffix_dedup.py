@@ -31,6 +31,8 @@ columns are left out here (join by id).
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -285,9 +287,12 @@ class _Block:
         return np.concatenate(starts), np.concatenate(ranks), np.concatenate(one), np.concatenate(two)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes: int = BLOCK_BYTES, part_entries: int = PART_ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes: int = BLOCK_BYTES, part_entries: int = PART_ENTRIES, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): what is left of each text; see the module.
 
+    with_text: also kept_text, kept without what is left of cut characters, and text_sha256 of the whole
+    text (hexadecimal): rows of equal id and text have equal results, so the two name a result.
+
     ``block_bytes`` of text make a batch and a task's memory; ``part_entries``
     bounds the entries of a range of the index.
     """
@@ -335,7 +340,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes:
         inner = b.off[:-1][np.diff(b.off) > 0]
         begins[inner] = drop[inner]  # a run ends with its document
         spans = np.r_[0, np.cumsum(begins)]
-        return pa.table({
+        more = {"kept_text": _whole_characters(b.buf, b.off, drop), "text_sha256": pa.array([hashlib.sha256(b.buf[i:j]).hexdigest() for i, j in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)], pa.string())} if with_text else {}
+        return pa.table(more | {
             "doc_id": b.ids, "n_bytes": pa.array(np.diff(b.off)), "n_removed": pa.array(removed), "n_spans": pa.array(spans[b.off[1:]] - spans[b.off[:-1]]),
             "kept": binaries(b.buf[~drop], b.off - before[b.off]),
         })
@@ -343,7 +349,18 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes:
     texts = blocked.groupBy("block")
     one = texts.applyInArrow(build, _MESSAGE).groupBy("part").applyInArrow(_answering(1), _ANSWER)
     two = texts.cogroup(one.groupBy("block")).applyInArrow(narrow, _MESSAGE).groupBy("part").applyInArrow(_answering(2), _ANSWER)
-    return texts.cogroup(one.unionByName(two).groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.cogroup(one.unionByName(two).groupBy("block")).applyInArrow(finish, "kept_text string, text_sha256 string, " * with_text + "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _whole_characters(buf: np.ndarray, off: np.ndarray, drop: np.ndarray) -> pa.Array:
+    """The characters of which no byte is dropped."""
+    if not len(buf):
+        return pa.array([""] * (len(off) - 1), pa.string())
+    char = np.cumsum((buf & 0xC0) != 0x80) - 1
+    cut = np.zeros(char[-1] + 1, bool)
+    cut[char[drop]] = True
+    keep = ~cut[char]
+    return binaries(buf[keep], np.r_[0, np.cumsum(keep)][off]).cast(pa.string())
 
 
 def _bucket(cuts: list[int]):

@@ -406,6 +406,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, "w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     body = " ".join(f"v{i}" for i in range(120))
     more = [(500, body, "en", "s", 1), (501, body, "en", "s", 1), (502, " ".join(f"w{i}" for i in range(120)), "en", "s", 1), (503, " ".join(f"u{i}" for i in range(120)) + " " + body[:200], "en", "s", 1)]
+    part = "A shared passage that is rather long é " * 3
+    more += [(510, "\ufffd " + " ".join(f"a{i}" for i in range(80)) + part, "en", "s", 1), (511, part + " ".join(f"b{i}" for i in range(80)), "en", "s", 1), (511, part + " ".join(f"c{i}" for i in range(80)), "en", "s", 1), (512, part[:60], "en", "s", 1)]
     base = docs.select(*C.COLUMNS).unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
     now, seen = base, []
     for name, stage in C.STAGES:
@@ -420,3 +422,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     cut = spark.read.parquet(str(tmp_path / "suffix_array_dedup")).where("doc_id = 503").first()
     assert body[:150] not in cut.text and cut.text.startswith("u0 u1") and cut.n_chars == len(cut.text)
     assert 502 not in seen[3] and {500, 503} <= seen[3] == seen[4]
+    assert sorted(r.text[:4] for r in spark.read.parquet(str(tmp_path / "suffix_array_dedup")).where("doc_id in (510, 511)").collect()) == ["b0 b", "c0 c", "\ufffd a0"]
+    packed = spark.read.parquet(str(tmp_path / "packing"))
+    assert {"ids", "sequence_id"} <= set(packed.columns) and packed.where("size(ids) <> length").count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = empty.select(*C.COLUMNS)
+    for _, stage in C.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0
