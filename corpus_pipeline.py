@@ -6,12 +6,12 @@ it kept; all but the last return the columns of ``documents``.
 1. quality rules: documents that the learned decision list or the base rules reject go;
 2. n-gram Jaccard join: of each class of near duplicates (five words, 0.8) the least id stays;
 3. suffix-array dedup: 50-byte strings that a smaller id has are cut out; documents
-   of which nothing is left go (bytes of a cut character are dropped);
+   of which nothing is left go (a character of which a byte is cut goes whole);
 4. benchmark decontamination: documents with a passage of a test item go;
-5. packing: concatenated and cut into sequences of 1024 ids.
+5. packing: concatenated and cut into sequences of 1024 ids, which are returned.
 
 Rows with a null id pass through the stages that decide by id. Rows of one id
-share one decision.
+share the decisions of stages 2 and 4; stage 3 cuts each by its own text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import decontamination, jaccard_join, packing, quality_rules, suffix_dedup
+from marquee.llm.common import free
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,15 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 50 bytes that a document of a smaller id has."""
-    left = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(_decoded(F.col("_kept")))
-    out = docs.join(left, "doc_id", "left").where("_kept is null or octet_length(_kept) > 0")
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def _decoded(kept):
-    """UTF-8 text of bytes; what is left of a cut character goes."""
-    return F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")
+    kept, sha = (free(n, docs.columns) for n in ("kept_text", "text_sha256"))
+    left = suffix_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias(sha), F.col("kept_text").alias(kept))
+    left = left.dropDuplicates(["_id", sha]).withColumnRenamed("_id", free("_id", docs.columns))
+    whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    out = docs.join(left, docs["doc_id"].eqNullSafe(left[left.columns[0]]) & (whole == left[sha]), "left").where(F.col(kept).isNull() | (F.col(kept) != ""))
+    new = {"text": F.coalesce(kept, "text"), "n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +57,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 ids."""
+    """Pieces of sequences of 1024 ids, with their ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
