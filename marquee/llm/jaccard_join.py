@@ -6,28 +6,29 @@ similarity is at least ``percent`` / 100; a class is what links connect.
 * Documents of equal sets collapse to one node first.
 * Shingles that often recur within a few megabytes of text are the frequent
   class: about the ``most_frequent`` most counted, which bounds what is broadcast
-  (any class gives the same links). Shingles are ordered rare first, then by hash.
-* A set of n shingles must meet any partner within its first
-  p = n - ceil(percent * n / 100) + 1 shingles. If those are all rare, they are
-  its keys. Otherwise its prefix is extended to 2p: two such sets that share no
-  rare shingle share at least p + 1 frequent ones there, so some two that both
-  hold lie at most three places apart in either; the keys are the rare shingles
-  and the combinations of two frequent ones up to three places apart.
-* The prefixes are longer by ``EXTRA`` shingles, so that partners share at least
-  EXTRA + 1 of them. A node whose keys are all rare single shingles and of
-  which fewer than that are shared with nodes of a like size has no partner
-  and leaves, with its keys, before any set is compared.
-* Keys are split by classes of set size, dropped if only one node has them,
-  and kept once for each set of nodes.
+  (any class gives the same links).
+* A set of n shingles differs from any partner in at most
+  d = floor(n * (100 - percent) / percent) shingles, both ways together. The
+  space of hashes is cut into m ranges, m the power of two from n / 2 on, and the
+  shingles of one range are a combination: two on average, so d differences
+  spoil at most d of them. Ordered by any rule, the d + 1 first combinations of
+  either set then hold one that both have. This is the extended prefix; the rule
+  is: not all of frequent shingles, then the larger ones, then by hash. What two
+  unlike texts share by chance or as a passage is seldom a whole combination,
+  so the keys of several nodes stay in proportion to what is alike, where single
+  shingles would be shared by ever more texts.
+* Sets so near the next power of two that a partner has it take its ranges too.
+  A set with d ranges or fewer (a small one) also has its d + 1 first shingles by
+  hash as single keys: if neither of two partners has more than d, they share
+  one of these.
+* Keys that one node alone has go, and those of the same nodes are kept once.
 * Each node goes to its most common key, its home. A home is compared, by exact
   intersections, in blocks of ``block`` nodes: each within itself and with the
   first one. That joins what is alike in a time that grows with the home; where
   classes remain apart, all nodes outside the home's largest class are compared
   with each other and with that class.
-* Keys that still hold nodes of several classes and homes: a node then visits
-  the other homes with which it shares as many keys as with any partner, and is
-  compared to their nodes of such keys; a key of more than ``MOST_HOMES`` homes
-  is compared as a group itself.
+* Other keys that still hold nodes of several classes and homes are compared
+  like that too, nodes of different homes only.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
 blocks, only links that join two classes leave a task, and no pair is ever a
@@ -49,14 +50,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import bytesnp as B
+from . import filters
 from .common import buffer, collected, drop, runs, table, tidy
 
 MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
 LEAST_COUNT = 4
 BLOCK = 1_024
-MOST_HOMES = 8
-EXTRA = 3
 _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,26 +93,61 @@ def sets(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(row, np.arange(len(off)))
 
 
-def keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The index keys of one set, and how many of them any partner shares at least; see the module."""
-    n = len(s)
-    need = -(-percent * n // 100)
-    p = n - need + 1 + min(EXTRA, need - 1)
+def _first_of(row: np.ndarray, order: tuple[np.ndarray, ...], most: np.ndarray) -> np.ndarray:
+    """Places of the first most[row] entries of each row in an order (last key first, as for lexsort)."""
+    at = np.lexsort((*order, row))
+    r = row[at]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    return at[rank < most[r]]
+
+
+def _combinations(h: np.ndarray, row: np.ndarray, often: np.ndarray, ranges: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and rows of the first combinations of each row, and how many ranges each row fills; h is in order within rows."""
+    m = ranges[row].astype(np.uint64)
+    part = ((h >> np.uint64(32)) * m) >> np.uint64(32)
+    edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+    size = np.diff(np.r_[edge, len(h)])
+    key = B.mix(np.add.reduceat(B.mix(h ^ _S1), edge) + B.mix(part[edge] * _S2 + m[edge]))
+    plain = np.minimum.reduceat(often, edge)  # 1: all of them frequent
+    r = row[edge]
+    some = _first_of(r, (key, -np.minimum(size, 4), plain), most)
+    return key[some], r[some], np.bincount(r, minlength=len(ranges))
+
+
+def keys(h: np.ndarray, begin: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys of sets (as of sets()) one after another, and where each set's begin; see the module."""
+    n = np.diff(begin)
+    row = np.repeat(np.arange(len(n)), n)
+    if not len(h):
+        return np.empty(0, np.uint64), np.zeros(len(n) + 1, np.int64)
+    often = np.zeros(len(h), np.int8)
     if len(frequent):
-        at = np.searchsorted(frequent, s)
+        at = np.searchsorted(frequent, h)
         at[at == len(frequent)] = 0
-        often = frequent[at] == s
-        rare = s[~often]
-    else:
-        rare = s
-    if len(rare) >= p:
-        partner = -(-percent * -(-percent * n // 100) // 100)  # a partner's own prefix may be longer by less
-        return rare[:p], min(EXTRA, max(partner - 1, 0)) + 1
-    f = s[often][: 2 * p - len(rare)]
-    combos = [B.mix(f[:-d] * _S1 + B.mix(f[d:] * _S2)) for d in (1, 2, 3) if len(f) > d]
-    # 2p may reach beyond the set: then fewer are shared, and the single ones stand in
-    single = [B.mix(f ^ _S2)] if len(f) < 2 * p - len(rare) or len(f) < 8 else []
-    return np.unique(np.concatenate([rare, *combos, *single])), 1
+        often = (frequent[at] == h).astype(np.int8)
+    most = n * (100 - percent) // percent + 1
+    ranges = np.ones(len(n), np.int64)
+    while (low := 2 * ranges < n).any():
+        ranges[low] *= 2
+    one, rows_one, filled = _combinations(h, row, often, ranges, most)
+    near = (100 * n >= percent * 2 * ranges) & (n > 0)  # a partner may be of the next power
+    found, rows_ = [one], [rows_one]
+    for which, double in ((near, 2), (filled < most, 0)):
+        inside = which[row]
+        if not inside.any():
+            continue
+        if double:
+            k, r, _ = _combinations(h[inside], row[inside], often[inside], ranges * double, most)
+        else:
+            some = _first_of(row[inside], (h[inside],), most)
+            k, r = B.mix(h[inside][some] ^ _S2), row[inside][some]
+        found.append(k)
+        rows_.append(r)
+    k, r = np.concatenate(found), np.concatenate(rows_)
+    at = np.lexsort((k, r))
+    k, r = k[at], r[at]
+    keep = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
+    return k[keep], np.searchsorted(r[keep], np.arange(len(n) + 1))
 
 
 def _links(docs: list[int], comp: list[int], hist: list[tuple], sets_: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -167,14 +202,15 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = _signed(docs, words, percent, most_frequent)
     known = signed.where("n > 0 and doc_id is not null")
-    nodes = table(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    alive = _keys(known, nodes, percent)
+    nodes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))  # equal sets have equal keys
+    nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    alive = _shared(nodes)
     who = table(alive.select("node").distinct().join(nodes.select("node", "rep", "h1"), "node"), "jaccard-open-nodes")
+    verify = _Verifier(docs, who, words, percent)
 
     size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     best = alive.join(size, "key").groupBy("node").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
     place = table(best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "jaccard-homes")
-    verify = _Verifier(docs, who, words, percent)
     edges = [verify(_first_blocks(place, block), place)]
     labels = connected_components(edges[0])
     state = place.select("node", F.col("key").alias("home"), "c").join(labels.select("node", F.col("component").alias("comp")), "node", "left")
@@ -184,19 +220,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     wide = state.where(F.col("c") > block)
     edges += _compared(wide.select("node", F.col("home").alias("key"), "comp"), verify, block, [])
     seen = alive.join(state.drop("c"), "node")
-    homes = seen.groupBy("key").agg(F.count_distinct("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and homes > 1").select("key", "homes")
-    seen = table(seen.join(homes, "key"), "jaccard-open")
-    drop(alive, state)
-    few, many = seen.where(F.col("homes") <= MOST_HOMES), seen.where(F.col("homes") > MOST_HOMES)
-    # a partner shares at least ``least`` keys, all of which are seen here if none belongs to many homes
-    met = few.select("node", "comp", "key", "home", "weight", "least").join(few.select("key", F.col("home").alias("to")).distinct(), "key").where("to > home")
-    visits = met.groupBy("node", "comp", "to").agg(F.sum("weight").alias("w"), F.max("least").alias("most")).where("w >= most")
-    visits = table(visits.select("node", "comp", F.col("to").alias("key")), "jaccard-visits")
-    residents = few.select("node", "comp", F.col("home").alias("key")).distinct().join(visits.select("key").distinct(), "key")
-    if not visits.isEmpty():
-        edges.append(verify(_visiting(visits, residents, block), visits.select("node").union(residents.select("node"))))
-    edges += _compared(many.select("node", "key", "comp", "home"), verify, block, ["home"])
-    drop(visits, seen, who)
+    open_ = seen.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("z"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and a <> z").select("key")
+    edges += _compared(seen.join(open_, "key").select("node", "key", "comp", "home"), verify, block, ["home"])
+    drop(alive, state, who)
 
     ids = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("a"), F.max(F.struct("h1", "h2", "n")).alias("z")).where("a <> z").select("doc_id")
     again = known.join(ids, "doc_id").join(nodes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
@@ -246,7 +272,7 @@ def _frequent(docs: DataFrame, words: int, most: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, percent: int, most_frequent: int) -> DataFrame:
-    """doc_id, n, two fingerprints of the set, keys, and how many of them a partner shares, of every row."""
+    """doc_id, n, two fingerprints of the set, and its keys, of every row."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words, most_frequent))
 
     def sign(batches):
@@ -256,16 +282,15 @@ def _signed(docs: DataFrame, words: int, percent: int, most_frequent: int) -> Da
                 h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
                 n = np.diff(begin)
                 one, two = _fingerprints(h, begin)
-                each, least = zip(*(keys(h[a:b], frequent.value, percent) if b > a else (h[:0], 1) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)
-                flat = np.concatenate(each).view(np.int64)
+                flat, first = keys(h, begin, frequent.value, percent)
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(i, j - i), "n": pa.array(n), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64)),
-                    "least": pa.array(least, pa.int32()), "keys": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in each])], pa.int32()), pa.array(flat)),
+                    "keys": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.view(np.int64))),
                 })
             del buf, off
             tidy()
 
-    out = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, least int, keys array<long>"), "jaccard-keys")
+    out = table(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "jaccard-keys")
     frequent.destroy()
     return out
 
@@ -281,65 +306,31 @@ def _fingerprints(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def _keys(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node, key, weight (how many keys the same nodes share), least: the keys that several nodes have."""
-    same = nodes.select("node", F.col("rep").alias("doc_id"), "h1", "h2", "n")
-    entries = known.join(same, ["doc_id", "h1", "h2", "n"]).select("node", "n", "least", F.explode("keys").alias("key"))
-    # those of one node alone go, before and after the split by size
-    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    step = float(np.log(100 / percent))
-    level = F.floor(F.log(F.col("n")) / step + 1e-9)
-    split = entries.join(shared, "key").select("node", "least", F.explode(F.array(level, level + 1)).alias("level"), F.col("key").alias("k"))
-    split = table(split.select("node", "least", "level", F.xxhash64("k", "level").alias("key")), "jaccard-entries")
-    met = split.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    held = table(split.join(met, "key"), "jaccard-entries")
-    drop(split)
-    enough = held.groupBy("node", "level").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("most")).where("c >= most").select("node", "level")
-    split = table(held.join(enough, ["node", "level"]).groupBy("node", "key").agg(F.min("least").alias("least")), "jaccard-entries")
-    drop(held)
-    groups = split.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(node, 1))").alias("x"))
-    groups = groups.where("c > 1").groupBy("c", "s", "x").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
-    alive = table(split.join(groups.select("key", "weight"), "key").select("node", "key", "weight", "least"), "jaccard-shared")
-    drop(split)
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(node, key) of the keys that several nodes have, those of the same nodes once."""
+    counted = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    counted = table(counted, "jaccard-shared-keys")
+    bits = nodes.sparkSession.sparkContext.broadcast(filters.build(counted))
+
+    def narrow(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            k = lists.flatten().to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy())
+            may = filters.may_have(bits.value, k)
+            yield pa.record_batch({"node": pa.array(node[may]), "key": pa.array(k[may])})
+
+    held = table(nodes.select("node", "keys").mapInArrow(narrow, "node long, key long").join(counted, "key"), "jaccard-entries")
+    bits.destroy()
+    groups = held.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(node, 1))").alias("x"))
+    groups = groups.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key")
+    alive = table(held.join(groups, "key").select("node", "key"), "jaccard-shared")
+    drop(counted, held)
     return alive
 
 
 # ------------------------------------------------------------ sets of the nodes that are compared
 
-SLOT_BITS = 1 << 16
-BITS_EACH = 12
-MOST_SLOTS = 1 << 12  # 32 MB of bits at most; more ids make the filter spare less
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """Three places of each id within its slot."""
-    h = B.mix(ids.astype(np.int64).view(np.uint64) + _S1)
-    return np.stack([(h >> np.uint64(16 * k)) & np.uint64(SLOT_BITS - 1) for k in range(3)]).astype(np.int64)
-
-
-def _slot(slots: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot")
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """Bits (a row a slot) of a Bloom filter over doc_id, of a size that follows their number; slots are filled by tasks."""
-    slots = int(max(1, min(MOST_SLOTS, -(-ids.count() * BITS_EACH // SLOT_BITS))))
-
-    def fill(_key: tuple, t: pa.Table) -> pa.Table:
-        bits = np.zeros(SLOT_BITS, bool)
-        bits[_bits(t["doc_id"].to_numpy())] = True
-        return pa.table({"slot": t["slot"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    out = np.zeros((slots, SLOT_BITS // 8), np.uint8)
-    for slot, bits in ids.select("doc_id", _slot(slots)).groupBy("slot").applyInArrow(fill, "slot int, bits binary").collect():  # MOST_SLOTS rows of 8 KB at most
-        out[slot] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def _may_have(filter_: np.ndarray, slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _bits(ids)
-    return ((filter_[slot, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-
 
 class _Verifier:
     """Compares the sets of nodes in groups; who: node, rep (the document that has its set), h1."""
@@ -347,14 +338,13 @@ class _Verifier:
     def __init__(self, docs: DataFrame, who: DataFrame, words: int, percent: int):
         self.docs, self.who, self.words, self.percent = docs, who, words, percent
 
-    def _sets(self, wanted: DataFrame, filter_: np.ndarray, bits) -> DataFrame:
+    def _sets(self, wanted: DataFrame, bits) -> DataFrame:
         """(node, set): a filter spares the documents that are not wanted, a join follows."""
         words = self.words
 
         def gather(batches):
             for batch in batches:
-                ids, slot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "slot"))
-                batch = batch.filter(pa.array(_may_have(bits.value, slot, ids)))
+                batch = batch.filter(pa.array(filters.may_have(bits.value, batch.column("doc_id").to_numpy())))
                 buf, off = buffer(batch.column("text"))
                 for i, j in runs(off):
                     h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
@@ -363,7 +353,7 @@ class _Verifier:
                 del buf, off
                 tidy()
 
-        held = self.docs.where("doc_id is not null").select("doc_id", "text", _slot(len(filter_))).mapInArrow(gather, "rep long, h1 long, set binary")
+        held = self.docs.where("doc_id is not null").mapInArrow(gather, "rep long, h1 long, set binary")
         return held.join(wanted, ["rep", "h1"]).select("node", "set")
 
     def __call__(self, rows: DataFrame, nodes: DataFrame, homes: tuple[str, ...] = ()) -> DataFrame:
@@ -381,9 +371,8 @@ class _Verifier:
             return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
         wanted = table(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
-        filter_ = _filter(wanted.select(F.col("rep").alias("doc_id")))
-        bits = self.docs.sparkSession.sparkContext.broadcast(filter_)
-        out = table(rows.join(self._sets(wanted, filter_, bits), "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
+        bits = self.docs.sparkSession.sparkContext.broadcast(filters.build(wanted.select("rep")))
+        out = table(rows.join(self._sets(wanted, bits), "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
         bits.destroy()
         drop(wanted)
         return out
@@ -429,12 +418,3 @@ def _compared(rows: DataFrame, verify: _Verifier, block: int, homes: list[str])
         out.append(verify(_spots(rows, F.when(apart, F.concat(own, to_main)).otherwise(from_main), *homes), rows, tuple(homes)))
     drop(rows)
     return out
-
-
-def _visiting(visits: DataFrame, residents: DataFrame, block: int) -> DataFrame:
-    """The visitors (node, comp, key) of a home with its residents, in blocks of both."""
-    blocks = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
-    n = blocks(visits, "nv").join(blocks(residents, "nr"), "key")
-    v = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda o: _spot(0, _block_of(F.col("nv")), o, F.lit(0)))
-    r = F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda o: _spot(0, o, _block_of(F.col("nr")), F.lit(1)))
-    return _spots(visits.join(n, "key"), v).unionByName(_spots(residents.join(n, "key"), r))
