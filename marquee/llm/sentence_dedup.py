@@ -13,7 +13,9 @@ join that Spark splits where it is skewed.
 
 Defined results: null or blank text has no sentences and stays as it is (null
 as null); rows that repeat in full count as one document; a null id counts as
-the largest; other columns stay.
+the largest; a very long text is one row like any other. Other columns stay,
+but for those that are called like one of the three new ones (``NEW``), which
+the new ones replace. Rows are told apart by 128 bits of a hash.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 RUN = 2
 LEAST_WORDS = 25
+NEW = ("n_sentences", "n_removed", "removed_spans")
 _CUT = re.compile(r"(?<=[.!?]\s)|(?<=\n)")
 
 
@@ -49,36 +52,40 @@ def spans(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> list[tup
 
 def remove_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text without repeated spans, and n_sentences, n_removed and removed_spans (array of [first, last] sentence)."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
     own = [c for c in docs.columns if c != text_col]
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn("_row", key)
-    place = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    id_, text = (F.col(f"`{c}`") for c in (id_col, text_col))
+    row, spans_ = free("row", docs.columns), free("spans", docs.columns)
+    key = F.struct(F.xxhash64(id_, text).alias("a"), F.xxhash64(text, id_, F.lit(1)).alias("b"))
+    keyed = docs.withColumn(row, key)
+    place = keyed.select(F.coalesce(id_.cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(f"{row}.a").alias("a"), F.col(f"{row}.b").alias("b"), text.cast("string").alias("text"))
 
     def find(batches):
         for batch in batches:
-            ids, rows, texts = (batch.column(c).to_pylist() for c in ("id", "row", "text"))
-            out: list[list] = [[], [], [], [], [], []]
-            for i, r, t in zip(ids, rows, texts, strict=True):
+            ids, one, two, texts = (batch.column(c).to_pylist() for c in ("id", "a", "b", "text"))
+            out: list[list] = [[] for _ in range(7)]
+            for i, r, q, t in zip(ids, one, two, texts, strict=True):
                 for a, b, h in spans(t or "", run, least_words):
-                    for c, v in zip(out, (i, r, a, b, h >> 64, h & ((1 << 64) - 1)), strict=True):
+                    for c, v in zip(out, (i, r, q, a, b, h >> 64, h & ((1 << 64) - 1)), strict=True):
                         c.append(v)
                 if len(out[0]) >= 50_000:
                     yield _batch(out)
-                    out = [[], [], [], [], [], []]
+                    out = [[] for _ in range(7)]
             yield _batch(out)
 
-    found = place.mapInArrow(find, "id long, row long, first int, last int, h1 long, h2 long")
+    found = place.mapInArrow(find, "id long, a long, b long, first int, last int, h1 long, h2 long")
+    found = found.select("id", F.struct("a", "b").alias("row"), "first", "last", "h1", "h2")
     origin = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "first")).alias("o"), F.max(F.struct("id", "row", "first")).alias("z")).where("o <> z")
     origin = table(origin.select("h1", "h2", "o"), "span-origins")  # so that both sides of the join are plain shuffles, which Spark splits where skewed
     again = found.join(origin, ["h1", "h2"]).where(F.struct("id", "row", "first") != F.col("o"))
-    gone = again.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_spans"))
-    joined = keyed.join(gone.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    gone = again.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(spans_))
+    joined = keyed.join(gone.withColumnRenamed("row", row), row, "left").drop(row)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in own) + f", `{text_col}` string, n_sentences int, n_removed int, removed_spans array<array<int>>"
 
     def rebuild(batches):
         for batch in batches:
-            texts, removed = batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist()
+            texts, removed = batch.column(text_col).to_pylist(), batch.column(spans_).to_pylist()
             new, n, m, kept = [], [], [], []
             for t, s in zip(texts, removed, strict=True):
                 pieces = sentences(t or "")
@@ -98,4 +105,4 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WOR
 
 def _batch(out: list[list]) -> pa.RecordBatch:
     signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
-    return pa.record_batch({"id": pa.array(out[0], pa.int64()), "row": pa.array(out[1], pa.int64()), "first": pa.array(out[2], pa.int32()), "last": pa.array(out[3], pa.int32()), "h1": signed(out[4]), "h2": signed(out[5])})
+    return pa.record_batch({"id": pa.array(out[0], pa.int64()), "a": pa.array(out[1], pa.int64()), "b": pa.array(out[2], pa.int64()), "first": pa.array(out[3], pa.int32()), "last": pa.array(out[4], pa.int32()), "h1": signed(out[5]), "h2": signed(out[6])})
