@@ -12,8 +12,9 @@ conditional expression.
 Defined results: null text has no words; no words or no labels never crash
 (without labels nothing is rejected by the list). A label of a null or unknown
 document is not used; a document that is labelled twice counts twice. Three-word
-windows are ordered by 40 bits of a hash and then compared word by word; a text
-has fewer than 2**24 words.
+windows are ordered by 64 bits of a hash and then compared word by word. Columns
+of the input that are called like one of the results are left out of features()
+and judge(); kept_rows() returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ LEAST_COVER = 5
 MOST_RULES = 24
 MOST_CONDITIONS = 3
 _SPACE = r"[\x20\x09-\x0D]+"
-_POS_BITS = 24
-_POS = (1 << _POS_BITS) - 1
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words")
 
 #: What the conditions look at, over the columns of features().
 LEARNED = {
@@ -44,27 +44,25 @@ LEARNED = {
 }
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines and n_repeat_words (longs)."""
-    own = docs.columns
-    t = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _inner(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of docs as _c0, _c1, ... (so that no name clashes), and COUNTS."""
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    t = docs.toDF(*own)
+    t = t.withColumn("_t", F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit("")))
     t = t.withColumn("_w", F.array_remove(F.split("_t", _SPACE), ""))
     t = t.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     t = t.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    # each window's hash above its place, sorted: equal windows become neighbours
+    # each window's hash with its place, sorted: equal windows become neighbours
     t = t.withColumn(
         "_s",
-        F.expr(f"""
-            if(size(_h) < 4, cast(array() as array<bigint>),
+        F.expr("""
+            if(size(_h) < 4, cast(array() as array<struct<h: bigint, p: int>>),
                sort_array(transform(sequence(0, size(_h) - 3),
-                 i -> (xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2)) & ~{_POS}L) | i)))"""),
-    )
-    same = lambda a, b: (
-        f"(shiftright({a}, {_POS_BITS}) = shiftright({b}, {_POS_BITS})"
-        + "".join(f" and get(_w, int({a} & {_POS}L) + {d}) = get(_w, int({b} & {_POS}L) + {d})" for d in range(3)) + ")"
+                 i -> named_struct('h', xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2)), 'p', i))))"""),
     )
+    same = lambda a, b: f"({a}.h = {b}.h" + "".join(f" and get(_w, {a}.p + {d}) = get(_w, {b}.p + {d})" for d in range(3)) + ")"
     t = t.withColumn("_r", F.expr(f"filter(_s, (x, j) -> coalesce({same('x', 'get(_s, j + 1)')}, false) or (j > 0 and coalesce({same('x', 'get(_s, j - 1)')}, false)))"))
-    t = t.withColumn("_r", F.expr(f"sort_array(transform(_r, x -> x & {_POS}L))"))
+    t = t.withColumn("_r", F.expr("sort_array(transform(_r, x -> x.p))"))
     return t.select(
         *own,
         F.size("_w").cast("long").alias("n_words"),
@@ -73,10 +71,21 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.regexp_count("_t", F.lit(r"[!?]")).cast("long").alias("n_marks"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(_r, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n)").alias("n_repeat_words"),
+        F.expr("aggregate(_r, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n)").alias("n_repeat_words"),
     )
 
 
+def _outer(docs: DataFrame, inner: DataFrame, *results: str) -> DataFrame:
+    """inner with the columns of docs under their own names, without those called like a result."""
+    keep = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in results]
+    return inner.select(*keep, *results)
+
+
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines and n_repeat_words (longs)."""
+    return _outer(docs, _inner(docs, text_col), *COUNTS)
+
+
 Rule = list[tuple[str, bool, float]]  # (feature, at least, threshold) conjunctions
 
 
@@ -159,18 +168,22 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with features(), base_failed and kept."""
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(docs, labels)
-    out = features(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = _inner(docs, "text").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with features(), base_failed and kept."""
+    return _outer(docs, _judged(docs, labels), *COUNTS, "base_failed", "kept")
+
+
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns.
 
     The row number keeps the filter above the projections: pushed below, it
     would repeat their expressions many times over.
     """
-    out = judge(docs, labels).withColumn("_at", F.monotonically_increasing_id())
-    return out.where(F.col("kept") & (F.col("_at") >= 0)).select(*docs.columns)
+    out = _judged(docs, labels).withColumn("_at", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_at") >= 0)).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
