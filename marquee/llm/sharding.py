@@ -1,13 +1,19 @@
 """Operator 9: shards of near equal bytes by sampled splitters, native throughout.
 
 Records are ordered by (hash of the text, id, a tie number), so equal texts lie
-together, and dealt to fine ranges of that order. The splitters between ranges
-are quantiles of a sample that takes each record with a probability in
-proportion to its size; ranges that hold too many bytes are sampled again more
-densely and subdivided, so a text that a third of all rows repeat is spread by
-their ids. Sums of bytes and rows for each range, added up, give every record
-its place in the whole order with windows of one range each; the shard is where
-the middle of its bytes falls, so shards differ by one record at most.
+together, and dealt to ranges of that order. The splitters between ranges are
+quantiles of a sample that takes each record with a probability in proportion to
+its size: at most ``FAN`` - 1 of them, as literals. A range that then holds too
+many bytes or rows is sampled again by itself and subdivided into at most
+``FAN`` ranges, whose splitters are one row of a small table; so a text that a
+third of all rows repeat is spread by their ids, and a range stays near
+``MOST_ROWS`` rows up to some ten thousand million rows (beyond that ranges
+grow, results stay the same). Sums of bytes and rows for each range, added up,
+give every record its place in the whole order with windows of one range each;
+the shard is where the middle of its bytes falls, so shards differ by one record
+at most.
+
+Broadcast are at most FAN rows of FAN splitters (2 MB) and FAN * FAN sums (2 MB).
 
 Defined results: null text has no bytes; rows that repeat in full are kept
 apart by a tie number; null ids come first among equal texts; an empty table
@@ -16,47 +22,39 @@ gives an empty result. Extra columns stay out.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import drop, table
 
-SAMPLE = 8_192  # records drawn in a round, as expected
-RANGES = 256
-ROUNDS = 3
+FAN = 256
+MOST_ROWS = 250_000
+DRAWN = 32  # records drawn for each range, as expected
+_KEY = "named_struct('k', _k, 'i', _i, 't', _tie)"
 
 
-def _range_of(splitters: list[tuple[int, int, int]]):
-    """Number of splitters at or below (_k, _id, _tie), by binary search in literal arrays."""
-    if not splitters:
-        return F.lit(0)
-    k, i, t = (f"array({','.join(f'{x[c]}L' for x in splitters)})" for c in range(3))
+def _at_or_below(splitters: str) -> Column:
+    """How many of the sorted splitters (at most FAN - 1) lie at or below a record's key, by binary search."""
     mid = "int((s.lo + s.hi) div 2)"
-    below = f"(get({k}, {mid}) < _k or (get({k}, {mid}) = _k and (get({i}, {mid}) < _i or (get({i}, {mid}) = _i and get({t}, {mid}) <= _tie))))"
-    step = f"if(s.lo >= s.hi, s, if({below}, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))"
-    return F.expr(f"aggregate(sequence(1, {len(splitters).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(splitters)}), (s, x) -> {step}, s -> s.lo)")
-
+    step = f"if(s.lo >= s.hi, s, if(get({splitters}, {mid}) <= {_KEY}, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))"
+    return F.expr(f"aggregate(sequence(1, {FAN.bit_length()}), named_struct('lo', 0, 'hi', size({splitters})), (s, x) -> {step}, s -> s.lo)")
 
-def _drawn(rows: DataFrame, rate: float, seed: int) -> list[tuple[tuple[int, int, int], float]]:
-    """A sample that holds each record with probability size * rate (at most 1), sorted, with the bytes each stands for."""
-    draw = (F.xxhash64("_k", "_i", "_tie", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))
-    got = rows.where(draw < F.col("size") * F.lit(rate)).select("_k", "_i", "_tie", "size").collect()
-    return sorted(((r[0], r[1], r[2]), max(float(r[3]), 1 / rate)) for r in got)
 
+def _splitters(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_range, splitters): quantiles of a size-weighted sample of each range of wanted (_range, bytes, want; at most FAN rows)."""
+    draw = F.xxhash64("_k", "_i", "_tie").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    rate = F.lit(float(DRAWN)) * F.col("want") / F.col("bytes")
+    some = rows.join(F.broadcast(wanted), "_range").where(draw < F.col("size") * rate)
+    by = Window.partitionBy("_range").orderBy("_k", "_i", "_tie")
+    some = some.select("_range", "want", F.expr(_KEY).alias("key"), "_k", "_i", "_tie", F.greatest(F.col("size").cast("double"), 1 / rate).alias("w"))
+    run = F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy("_range"))
+    some = some.select("_range", "want", "key", "_k", "_i", "_tie", F.floor(run * F.col("want")).alias("q"))
+    cut = some.withColumn("before", F.lag("q", 1, 0).over(by)).where("q > before and q < want")
+    return cut.groupBy("_range").agg(F.sort_array(F.collect_set("key")).alias("splitters"))
 
-def _quantiles(sample: list, ranges: int) -> list[tuple[int, int, int]]:
-    total, out, run = sum(w for _, w in sample), [], 0.0
-    for key, w in sample:
-        run += w
-        if run * ranges >= (len(out) + 1) * total and (not out or key > out[-1]):
-            out.append(key)
-    return out[: ranges - 1]
 
-
-def shards_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row; see the module."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
@@ -67,33 +65,27 @@ def shards_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     total, count = keyed.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not count:
         return keyed.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    ranges = max(1, min(RANGES, count // 64))
-    splitters = _quantiles(_drawn(keyed, SAMPLE / total, 0), ranges)
-    for seed in range(1, ROUNDS + 1):
-        ranged = keyed.withColumn("_range", _range_of(splitters))
-        sums = {r[0]: (r[1], r[2]) for r in ranged.groupBy("_range").agg(F.sum("size"), F.count(F.lit(1))).collect()}
-        over = [r for r, (b, n) in sums.items() if b > 2 * total / ranges and n > 64]
-        if not over or seed == ROUNDS:
-            break
-        dense = _drawn(ranged.where(F.col("_range").isin(over)), min(1.0, SAMPLE / sum(sums[r][0] for r in over)), seed)
-        more: set = set(splitters)
-        for r in over:
-            inside = [x for x in dense if bisect_right(splitters, x[0]) == r]
-            more |= set(_quantiles(inside, -(-2 * ranges * sums[r][0] // total)))
-        splitters = sorted(more)
-    byte_at, row_at, b, n = [], [], 0, 0
-    for r in range(len(splitters) + 1):
-        byte_at.append(b)
-        row_at.append(n)
-        b, n = b + sums.get(r, (0, 0))[0], n + sums.get(r, (0, 0))[1]
-    literal = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
+    ranges = max(1, min(FAN, count // 64))
+    whole = keyed.withColumn("_range", F.lit(0))
+    first = _splitters(whole, whole.sparkSession.range(1).select(F.lit(0).alias("_range"), F.lit(total).alias("bytes"), F.lit(ranges).alias("want"))).first()
+    literal = ", ".join(f"named_struct('k', {x['k']}L, 'i', {x['i']}L, 't', {x['t']}L)" for x in (first["splitters"] if first else []))
+    ranged = keyed.withColumn("_range", _at_or_below(f"array({literal})") if literal else F.lit(0))
+    sums = ranged.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    want = F.greatest(F.ceil(2 * F.col("bytes") * ranges / total), F.ceil(F.col("rows") / most_rows))
+    over = sums.where((F.col("bytes") > 2 * total / ranges) & (F.col("rows") > 64) | (F.col("rows") > most_rows)).select("_range", "bytes", F.least(want, F.lit(FAN)).alias("want"))
+    over = table(over, "shard-overfull")
+    inner = table(_splitters(ranged, over), "shard-splitters")
+    ranged = ranged.join(F.broadcast(inner), "_range", "left").withColumn("splitters", F.expr("coalesce(splitters, array())"))
+    ranged = ranged.withColumn("_range", F.col("_range") * FAN + _at_or_below("splitters")).drop("splitters")
+    sums = ranged.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))  # at most FAN * FAN rows
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = table(sums.select("_range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_bytes"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_rows")), "shard-sums")
     w = Window.partitionBy("_range").orderBy("_k", "_i", "_tie")
-    placed = ranged.select(
-        "doc_id", "size", "text_crc32",
-        (F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.expr(f"get({literal(byte_at)}, _range)")).alias("_end"),
-        (F.row_number().over(w) - 1 + F.expr(f"get({literal(row_at)}, _range)")).alias("_row"),
-    )
+    placed = ranged.select("_range", "doc_id", "size", "text_crc32", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"), (F.row_number().over(w) - 1).alias("_row"))
+    placed = placed.join(F.broadcast(sums), "_range").select("doc_id", "size", "text_crc32", (F.col("_end") + F.col("_bytes")).alias("_end"), (F.col("_row") + F.col("_rows")).alias("_row"))
     shard = F.expr(f"int(least({shards - 1}L, (2 * _end - size) * {shards} div (2 * {total}L)))")
     placed = table(placed.select("doc_id", "size", "text_crc32", "_row", shard.alias("shard")), "shard-places")
+    drop(keyed, over, inner, sums)
     first = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.min("_row")).collect()}  # one row a shard
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_row") - F.expr(f"get({literal([first.get(s, 0) for s in range(shards)])}, shard)")).alias("slot"))
+    starts = "array(" + ",".join(f"{first.get(s, 0)}L" for s in range(shards)) + ")"
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_row") - F.expr(f"get({starts}, shard)")).alias("slot"))
