@@ -11,8 +11,10 @@ is one row.
 
 Defined results: null role is ``unknown``, null text empty; turns are in order
 of (turn, role, text), repeated rows included, null turns first; turns without
-a conversation are left out, as are pairs that lack one side; equal
-conversations give a full prompt and empty completions. Extra columns stay out.
+a conversation are left out, as are pairs that lack one side; of several
+conversations on one side the least id counts; equal conversations give a full
+prompt and empty completions. ``<|`` in a role or text is rendered as ``< |``,
+so that no text holds a mark. Extra columns stay out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ END = "<|end|>\n"
 
 def pairs_by_parity(turns: DataFrame) -> DataFrame:
     """turns with pair_id and side: conversation 2k is chosen over 2k + 1."""
-    return turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "conv_id", "turn", "role", "text").where("conv_id is not null")
+    return turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "conv_id", "turn", "role", "text").where("conv_id is not null")
 
 
 def _rendered(turns: Column) -> Column:
@@ -47,11 +49,13 @@ def _loss(turns: Column) -> Column:
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """Rows of turns(pair_id, is_chosen, conv_id, turn, role, text) as formatted pairs."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = lambda c, none: F.replace(F.coalesce(c, F.lit(none)), F.lit("<|"), F.lit("< |"))
+    turn = F.struct("conv_id", "turn", plain("role", "unknown").alias("role"), plain("text", "").alias("text"))
+    of = lambda c, i: F.filter(c, lambda t: t["conv_id"].eqNullSafe(F.col(i)))
     both = turns.groupBy("pair_id").agg(
         F.min(F.when(F.col("is_chosen"), F.col("conv_id"))).alias("chosen_id"), F.min(F.when(~F.col("is_chosen"), F.col("conv_id"))).alias("rejected_id"),
         F.sort_array(F.collect_list(F.when(F.col("is_chosen"), turn))).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("is_chosen"), turn))).alias("r"),
-    ).where("size(c) > 0 and size(r) > 0")
+    ).where("size(c) > 0 and size(r) > 0").withColumns({"c": of("c", "chosen_id"), "r": of("r", "rejected_id")})
     least = F.least(F.size("c"), F.size("r"))
     same = F.zip_with(F.slice("c", F.lit(1), least), F.slice("r", F.lit(1), least), lambda a, b: (a["role"] == b["role"]) & (a["text"] == b["text"]))
     differs = F.array_position(same, F.lit(False))

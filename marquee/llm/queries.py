@@ -98,7 +98,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_chat_format"] = """
 with t as (
-  select conv_id // 2 pair_id, conv_id % 2 = 0 is_chosen, conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+  select floor(conv_id / 2)::bigint pair_id, conv_id % 2 = 0 is_chosen, conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text,
          row_number() over (partition by conv_id order by turn nulls first, role, text) k
   from conversations where conv_id is not null),
 p as (
@@ -175,9 +175,12 @@ _RULES_SQL = " ".join(
 ORACLES["op6_url_filters"] = rf"""
 with recursive a as (select page_id, url, html, {_url_sql('url')[0]} host, {_url_sql('url')[1]} path, {_url_sql('url')[2]} k from pages),
 j as (select *, case {_RULES_SQL} end hit from a),
-tags as (select url, host, k, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*\b(?:rel\s*=\s*["'']?canonical\b|http-equiv\s*=\s*["'']?refresh\b)[^>]*>')) tag from a where url is not null),
-t0 as (select host, k, coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')) t from tags),
-t1 as (select k, case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then 'http://' || host || t end u from t0),
+tags as (select url, host, path, k, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*\b(?:rel\s*=\s*["'']?canonical\b|http-equiv\s*=\s*["'']?refresh\b)[^>]*>')) tag from a where url is not null),
+t0 as (select host, path, k, coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')) t from tags),
+tb as (select *, regexp_replace(path, '[^/]*$', '') || case when contains(path, '/') then '' else '/' end || regexp_extract(t, '^[^?#]*', 0) f, regexp_extract(t, '^[^?#]*(.*)$', 1) q from t0),
+td as (select *, list_reduce(string_split(f, '/'), lambda a, x: case when x = '..' and instr(a, '/') > 0 then regexp_replace(a, '/[^/]*$', '') when x in ('.', '..') then a else a || '/' || x end) || case when regexp_matches(f, '(^|/)\.\.?$') then '/' else '' end g from tb),
+t1 as (select k, case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then 'http://' || host || t
+  when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(t, '#') then null when starts_with(t, '?') then 'http://' || host || path || t else 'http://' || host || g || q end u from td),
 t2 as (select k x, {_url_sql('u')[2]} y from t1),
 u as (select x, y from t2 where x <> y union all select y, x from t2 where x <> y),
 r(k, m) as (select k, k from j where k is not null union select u.y, r.m from r join u on u.x = r.k),

@@ -12,7 +12,10 @@ explicitly: an allow rule comes first. Otherwise it is allowed.
 
 Defined results: a null address, or one without ``://``, has an empty host and
 path, fits no rule and is nobody's alias; null html has no links; a relative
-link counts from the page's host; repeated page ids are judged row by row.
+link counts from the page's address (a query from its path, ``./`` and ``../``
+resolved, none above the root), and one of another scheme without a host
+(``mailto:``) leads nowhere; repeated page ids are judged row by row. Columns
+other than page_id, url and html stay out.
 """
 
 from __future__ import annotations
@@ -62,6 +65,25 @@ def rule_of(h: Column, p: Column, rules: Rules) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def absolute(url: Column, to: Column) -> Column:
+    """Where a link on the page of address url leads; null if nowhere."""
+    base = F.concat(F.lit("http://"), host(url))
+    folder = F.concat(F.regexp_replace(path(url), r"[^/]*$", ""), F.when(path(url).contains("/"), F.lit("")).otherwise(F.lit("/")))
+    tail = F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when((x == "..") & (F.size(a) > 1), F.slice(a, F.lit(1), F.size(a) - 1)).when(x.isin(".", ".."), a).otherwise(F.array_append(a, x))
+
+    parts = F.split(F.concat(folder, F.regexp_extract(to, r"^[^?#]*", 0)), "/")
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"), ends)
+    return (
+        F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(base, to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string")).when(to.startswith("#"), F.lit(None).cast("string"))
+        .when(to.startswith("?"), F.concat(base, path(url), to)).otherwise(F.concat(base, joined, tail))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(source, target) normal forms of the redirects and canonical links in html."""
     tags = pages.where(F.col("html").isNotNull() & F.col("url").isNotNull()).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), 0)).alias("tag"))
@@ -69,7 +91,7 @@ def links(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
         F.nullif(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1), F.lit("")),
     )
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(F.lit("http://"), host(F.col("url")), to))
+    full = absolute(F.col("url"), to)
     return tags.select(normal(F.col("url")).alias("source"), normal(full).alias("target")).where("source <> target")
 
 
