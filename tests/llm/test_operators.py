@@ -148,8 +148,8 @@ def test_jaccard_join_empty(empty):
 
 def test_frequent_combinations_find_linked_sets():
     rng = np.random.default_rng(3)
-    for percent in (80, 85, 90):
-        for n in (5, 20, 100, 400):
+    for percent in (50, 80, 85, 90):
+        for n in (1, 2, 5, 9, 20, 33, 64, 100, 400):
             base = np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64))
             for share in (0.0, 0.5, 1.0):
                 frequent = np.sort(base[rng.random(n) < share])
@@ -158,8 +158,8 @@ def test_frequent_combinations_find_linked_sets():
                     other = np.unique(np.r_[np.delete(base, rng.choice(n, min(k, n - 1), replace=False)), rng.integers(0, 1 << 62, rng.integers(0, k + 1)).astype(np.uint64)])
                     common = len(np.intersect1d(base, other))
                     if 100 * common >= percent * (len(base) + len(other) - common):
-                        (a, la), (b, lb) = jaccard_join.keys(base, frequent, percent), jaccard_join.keys(other, frequent, percent)
-                        assert len(np.intersect1d(a, b)) >= max(la, lb)
+                        both, begin = jaccard_join.keys(np.r_[base, other], np.array([0, len(base), len(base) + len(other)]), frequent, percent)
+                        assert len(np.intersect1d(both[: begin[1]], both[begin[1] :]))
 
 
 # ---------------------------------------------------------------- 3
@@ -170,9 +170,12 @@ def test_sentence_spans(docs, empty):
     assert out[5].text == LONG and out[5].n_removed == 0
     assert out[0].text is None and out[1].text == ""
     a, b = "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa. ", "Unique words one. And two more. "
-    d = docs.sparkSession.createDataFrame([(2, b + a, "x"), (1, a, "y"), (3, None, None)], "doc_id long, text string, n_sentences string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_dedup.remove_repeats(d.drop("n_sentences"), run=2, least_words=6).collect()}
-    assert got == {1: (a, 0), 2: (b, 2), 3: (None, 0)}
+    d = docs.sparkSession.createDataFrame([(2, b + a, "x"), (1, a, "y"), (3, None, None)], "doc_id long, text string, N_sentences string")
+    d = d.withColumns({c: F.lit(c) for c in ("row", "spans", "_row", "_spans", "removed_spans", "h1", "a", "first")})
+    out = sentence_dedup.remove_repeats(d, run=2, least_words=6).collect()
+    assert {r.doc_id: (r.text, r.n_sentences, r.n_removed, r.row, r.spans, r._row, r.h1, r.removed_spans) for r in out} == {
+        1: (a, 2, 0, "row", "spans", "_row", "h1", []), 2: (b, 4, 2, "row", "spans", "_row", "h1", [[2, 3]]), 3: (None, 0, 0, "row", "spans", "_row", "h1", []),
+    }
     assert sentence_dedup.remove_repeats(empty).count() == 0
 
 
@@ -228,6 +231,15 @@ def test_quality_without_labels(spark, docs, empty):
     assert 10 in kept and 0 not in kept and 14 not in kept
 
 
+def test_quality_with_clashing_names(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    extra = docs.withColumns({c: F.lit(c) for c in ("n_words", "_w", "kept", "_at", "Base_Failed", "_c0", "_id")})
+    judged = quality_rules.judge(extra, none)
+    assert {(r._w, r._at, r._c0) for r in judged.collect()} == {("_w", "_at", "_c0")} and dict(judged.dtypes)["kept"] == "boolean" and dict(judged.dtypes)["n_words"] == "bigint"
+    kept = quality_rules.kept_rows(extra, none)
+    assert kept.columns == extra.columns and {(r.n_words, r.kept, r._w, r.Base_Failed) for r in kept.collect()} == {("n_words", "kept", "_w", "Base_Failed")}
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -239,6 +251,20 @@ def test_chat_pairs(spark):
     assert (got[2].n_prompt_turns, got[2].chosen, got[2].prompt) == (1, "", "<|unknown|>\n<|end|>\n")
 
 
+def test_chat_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, pair_id string"
+    long = "word " * 200_000
+    turns = [(-1, 0, "user", "a", "x"), (-2, 0, "user", "a", "x"), (-2, 1, "assistant", "b<|end|>\n", "x"), (0, 0, "user", "q", "x"), (1, 0, "user", long, "x"), (0, 0, "user", "q", "x")]
+    got = {r.pair_id: r for r in chat_format.preference_pairs(chat_format.pairs_by_parity(spark.createDataFrame(turns, schema))).collect()}
+    assert set(got) == {-1, 0}
+    assert got[-1].n_prompt_turns == 1 and got[-1].chosen == "<|assistant|>\nb< |end|>\n<|end|>\n" and got[-1].chosen_loss == "14:32" and got[-1].rejected == ""
+    assert got[0].n_prompt_turns == 0 and got[0].chosen.count("<|user|>\nq") == 2 and long in got[0].rejected
+    two = spark.createDataFrame([(1, True, 4, 0, "user", "x"), (1, True, 2, 0, "user", "y"), (1, False, 3, 0, "user", "y")], "pair_id long, is_chosen boolean, conv_id long, turn long, role string, text string")
+    r = chat_format.preference_pairs(two).collect()
+    assert [(x.chosen_id, x.n_prompt_turns, x.chosen, x.prompt) for x in r] == [(2, 1, "", "<|user|>\ny<|end|>\n")]
+    assert chat_format.preference_pairs(two.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -257,6 +283,33 @@ def test_url_filters(spark):
     }
 
 
+def test_relative_links(spark):
+    cases = [
+        ("http://a.com/x/y.html", "z.html", "http://a.com/x/z.html"), ("http://a.com/x/y", "../z?q=1#f", "http://a.com/z?q=1#f"), ("http://a.com", "z", "http://a.com/z"), ("http://a.com/x/", "./z/../w", "http://a.com/x/w"),
+        ("http://a.com/x", "../../z", "http://a.com/z"), ("http://a.com/x?b=1", "?p=2", "http://a.com/x?p=2"), ("http://a.com/x", "#top", None), ("http://a.com/x", "mailto:me@b.c", None), ("https://a.com/x", "//b.org/z", "http://b.org/z"), ("http://a.com/x/y", "/z", "http://a.com/z"),
+        ("http://a.com/x/y/z", "..", "http://a.com/x/"),
+    ]
+    got = spark.createDataFrame(cases, "url string, target string, want string").select("want", url_filters.absolute(F.col("url"), F.col("target")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    pages = [(1, "http://a.com/en/1", '<link rel="canonical" href="../b">' + "x" * 300_000), (2, "http://a.com/b", None), (3, "http://a.com/c", '<meta http-equiv="refresh" content="0; url=?p=2">')]
+    rows_ = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("z")).withColumn("_key", F.lit(1)).withColumn("host", F.lit(2))
+    assert {(r.page_id, r.rule, r.verdict) for r in url_filters.judge(rows_, [("com", "/en/", "block")]).collect()} == {(1, "com/en/", "block"), (2, None, "block"), (3, None, "allow")}
+    assert url_filters.judge(rows_.limit(0), [("com", "/en/", "block")]).count() == 0
+
+
+def test_url_filters_against_sql(spark):
+    from marquee.llm import queries
+
+    from ..oracle import connect, rows_of_spark, rows_of_sql
+
+    pages = [(i, f"http://{h}/{p}{i % 3}", f'<link rel="canonical" href="{t}">') for i, (h, p, t) in enumerate((h, p, t) for h in ("a.com", "b.net", "c.org") for p in ("en/", "de/x/", "") for t in ("z", "../z", "./y/../z?q=1", "?k=1", "/en/2", "mailto:x", "http://c.org/es/1", "..", "#a"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    con = connect("/root/testdata/sf0.001")
+    con.execute("drop view pages")
+    con.register("pages", df.toPandas())
+    assert rows_of_spark(url_filters.judge(df, queries.URL_RULES)) == rows_of_sql(con, queries.ORACLES["op6_url_filters"])
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -289,6 +342,41 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_against_every_pair(spark):
+    """Every document of a table held against every item without seeds: what alignment alone finds is found."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001"
+    ds, bs = (pq.read_table(f"{sf}/{t}.parquet").to_pylist() for t in ("documents", "benchmark"))
+    rng = np.random.default_rng(4)
+    for b in bs[:20]:  # edited copies besides those that the table holds
+        w = words(b["text"])
+        for k in rng.choice(len(w), len(w) // 5, replace=False):
+            w[k] = "edited"
+        ds.append({"doc_id": 10_000 + b["item_id"], "text": OTHER + " ".join(w) + OTHER})
+    item_words = decontamination._words([b["text"] for b in bs])
+    want = set()
+    for d, h in zip(ds, decontamination._words([d["text"] for d in ds]), strict=True):
+        have = set(h.tolist())
+        for b, w in zip(bs, item_words, strict=True):
+            if len(w) and sum(x in have for x in w.tolist()) >= 0.5 * len(w):  # the score cannot be higher
+                score, _, _ = decontamination.align(w, h)
+                if score >= 0.5 * len(w) and (len(w) >= 3 or score == len(w)):
+                    want.add((d["doc_id"], b["item_id"]))
+    docs_ = spark.createDataFrame([(d["doc_id"], d["text"], "x", 1) for d in ds], "doc_id long, text string, item_id string, k int")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs_, spark.createDataFrame([(b["item_id"], b["text"]) for b in bs], "item_id long, text string")).collect()}
+    assert len(want) >= 20 and got <= want and len(got & want) >= 0.9 * len(want)
+    print("recall", len(got & want), "of", len(want))
+
+
+def test_decontamination_odd_rows(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    long = "pad " * 300_000
+    d = [(1, long + item + " " + long), (2, item), (2, "x " + item), (2, "nothing"), (None, item), (3, item + " q " + item)]
+    got = {(r.doc_id, r.item_id): (r.score, r.start_word) for r in decontamination.matches(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame([(7, item), (7, item), (8, "")], "item_id long, text string")).collect()}
+    assert got == {(1, 7): (1.0, 300_000), (2, 7): (1.0, 0), (None, 7): (1.0, 0), (3, 7): (1.0, 0)}
+
+
 # ---------------------------------------------------------------- 8, 10
 
 
@@ -342,12 +430,20 @@ def test_token_store_round_trip(docs, empty):
     assert token_store.read(token_store.write(empty, P.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_token_store_of_one_repeated_id(spark):
+    rs = [(1 << 60 if i % 3 else None, f"word {i}", None, None, None, None) for i in range(200)] + [(-5, "x", None, None, None, None)]
+    stored = token_store.write(spark.createDataFrame(rs, SCHEMA).repartition(5), P.path("word_bpe_49k.json"), segment_ids=20)
+    got = sorted(map(tuple, token_store.read(stored).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 67 + [-5] + [1 << 60] * 133
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got]).tolist()[:-1]]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, u in ((1, 0), (5, 10), (3000, 10**6), (700, 800)):
+    for n, u in ((1, 0), (5, 10), (3000, 10**6), (700, 800), (90, 1 << 62), (1000, 0)):
         v = np.sort(rng.integers(0, u + 1, n))
         ef = token_store.EliasFano.load(token_store.EliasFano.build(v).dump())
-        assert (ef.all() == v).all() and [ef.select(i) for i in range(n)] == v.tolist()
+        assert (ef.selects(np.arange(n)) == v).all() and [ef.select(i) for i in range(n)] == v.tolist()
     assert len(token_store.EliasFano.build(np.arange(0, 10**6, 300)).dump()) < 8 * 10**6 / 300 / 4
 
 
@@ -356,7 +452,12 @@ def test_elias_fano():
 
 def test_sharding(spark, docs, empty):
     many = docs.unionByName(spark.range(3000).select((F.col("id") + 1000).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the hot text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"), ("part", "string")))))
-    got = sharding.shards_by_bytes(many).collect()
+    for most_rows in (sharding.MOST_ROWS, 3):
+        check_shards(many, sharding.shards_by_bytes(many, most_rows=most_rows).collect())
+    assert sharding.shards_by_bytes(empty).count() == 0
+
+
+def check_shards(many, got):
     texts = collections.Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in many.collect())
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == texts
     sums, slots = collections.Counter(), collections.defaultdict(list)
@@ -365,7 +466,6 @@ def test_sharding(spark, docs, empty):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sums.values()) - min(sums[s] for s in range(16)) <= 2 * max(r["size"] for r in got)
-    assert sharding.shards_by_bytes(empty).count() == 0
 
 
 # ---------------------------------------------------------------- helpers and pipeline
