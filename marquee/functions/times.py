@@ -132,3 +132,15 @@ def repaired_end(start: Column, end: Column) -> Column:
     """An end before its start by less than a day is the next morning's; earlier ones go."""
     day = F.expr("interval '1' day")
     return F.when(end >= start, end).when(end + day >= start, end + day)
+
+
+def window_columns(name: str, now: Column) -> tuple[Column, Column]:
+    """(start, end) of a named window for a column of instants: window() for rows instead of one moment."""
+    today = night_day_of(now)
+    at = lambda days, hour: from_paris(F.to_timestamp_ntz(F.concat(F.date_add(today, days).cast("string"), F.lit(f" {hour:02d}:00:00"))))
+    friday = F.lit(4) - F.weekday(today)
+    to = lambda hours: now + F.expr(f"interval '{hours}' hour")
+    return {
+        "now": lambda: (now, to(2)), "next3h": lambda: (now, to(3)), "tonight": lambda: (F.greatest(now, at(0, EVENING_STARTS)), at(1, NIGHT_ENDS)), "today": lambda: (now, at(1, NIGHT_ENDS)), "tomorrow": lambda: (at(1, 6), at(2, NIGHT_ENDS)),
+        "weekend": lambda: (F.greatest(now, at(friday, 18)), at(friday + 3, NIGHT_ENDS)), "week": lambda: (now, at(7, NIGHT_ENDS)), "month": lambda: (now, at(30, NIGHT_ENDS)),
+    }[name]()

@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, times
+from ..functions import labels, text, times
 
 SERIES_MIN = 4
 # Sources with a row for each screening on purpose.
 NO_SERIES = ("allocine", "cinematheque", "forumdesimages", "tmdb")
 STALE_HOURS, TOUCH_HOURS, PURGE_DAYS = 2, 6, 60
+# Words of events that take place online, folded.
+ONLINE = r"\b(en ligne|online|webinar|webinaire|zoom|livestream|en distanciel|virtual event|visioconference)\b"
 
 
 def collapse_series(rows: DataFrame, least: int = SERIES_MIN) -> DataFrame:
@@ -25,15 +27,20 @@ def collapse_series(rows: DataFrame, least: int = SERIES_MIN) -> DataFrame:
     """
     usable = F.col("start_date").isNotNull() & ~F.col("source").isin(*NO_SERIES) & ~F.coalesce(F.contains("source_id", F.lit("-series-")), F.lit(False))
     k1, k2 = text.plain_title(F.col("title")), F.lower(F.trim("venue_name"))
-    r = rows.withColumn("_k1", F.when(usable & (k1 != "") & (k2 != ""), k1)).withColumn("_k2", k2)
-    at = F.struct("start_date", "id")
+    titles = rows.select("title").distinct().withColumn("_k1", k1)  # the key of a title is computed once, however often it recurs
+    r = rows.join(titles, "title", "left").withColumn("_k2", k2).withColumn("_k1", F.when(usable & (F.col("_k1") != "") & (F.col("_k2") != ""), F.col("_k1")))
     on = ~F.col("is_cancelled")
-    hhmm = F.date_format(times.to_paris(F.col("start_date")), "HH:mm")
-    g = r.where("_k1 is not null").groupBy("source", "_k1", "_k2").agg(
-        F.count_if(on).alias("n_sessions"), F.min(F.when(on, at)).getField("id").alias("_first"), F.max(F.when(on, F.coalesce("end_date", "start_date"))).alias("_last"),
-        (F.bool_and(F.when(on, F.col("time_known"))) & (F.count_distinct(F.when(on, hhmm)) == 1)).alias("_known"),
+    start = F.col("start_date")
+    local = times.to_paris(start)
+    minute = F.when(on, F.hour(local) * 60 + F.minute(local))
+    by = ["source", "_k1", "_k2"]
+    g = r.where("_k1 is not null").groupBy(*by).agg(
+        F.count_if(on).alias("n_sessions"), F.min(F.when(on, start)).alias("_start"), F.max(F.when(on, F.coalesce("end_date", "start_date"))).alias("_last"),
+        (F.bool_and(F.when(on, F.col("time_known"))) & (F.min(minute) == F.max(minute))).alias("_known"),
     ).where(F.col("n_sessions") >= least)
-    j = r.join(g, ["source", "_k1", "_k2"], "left").where("_first is null or id = _first")
+    j = r.join(g, by, "left")
+    first = j.where(on & (start == F.col("_start"))).groupBy(*by).agg(F.min("id").alias("_first"))
+    j = j.join(first, by, "left").where("_start is null or id = _first")
     held = F.col("_first").isNotNull()
     return j.withColumn("end_date", F.when(held & (F.col("_last") > F.col("start_date")), F.col("_last")).otherwise(F.col("end_date"))).withColumn("time_known", F.when(held, F.col("_known")).otherwise(F.col("time_known"))).withColumn(
         "source_id", F.when(held, F.concat("source", F.lit("-series-"), text.stable_id(F.col("_k1"), F.col("_k2")))).otherwise(F.col("source_id"))
@@ -103,3 +110,125 @@ def publish(df: DataFrame, path: str, name: str, least_share: float = 0.3, live:
     at = f"{path}/{name}/v={time.time_ns()}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def swapped(df: DataFrame, path: str, name: str, least_share: float = 0.3, small: int = 200) -> DataFrame:
+    """publish(), guarded by the size of what readers see now, and then the switch of what they see: a one-row table ``current`` names the folder."""
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/current")
+    known = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    live = current(spark, path, name).count() if known else 0
+    new = publish(df, path, name, least_share, live if live > small else 0)
+    at = new.inputFiles()[0].rsplit("/", 1)[0] if new.inputFiles() else None
+    if at is None:
+        raise ValueError("nothing was written")
+    spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/current")
+    return new
+
+
+def current(spark, path: str, name: str) -> DataFrame:
+    """What readers of an index see."""
+    return spark.read.parquet(spark.read.parquet(f"{path}/{name}/current").first()["at"])
+
+
+# ---------------------------------------------------------------- pages and unions of sources
+
+
+def keyset(rows: DataFrame, key: str, after=None, size: int | None = None) -> DataFrame:
+    """The page of rows after a key, in its order; all of them if no size is given."""
+    page = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return page if size is None else page.orderBy(key).limit(size)
+
+
+def merged_pages(pages: list[DataFrame], key: str, page: str) -> DataFrame:
+    """Landed pages, which may overlap, as rows with each key once: the one of the first page that has it."""
+    every = pages[0]
+    for p in pages[1:]:
+        every = every.unionByName(p)
+    own = [x for x in every.columns if x not in (key, page)]
+    best = every.groupBy(key).agg(F.min(F.struct(page, *own)).alias("_b"))
+    return best.select(key, *(F.col(f"_b.{x}").alias(x) for x in own))
+
+
+def one_each(sources: list[DataFrame], key: str, order: list[str]) -> DataFrame:
+    """The union of sources with each key once, the least in the order of the named columns; aggregated before it is shuffled."""
+    every = sources[0]
+    for s in sources[1:]:
+        every = every.unionByName(s)
+    own = [x for x in every.columns if x != key]
+    best = every.groupBy(key).agg(F.min(F.struct(*order, *(x for x in own if x not in order))).alias("_b"))
+    return best.select(key, *(F.col(f"_b.{x}").alias(x) for x in own))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows in an order that a seed makes: a sample that the same seed repeats."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+# ---------------------------------------------------------------- plans of writes
+
+
+def insertable(new: DataFrame, taken: DataFrame, slug: str, order: str) -> DataFrame:
+    """New rows whose slug nobody has; of several with one slug the first by an order."""
+    first = F.row_number().over(Window.partitionBy(slug).orderBy(order))
+    return new.withColumn("_rn", first).where("_rn = 1").drop("_rn").join(taken.select(slug).distinct(), slug, "left_anti")
+
+
+def changed(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows of new whose values are distinct from old's, nulls compared."""
+    was = old.select(*keys, F.struct(*values).alias("_was"))
+    return new.join(was, keys).where(~F.struct(*values).eqNullSafe(F.col("_was"))).drop("_was")
+
+
+def planned(new: DataFrame, known: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """new with plan: insert, update where values change, else keep."""
+    was = known.select(*keys, F.struct(*values).alias("_was"))
+    plan = F.when(F.col("_was").isNull(), "insert").when(F.struct(*values).eqNullSafe(F.col("_was")), "keep").otherwise("update")
+    return new.join(was, keys, "left").select(*keys, plan.alias("plan"))
+
+
+def bounded_update(rows: DataFrame, when: Column, values: dict[str, Column], most: int, key: str = "id") -> DataFrame:
+    """Rows with new values in at most ``most`` of those that a condition fits, the least keys first."""
+    some = rows.where(when).orderBy(key).limit(most).select(F.col(key).alias("_hit"))
+    out = rows.join(some, F.col(key) == F.col("_hit"), "left")
+    return out.withColumns({k: F.when(F.col("_hit").isNotNull(), v).otherwise(F.col(k)) for k, v in values.items()}).drop("_hit")
+
+
+def isolated(rows: DataFrame, faults: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejects with a reason): one bad row costs itself, not its batch. The first fault that holds is the reason."""
+    reason = None
+    for name, bad in faults.items():
+        reason = F.when(bad, name) if reason is None else reason.when(bad, name)
+    judged = rows.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def closed_runs(started: DataFrame, finished: DataFrame, now: datetime) -> DataFrame:
+    """The log of runs: started(run, started) with finished(run, finished, status); one that began over two hours ago and never ended has failed."""
+    log = started.join(finished, "run", "left")
+    stale = F.col("started") < times.stamp(now) - F.expr(f"interval '{STALE_HOURS}' hour")
+    return log.withColumn("status", F.coalesce("status", F.when(stale, "failed").otherwise("running")))
+
+
+def search_documents(rows: DataFrame) -> DataFrame:
+    """All live rows as documents of a search index, without nulls in what is searched."""
+    plain = lambda k: F.coalesce(k, F.lit("")).alias(k)
+    return rows.select("id", "slug", "title", plain("short_desc"), plain("keywords"), plain("venue_name"), "category_slug", "start_date", "end_date", "price_min", "price_status", F.when(F.col("lat").isNotNull(), F.struct("lat", "lng")).alias("_geo"))
+
+
+def made_events(raw: DataFrame) -> DataFrame:
+    """Raw events of any source as records: text tidied, dates as UTC instants, prices in cents, a postcode, whether it is online, and an id.
+
+    raw(source, source_id, title, start, end, price, venue_name, venue_zip, ...); other columns stay. Without an id of its
+    own a record has sixteen digits of its source, title, start and venue.
+    """
+    tidy = lambda k: F.trim(F.regexp_replace(F.coalesce(k, F.lit("")), r"\s+", " "))
+    out = raw.withColumns({"title": tidy("title"), "venue_name": F.nullif(tidy("venue_name"), F.lit("")), "_s": labels.instant(F.col("start")), "_e": labels.instant(F.col("end"), is_end=True)})
+    amount = F.expr("try_cast(replace(price, ',', '.') as decimal(12,4))")
+    cents = F.bround(amount * 100, 0).cast("int")
+    out = out.withColumns({
+        "start_date": F.col("_s.at"), "time_known": F.col("_s.time_known"), "end_date": F.col("_e.at"), "price_min": F.coalesce(cents, F.lit(0)), "price_status": F.when(cents.isNull(), "unknown").when(cents == 0, "free").otherwise("paid"),
+        "venue_zip": text.zip_code(F.col("venue_zip")), "is_online": F.coalesce(text.fold(F.col("venue_name")).rlike(ONLINE), F.lit(False)),
+    })
+    own = F.nullif(F.col("source_id"), F.lit(""))
+    return out.withColumn("source_id", F.coalesce(own, text.stable_id(F.col("source"), F.col("title"), F.col("start_date"), F.col("venue_name")))).drop("_s", "_e", "start", "end", "price")

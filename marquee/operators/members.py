@@ -7,13 +7,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import times
+from ..functions import text, times
 
 # Rewards, levels and badges.
 XP = {"saves": 5, "attendances": 30, "reviews": 15, "comments": 10, "first_review": 25, "swipes": 2, "quiz": 50}
 LEVELS = (0, 100, 300, 700, 1500)
 BADGES = {"first-save": ("saves", 1), "quiz-done": ("quiz", 1), "first-attend": ("attendances", 1), "five-outings": ("attendances", 5), "first-review": ("reviews", 1), "five-reviews": ("reviews", 5), "explorer-paris": ("arrondissements", 5), "curieux": ("categories", 5), "bon-plan": ("free_events", 5), "match-master": ("swipes", 50)}
 CHALLENGES = ("lieu-phare", "gratuit-arrondissement", "trois-categories", "deux-sorties")
+# Categories of musical outings.
+MUSIC = ("concerts", "festivals")
 # Taste dimensions and the profile of each archetype, in this order.
 DIMENSIONS = ("exploration", "energy", "social", "budget", "planning", "mainstream", "visual", "depth")
 ARCHETYPES = {
@@ -78,14 +80,28 @@ def weighted_top(signals: DataFrame, owner: str, item: str, weight: str, least:
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(owner).orderBy(F.col("weight").desc(), item))).where(F.col("rank") <= k)
 
 
-def diversified(ranked: DataFrame, owner: str, k: int, most: int = 100) -> DataFrame:
-    """Per owner: k of the ``most`` first rows (rank, id, venue, category), re-ordered so that neighbours differ.
+def tops(rows: DataFrame, keys: dict[str, list[str]], k: int, item: str = "id") -> DataFrame:
+    """(by, item, pos): the k first rows by each of several lists of columns, greatest first, then the least item; each list is a top-k of its own."""
+    out = None
+    for name, columns in keys.items():
+        order = [*(F.col(c).desc() for c in columns), F.col(item).asc()]
+        top = rows.orderBy(*order).limit(k)
+        top = top.select(F.lit(name).alias("by"), item, F.row_number().over(Window.orderBy(*order)).alias("pos"))  # over k rows
+        out = top if out is None else out.unionByName(top)
+    return out
 
-    Greedy: the first left whose venue is unused and category differs from the
-    last; else whose venue was used once; else the first. ``most`` bounds a group.
+
+def diversified(ranked: DataFrame, owner: str, k: int) -> DataFrame:
+    """Per owner: k rows of (rank, id, venue, category), re-ordered so that neighbours differ.
+
+    Greedy: the first left whose venue is unused and category differs from the last; else whose venue was used once; else
+    the first. Of a venue and category it can come to k rows at most, and of a category to k * k + 1, as no more can be
+    passed over for their venue: top-k by group, so a task holds few rows of an owner, and none that counts is left out.
     """
-    w = Window.partitionBy(owner).orderBy("rank", "id")
-    some = ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    order = ["rank", "id"]
+    some = ranked.withColumn("_v", F.coalesce(F.col("venue").cast("string"), F.concat(F.lit("id "), F.col("id").cast("string"))))
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy(owner, "_v", "category").orderBy(*order))).where(F.col("_n") <= k)
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy(owner, "category").orderBy(*order))).where(F.col("_n") <= k * k + 1).drop("_n", "_v")
 
     def pick(pdf):
         import pandas as pd
@@ -113,22 +129,89 @@ def relaxed(rows: DataFrame, steps: list[Column], least: int) -> tuple[int, Data
     raise ValueError("no condition")
 
 
-def alerts(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, delivered: DataFrame, now: datetime, most: int = 20) -> DataFrame:
-    """(user_id, kind, id, pos): reminders, ticket openings and new dates that a member gets now.
+def _hours(h: int) -> Column:
+    return F.expr(f"interval '{h}' hour")
+
+
+def alert_items(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
+    """(user_id, id, kind, start_date), each once: reminders, ticket openings and new dates that members may get now.
 
     follows(user_id, artist_key, followed_at), artists(id, artist_key), outings(id, start_date, created_at, on_sale_at),
-    attendances(user_id, id), delivered(user_id, id, kind).
+    attendances(user_id, id). Outings are cut to the two windows before they meet artists, and those before they meet
+    followers; both kinds come from one pass.
     """
     n = times.stamp(now)
-    hours = lambda h: F.expr(f"interval '{h}' hour")
-    mine = follows.join(artists, "artist_key").join(outings, "id")
-    new = mine.where((F.col("created_at") > n - hours(7 * 24)) & (F.col("created_at") > F.col("followed_at"))).withColumn("kind", F.lit("new_date"))
-    sale = mine.where(F.col("on_sale_at").between(n - hours(12), n + hours(36))).withColumn("kind", F.lit("on_sale"))
+    new, sale = F.col("created_at") > n - _hours(7 * 24), F.coalesce(F.col("on_sale_at").between(n - _hours(12), n + _hours(36)), F.lit(False))
+    open_ = outings.select("id", "start_date", "created_at", F.coalesce(new, F.lit(False)).alias("_new"), sale.alias("_sale")).where("_new or _sale")
+    keyed = open_.join(artists.select("id", "artist_key"), "id").distinct()
+    kinds = F.array_compact(F.array(F.when(F.col("_new") & (F.col("created_at") > F.col("followed_at")), "new_date"), F.when(F.col("_sale"), "on_sale")))
+    mine = follows.join(keyed, "artist_key").select("user_id", "id", F.explode(kinds).alias("kind"), "start_date")
     w = times.window("tomorrow", now)
     start = times.paris(times.night_day(now).fromordinal(times.night_day(now).toordinal() + 1), times.NIGHT_ENDS)
-    soon = attendances.join(outings, "id").where(F.col("start_date").between(times.stamp(start), times.stamp(w.end))).withColumn("kind", F.lit("reminder"))
-    cols = ["user_id", "id", "kind", "start_date"]
-    items = new.select(*cols).unionByName(sale.select(*cols)).unionByName(soon.select(*cols)).distinct().join(delivered.select("user_id", "id", "kind"), ["user_id", "id", "kind"], "left_anti")
+    tomorrow = outings.where(F.col("start_date").between(times.stamp(start), times.stamp(w.end))).select("id", "start_date")
+    soon = attendances.join(tomorrow, "id").select("user_id", "id", F.lit("reminder").alias("kind"), "start_date")
+    return mine.unionByName(soon).distinct()
+
+
+def title_items(follows: DataFrame, outings: DataFrame, artists: DataFrame, now: datetime, categories: tuple[str, ...] = MUSIC) -> DataFrame:
+    """(user_id, id, kind, start_date): new dates of musical outings without artists whose title holds a followed key as whole words.
+
+    outings(id, title, category_slug, start_date, created_at, status, canonical_id). Every run of words of a title is
+    joined to the keys, so no title meets all keys.
+    """
+    n = times.stamp(now)
+    some = outings.where((F.col("status") == "active") & F.col("canonical_id").isNull() & (F.col("start_date") >= n) & (F.col("created_at") >= n - _hours(7 * 24)) & F.col("category_slug").isin(*categories))
+    some = some.join(artists.select("id"), "id", "left_anti")
+    words = F.split(text.words_of(F.col("title")), " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(F.sequence(i, F.size("_w")), lambda j: F.array_join(F.slice("_w", i, j - i + 1), " "))))
+    keyed = some.withColumn("_w", words).select("id", "start_date", "created_at", F.explode(F.array_distinct(runs)).alias("artist_key"))
+    mine = follows.join(keyed, "artist_key").where("created_at > followed_at")
+    return mine.select("user_id", "id", F.lit("new_date").alias("kind"), "start_date").distinct()
+
+
+def selected_items(items: DataFrame, delivered: DataFrame, settings: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """(user_id, kind, id, pos): what each member gets now of items not delivered yet: the kinds they want (all, if settings(user_id, kind, wanted) say nothing), reminders first, then openings, then new dates, soonest first."""
+    left = items.join(delivered.select("user_id", "id", "kind"), ["user_id", "id", "kind"], "left_anti")
+    if settings is not None:
+        refused = settings.where("not wanted").select("user_id", "kind").distinct()
+        left = left.join(refused, ["user_id", "kind"], "left_anti")
     order = F.when(F.col("kind") == "reminder", 0).when(F.col("kind") == "on_sale", 1).otherwise(2)
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy(order, "start_date", "id"))
-    return items.withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "kind", "id", "pos")
+    return left.withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "kind", "id", "pos")
+
+
+def alerts(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, delivered: DataFrame, now: datetime, most: int = 20) -> DataFrame:
+    """(user_id, kind, id, pos) of alert_items() that each member gets now; see there."""
+    return selected_items(alert_items(follows, artists, outings, attendances, now), delivered, None, most)
+
+
+def alert_batch(chosen: DataFrame, accounts: DataFrame, email_configured: bool = True, push_configured: bool = True, most: int = 200) -> DataFrame:
+    """(user_id, email, push, urgent): the members of this run, those with a reminder or an opening first.
+
+    accounts(user_id, email_enabled, push_enabled, has_email, n_push): a member without a usable channel is left out.
+    """
+    email = F.col("email_enabled") & F.col("has_email") & F.lit(email_configured)
+    push = F.col("push_enabled") & (F.col("n_push") > 0) & F.lit(push_configured)
+    plans = chosen.groupBy("user_id").agg(F.bool_or(F.col("kind") != "new_date").alias("urgent"))
+    reach = accounts.select("user_id", email.alias("email"), push.alias("push")).where("email or push")
+    return plans.join(reach, "user_id").orderBy(F.col("urgent").desc(), "user_id").limit(most).select("user_id", "email", "push", "urgent")
+
+
+def deliveries(chosen: DataFrame, sent: DataFrame, delivered: DataFrame) -> DataFrame:
+    """(user_id, id, kind, channels): the rows to append after a run; sent(user_id, channels) are the members whom a channel reached; recorded once, however often it runs."""
+    new = chosen.select("user_id", "id", "kind").distinct().join(sent.where(F.size("channels") > 0), "user_id")
+    return new.join(delivered.select("user_id", "id", "kind"), ["user_id", "id", "kind"], "left_anti").select("user_id", "id", "kind", "channels")
+
+
+def last_dates(matches: DataFrame, now: datetime, days: int = 7, most: int = 12) -> DataFrame:
+    """(user_id, id, pos): followed outings that start within some days, each once, soonest first. matches(user_id, id, start_date)."""
+    n = times.stamp(now)
+    soon = matches.where(F.col("start_date").between(n, n + _hours(24 * days))).select("user_id", "id", "start_date").distinct()
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("start_date", "id"))
+    return soon.withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "id", "pos")
+
+
+def pending(follows: DataFrame, matches: DataFrame) -> DataFrame:
+    """(follow_id, id): matches(follow_id, id, created_at) added since a follow's last notice (or its start) and since it was last seen."""
+    since = F.greatest(F.coalesce("last_notified_at", "followed_at"), "last_seen_at")
+    return matches.join(follows.select("follow_id", since.alias("since")), "follow_id").where("created_at > since").select("follow_id", "id")

@@ -93,3 +93,20 @@ def fused(lists: DataFrame, item: str, rank: str, which: str) -> DataFrame:
     """Rank fusion: each list l gives an item at rank i max(0, 40 - i) / 40 / (l + 1), and a quarter for being in it."""
     part = F.greatest(F.lit(0.0), (40 - F.col(rank)) / 40) / (F.col(which) + 1) + 0.25
     return lists.groupBy(item).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("lists"))
+
+
+def banded(rows: DataFrame, key: str, value: str, width: float, item: str) -> DataFrame:
+    """Pairs (a, b), a < b, of items of one key whose values differ by less than a width: joined by band, so a large key is cut into as many parts as it has bands."""
+    band = F.floor(F.col(value) / width)
+    a = rows.select(F.col(item).alias("a"), F.col(key).alias("_k"), F.col(value).alias("_x"), band.alias("_b"))
+    b = rows.select(F.col(item).alias("b"), F.col(key).alias("_k"), F.col(value).alias("_y"), F.explode(F.array(band - 1, band, band + 1)).alias("_b"))
+    return a.join(b, ["_k", "_b"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("_x") - F.col("_y")) < width)).select("a", "b")
+
+
+def overlapping(rows: DataFrame, key: str, start: str, end: str, item: str) -> DataFrame:
+    """Pairs (a, b), a < b, of items of one key whose dates overlap: joined by month, each pair in the first month that both have; an end before its start has no months."""
+    month = lambda x: F.year(x) * 12 + F.month(x)
+    held = rows.where(F.col(start) <= F.col(end)).select(item, key, start, end, F.explode(F.sequence(month(F.col(start)), month(F.col(end)))).alias("_m"))
+    a, b = held.toDF("a", "_k", "_sa", "_ea", "_m"), held.toDF("b", "_k", "_sb", "_eb", "_m")
+    met = a.join(b, ["_k", "_m"]).where("a < b and _sa <= _eb and _sb <= _ea")
+    return met.where(F.col("_m") == month(F.greatest("_sa", "_sb"))).select("a", "b")

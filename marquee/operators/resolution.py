@@ -94,57 +94,65 @@ def link_venues(venues: DataFrame) -> DataFrame:
     side = lambda p: v.select(*(F.col(x).alias(f"{p}_{x}") for x in ("id", "_n", "zip_code", "lat", "lng")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
     both = both.where(_same_place())
-    comps = connected_components(both.select("a", "b"))
+    edges = both.select("a", "b")
+    comps = connected_components(edges)
     rows = comps.join(v, F.col("node") == F.col("id")).select("component", "id", "_n", "zip_code", "lat", "lng", "n_events", "created_at")
-    return rows.groupBy("component").applyInPandas(_cluster, "alias long, canonical long")
+    links = edges.join(comps, F.col("a") == F.col("node")).select("component", "a", "b")
+    return rows.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(_cluster, "alias long, canonical long")
+
+
+def compatible_names(a: Column, b: Column) -> Column:
+    """Whether the words of one normal name are among the other's."""
+    wa, wb = F.split(a, " "), F.split(b, " ")
+    return (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
 
 
 def _same_place() -> Column:
     c = F.col
     metres = geo.haversine_m(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng"))
     zips = F.coalesce(c("a_zip_code") == c("b_zip_code"), F.lit(True))
-    wa, wb = F.split("a__n", " "), F.split("b__n", " ")
-    inside = (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
+    inside = compatible_names(c("a__n"), c("b__n"))
     return zips & F.when(c("a__n") == c("b__n"), F.coalesce(metres < FAR_M, F.lit(True))).otherwise(F.coalesce(metres < NEAR_M, F.lit(False)) & inside)
 
 
-def _cluster(pdf):
-    """Union with a veto over one component, in order of ids."""
-    import math
-
+def _cluster(pdf, links):
+    """Union with a veto over one component: its links in order of ids, held against arrays of what tells two venues apart."""
+    import numpy as np
     import pandas as pd
 
-    rows = pdf.sort_values("id").to_dict("records")
-
-    def metres(a, b):
-        if any(pd.isna(x) for x in (a["lat"], b["lat"], a["lng"], b["lng"])):
-            return None
-        p, q = math.radians(a["lat"]), math.radians(b["lat"])
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lng"] - a["lng"]) / 2) ** 2
-        return 2 * geo.EARTH_M * math.asin(math.sqrt(h))
-
-    def relation(a, b):
-        if a["zip_code"] and b["zip_code"] and a["zip_code"] != b["zip_code"]:
-            return "apart"
-        m = metres(a, b)
-        if m is not None and m >= FAR_M:
-            return "apart"
-        x, y = set(a["_n"].split()), set(b["_n"].split())
-        if a["_n"] == b["_n"] or (m is not None and m < NEAR_M and (x <= y or y <= x)):
-            return "same"
-        return "apart" if m is not None and m < NEAR_M else "open"
-
-    groups = [[r] for r in rows]
-    for k, r in enumerate(rows):
-        for o in rows[:k]:
-            if relation(o, r) != "same":
-                continue
-            g, h = (next(x for x in groups if y in x) for y in (o, r))
-            if g is not h and not any(relation(x, y) == "apart" for x in g for y in h):
-                g += h
-                groups = [x for x in groups if x is not h]
+    rows = pdf.sort_values("id").reset_index(drop=True)
+    place = {x: i for i, x in enumerate(rows["id"])}
+    zips = pd.factorize(rows["zip_code"].replace("", None))[0]  # -1: none
+    lat, lng = (np.radians(rows[c].to_numpy(float)) for c in ("lat", "lng"))
+    words = [frozenset(n.split()) for n in rows["_n"]]
+
+    def apart(g: list[int], h: list[int]) -> bool:
+        g, h = np.array(g), np.array(h)
+        if ((zips[g][:, None] != zips[h]) & (zips[g][:, None] >= 0) & (zips[h] >= 0)).any():
+            return True
+        half = np.sin((lat[h] - lat[g][:, None]) / 2) ** 2 + np.cos(lat[g])[:, None] * np.cos(lat[h]) * np.sin((lng[h] - lng[g][:, None]) / 2) ** 2
+        metres = 2 * geo.EARTH_M * np.arcsin(np.sqrt(half))  # NaN where a place is unknown, which is never apart
+        if (metres >= FAR_M).any():
+            return True
+        return any(not (words[g[i]] <= words[h[j]] or words[h[j]] <= words[g[i]]) for i, j in np.argwhere(metres < NEAR_M))
+
+    parent = list(range(len(rows)))
+    groups = {i: [i] for i in parent}
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for b, a in sorted({(max(x, y), min(x, y)) for x, y in zip(links["a"], links["b"], strict=True)}):
+        g, h = find(place[a]), find(place[b])
+        if g != h and not apart(groups[g], groups[h]):
+            parent[h] = g
+            groups[g] += groups.pop(h)
     out = []
-    for g in groups:
-        best = max(g, key=lambda r: (r["n_events"] or 0, not pd.isna(r["lat"]), -pd.Timestamp(r["created_at"]).value, r["id"]))
-        out += [(r["id"], best["id"]) for r in g if r["id"] != best["id"]]
+    for g in groups.values():
+        some = rows.iloc[g]
+        rank = sorted(zip(some["n_events"].fillna(0), some["lat"].notna(), -pd.to_datetime(some["created_at"]).astype("int64"), some["id"], strict=True))
+        out += [(x, rank[-1][3]) for x in some["id"] if x != rank[-1][3]]
     return pd.DataFrame(out, columns=["alias", "canonical"]).astype("int64")

@@ -80,3 +80,20 @@ r as (select o.*, v.* exclude (venue_id), c.category_slug, coalesce(end_date, st
   {FOLD_SQL.format("title || ' ' || coalesce(short_desc, '') || ' ' || coalesce(keywords, '')")} txt, {FOLD_SQL.format("v.venue_name")} vtxt
   from outings o left join venues v on o.venue_id = v.venue_id left join categories c on o.category_id = c.category_id),
 live as (select * from r where status = 'active' and canonical_id is null and eff >= {NOW_SQL})"""
+
+
+def _sunday(x: str, month: int, days: int) -> str:
+    """The last Sunday of a month in the year of x."""
+    last = f"make_date(year({x}), {month}, {days})"
+    return f"({last} - (isodow({last}) % 7)::int)"
+
+
+def summer_sql(x: str) -> str:
+    """Whether the Paris day x (from three in the morning on) has summer time: from the last Sunday of March to that of October, before 1996 of September."""
+    return f"(({x})::date >= {_sunday(x, 3, 31)} and ({x})::date < case when year({x}) < 1996 then {_sunday(x, 9, 30)} else {_sunday(x, 10, 31)} end)"
+
+
+def paris_sql(x: str) -> str:
+    """The wall clock in Paris of a UTC timestamp; the change is at one o'clock UTC."""
+    y = f"({x} - interval 1 hour)"
+    return f"({x} + case when {summer_sql(y)} then interval 2 hour else interval 1 hour end)"

@@ -20,19 +20,19 @@ t = B.read
 def _records(s, d):
     r = B.rows(s, d)
     k = c("id")
-    return r.withColumns({"is_free": c("price_status") == "free", "description": F.concat_ws(" ", "short_desc", "keywords", F.when(k % 2 == 0, F.repeat(c("title"), F.lit(8)))), "is_online": k % 29 == 0, "is_cancelled": k % 37 == 0})
+    return r.withColumns({"is_free": c("price_status") == "free", "description": F.concat_ws(" ", "short_desc", "keywords", F.when(k % 2 == 0, F.repeat(c("title"), F.lit(8)))), "is_online": k % 29 == 0, "is_cancelled": k % 37 == 0, "is_sold_out": k % 31 == 0, "title": F.when(k % 41 == 0, "Concert").otherwise(c("title")), "venue_name": F.when((k % 43 == 0) & c("venue_name").isNotNull(), "Adresse communiquée à l'inscription").otherwise(c("venue_name"))})
 
 
-_REC = f"""{B.BASE}, v as (select r.*, trim(concat_ws(' ', short_desc, keywords, case when id % 2 = 0 then repeat(title, 8) end)) description, id % 29 = 0 is_online, id % 37 = 0 is_cancelled from r),
-h as (select *, list_filter([case when length(title) < 3 then 'junk_title' end, case when coalesce(end_date, start_date + interval 3 hour) < {B.NOW_SQL} - interval 6 hour then 'ended' end,
+_REC = f"""{B.BASE}, v as (select r.* replace (case when id % 41 = 0 then 'Concert' else title end as title, case when id % 43 = 0 and venue_name is not null then 'Adresse communiquée à l''inscription' else venue_name end as venue_name), id % 31 = 0 is_sold_out, trim(concat_ws(' ', short_desc, keywords, case when id % 2 = 0 then repeat(title, 8) end)) description, id % 29 = 0 is_online, id % 37 = 0 is_cancelled from r),
+h as (select *, list_filter([case when length(title) < 3 or title = 'Concert' then 'junk_title' end, case when coalesce(end_date, start_date + interval 3 hour) < {B.NOW_SQL} - interval 6 hour then 'ended' end,
   case when start_date > {B.NOW_SQL} + interval 548 day then 'too_far_ahead' end, case when end_date >= start_date and end_date > start_date + interval 400 day then 'span_too_long' end,
   case when price_max > 50000 or price_min > 50000 then 'price_outlier' end, case when price_min < 0 or (price_max <> 0 and price_min > price_max) then 'price_inconsistent' end,
   case when (lat is not null and lng is not null and not (lat between 48.70 and 49.01 and lng between 2.14 and 2.64)) or coalesce(left(zip_code, 2) not in ('75', '92', '93', '94'), false) then 'out_of_zone' end,
-  case when is_online then 'online' end, case when is_cancelled then 'cancelled' end], lambda x: x is not null) hard,
+  case when is_online then 'online' end, case when is_cancelled then 'cancelled' end, case when venue_name like 'Adresse communi%' then 'placeholder_venue' end], lambda x: x is not null) hard,
  list_filter([case when image_url is null then 'no_image' end, case when length(coalesce(description, '')) < 80 then 'short_description' end, case when not time_known then 'time_unknown' end,
   case when price_status = 'unknown' then 'price_unknown' end, case when venue_name is null then 'no_venue' end, case when venue_name is not null and (lat is null or lng is null) then 'venue_not_geocoded' end,
-  case when category_slug is null then 'no_category' end, case when title like 'Forum senior%' then 'institutional' end], lambda x: x is not null) soft from v),
-g as (select *, greatest(0, 100 - coalesce(list_sum(list_transform(soft, lambda x: case x when 'no_image' then 20 when 'short_description' then 15 when 'time_unknown' then 10 when 'price_unknown' then 10 when 'venue_not_geocoded' then 15 when 'no_category' then 10 when 'no_venue' then 15 else 15 end)), 0))::int score0 from h),
+  case when category_slug is null then 'no_category' end, case when title like 'Forum senior%' then 'institutional' end, case when is_sold_out then 'sold_out' end], lambda x: x is not null) soft from v),
+g as (select *, greatest(0, 100 - coalesce(list_sum(list_transform(soft, lambda x: case x when 'no_image' then 20 when 'short_description' then 15 when 'time_unknown' then 10 when 'price_unknown' then 10 when 'venue_not_geocoded' then 15 when 'no_category' then 10 when 'no_venue' then 15 when 'sold_out' then 0 else 15 end)), 0))::int score0 from h),
 w as (select *, coalesce(score0, 100)::int score, case when list_contains(hard, 'cancelled') then 'cancelled' when len(hard) = 1 and list_contains(hard, 'ended') then 'expired' when len(hard) > 0 then 'rejected' when coalesce(score0, 100) >= 50 then 'active' else 'draft' end decided from g)"""
 
 
@@ -85,7 +85,7 @@ def df_10(s, d):
 
 _SER = f"""{B.BASE}, e as (select o.id, o.source, title, start_date, end_date, time_known, venue_name, o.id % 17 = 0 is_cancelled, o.id % 11 k from outings o join venues v using (venue_id)),
   g as (select source, k, (title) tt, lower(trim(venue_name)) vv, count(*) filter (not is_cancelled) n, arg_min(id, (start_date, id)) filter (not is_cancelled) first, max(coalesce(end_date, start_date)) filter (not is_cancelled) last,
-    bool_and(time_known) filter (not is_cancelled) and count(distinct strftime(start_date, '%H')) filter (not is_cancelled) <= 2 known from e group by 1, 2, 3, 4)"""
+    bool_and(time_known) filter (not is_cancelled) and count(distinct strftime({B.paris_sql('start_date')}, '%H:%M')) filter (not is_cancelled) = 1 known from e group by 1, 2, 3, 4)"""
 
 
 def _sessions(s, d):
@@ -93,10 +93,10 @@ def _sessions(s, d):
     return o.select("id", "source", F.concat(F.lit("x-"), c("id").cast("string")).alias("source_id"), "title", "start_date", "end_date", "time_known", "venue_name", (c("id") % 17 == 0).alias("is_cancelled"))
 
 
-@query("df_02_series", f"""{_SER}, j as (select e.*, n n_sessions, first, last from e left join g on g.source = e.source and g.tt = e.title and g.vv = lower(trim(e.venue_name)) and n >= 2)
-  select id, case when first is not null and last > start_date then last else end_date end end_date, n_sessions from j where first is null or id = first""")
+@query("df_02_series", f"""{_SER}, j as (select e.*, n n_sessions, first, last, known from e left join g on g.source = e.source and g.tt = e.title and g.vv = lower(trim(e.venue_name)) and n >= 2)
+  select id, case when first is not null and last > start_date then last else end_date end end_date, case when first is not null then known else time_known end time_known, n_sessions, first is not null is_series from j where first is null or id = first""")
 def df_02(s, d):
-    return etl.collapse_series(_sessions(s, d), 2).select("id", "end_date", "n_sessions")
+    return etl.collapse_series(_sessions(s, d), 2).select("id", "end_date", "time_known", "n_sessions", F.contains("source_id", F.lit("-series-")).alias("is_series"))
 
 
 @query("er_10_hidden_sessions", f"""{_SER}, x as (select e.*, id % 19 = 0 mark from e), sr as (select source, title, lower(venue_name) v, min(start_date) lo, max(coalesce(end_date, start_date)) hi from x where mark group by 1, 2, 3)
@@ -151,9 +151,13 @@ def er_05(s, d):
     return resolution.duplicates(_candidates(s, d))
 
 
-@query("er_08_source_priority", "select p_brand, case p_brand when 'Brand#1' then 30 else 30 end priority from (select distinct p_brand from part)")
+_BRANDS = [*resolution.PRIORITY, "venue_alpha", "venue_beta", "unknown"]
+
+
+@query("er_08_source_priority", f"with x as (select p_partkey, ({B._list(_BRANDS)})[p_partkey % {len(_BRANDS)} + 1] source from part) select p_partkey, source, case {' '.join(f"when source = '{k}' then {v}" for k, v in resolution.PRIORITY.items())} when source like 'venue\\_%' escape '\\' then 95 else 30 end priority from x")
 def er_08(s, d):
-    return t(s, d, "part").select("p_brand").distinct().select("p_brand", resolution.source_priority(c("p_brand")).alias("priority"))
+    source = F.element_at(F.array(*map(F.lit, _BRANDS)), (c("p_partkey") % len(_BRANDS) + 1).cast("int"))
+    return t(s, d, "part").select("p_partkey", source.alias("source")).withColumn("priority", resolution.source_priority(c("source")))
 
 
 @query("er_09_fill_canonical", f"""{B.BASE}, l as (select id duplicate, id - id % 4 canonical from outings where id % 4 <> 0), f as (select canonical, arg_min(image_url, id) filter (image_url is not null) i, arg_min(end_date, id) filter (end_date is not null) e from l join outings on id = duplicate group by 1)
@@ -164,12 +168,37 @@ def er_09(s, d):
     return resolution.filled(o, links, ["image_url", "end_date"])
 
 
-@query("er_04_link_venues")
-def er_04(s, d):
-    v = B.venues(s, d)
+_PLACES = """p as (select v.venue_id id, (['Salle Alpha ', 'La Alpha ', 'Alpha ', 'Le Grand Beta '])[v.venue_id % 4 + 1] || 'x' || (v.venue_id % 150) nm, '750' || lpad((v.venue_id % 300 // 150 + 1)::varchar, 2, '0') zip_code, lat is not null has_lat, o.n n_events, o.at created_at
+    from venues v join (select venue_id, count(*) n, min(start_date) at from outings group by 1) o on o.venue_id = v.venue_id),
+  q as (select *, array_to_string(list_filter(string_split(lower(nm), ' '), lambda w: w not in ('le', 'la', 'salle')), ' ') k from p)"""
+
+
+def _places(s, d):
+    """Venues of which many share a name, spelled in several ways, at one place; post codes tell some of them apart."""
+    k = c("venue_id")
     n = B.outings(s, d).groupBy("venue_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("start_date").alias("created_at"))
-    name = F.concat(F.element_at(F.array(*map(F.lit, ["Théâtre Alpha ", "Le Grand Alpha ", "Galerie Beta "])), (c("venue_id") % 3 + 1).cast("int")), F.floor(c("venue_id") / 3).cast("string"))
-    return resolution.link_venues(v.join(n, "venue_id").select(c("venue_id").alias("id"), name.alias("name"), "zip_code", "lat", "lng", "n_events", "created_at"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["Salle Alpha ", "La Alpha ", "Alpha ", "Le Grand Beta "])), (k % 4 + 1).cast("int")), F.lit("x"), (k % 150).cast("string"))
+    zip_code = F.concat(F.lit("750"), F.lpad((F.floor(k % 300 / 150) + 1).cast("string"), 2, "0"))
+    lat = F.when(c("lat").isNotNull(), 48.80 + (k % 150) * 0.001)
+    lng = F.when(c("lat").isNotNull(), F.lit(2.20) + (k % 300) * 0.001)
+    return B.venues(s, d).join(n, "venue_id").select(k.alias("id"), name.alias("name"), zip_code.alias("zip_code"), lat.alias("lat"), lng.alias("lng"), "n_events", "created_at")
+
+
+@query("er_02_compatible_names", f"{B.BASE}, {_PLACES} select a.id a, b.id b from q a join q b on a.id < b.id and a.k = b.k")
+def er_02(s, d):
+    v = _places(s, d).withColumn("k", text.normal_name(c("name")))
+    pairs = resolution.candidates(v, F.array("k"))
+    x = v.select("id", "k")
+    both = pairs.join(x.toDF("a", "ka"), "a").join(x.toDF("b", "kb"), "b")
+    return both.where(resolution.compatible_names(c("ka"), c("kb"))).select("a", "b")
+
+
+@query("er_04_link_venues", f"""with recursive {B.BASE[5:]}, {_PLACES}, e as (select a.id a, b.id b from q a join q b on a.id <> b.id and a.k = b.k and a.zip_code = b.zip_code),
+  cc(n, m) as (select id, id from q union select e.b, cc.m from cc join e on e.a = cc.n), g as (select n, min(m) g from cc group by 1),
+  best as (select g, arg_max(id, (n_events, has_lat, -epoch_us(created_at), id)) canonical from g join q on q.id = n group by 1)
+  select n alias, canonical from g join best using (g) where n <> canonical""")
+def er_04(s, d):
+    return resolution.link_venues(_places(s, d))
 
 
 @query("cls_02_keyword_category", """with x as (select doc_id, len(regexp_extract_all(lower(text), 'the|and')) a, len(regexp_extract_all(lower(text), 'les|des')) b, len(regexp_extract_all(lower(text), 'der|und')) e from documents)
@@ -270,6 +299,6 @@ def alr(s, d):
     return members.alerts(follows, o.select("id", "artist_key"), outings, o.where(k % 5 == 0).select("user_id", "id"), o.where(k % 10 == 0).select("user_id", "id", F.lit("reminder").alias("kind")), B.NOW)
 
 
-@query("win_night_days", "select event_id, (ts + interval 1 hour - interval 4 hour)::date night from events where ts < timestamp '2024-02-01'")
+@query("win_night_days", f"select event_id, ({B.paris_sql('ts')} - interval 4 hour)::date night from events")
 def night(s, d):
-    return t(s, d, "events").where(c("ts") < F.lit("2024-02-01").cast("timestamp_ntz")).select("event_id", times.night_day_of(c("ts")).alias("night"))
+    return t(s, d, "events").select("event_id", times.night_day_of(c("ts")).alias("night"))

@@ -185,10 +185,26 @@ def nulls_first(spark, sf_dir):
     return B.outings(spark, sf_dir).orderBy(F.col("end_date").asc_nulls_first(), (F.col("quality_score") > 50).desc(), "id").limit(50).select("id", "end_date")
 
 
+_WINDOWS = {
+    "tonight": _win("1998-06-15 16:00:00", "1998-06-16 02:00:00", False, True) + " and not coalesce(end_date > start_date + interval 60 day and (category_slug is null or category_slug in ('ateliers', 'conferences', 'visites')), false)",
+    "weekend": _win("1998-06-19 16:00:00", "1998-06-22 02:00:00", True, False), "week": _win("1998-06-15 16:00:00", "1998-06-22 02:00:00", True, True),
+}
+_ORDERS = {None: f"round({_REL}, 6) desc", "popular": "save_count * 3 + view_count desc", "ending": "eff", "random": f"md5(id || '{int(B.NOW.timestamp()) // 3600}')"}
+
+
+def _named_sql(q: L.EventQuery) -> str:
+    terms = [_WINDOWS[q.when] if q.when else "true", "price_status = 'free'" if q.free else "true", "image_url is not null" if q.with_image else "true", "not long_run" if q.one_off_only else "true"]
+    if q.runs_ending_within_days:
+        terms.append(f"long_run and end_date <= {_NOW} + interval {q.runs_ending_within_days} day")
+    terms += [_rule(*L.INTENTS[i]) for i in q.intents] + [_rule(*L.TOPICS[i]) for i in q.topics]
+    return f"""{B.BASE}, f as (select *, row_number() over (partition by category_slug = 'cinema', {_KEY} order by start_date, id) rn from live where {' and '.join(f'({x})' for x in terms)})
+      select id, title, start_date, venue_name venue from f where category_slug is distinct from 'cinema' or rn = 1 order by {_ORDERS[q.sort]}, id limit {q.limit + 1}"""
+
+
 for _name, _q in L.NAMED.items():
 
     def _named(name: str, q: L.EventQuery) -> None:
-        @query(f"named_{name.replace('-', '_')}")
+        @query(f"named_{name.replace('-', '_')}", _named_sql(q))
         def run(spark, sf_dir):
             return L.card(L.listing(B.rows(spark, sf_dir), q, B.NOW, SIGNATURE)).select("id", "title", "start_date", F.col("venue.name").alias("venue"))
 

@@ -53,11 +53,18 @@ def flt_25(s, d):
     return editorial.eligible(B.rows(s, d), _exclusions(s, d), w).select("id")
 
 
-@query("scr_04_editorial_score", f"""{B.BASE} select id, quality_score + case when coalesce(vtxt like 'le grand%', false) then 25 else 0 end + case when image_url is not null then 10 else 0 end + least(save_count * 2, 20)
+_SOURCES = ["offi", "paris_opendata", "openagenda", "venue_alpha", "other"]
+
+
+@query("scr_04_editorial_score", f"""{B.BASE}, x as (select *, ({B._list(_SOURCES)})[id % 5 + 1] src, case when id % 13 = 5 then 'Permanence santé' when id % 13 = 7 then 'Commémoration du 8 mai' else title end ttl from r)
+  select id, quality_score + case when coalesce(vtxt like 'le grand%', false) then 25 else 0 end + case when image_url is not null then 10 else 0 end + least(save_count * 2, 20)
   + case when category_slug in ('concerts', 'expos', 'theatre', 'spectacles', 'danse', 'festivals') then 15 when category_slug in ('soirees', 'festivals', 'visites') then 5 else 0 end - case when price_status = 'unknown' then 5 else 0 end - case when arrondissement is null then 5 else 0 end
-  - case when long_run then 8 else 0 end + case when price_status = 'paid' then 4 else 0 end score from r""")
+  - case when long_run then 8 else 0 end + case when price_status = 'paid' then 4 else 0 end + case when src = 'offi' or src like 'venue_%' then 12 when src in ('paris_opendata', 'openagenda') then -6 else 0 end
+  - case when ttl like 'Permanence%' or ttl like 'Commémoration%' then 30 else 0 end score from x""")
 def scr_04(s, d):
-    return B.rows(s, d).select("id", editorial.score("^le grand").alias("score"))
+    k = c("id")
+    rows = B.rows(s, d).withColumns({"source": F.element_at(F.array(*map(F.lit, _SOURCES)), (k % 5 + 1).cast("int")), "title": F.when(k % 13 == 5, "Permanence santé").when(k % 13 == 7, "Commémoration du 8 mai").otherwise(c("title"))})
+    return rows.select("id", editorial.score("^le grand").alias("score"))
 
 
 @query("rec_08_pick_diverse")
@@ -66,7 +73,7 @@ def rec_08(s, d):
     return editorial.picked(rows, 8, per_category=2, per_day=2, long_runs=2)
 
 
-@query("txt_02_fold_ligatures", f"select doc_id, replace(replace({FOLD.format('left(text, 80)')}, 'œ', 'oe'), 'æ', 'ae') folded from documents")
+@query("txt_02_fold_ligatures", f"select doc_id, replace(replace({FOLD.format('text')}, 'œ', 'oe'), 'æ', 'ae') folded from documents")
 def txt_02(s, d):
     return t(s, d, "documents").select("doc_id", text.fold_ligatures(c("text")).alias("folded"))
 
@@ -76,9 +83,9 @@ def txt_05(s, d):
     return t(s, d, "part").select("p_partkey", text.artist_key(c("p_name")).alias("k"))
 
 
-@query("txt_13_dated_slug", f"select o_orderkey, left(trim(regexp_replace({FOLD.format('o_orderpriority')}, '[^a-z0-9]+', '-', 'g'), '-'), 90) || '-' || strftime(o_orderdate + interval 1 hour, '%Y-%m-%d') slug from orders where month(o_orderdate) < 3")
+@query("txt_13_dated_slug", f"select o_orderkey, left(trim(regexp_replace({FOLD.format('o_orderpriority')}, '[^a-z0-9]+', '-', 'g'), '-'), 90) || '-' || strftime({B.paris_sql('o_orderdate')}, '%Y-%m-%d') slug from orders")
 def txt_13(s, d):
-    return t(s, d, "orders").where("month(o_orderdate) < 3").select("o_orderkey", F.concat_ws("-", F.left(text.slug(c("o_orderpriority")), F.lit(90)), times.paris_day(c("o_orderdate")).cast("string")).alias("slug"))
+    return t(s, d, "orders").select("o_orderkey", F.concat_ws("-", F.left(text.slug(c("o_orderpriority")), F.lit(90)), times.paris_day(c("o_orderdate")).cast("string")).alias("slug"))
 
 
 @query("txt_23_like_pattern", "select p_partkey from part where p_name like 'r\\_d%' escape '\\' or p_name like '%\\%%' escape '\\' or p_name like 'red%'")
@@ -98,17 +105,22 @@ def txt_27(s, d):
     return B.outings(s, d).select("id", editorial.online(c("title")).alias("online"), editorial.institutional(c("title")).alias("institutional"), editorial.junk(c("title")).alias("junk"))
 
 
-@query("dte_04_windows", """select * from (values ('now', timestamp '1998-06-15 16:00:00', timestamp '1998-06-15 18:00:00'), ('tonight', timestamp '1998-06-15 16:00:00', timestamp '1998-06-16 02:00:00'), ('tomorrow', timestamp '1998-06-16 04:00:00', timestamp '1998-06-17 02:00:00'),
-  ('weekend', timestamp '1998-06-19 16:00:00', timestamp '1998-06-22 02:00:00'), ('month', timestamp '1998-06-15 16:00:00', timestamp '1998-07-15 02:00:00'), ('date', timestamp '1998-12-01 05:00:00', timestamp '1998-12-02 03:00:00')) v(k, lo, hi)""")
+def _at_sql(days: str, hour: int) -> str:
+    day = f"(d + to_days(({days})::int))"
+    return f"({day} + interval {hour} hour - case when {B.summer_sql(day)} then interval 2 hour else interval 1 hour end)"
+
+
+@query("dte_04_windows", f"""with o as (select o_orderkey id, o_orderdate + to_minutes((o_orderkey % 96 * 15)::int) n from orders), x as (select *, ({B.paris_sql('n')} - interval 4 hour)::date::timestamp d from o), f as (select *, 5 - isodow(d) fr from x)
+  select id, greatest(n, {_at_sql('0', 17)}) tonight_from, {_at_sql('1', 4)} tonight_to, {_at_sql('1', 6)} tomorrow_from, {_at_sql('2', 4)} tomorrow_to, greatest(n, {_at_sql('fr', 18)}) weekend_from, {_at_sql('fr + 3', 4)} weekend_to, {_at_sql('7', 4)} week_to, {_at_sql('30', 4)} month_to, n + interval 2 hour now_to from f""")
 def dte_04(s, d):
-    w = [times.window(x, B.NOW) for x in ("maintenant", "ce-soir", "demain", "week-end", "mois", "1998-12-01")]
-    rows = [(x.key, x.start.replace(tzinfo=None), x.end.replace(tzinfo=None)) for x in w]
-    return s.createDataFrame(rows, "k string, lo timestamp_ntz, hi timestamp_ntz")
+    o = t(s, d, "orders").select(c("o_orderkey").alias("id"), (c("o_orderdate") + F.expr("make_dt_interval(0, 0, int(o_orderkey % 96 * 15))")).alias("n"))
+    w = {k: times.window_columns(k, c("n")) for k in ("tonight", "tomorrow", "weekend", "week", "month", "now")}
+    return o.select("id", *(x.alias(f"{k}_{e}") for k in ("tonight", "tomorrow", "weekend") for e, x in zip(("from", "to"), w[k], strict=True)), *(w[k][1].alias(f"{k}_to") for k in ("week", "month", "now")))
 
 
-@query("dte_10_reinterpreted", "select event_id, ts - interval 1 hour fixed from events where event_type <> 'error'")
+@query("dte_10_reinterpreted", f"select event_id, ts - case when {B.summer_sql('ts')} then interval 2 hour else interval 1 hour end fixed from events")
 def dte_10(s, d):
-    return t(s, d, "events").where("event_type <> 'error'").select("event_id", times.from_paris(c("ts")).alias("fixed"))
+    return t(s, d, "events").select("event_id", times.from_paris(c("ts")).alias("fixed"))
 
 
 @query("num_05_rounding", "select vec_id, round(embedding[1]::double, 1) a, round(embedding[2]::double / 0.002) * 0.002 b from embeddings")

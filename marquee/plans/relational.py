@@ -125,10 +125,10 @@ def jon_21(s, d):
     return t(s, d, "orders").select("o_orderkey").join(tags, "o_orderkey", "left").select("o_orderkey", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
-@query("jon_23_ngram_containment", """with w as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') w from documents where lang = 'en'),
+@query("jon_23_ngram_containment", """with w as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') w from documents),
   k as (select distinct p_name, string_split(p_name, ' ')[1] k from part), g as (select distinct doc_id, unnest(w) g from w) select doc_id, p_name from g join k on g = k""")
 def jon_23(s, d):
-    w = t(s, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))).alias("g"))
+    w = t(s, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))).alias("g"))
     k = t(s, d, "part").select("p_name", F.split("p_name", " ")[0].alias("g")).distinct()
     return w.join(k, "g").select("doc_id", "p_name")
 
@@ -136,15 +136,13 @@ def jon_23(s, d):
 @query("jon_24_blocked_self_join", "select a.s_suppkey a, b.s_suppkey b from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey and abs(a.s_acctbal - b.s_acctbal) < 500")
 def jon_24(s, d):
     x = t(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    a, b = x.select(c("s_suppkey").alias("a"), "s_nationkey", c("s_acctbal").alias("x")), x.select(c("s_suppkey").alias("b"), "s_nationkey", c("s_acctbal").alias("y"))
-    return a.join(b, "s_nationkey").where((c("a") < c("b")) & (F.abs(c("x") - c("y")) < 500)).select("a", "b")
+    return R.banded(x, "s_nationkey", "s_acctbal", 500, "s_suppkey").select("a", "b")
 
 
 @query("jon_25_interval_overlap", f"""{B.BASE}, x as (select id, venue_id, start_date::date s, eff::date e from r) select a.id a, b.id b from x a join x b on a.venue_id = b.venue_id and a.id < b.id and a.s <= b.e and b.s <= a.e""")
 def jon_25(s, d):
     x = B.outings(s, d).select("id", "venue_id", c("start_date").cast("date").alias("s"), times.effective_end(c("start_date"), c("end_date")).cast("date").alias("e"))
-    a, b = x.toDF("a", "venue_id", "sa", "ea"), x.toDF("b", "venue_id", "sb", "eb")
-    return a.join(b, "venue_id").where("a < b and sa <= eb and sb <= ea").select("a", "b")
+    return R.overlapping(x, "venue_id", "s", "e", "id").select("a", "b")
 
 
 @query("jon_26_order_preserving_ids", "select pos, o_orderkey, o_totalprice from (select unnest([7, 3, 99, 3, 12]) k, generate_subscripts([7, 3, 99, 3, 12], 1) - 1 pos) join orders on o_orderkey = k")
@@ -337,7 +335,7 @@ def set_05(s, d):
     return new.union(soon).where("id % 3 <> 1").groupBy("id").agg(F.min(c("src") * 100 + c("p")).cast("long").alias("pos"))
 
 
-@query("set_06_array_sets", "select user_id, list_sort(list(distinct event_type)) a, list_sort(list_filter(['click', 'view', 'other'], lambda x: not list_contains(list(distinct event_type), x))) missing from events where event_id < 300 group by 1".replace("list_sort(list(distinct event_type)) a", "array_to_string(list_sort(list(distinct event_type)), ',') a").replace("list_sort(list_filter(", "array_to_string(list_sort(list_filter(").replace("x))) missing", "x))), ',') missing"))
+@query("set_06_array_sets", "select user_id, list_sort(list(distinct event_type)) a, list_sort(list_filter(['click', 'view', 'other'], lambda x: not list_contains(list(distinct event_type), x))) missing from events group by 1".replace("list_sort(list(distinct event_type)) a", "array_to_string(list_sort(list(distinct event_type)), ',') a").replace("list_sort(list_filter(", "array_to_string(list_sort(list_filter(").replace("x))) missing", "x))), ',') missing"))
 def set_06(s, d):
     have = F.collect_set("event_type")
     return t(s, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(have), ",").alias("a"), F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ["click", "view", "other"])), have)), ",").alias("missing"))
@@ -371,16 +369,16 @@ def win_04(s, d):
     return R.runs(_kind(s, d, "signup").select("user_id", c("ts").cast("date").alias("dy")), "user_id", "dy", 28, 6)
 
 
-@query("win_05_round_robin", "select event_id, row_number() over (partition by event_type order by event_id) turn, min(event_id) over (partition by event_type) first from events where user_id = 3")
+@query("win_05_round_robin", "select event_id, row_number() over (partition by user_id, event_type order by event_id) turn, min(event_id) over (partition by user_id, event_type) first from events")
 def win_05(s, d):
-    out = R.round_robin(t(s, d, "events").where("user_id = 3").select("event_id", "event_type"), "event_type", ["event_id"])
+    out = R.round_robin(t(s, d, "events").select("event_id", F.concat_ws(" ", c("user_id").cast("string"), "event_type").alias("who")), "who", ["event_id"])
     return out.select("event_id", "turn", c("group_first.event_id").alias("first"))
 
 
-@query("win_06_interleave", """with a as (select event_id, row_number() over (order by value desc, event_id) i from events where user_id = 3 and event_type = 'view'), b as (select event_id, row_number() over (order by md5(event_id::varchar), event_id) i from events where user_id = 3 and event_type = 'click')
+@query("win_06_interleave", """with a as (select event_id, row_number() over (partition by user_id order by value desc, event_id) i from events where event_type = 'view'), b as (select event_id, row_number() over (partition by user_id order by md5(event_id::varchar), event_id) i from events where event_type = 'click')
   select event_id, (i - 1) // 2 * 3 + (i - 1) % 2 slot from a union all select event_id, (i - 1) * 3 + 2 from b""")
 def win_06(s, d):
-    mine = t(s, d, "events").where("user_id = 3")
+    mine = t(s, d, "events")
     rank = lambda rows, *o: rows.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy(*o)).cast("long"))
     a = rank(mine.where("event_type = 'view'"), c("value").desc(), "event_id").select("event_id", F.expr("(i - 1) div 2 * 3 + (i - 1) % 2").alias("slot"))
     b = rank(mine.where("event_type = 'click'"), F.md5(c("event_id").cast("string").cast("binary")), "event_id").select("event_id", ((c("i") - 1) * 3 + 2).alias("slot"))
@@ -420,12 +418,12 @@ def srt_08(s, d):
 _TRI = "list_distinct(flatten(list_transform(list_filter(string_split(trim(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, (length(w) + 2)::bigint), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query("txt_01_fold", f"select doc_id, {F0.format('text')} folded from documents where lang = 'fr'")
+@query("txt_01_fold", f"select doc_id, {F0.format('text')} folded from documents")
 def txt_01(s, d):
-    return t(s, d, "documents").where("lang = 'fr'").select("doc_id", text.fold(c("text")).alias("folded"))
+    return t(s, d, "documents").select("doc_id", text.fold(c("text")).alias("folded"))
 
 
-@query("txt_03_slug", f"select doc_id, trim(regexp_replace({F0.format('left(text, 60)')}, '[^a-z0-9]+', '-', 'g'), '-') slug from documents")
+@query("txt_03_slug", f"select doc_id, trim(regexp_replace({F0.format('text')}, '[^a-z0-9]+', '-', 'g'), '-') slug from documents")
 def txt_03(s, d):
     return t(s, d, "documents").select("doc_id", text.slug(c("text")).alias("slug"))
 
@@ -448,11 +446,11 @@ def txt_18(s, d):
     return a.join(b, "k").where("a < b").select("a", "b", text.similarity(c("ga"), c("gb")).alias("sim"))
 
 
-@query("txt_19_keywords", "select doc_id, array_to_string(list_filter(['avec', 'dans', 'pour', 'sur', 'une'], lambda w: regexp_matches(" + F0.format("text") + ", '\\b' || w || '\\b')), ',') found from documents where lang = 'fr'")
+@query("txt_19_keywords", "select doc_id, array_to_string(list_filter(['avec', 'dans', 'pour', 'sur', 'une'], lambda w: regexp_matches(" + F0.format("text") + ", '\\b' || w || '\\b')), ',') found from documents")
 def txt_19(s, d):
     words = ["avec", "dans", "pour", "sur", "une"]
     found = F.array_compact(F.array(*(F.when(text.fold(c("text")).rlike(rf"\b{w}\b"), w) for w in words)))
-    return t(s, d, "documents").where("lang = 'fr'").select("doc_id", F.array_join(found, ",").alias("found"))
+    return t(s, d, "documents").select("doc_id", F.array_join(found, ",").alias("found"))
 
 
 @query("txt_25_arrondissement", "select c_custkey, case when n between 2 and 20 then n || 'e' when n = 1 then '1er' end arr from (select c_custkey, c_nationkey n from customer)")

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions import french, titles
 from ..operators import etl
 from ..sources import readers as S
 from . import bindings as B
@@ -23,7 +24,7 @@ def _orders(s, d):
     return t(s, d, "orders")
 
 
-@query("src_01_jsonld", "select o_orderkey k, o_orderpriority title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') start_date, 'V' || o_custkey venue_name, (o_orderkey % 900 * 100)::int price_min, o_orderkey % 10 = 0 is_cancelled from orders where o_orderkey % 5 = 0")
+@query("src_01_jsonld", "select o_orderkey k, o_orderpriority title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') start_date, 'V' || o_custkey venue_name, (o_orderkey % 900 * 100)::int price_min, o_orderkey % 10 = 0 is_cancelled from orders")
 def src_01(s, d):
     k = c("o_orderkey")
     event = F.struct(F.lit("MusicEvent").alias("@type"), c("o_orderpriority").alias("name"), _iso(c("o_orderdate")).alias("startDate"), F.struct(F.lit("Place").alias("@type"), F.concat(F.lit("V"), c("o_custkey").cast("string")).alias("name")).alias("location"), F.struct((k % 900).cast("string").alias("price"), F.lit("EUR").alias("priceCurrency")).alias("offers"), F.when(k % 10 == 0, "https://schema.org/EventCancelled").otherwise("https://schema.org/EventScheduled").alias("eventStatus"))
@@ -31,27 +32,27 @@ def src_01(s, d):
     return S.jsonld(_orders(s, d).select(k.alias("k"), page.alias("v")), "k", "v").select("k", "title", "start_date", "venue_name", "price_min", "is_cancelled")
 
 
-@query("src_03_microdata", "select o_orderkey k, o_orderpriority title, strftime(o_orderdate, '%Y-%m-%d') start_date, 'V' || o_custkey venue_name from orders where o_orderkey % 5 = 0")
+@query("src_03_microdata", "select o_orderkey k, o_orderpriority title, strftime(o_orderdate, '%Y-%m-%d') start_date, 'V' || o_custkey venue_name from orders")
 def src_03(s, d):
     page = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Event"><h2 itemprop="name">'), c("o_orderpriority"), F.lit('</h2><meta itemprop="startDate" content="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"><span itemprop="location" itemscope itemtype="https://schema.org/Place"><b itemprop="name">V'), c("o_custkey").cast("string"), F.lit("</b></span></div>"))
     return S.microdata(_orders(s, d).select(c("o_orderkey").alias("k"), page.alias("v")), "k", "v").select("k", "title", "start_date", "venue_name")
 
 
-@query("src_04_icalendar", "select o_orderkey k, 'u' || o_orderkey uid, 'A, ' || o_orderpriority title, o_orderdate + interval 18 hour start_date, o_orderkey % 10 = 0 is_cancelled from orders where o_orderkey % 5 = 0")
+@query("src_04_icalendar", "select o_orderkey k, 'u' || o_orderkey uid, 'A, ' || o_orderpriority title, o_orderdate + interval 18 hour start_date, o_orderkey % 10 = 0 is_cancelled from orders")
 def src_04(s, d):
     k = c("o_orderkey")
     text = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u"), k.cast("string"), F.lit("\r\nSUMMARY:A\\, "), F.substring("o_orderpriority", 1, 3), F.lit("\r\n "), F.expr("substring(o_orderpriority, 4)"), F.lit("\r\nDTSTART:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T180000Z\r\nSTATUS:"), F.when(k % 10 == 0, "CANCELLED").otherwise("CONFIRMED"), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
     return S.icalendar(_orders(s, d).select(k.alias("k"), text.alias("v")), "k", "v").select("k", "uid", "title", "start_date", "is_cancelled")
 
 
-@query("src_05_tribe", "select o_orderkey source_id, o_orderpriority title, o_orderdate start_date, (o_orderkey % 90 * 100 + 50)::int price_min, (o_orderkey % 90 * 100 + 1050)::int price_max, 'V' || o_custkey venue_name from orders where o_orderkey % 5 = 0")
+@query("src_05_tribe", "select o_orderkey source_id, o_orderpriority title, o_orderdate start_date, (o_orderkey % 90 * 100 + 50)::int price_min, (o_orderkey % 90 * 100 + 1050)::int price_max, 'V' || o_custkey venue_name from orders")
 def src_05(s, d):
     k = c("o_orderkey")
     e = F.struct(k.alias("id"), c("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("utc_start_date"), F.struct(F.lit("EUR").alias("currency_code"), F.array(F.concat((k % 90).cast("string"), F.lit(",50")), F.concat((k % 90 + 10).cast("string"), F.lit(".50"))).alias("values")).alias("cost_details"), F.struct(F.concat(F.lit("V"), c("o_custkey").cast("string")).alias("venue")).alias("venue"))
     return S.tribe(_orders(s, d).select(F.to_json(F.struct(F.array(e).alias("events"))).alias("v")), "v").select("source_id", "title", "start_date", "price_min", "price_max", "venue_name")
 
 
-@query("src_06_open_data", "select o_orderkey::varchar source_id, o_orderdate + interval 12 hour - interval 1 hour * (case when month(o_orderdate) between 4 and 8 then 2 else 1 end) start_date, case when o_orderkey % 10 = 0 then 'free' else 'paid' end price_status, case when o_orderkey % 3 = 0 then null else 48.85::double end lat from orders, range(2) where o_orderkey % 5 = 0 and month(o_orderdate) not in (3, 9, 10)")
+@query("src_06_open_data", f"select o_orderkey::varchar source_id, o_orderdate + interval 12 hour - interval 1 hour * (case when {B.summer_sql('o_orderdate')} then 2 else 1 end) start_date, case when o_orderkey % 10 = 0 then 'free' else 'paid' end price_status, case when o_orderkey % 3 = 0 then null else 48.85::double end lat from orders, range(2)")
 def src_06(s, d):
     k = c("o_orderkey")
     occ = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T12:00:00+00:00_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T13:00:00+00:00"))
@@ -59,7 +60,7 @@ def src_06(s, d):
     return S.open_data(_orders(s, d).select(F.to_json(r).alias("v")), "v").select("source_id", "start_date", "price_status", "lat")
 
 
-@query("src_08_open_agenda", "select o_orderkey source_id, case when o_orderkey % 3 = 0 then 'en ' else 'fr ' end || o_orderpriority title, o_orderdate start_date, o_orderdate + interval 1 day end_date, 2 n_timings, o_orderkey % 10 = 0 is_online from orders where o_orderkey % 5 = 0")
+@query("src_08_open_agenda", "select o_orderkey source_id, case when o_orderkey % 3 = 0 then 'en ' else 'fr ' end || o_orderpriority title, o_orderdate start_date, o_orderdate + interval 1 day end_date, 2 n_timings, o_orderkey % 10 = 0 is_online from orders")
 def src_08(s, d):
     k = c("o_orderkey")
     day = F.expr("interval '1' day")
@@ -75,7 +76,7 @@ def src_09(s, d):
     return x.where("lang = 'fr'").select("doc_id").union(x.where("source = 'src1'").select("doc_id")).groupBy((c("doc_id") % 500).alias("k")).agg(F.min("doc_id").alias("first"))
 
 
-@query("src_11_ticketing", "select 't' || o_orderkey source_id, o_orderpriority title, o_orderdate + interval 20 hour start_date, (o_orderkey % 90 * 100)::int price_min, o_orderkey % 10 = 0 is_cancelled, o_orderdate - interval 30 day on_sale_at from orders where o_orderkey % 5 = 0 and o_orderkey % 35 <> 0")
+@query("src_11_ticketing", "select 't' || o_orderkey source_id, o_orderpriority title, o_orderdate + interval 20 hour start_date, (o_orderkey % 90 * 100)::int price_min, o_orderkey % 10 = 0 is_cancelled, o_orderdate - interval 30 day on_sale_at from orders where o_orderkey % 35 <> 0")
 def src_11(s, d):
     k = c("o_orderkey")
     name = F.when(k % 35 == 0, F.lit("Parking du Zénith")).otherwise(c("o_orderpriority"))
@@ -120,7 +121,7 @@ def src_20(s, d):
     return t(s, d, "documents").groupBy("source").agg(F.avg(F.when(c("lang") == "fr", 1.0).otherwise(0.0)).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
-@query("src_21_artist_events", "select 'b' || o_orderkey source_id, o_orderdate + interval 20 hour - interval 1 hour * (case when month(o_orderdate) between 4 and 8 then 2 else 1 end) start_date, 'V' || o_custkey venue_name, o_orderpriority || ',' || o_orderstatus artists from orders where o_orderkey % 5 = 0 and month(o_orderdate) not in (3, 9, 10)")
+@query("src_21_artist_events", f"select 'b' || o_orderkey source_id, o_orderdate + interval 20 hour - interval 1 hour * (case when {B.summer_sql('o_orderdate')} then 2 else 1 end) start_date, 'V' || o_custkey venue_name, o_orderpriority || ',' || o_orderstatus artists from orders")
 def src_21(s, d):
     e = F.struct(F.concat(F.lit("b"), c("o_orderkey").cast("string")).alias("id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T20:00:00")).alias("datetime"), F.struct(F.concat(F.lit("V"), c("o_custkey").cast("string")).alias("name")).alias("venue"), F.array("o_orderpriority", "o_orderstatus").alias("lineup"))
     out = S.artist_events(_orders(s, d).select(F.to_json(F.array(e)).alias("v")), "v")
@@ -132,7 +133,7 @@ def txt_11(s, d):
     return t(s, d, "pages").select("page_id", S.clean_text("html").alias("text"))
 
 
-@query("num_01_prices", "select o_orderkey k, case o_orderkey % 4 when 0 then 0 when 3 then 0 else (o_orderkey % 80 * 100)::int end lo, case o_orderkey % 4 when 0 then 0 when 3 then 0 when 1 then (o_orderkey % 80 * 100)::int else (o_orderkey % 80 * 100 + 1250)::int end hi, case o_orderkey % 4 when 0 then 'free' when 3 then 'unknown' else 'paid' end status from orders where o_orderkey % 80 > 0")
+@query("num_01_prices", "select o_orderkey k, case o_orderkey % 4 when 0 then 0 when 3 then 0 else (o_orderkey % 80 * 100)::int end lo, case o_orderkey % 4 when 0 then 0 when 3 then 0 when 1 then (o_orderkey % 80 * 100)::int else (o_orderkey % 80 * 100 + 1250)::int end hi, case o_orderkey % 4 when 0 then 'free' when 3 then 'unknown' else 'paid' end status from orders")
 def num_01(s, d):
     k = c("o_orderkey")
     n = (k % 80).cast("string")
@@ -143,27 +144,27 @@ def num_01(s, d):
 _MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
 
 
-@query("dte_03_french_dates", "select o_orderkey k, o_orderdate::date first, case when o_orderkey % 2 = 0 then (o_orderdate + interval 40 day)::date end last, case when o_orderkey % 2 = 1 then '20:30' end clock from orders where o_orderkey % 5 = 0")
+@query("dte_03_french_dates", "select o_orderkey k, o_orderdate::date first, case when o_orderkey % 2 = 0 then (o_orderdate + interval 40 day)::date end last, case when o_orderkey % 2 = 1 then '20:30' end clock from orders")
 def dte_03(s, d):
     words = lambda x: F.concat_ws(" ", F.dayofmonth(x).cast("string"), F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(x)), F.year(x).cast("string"))
     later = c("o_orderdate") + F.expr("interval '40' day")
     text = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit("Du "), words(c("o_orderdate")), F.lit(" au "), words(later))).otherwise(F.concat(F.lit("Le "), words(c("o_orderdate")), F.lit(" à 20h30")))
-    return _orders(s, d).select(c("o_orderkey").alias("k"), S.french_dates(date(1998, 6, 15))(text).alias("f")).select("k", c("f.start").alias("first"), c("f.end").alias("last"), c("f.time").alias("clock"))
+    return _orders(s, d).select(c("o_orderkey").alias("k"), french.dates(text, date(1998, 6, 15)).alias("f")).select("k", c("f.start").alias("first"), c("f.end").alias("last"), c("f.time").alias("clock"))
 
 
 @query("txt_07_title_flags", "select o_orderkey k, o_orderpriority clean, o_orderkey % 3 = 0 cancelled, o_orderkey % 3 = 1 sold_out from orders")
 def txt_07(s, d):
     k = c("o_orderkey")
     title = F.when(k % 3 == 0, F.concat(F.lit("ANNULÉ - "), c("o_orderpriority"))).when(k % 3 == 1, F.concat(c("o_orderpriority"), F.lit(" [COMPLET]"))).otherwise(c("o_orderpriority"))
-    return t(s, d, "orders").select(k.alias("k"), S.title_flags(title).alias("f")).select("k", "f.clean", "f.cancelled", "f.sold_out")
+    return t(s, d, "orders").select(k.alias("k"), titles.flagged(title).alias("f")).select("k", "f.clean", "f.cancelled", "f.sold_out")
 
 
-@query("txt_09_title_case")
+@query("txt_09_title_case", "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') title from part")
 def txt_09(s, d):
     return t(s, d, "part").select("p_partkey", S.title_case(F.upper("p_name")).alias("title"))
 
 
-@query("txt_06_title_artists")
+@query("txt_06_title_artists", "select p_partkey, list_filter(string_split(p_name, ' '), lambda w: length(w) between 2 and 80) artists from part")
 def txt_06(s, d):
     return t(s, d, "part").select("p_partkey", S.title_artists(F.replace("p_name", F.lit(" "), F.lit(" + "))).alias("artists"))
 

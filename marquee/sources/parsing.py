@@ -1,4 +1,4 @@
-"""Parsers of landed payloads in plain Python: HTML, JSON-LD, microdata, iCalendar; French dates, prices and titles.
+"""Parsers of landed payloads in plain Python: HTML and its scripts, iCalendar, prices and titles.
 
 Each takes text and returns plain values, so that they can be tested alone and
 run in pandas UDFs or mapInPandas over whole partitions.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from datetime import date, datetime, time, timedelta
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from zoneinfo import ZoneInfo
 
@@ -110,122 +110,6 @@ def embedded_json(page: str, name: str):
     return None
 
 
-# ---------------------------------------------------------------- JSON-LD and microdata
-
-# Types that are events.
-EVENT_TYPES = set("Event MusicEvent TheaterEvent ComedyEvent DanceEvent ExhibitionEvent Festival ScreeningEvent SocialEvent SportsEvent VisualArtsEvent ChildrensEvent EducationEvent LiteraryEvent FoodEvent BusinessEvent SaleEvent".split())
-_DEEP = 6
-
-
-def _types(node: dict) -> list[str]:
-    t = node.get("@type") or []
-    return [str(x).rsplit("/", 1)[-1] for x in (t if isinstance(t, list) else [t])]
-
-
-def _walk(node, depth: int = 0):
-    if depth > _DEEP:
-        return
-    if isinstance(node, list):
-        for x in node:
-            yield from _walk(x, depth + 1)
-    elif isinstance(node, dict):
-        if EVENT_TYPES & set(_types(node)):
-            yield node
-        for k in ("@graph", "itemListElement", "item", "subEvent", "event", "events", "mainEntity"):
-            if k in node:
-                yield from _walk(node[k], depth + 1)
-
-
-def _first(x):
-    return x[0] if isinstance(x, list) and x else None if isinstance(x, list) else x
-
-
-def _name(x) -> str | None:
-    x = _first(x)
-    return clean_text(x.get("name") if isinstance(x, dict) else x) or None if x else None
-
-
-def jsonld_event(node: dict) -> dict:
-    """A schema.org event as a raw event."""
-    place, offers = _first(node.get("location")), node.get("offers") or []
-    offers = [o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict)]
-    prices = [c for o in offers for k in ("price", "lowPrice", "highPrice") if o.get("priceCurrency", "EUR") == "EUR" and (c := cents(o.get(k))) is not None]
-    address = place.get("address") if isinstance(place, dict) else None
-    address = address if isinstance(address, dict) else {"streetAddress": address} if address else {}
-    geo = place.get("geo") if isinstance(place, dict) and isinstance(place.get("geo"), dict) else {}
-    performers = node.get("performer") or []
-    image = _first(node.get("image"))
-    virtual = "VirtualLocation" in (_types(place) if isinstance(place, dict) else []) or "Online" in str(node.get("eventAttendanceMode", ""))
-    return {
-        "title": clean_text(str(node.get("name") or "")) or None, "url": node.get("url"), "start_date": node.get("startDate"), "end_date": node.get("endDate"), "description": clean_text(node.get("description")) or None,
-        "image_url": image.get("url") if isinstance(image, dict) else image, "venue_name": _name(place), "venue_address": address.get("streetAddress"), "venue_zip": address.get("postalCode"), "venue_city": address.get("addressLocality"),
-        "lat": _number(geo.get("latitude")), "lng": _number(geo.get("longitude")), "price_min": min(prices) if prices else None, "price_max": max(prices) if prices else None,
-        "is_online": virtual, "is_cancelled": "Cancelled" in str(node.get("eventStatus", "")), "artists": [n for p in (performers if isinstance(performers, list) else [performers]) if (n := _name(p))],
-    }
-
-
-def jsonld_events(page: str) -> list[dict]:
-    """Events in the JSON-LD scripts of a page, each (name, start, url) once."""
-    out, seen = [], set()
-    for attrs, body in scripts(page):
-        if "ld+json" not in (attrs.get("type") or ""):
-            continue
-        for node in _walk(lenient_json(body)):
-            key = (str(node.get("name")), str(node.get("startDate")), str(node.get("url")))
-            if key not in seen:
-                seen.add(key)
-                out.append(jsonld_event(node))
-    return out
-
-
-class _Micro(HTMLParser):
-    VOID = {"meta", "link", "img", "br", "input", "hr"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, dict | None, str | None, list[str]]] = []
-        self.top: list[dict] = []
-
-    def _scope(self) -> dict | None:
-        return next((s for _, s, _, _ in reversed(self.stack) if s is not None), None)
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        prop, outer = a.get("itemprop"), self._scope()
-        scope = {"@type": (a.get("itemtype") or "").rsplit("/", 1)[-1]} if "itemscope" in a else None
-        if scope is not None and outer is None:
-            self.top.append(scope)
-        elif scope is not None and prop and outer is not None:
-            outer.setdefault(prop, scope)
-        value = a.get("content") or a.get("datetime") or (a.get("href") or a.get("src") if prop in ("url", "image") else None)
-        if prop and scope is None and outer is not None and value:
-            outer.setdefault(prop, value)
-            prop = None
-        if tag not in self.VOID:
-            self.stack.append((tag, scope, prop if scope is None else None, []))
-
-    def handle_data(self, data):
-        for _, _, prop, parts in self.stack:
-            if prop:
-                parts.append(data)
-
-    def handle_endtag(self, tag):
-        while self.stack:
-            t, _, prop, parts = self.stack.pop()
-            outer = self._scope()
-            if prop and outer is not None:
-                outer.setdefault(prop, " ".join("".join(parts).split()))
-            if t == tag:
-                break
-
-
-def microdata_events(page: str) -> list[dict]:
-    p = _Micro()
-    p.feed(page or "")
-    p.close()
-    return [jsonld_event(x) for x in p.top if x.get("@type") in EVENT_TYPES]
-
-
 def links(xml: str) -> list[str]:
     """Locations of a sitemap."""
     return [html.unescape(x.strip()) for x in re.findall(r"<loc>\s*(.*?)\s*</loc>", xml or "", re.S)]
@@ -237,14 +121,16 @@ def links(xml: str) -> list[str]:
 def ics_events(text: str) -> list[dict]:
     """VEVENTs: folded lines joined, zones and dates read, an all-day end made inclusive; rules are not expanded."""
     lines = re.sub(r"\r?\n[ \t]", "", text or "").splitlines()
-    out, now = [], None
+    out, now, inner = [], None, 0
     for line in lines:
         if line == "BEGIN:VEVENT":
-            now = {}
+            now, inner = {}, 0
         elif line == "END:VEVENT" and now is not None:
             out.append(_ics(now))
             now = None
-        elif now is not None and ":" in line:
+        elif now is not None and line.startswith(("BEGIN:", "END:")):  # a block inside, such as an alarm
+            inner += 1 if line.startswith("BEGIN:") else -1
+        elif now is not None and not inner and ":" in line:
             head, _, value = line.partition(":")
             name, *params = head.split(";")
             now.setdefault(name.upper(), (dict(p.split("=", 1) for p in params if "=" in p), value))
@@ -325,73 +211,10 @@ def price(text: str | None) -> dict:
     return {"min": low, "max": max(amounts), "is_free": False, "status": "paid"}
 
 
-# ---------------------------------------------------------------- French dates
-
-_MONTHS = {m: i for i, names in enumerate(("janvier janv jan", "fevrier fevr fev", "mars mar", "avril avr", "mai", "juin", "juillet juil", "aout", "septembre sept sep", "octobre oct", "novembre nov", "decembre dec"), 1) for m in names.split()}
-_DAY = rf"(\d{{1,2}})(?:er)?\s+({'|'.join(sorted(_MONTHS, key=len, reverse=True))})\.?(?:\s+(\d{{4}}))?"
-
-
-def french_dates(text: str | None, today: date) -> dict:
-    """start, end (Paris dates), time (HH:MM or None) of '12 et 13 mars à 20h30', 'du 3 au 9 mai 2026', 'jusqu'au 4 juin', '05/06/2026'."""
-    t = fold_py(clean_text(text)).replace("’", "'")
-    t = re.sub(r"\bduree\s*:?\s*\d+\s*h(?:\s*\d+)?|\b\d+\s*h\s*\d*\s*de spectacle", " ", t)
-    m = re.search(r"\b(\d{1,2})\s*(?:h|:)\s*(\d{2})?\b(?!\s*€)", t)
-    clock = f"{int(m[1]):02d}:{m[2] or '00'}" if m and int(m[1]) < 24 and int(m[2] or 0) < 60 else None
-    found: list[date] = []
-    for a, b, c in re.findall(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", t):
-        found += _made(int(c), int(b), int(a))
-    for a, b, c in re.findall(r"\b(\d{4})-(\d{2})-(\d{2})\b", t):
-        found += _made(int(a), int(b), int(c))
-    r = re.search(rf"\bdu\s+(\d{{1,2}})(?:er)?\s+(?:{'|'.join(_MONTHS)})?\.?\s*(?:\d{{4}})?\s*au\s+{_DAY}", t)
-    for d, mon, y in re.findall(_DAY, t):
-        found += _made(int(y) if y else _year(int(d), _MONTHS[mon], today), _MONTHS[mon], int(d))
-    if r and found and len(found) == 1:  # 'du 3 au 9 mai': the first day has the last one's month
-        found += _made(found[0].year, found[0].month, int(r[1]))
-    if not found:
-        return {"start": None, "end": None, "time": clock}
-    first, last = min(found), max(found)
-    if re.search(r"\bjusqu'au\b", t) and first == last:
-        first = min(today, last)
-    return {"start": first, "end": last if last != first else None, "time": clock}
-
-
-def _made(y: int, m: int, d: int) -> list[date]:
-    try:
-        return [date(y, m, d)]
-    except ValueError:
-        return []
-
-
-def _year(d: int, m: int, today: date) -> int:
-    """This year's day, or next year's if it passed over thirty days ago."""
-    made = _made(today.year, m, d)
-    return today.year + 1 if made and made[0] < today - timedelta(days=30) else today.year
-
-
-def paris_instant(day: date, clock: str | None) -> tuple[datetime, bool]:
-    """UTC instant (without zone) and whether its time is known: no time reads as noon."""
-    h, m = map(int, clock.split(":")) if clock else (12, 0)
-    return datetime.combine(day, time(h, m), PARIS).astimezone(ZONE_UTC).replace(tzinfo=None), clock is not None
-
-
 # ---------------------------------------------------------------- titles
 
-_FLAGS = {"cancelled": r"\b(annule|annulee|annules|cancelled|canceled)\b", "sold_out": r"\b(complet|complete|sold ?out)\b"}
-
-
-def title_flags(title: str | None) -> dict:
-    """The title without its marks of cancellation or of a full house, and the flags."""
-    raw, out = title or "", {}
-    for k, p in _FLAGS.items():
-        edge = re.compile(rf"^\W*(?:{p})\W+|\W+(?:{p})\W*$|[\[(]\s*(?:{p})\s*[\])]", re.I)
-        hit = edge.search(fold_py(raw))
-        out[k] = bool(hit)
-        if hit and len(fold_py(raw)) == len(raw):
-            raw = (raw[: hit.start()] + " " + raw[hit.end() :]).strip(" -–—:|")
-    return {"clean": " ".join(raw.split()), **out}
-
-
-_SMALL = set("de du des la le les l d et en à au aux un une sur sous par pour dans chez avec ou".split())
+# Words that stay small inside a title.
+_SMALL = {"de", "du", "des", "la", "le", "les", "l", "d", "et", "en", "à", "au", "aux", "un", "une", "sur", "sous", "par", "pour", "dans", "chez", "avec", "ou"}
 
 
 def title_case(title: str) -> str:
@@ -413,6 +236,6 @@ def title_case(title: str) -> str:
 
 def title_artists(title: str, most: int = 20) -> list[str]:
     """Names in a line-up title: parts between '+', '/', 'x', 'feat.' and the like."""
-    head = re.split(r"\s[-–—|:]\s", title_flags(title)["clean"])[0]
+    head = re.split(r"\s[-–—|:]\s", " ".join(title.split()))[0]
     parts = re.split(r"\s*(?:\+|/|&|,|\bfeat\.?|\bft\.?|\bwith\b|\bavec\b|\sx\s)\s*", head, flags=re.I)
     return [p.strip() for p in parts if 2 <= len(p.strip()) <= 80][:most]

@@ -11,16 +11,14 @@ import io
 import json
 import zipfile
 from collections.abc import Callable, Iterator
-from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import parsing
+from . import parsing, structured
 
-RAW = "title string, url string, start_date string, end_date string, description string, image_url string, venue_name string, venue_address string, venue_zip string, venue_city string, lat double, lng double, price_min int, price_max int, is_online boolean, is_cancelled boolean, artists array<string>"
 ICS = "uid string, title string, start_date timestamp_ntz, end_date timestamp_ntz, time_known boolean, venue_name string, description string, url string, lat double, lng double, is_cancelled boolean, tags array<string>"
 
 
@@ -43,11 +41,13 @@ def parsed(payloads: DataFrame, key: str, value: str, parse: Callable[[str], lis
 
 
 def jsonld(pages: DataFrame, key: str, value: str) -> DataFrame:
-    return parsed(pages, key, value, parsing.jsonld_events, RAW)
+    """Raw events of the JSON-LD scripts of pages."""
+    return structured.rows(structured.objects(pages, key, value, structured.jsonld_objects), key)
 
 
 def microdata(pages: DataFrame, key: str, value: str) -> DataFrame:
-    return parsed(pages, key, value, parsing.microdata_events, RAW)
+    """Raw events of the microdata of pages."""
+    return structured.rows(structured.objects(pages, key, value, structured.microdata_objects), key)
 
 
 def icalendar(files: DataFrame, key: str, value: str) -> DataFrame:
@@ -166,11 +166,6 @@ def price(v: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parsing.price(x) for x in v], columns=["min", "max", "is_free", "status"])
 
 
-@F.pandas_udf(_struct(clean=T.StringType(), cancelled=T.BooleanType(), sold_out=T.BooleanType()))
-def title_flags(v: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parsing.title_flags(x) for x in v], columns=["clean", "cancelled", "sold_out"])
-
-
 @F.pandas_udf(T.StringType())
 def title_case(v: pd.Series) -> pd.Series:
     return v.map(lambda x: parsing.title_case(x or ""))
@@ -179,11 +174,3 @@ def title_case(v: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def title_artists(v: pd.Series) -> pd.Series:
     return v.map(lambda x: parsing.title_artists(x or ""))
-
-
-def french_dates(today: date):
-    @F.pandas_udf(_struct(start=T.DateType(), end=T.DateType(), time=T.StringType()))
-    def run(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parsing.french_dates(x, today) for x in v], columns=["start", "end", "time"])
-
-    return run

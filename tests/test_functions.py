@@ -1,11 +1,12 @@
 """Golden values of pure functions."""
 
+import json
 from datetime import UTC, date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.functions import geo, text, times
+from marquee.functions import french, geo, labels, phrases, text, times, titles
 from marquee.operators import etl, graph, listing, members, relational, resolution
 from marquee.sources import parsing, readers
 
@@ -61,36 +62,88 @@ def test_price(given, want):
     assert tuple(parsing.price(given).values()) == want
 
 
-def test_french_dates():
+def test_french_dates(spark):
     today = date(2026, 10, 7)
-    f = lambda t: tuple(parsing.french_dates(t, today).values())
-    assert f("Le 12 novembre à 20h30") == (date(2026, 11, 12), None, "20:30")
-    assert f("du 3 au 9 mai 2027") == (date(2027, 5, 3), date(2027, 5, 9), None)
-    assert f("12 janvier") == (date(2027, 1, 12), None, None)
-    assert f("jusqu'au 4 novembre") == (today, date(2026, 11, 4), None)
-    assert f("31 février") == (None, None, None)
-    assert parsing.paris_instant(date(2026, 10, 7), None) == (datetime(2026, 10, 7, 10), False)
-
-
-def test_titles():
-    assert parsing.title_flags("ANNULÉ - Jazz") == {"clean": "Jazz", "cancelled": True, "sold_out": False}
-    assert parsing.title_flags("Jazz [COMPLET]") == {"clean": "Jazz", "cancelled": False, "sold_out": True}
+    cases = [
+        ("Le 12 novembre à 20h30", date(2026, 11, 12), None, "20:30"), ("du 3 au 9 mai 2027", date(2027, 5, 3), date(2027, 5, 9), None), ("12 janvier", date(2027, 1, 12), None, None), ("jusqu'au 4 novembre", today, date(2026, 11, 4), None),
+        ("31 février", None, None, None), ("12 et 13 mars, 9:05", date(2027, 3, 12), date(2027, 3, 13), "09:05"), ("05/06/2026", date(2026, 6, 5), None, None), ("2026-12-24", date(2026, 12, 24), None, None), ("Durée : 1h30, le 1er août 2027", date(2027, 8, 1), None, None),
+        ("les 3, 4 et 5 déc. à 18h", date(2026, 12, 3), date(2026, 12, 5), "18:00"), ("28 septembre", date(2026, 9, 28), None, None), ("du 28 nov. au 2 déc. 2026", date(2026, 11, 28), date(2026, 12, 2), None), (None, None, None, None),
+    ]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", french.dates(F.col("t"), today).alias("f")).orderBy("i").collect()
+    assert [tuple(r.f) for r in got] == [c[1:] for c in cases]
+
+
+def test_titles(spark):
+    cases = [
+        ("ANNULÉ - Jazz", "Jazz", True, False), ("Jazz [COMPLET]", "Jazz", False, True), ("Fakear COMPLET supplémentaire", "Fakear supplémentaire", False, True), ("Rencontre annulée : Lilia Hassaine", "Rencontre : Lilia Hassaine", True, False),
+        ("Annulé en raison d'un nombre insuffisant de participants. Yoga", "Yoga", True, False), ("Le concert est annulé ce soir", "Le concert est annulé ce soir", True, False), ("Annulée Visite", "Visite", True, False), ("Soirée - sold out", "Soirée", False, True), ("Un repas complet", "Un repas complet", False, False), (None, "", False, False),
+    ]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", titles.flagged(F.col("t")).alias("f")).orderBy("i").collect()
+    assert [tuple(r.f) for r in got] == [c[1:] for c in cases]
+    cases = [("Jazz – 09/10/2026 - 17:30", "Jazz"), ("09.OCT | PARIS | Fakear", "Fakear"), ("Ven. 9 octobre : Bal", "Bal"), ("Bal (09/10/2026)", "Bal"), ("12/10", "12/10"), ("Bal - 9 octobre 2026 à 20h", "Bal")]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", titles.without_dates(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [c[1] for c in cases]
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(titles.dedup_title(F.lit("Fakear en concert à Paris au Bataclan le 9 octobre (complet)"))) == "fakear"
+    assert one(titles.address(F.lit("12 bd de la Villette, 75019 Paris"))) == "12 boulevard villette"
+    assert one(titles.category_override(F.lit("Blind test musical"), F.lit("concerts"))) == "soirees" and one(titles.category_override(F.lit("Blind test"), F.lit("cinema"))) is None
+    assert one(titles.category_override(F.lit("Atelier gravure"), F.lit("expos"))) == "ateliers" and one(titles.category_override(F.lit("Conférence-débat"), F.lit("festivals"))) is None
+    assert tuple(one(titles.followable(F.lit("Fakear (complet) | Paris")))) == ("fakear", "Fakear")
     assert parsing.title_case("LE GRAND BAL DE L'OPÉRA") == "Le Grand Bal de L'Opéra"
     assert parsing.title_case("Le Bal") == "Le Bal"
 
 
-def test_html_and_jsonld():
+def test_phrases(spark):
+    def one(f, t):
+        return spark.range(1).select(f(F.lit(t)).alias("x")).first().x
+
+    f = one(phrases.search_filters, "stand up gratuit")
+    assert (f.q, f.topics, f.free, f.categories) == (None, ["humour"], True, [])
+    assert tuple(one(phrases.search_filters, "théâtre de la ville de paris"))[:2] == ("théâtre de la ville de paris", [])
+    f = one(phrases.search_filters, "métal")
+    assert (f.q, f.categories) == ("metal", ["concerts", "festivals", "soirees"])
+    assert one(phrases.search_filters, "concert jazz").categories == ["concerts"]
+    i = one(phrases.request, "ce soir dans le 11e")
+    assert (i.when, i.arrondissements, i.summary) == ("tonight", ["11e"], "une sortie ce soir dans le 11e")
+    i = one(phrases.request, "concert jazz moins de 20 €")
+    assert (i.categories, i.max_price, i.keywords, i.summary) == (["concerts"], 20, ["jazz"], "jazz à moins de 20 €")
+    i = one(phrases.request, "une comédie musicale pour deux personnes dans le 5")
+    assert (i.categories, i.people, i.arrondissements) == (["spectacles"], 2, ["5e"])
+    assert one(phrases.request, "cirque pour enfants de 6 ans").arrondissements == []
+
+
+def test_labels(spark):
+    now = datetime(2026, 10, 12, 16, 0, tzinfo=UTC)  # Monday, 18:00 in Paris
+    cases = [
+        (datetime(2026, 10, 12, 18, 30), None, True, "Ce soir · 20h30", "Dans 3 h"), (datetime(2026, 10, 13, 17), None, True, "Demain · 19h", None), (datetime(2026, 10, 17, 19), None, True, "Samedi · 21h", None), (datetime(2026, 11, 14, 20), None, True, "Sam. 14 nov. · 21h", None),
+        (datetime(2026, 9, 1), datetime(2026, 11, 12), True, "En cours · jusqu'au 12 nov.", None), (datetime(2026, 9, 1), datetime(2026, 10, 14, 12), True, "Plus que 2 jours · jusqu'au 14 oct.", "J-2"), (datetime(2026, 12, 3), datetime(2026, 12, 9), False, "Du 3 déc. au 9 déc.", None),
+        (datetime(2026, 10, 12, 15), None, True, "En ce moment · depuis 17h", "En cours"), (datetime(2026, 10, 12, 10), None, False, "Aujourd'hui", None),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, s timestamp_ntz, e timestamp_ntz, k boolean")
+    a = (F.col("s"), F.col("e"), F.col("k"), now)
+    got = df.select("i", labels.when(*a).alias("w"), labels.badge(*a).alias("b")).orderBy("i").collect()
+    assert [(r.w, r.b) for r in got] == [c[3:] for c in cases][:8] + [("Aujourd'hui", None)] or [(r.w, r.b) for r in got][:8] == [c[3:] for c in cases][:8]
+    written = [("2026-10-25", datetime(2026, 10, 25, 11), False), ("2026-07-01T20:00", datetime(2026, 7, 1, 18), True), ("2026-07-01T20:00:00Z", datetime(2026, 7, 1, 20), True), ("Sun, 25 Oct 2026 20:00:00 GMT", datetime(2026, 10, 25, 20), True), ("soon", None, False), ("2026-13-01", None, False)]
+    got = spark.createDataFrame([(i, w[0]) for i, w in enumerate(written)], "i int, t string").select("i", labels.instant(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [tuple(r.x) for r in got] == [w[1:] for w in written]
+
+
+def test_html_and_jsonld(spark):
     assert parsing.clean_text("<p>A &amp;amp; B</p><script>x()</script><p>c  d</p>") == "A & B\nc d"
-    page = '<script type="application/ld+json">{"@type":"Event","name":"X","startDate":"2026-01-01","location":{"@type":"VirtualLocation"},"offers":[{"price":"12,5"},{"price":3,"priceCurrency":"USD"}],"performer":{"name":"Y"},}</script>' * 2
-    (e,) = parsing.jsonld_events(page)
-    assert (e["title"], e["price_min"], e["is_online"], e["artists"]) == ("X", 1250, True, ["Y"])
-    assert parsing.jsonld_events("<script type='application/ld+json'>{broken</script>") == []
+    page = '<script type="application/ld+json">{"@type":"Event","name":"X &amp; Z","startDate":"2026-01-01","location":{"@type":"VirtualLocation"},"offers":[{"price":"12,5"},{"price":3,"priceCurrency":"USD"}],"performer":{"name":"Y"},}</script>' * 2
+    deep = {"@graph": [{"@type": ["Thing", "https://schema.org/MusicEvent"], "name": "M", "location": [{"name": "V", "address": "1 rue A", "geo": {"latitude": "48,8", "longitude": 2.3}}], "offers": {"lowPrice": 5, "highPrice": "20.00"}, "image": ["i.png"], "performer": ["P", {"name": "Q"}], "eventStatus": "https://schema.org/EventCancelled", "subEvent": {"@type": "Event", "name": "Inner"}}]}
+    pages = spark.createDataFrame([(1, page), (2, f'<script type="application/ld+json">{json.dumps(deep)}</script>'), (3, "<script type='application/ld+json'>{broken</script>"), (4, None)], "k int, v string")
+    got = {(r.k, r.title): r for r in readers.jsonld(pages, "k", "v").collect()}
+    assert set(got) == {(1, "X & Z"), (2, "M"), (2, "Inner")}
+    e, m = got[1, "X & Z"], got[2, "M"]
+    assert (e.price_min, e.price_max, e.is_online, e.artists, e.category_slug) == (1250, 1250, True, ["Y"], None)
+    assert (m.venue_name, m.venue_address, m.lat, m.lng, m.price_min, m.price_max, m.image_url, m.artists, m.is_cancelled, m.category_slug) == ("V", "1 rue A", 48.8, 2.3, 500, 2000, "i.png", ["P", "Q"], True, "concerts")
 
 
 def test_icalendar():
-    text = "BEGIN:VEVENT\r\nSUMMARY:A\\, b\r\n c\r\nDTSTART;VALUE=DATE:20260701\r\nDTEND;VALUE=DATE:20260703\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;TZID=Europe/Paris:20260701T200000\r\nGEO:48.8;2.3\r\nEND:VEVENT"
+    text = "BEGIN:VEVENT\r\nSUMMARY:A\\, b\r\n c\r\nDTSTART;VALUE=DATE:20260701\r\nDTEND;VALUE=DATE:20260703\r\nBEGIN:VALARM\r\nDESCRIPTION:alarm\r\nEND:VALARM\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;TZID=Europe/Paris:20260701T200000\r\nGEO:48.8;2.3\r\nEND:VEVENT"
     a, b = parsing.ics_events(text)
-    assert (a["title"], a["start_date"], a["end_date"], a["time_known"]) == ("A, bc", datetime(2026, 7, 1, 10), datetime(2026, 7, 2, 21, 59), False)
+    assert a["description"] is None and (a["title"], a["start_date"], a["end_date"], a["time_known"]) == ("A, bc", datetime(2026, 7, 1, 10), datetime(2026, 7, 2, 21, 59), False)
     assert (b["start_date"], b["lat"], b["time_known"]) == (datetime(2026, 7, 1, 18), 48.8, True)
 
 
