@@ -27,8 +27,11 @@ similarity is at least ``percent`` / 100; a class is what links connect.
   first one. That joins what is alike in a time that grows with the home; where
   classes remain apart, all nodes outside the home's largest class are compared
   with each other and with that class.
-* Other keys that still hold nodes of several classes and homes are compared
-  like that too, nodes of different homes only.
+* Other keys that still hold nodes of several classes are compared like that
+  too, in rounds: each node names the most common of its open keys, and the nodes
+  of every named key visit it. A key whose nodes have all met at one visited key
+  is done, so families that share many keys meet a few times, not once a key. The
+  last round takes all keys that are still open.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
 blocks, only links that join two classes leave a task, and no pair is ever a
@@ -43,6 +46,8 @@ bits of a hash. Other columns stay out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +62,7 @@ MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
 LEAST_COUNT = 4
 BLOCK = 1_024
+ROUNDS = 4  # in which nodes visit the most common of their open keys
 _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -212,26 +218,32 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     best = alive.join(size, "key").groupBy("node").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
     place = table(best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "jaccard-homes")
     edges = [verify(_first_blocks(place, block), place)]
-    labels = connected_components(edges[0])
-    state = place.select("node", F.col("key").alias("home"), "c").join(labels.select("node", F.col("component").alias("comp")), "node", "left")
-    state = table(state.withColumn("comp", F.coalesce("comp", "node")), "jaccard-state")
-    drop(place)
-
+    state = _labelled(place, edges)
     wide = state.where(F.col("c") > block)
     edges += _compared(wide.select("node", F.col("home").alias("key"), "comp"), verify, block, [])
-    seen = alive.join(state.drop("c"), "node")
-    open_ = seen.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("z"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and a <> z").select("key")
-    edges += _compared(seen.join(open_, "key").select("node", "key", "comp", "home"), verify, block, ["home"])
-    drop(alive, state, who)
+    visited, sets_ = [table(place.select("node", "key"), "jaccard-visited")], None
+    for last in [False] * ROUNDS + [True]:
+        drop(state)
+        state = _labelled(place, edges)
+        seen = alive.join(state.drop("c"), "node")
+        open_ = table(_open(seen, visited), "jaccard-open")
+        keys_ = open_ if last else seen.join(open_, "key").groupBy("node").agg(F.max(F.struct("n", "key")).getField("key").alias("key"))
+        rows = table(seen.join(keys_.select("key").distinct(), "key").select("node", "key", "comp", "home"), "jaccard-visits")
+        visited.append(rows)
+        if rows.isEmpty():
+            drop(open_)
+            break
+        if sets_ is None:  # later rounds know no other nodes: what is open stays open or closes
+            sets_ = verify.sets_of(seen.join(open_, "key"))
+        drop(open_)
+        edges += _compared(rows, verify, block, ["home"], sets_)
+    drop(alive, place, state, who, *visited, *([sets_] if sets_ is not None else []))
 
     ids = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("a"), F.max(F.struct("h1", "h2", "n")).alias("z")).where("a <> z").select("doc_id")
     again = known.join(ids, "doc_id").join(nodes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
     again = table(again.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).select("a", F.explode("b").alias("b")), "jaccard-links")  # different texts of one id
     edges.append(again)
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    labels = connected_components(every)
+    labels = connected_components(reduce(DataFrame.unionByName, edges))
     drop(*edges)
     joined = nodes.join(labels, "node", "left")
     least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
@@ -243,6 +255,22 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     return out
 
 
+def _labelled(place: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """node, home, c and comp (the class so far) of every node of place, written."""
+    labels = connected_components(reduce(DataFrame.unionByName, edges))
+    state = place.select("node", F.col("key").alias("home"), "c").join(labels.select("node", F.col("component").alias("comp")), "node", "left")
+    return table(state.withColumn("comp", F.coalesce("comp", "node")), "jaccard-state")
+
+
+def _open(seen: DataFrame, visited: list[DataFrame]) -> DataFrame:
+    """(key, n nodes) of the keys with nodes of several classes, unless all its nodes have met at one visited key."""
+    groups = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
+    past = reduce(DataFrame.unionByName, (v.select("node", F.col("key").alias("at")) for v in visited))
+    met = seen.join(groups.select("key"), "key").select("node", "key").join(past, "node").groupBy("key", "at").agg(F.count(F.lit(1)).alias("m"))
+    met = met.groupBy("key").agg(F.max("m").alias("m"))
+    return groups.join(met, "key", "left").where("m is null or m < n").select("key", "n")
+
+
 def _frequent(docs: DataFrame, words: int, most: int) -> np.ndarray:
     """Hashes of the frequent class in order."""
 
@@ -356,7 +384,16 @@ class _Verifier:
         held = self.docs.where("doc_id is not null").mapInArrow(gather, "rep long, h1 long, set binary")
         return held.join(wanted, ["rep", "h1"]).select("node", "set")
 
-    def __call__(self, rows: DataFrame, nodes: DataFrame, homes: tuple[str, ...] = ()) -> DataFrame:
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of nodes that are looked at again and again, written."""
+        wanted = table(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
+        bits = self.docs.sparkSession.sparkContext.broadcast(filters.build(wanted.select("rep")))
+        out = table(self._sets(wanted, bits), "jaccard-sets", compression="none")
+        bits.destroy()
+        drop(wanted)
+        return out
+
+    def __call__(self, rows: DataFrame, nodes: DataFrame, homes: tuple[str, ...] = (), sets: DataFrame | None = None) -> DataFrame:
         """Links (a, b) within the groups (key, kind, i, j) of rows, which are about nodes, written; sides 0 and 1 are held against each other, side -1 within."""
         percent = self.percent
 
@@ -370,9 +407,12 @@ class _Verifier:
                 found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), past, [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in first], side, percent)
             return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
+        links = lambda held: table(rows.join(held, "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
+        if sets is not None:
+            return links(sets)
         wanted = table(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
         bits = self.docs.sparkSession.sparkContext.broadcast(filters.build(wanted.select("rep")))
-        out = table(rows.join(self._sets(wanted, bits), "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
+        out = links(self._sets(wanted, bits))
         bits.destroy()
         drop(wanted)
         return out
@@ -400,13 +440,13 @@ def _first_blocks(place: DataFrame, block: int) -> DataFrame:
     return _spots(rows, spots)
 
 
-def _compared(rows: DataFrame, verify: _Verifier, block: int, homes: list[str]) -> list[DataFrame]:
+def _compared(rows: DataFrame, verify: _Verifier, block: int, homes: list[str], sets: DataFrame | None = None) -> list[DataFrame]:
     """Links of rows (node, key, comp, homes) between different classes of a key: nodes outside its largest class with all others."""
     rows = rows.distinct()
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mains = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
-    mains = mains.select("key", F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c")).alias("no"), blocks(F.col("m.c")).alias("nm"))
+    mains = mains.select("key", F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c")).alias("no"), blocks(F.col("m.c")).alias("nm"), (F.col("c") <= block).alias("one"))
     rows = table(rows.join(mains, "key"), "jaccard-groups")
     out = []
     if not rows.isEmpty():
@@ -415,6 +455,8 @@ def _compared(rows: DataFrame, verify: _Verifier, block: int, homes: list[str])
         own = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda o: _spot(0, F.least(b, o), F.greatest(b, o), F.when(b == o, -1).when(b > o, 1).otherwise(0)))
         to_main = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda m: _spot(1, b, m, F.lit(0)))
         from_main = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda o: _spot(1, o, b, F.lit(1)))
-        out.append(verify(_spots(rows, F.when(apart, F.concat(own, to_main)).otherwise(from_main), *homes), rows, tuple(homes)))
+        all_in_one = F.array(_spot(0, F.lit(0), F.lit(0), F.lit(-1)))
+        spots = F.when(F.col("one"), all_in_one).when(apart, F.concat(own, to_main)).otherwise(from_main)
+        out.append(verify(_spots(rows, spots, *homes), rows, tuple(homes), sets))
     drop(rows)
     return out
