@@ -30,30 +30,49 @@ def _path(df_or_spark, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def table(df: DataFrame, name: str, **options: str) -> DataFrame:
+def table(df: DataFrame, name: str, buckets: int = 0, by: str = "", at: str | None = None, **options: str) -> DataFrame:
     """Written as Parquet in the shared folder and read again, so that a lost executor costs no recomputation.
 
     The write's shuffle files go as soon as it ends; the table goes with
-    :func:`drop`, or else when the application ends.
+    :func:`drop`, or else when the application ends. With ``buckets`` its rows lie
+    in that many buckets of the column ``by``, so that grouping by it takes no
+    shuffle. With ``at`` the table lies there and stays.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    keep, at = at is not None, at or f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
+    view = f"{name.replace('-', '_')}_{uuid.uuid4().hex}" if buckets else None
+    writer = df.write.options(**({"compression": "zstd"} | options))
     try:
-        df.write.options(**({"compression": "zstd"} | options)).parquet(at)
+        if view:
+            writer.format("parquet").bucketBy(buckets, by).option("path", at).saveAsTable(view)
+        else:
+            writer.parquet(at)
     finally:
         spark.conf.set(_CLEANUP, before)
-    path, fs = _path(spark, at)
-    fs.deleteOnExit(path)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._written_at = at
+    if not keep:
+        path, fs = _path(spark, at)
+        fs.deleteOnExit(path)
+    out = spark.table(view) if view else spark.read.schema(df.schema).parquet(at)
+    out._written_at, out._view = at, view
+    return out
+
+
+def bucketed(spark: SparkSession, at: str, schema: str, buckets: int, by: str) -> DataFrame:
+    """A bucketed table that :func:`table` once wrote at a place of its own."""
+    view = f"held_{uuid.uuid4().hex}"
+    spark.sql(f"create table {view} ({schema}) using parquet options (path '{at}') clustered by ({by}) into {buckets} buckets")
+    out = spark.table(view)
+    out._written_at, out._view = at, view
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of :func:`table` that nothing reads any more."""
     for df in tables:
+        if getattr(df, "_view", None):
+            df.sparkSession.sql(f"drop table {df._view}")
         path, fs = _path(df, df._written_at)
         fs.delete(path, True)
         fs.cancelDeleteOnExit(path)
