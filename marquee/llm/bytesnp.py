@@ -65,6 +65,13 @@ class Hasher:
         return mix((self.prefix[k:] - self.prefix[:-k]) * self._down[: len(self.prefix) - k])
 
 
+def prefixes(rows: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... bytes of every row of a matrix of short rows."""
+    out = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
+    np.cumsum(_TABLE[rows] * _power("up", rows.shape[1]), axis=1, out=out[:, 1:])
+    return mix(out)
+
+
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _LONG = 256  # bytes beyond which the words of a slice are summed instead of chained
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,23 +80,79 @@ def test_suffix_dedup_empty(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_levels_merge_geometrically():
-    levels = suffix_dedup.Levels()
-    for k in range(16):
-        h = np.arange(k * 10, k * 10 + 10, dtype=np.uint64)
-        met, full = levels.scan(h, h)
-        assert not met.any() and not full.any()
-        levels.add(h, h)
-    assert [len(h) for h, _ in levels.runs] == [160]
-    met, full = levels.scan(np.array([5, 999], np.uint64), np.array([6, 999], np.uint64))
-    assert met.tolist() == [True, False] and full.tolist() == [False, False]
-
-
-def test_packed_entries_come_back():
+def added(tables, s, levels):
+    """What the functions of one batch answer, in this process; appends the batch's level."""
+    some = lambda t, c, x: t.filter(pc.equal(t[c], x))
+    messages = pa.concat_tables([suffix_dedup._building(s)((), t) for t in tables])
+    got = []
+    for p in sorted(set(messages["part"].to_pylist())):
+        held = [some(x, "part", p) for x in levels] or [suffix_dedup._table([], suffix_dedup._SCANNED)]
+        got.append(suffix_dedup._scanning(s, True)((), some(messages, "part", p), held[-1]))
+        got += [suffix_dedup._scanning(s, False)((), some(messages, "part", p), x) for x in held[:-1]]
+    got = pa.concat_tables(got)
+    levels.append(some(got, "kind", 1))
+    out = []
+    for t in tables:
+        out += suffix_dedup._finishing(s, False)((), t, some(some(got, "kind", 0), "block", t["block"][0].as_py())).to_pylist()
+    return [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in out]
+
+
+@pytest.mark.parametrize(("parts", "hot", "piece"), [(1, False, None), (5, False, None), (7, True, None), (3, False, 300)])
+def test_suffix_arrays_against_brute_force(parts, hot, piece, monkeypatch):
+    """Texts of shared fragments with repeated ids, in batches and blocks, by ranges, with hot anchors, and long texts in pieces."""
+    if piece:
+        monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+        monkeypatch.setattr(suffix_dedup, "runs", lambda off: ((i, i + 1) for i in range(len(off) - 1)))
+    rng = random.Random(parts)
+    base = ["".join(rng.choice(["ab", "cde", "fghi", "j", "klmno", "pq é", "rst\n"]) + " " for _ in range(200)) for _ in range(4)]
+    rs = []
+    for i in range(60):
+        cuts = [(rng.choice(base), rng.randrange(400), rng.randrange(20, 160), rng.choice(["", "Q", "zz"])) for _ in range(rng.randrange(1, 6))]
+        rs.append((rng.choice([i, i // 2]), "".join(x[a : a + n] + y for x, a, n, y in cuts)))
+    rs.sort(key=lambda r: r[0])
+    tables = lambda mine, k: [pa.table({"doc_id": pa.array([i for i, _ in mine[b::k]], pa.int64()), "text": pa.array([t for _, t in mine[b::k]], pa.string()), "block": pa.array([b] * len(mine[b::k]), pa.int32())}) for b in range(k)]
+    all_ = suffix_dedup.Block(tables(rs, 1)[0], suffix_dedup.Shape(50, 12, 1, (), ())).rows
+    grams = np.sort(np.ascontiguousarray(all_[:, :12]).view("S12").ravel())
+    cuts = np.unique(grams[np.arange(1, parts) * len(grams) // parts]) if parts > 1 else grams[:0]
+    full = lambda xs: tuple(x.ljust(12, b"\0") for x in xs.tolist())
+    s = suffix_dedup.Shape(50, 12, parts, full(cuts), full(np.unique(grams)[::3]) if hot else ())
+    levels, out = [], []
+    for lo, hi in ((0, 10), (10, 25), (25, 60)):
+        out += added([t for t in tables([r for r in rs if lo <= r[0] < hi], 3) if len(t)], s, levels)
+    assert sorted(out, key=repr) == brute_repeats(rs)
+
+
+def test_entries_come_back():
     rng = np.random.default_rng(1)
-    h, g = suffix_dedup.sorted_pairs(rng.integers(0, 1 << 56, 1000).astype(np.uint64), rng.integers(0, 1 << 48, 1000).astype(np.uint64))
-    a, b = suffix_dedup._unpacked(np.frombuffer(suffix_dedup._packed(h, g), np.uint8))
-    assert (a == h).all() and (b == g).all()
+    buf = rng.integers(97, 100, 3000).astype(np.uint8)
+    s = suffix_dedup.Shape(50, 12, 1, (), ())
+    lo, hi, at = suffix_dedup.anchors(buf, np.array([0, 1000, 3000]), 50, 12)
+    rows = suffix_dedup._entries(buf, lo, hi, at, s)
+    assert (suffix_dedup.unpacked(suffix_dedup.packed(rows, s), s) == rows).all()
+    got = rows[suffix_dedup._ordered(rows)]
+    assert [r.tobytes() for r in got] == sorted(r.tobytes() for r in rows)
+    assert sum(hi - lo + 1) == 3000 - 2 * 49  # each window has one anchor
+    for a, b, p, r in zip(lo, hi, at, rows, strict=True):
+        assert r[: r[-2]].tobytes() == buf[p : b + 50].tobytes() and r[50 : 50 + r[-1]][::-1].tobytes() == buf[a:p].tobytes()
+
+
+def test_family_outlives_a_call(spark, tmp_path):
+    """Batches added one after another, each by a family opened anew from its folder, against brute force over all."""
+    rng = random.Random(3)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(6)]
+    rs = [(i, "".join(rng.choice(passages)[rng.randrange(30) :] + str(i * k) for k in range(rng.randrange(1, 4)))) for i in range(48)]
+    at, out, sizes = f"file://{tmp_path}/family", [], []
+    frame = lambda mine: spark.createDataFrame(mine, "doc_id long, text string")
+    total = sum(len(t) for _, t in rs)
+    family = suffix_dedup.Family(spark, suffix_dedup.shape_of(frame(rs[:6]), total, part_entries=200), at)
+    for k in range(8):
+        if k:
+            family = suffix_dedup.Family.open(spark, at)
+        got = suffix_dedup.removed_in_batch(family, frame(rs[6 * k : 6 * k + 6]), block_bytes=400)
+        out += map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
+        sizes.append([n for n, _ in family.levels])
+    assert sorted(out, key=repr) == brute_repeats(rs)
+    assert all(a >= 2 * b for s in sizes for a, b in zip(s, s[1:], strict=False)) and max(map(len, sizes)) > 1
 
 
 # ---------------------------------------------------------------- 2
