@@ -9,9 +9,9 @@ similarity is at least ``percent`` / 100; a class is what links connect.
   (any class gives the same links).
 * A set of n shingles differs from any partner in at most
   d = floor(n * (100 - percent) / percent) shingles, both ways together. The
-  space of hashes is cut into m ranges, m the power of two from n / 2 on, and the
-  shingles of one range are a combination: two on average, so d differences
-  spoil at most d of them. Ordered by any rule, the d + 1 first combinations of
+  space of hashes is cut into m ranges, m the power of two from 1.18 d on, and the
+  shingles of one range are a combination: up to 1 / 1.18 of n / d on average, and
+  d differences spoil at most d of them. Ordered by any rule, the d + 1 first combinations of
   either set then hold one that both have. This is the extended prefix; the rule
   is: not all of frequent shingles, then the larger ones, then by hash. What two
   unlike texts share by chance or as a passage is seldom a whole combination,
@@ -27,11 +27,12 @@ similarity is at least ``percent`` / 100; a class is what links connect.
   first one. That joins what is alike in a time that grows with the home; where
   classes remain apart, all nodes outside the home's largest class are compared
   with each other and with that class.
-* Other keys that still hold nodes of several classes are compared like that
-  too, in rounds: each node names the most common of its open keys, and the nodes
-  of every named key visit it. A key whose nodes have all met at one visited key
-  is done, so families that share many keys meet a few times, not once a key. The
-  last round takes all keys that are still open.
+* Other keys that still hold nodes of several classes are open. Nodes that open
+  keys connect are a family; a family of one block meets once. Of larger ones the
+  keys are compared like homes, in rounds: each node names the most common of its
+  open keys, and the nodes of every named key visit it. A key whose nodes have all
+  met at one visited place is done, so nodes that share many keys meet a few times,
+  not once a key. The last round takes all keys that are still open.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
 blocks, only links that join two classes leave a task, and no pair is ever a
@@ -62,6 +63,7 @@ MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
 LEAST_COUNT = 4
 BLOCK = 1_024
+SPARE = 118  # percent of the most differences that are taken as ranges, so that more than these are filled
 ROUNDS = 4  # in which nodes visit the most common of their open keys
 _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -116,7 +118,7 @@ def _combinations(h: np.ndarray, row: np.ndarray, often: np.ndarray, ranges: np.
     key = B.mix(np.add.reduceat(B.mix(h ^ _S1), edge) + B.mix(part[edge] * _S2 + m[edge]))
     plain = np.minimum.reduceat(often, edge)  # 1: all of them frequent
     r = row[edge]
-    some = _first_of(r, (key, -np.minimum(size, 4), plain), most)
+    some = _first_of(r, (key, -np.minimum(size, 8), plain), most)
     return key[some], r[some], np.bincount(r, minlength=len(ranges))
 
 
@@ -133,10 +135,10 @@ def keys(h: np.ndarray, begin: np.ndarray, frequent: np.ndarray, percent: int) -
         often = (frequent[at] == h).astype(np.int8)
     most = n * (100 - percent) // percent + 1
     ranges = np.ones(len(n), np.int64)
-    while (low := 2 * ranges < n).any():
+    while (low := 100 * percent * ranges < SPARE * (100 - percent) * n).any():
         ranges[low] *= 2
     one, rows_one, filled = _combinations(h, row, often, ranges, most)
-    near = (100 * n >= percent * 2 * ranges) & (n > 0)  # a partner may be of the next power
+    near = (SPARE * (100 - percent) * n >= percent * percent * ranges) & (n > 0)  # a partner may be of the next power
     found, rows_ = [one], [rows_one]
     for which, double in ((near, 2), (filled < most, 0)):
         inside = which[row]
@@ -222,19 +224,24 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     wide = state.where(F.col("c") > block)
     edges += _compared(wide.select("node", F.col("home").alias("key"), "comp"), verify, block, [])
     visited, sets_ = [table(place.select("node", "key"), "jaccard-visited")], None
-    for last in [False] * ROUNDS + [True]:
+    for how in ["families"] + ["rounds"] * ROUNDS + ["all"]:
         drop(state)
         state = _labelled(place, edges)
         seen = alive.join(state.drop("c"), "node")
         open_ = table(_open(seen, visited), "jaccard-open")
-        keys_ = open_ if last else seen.join(open_, "key").groupBy("node").agg(F.max(F.struct("n", "key")).getField("key").alias("key"))
-        rows = table(seen.join(keys_.select("key").distinct(), "key").select("node", "key", "comp", "home"), "jaccard-visits")
+        inside = seen.join(open_, "key")
+        if how == "families":
+            rows = _families(inside, block)
+        else:
+            keys_ = open_ if how == "all" else inside.groupBy("node").agg(F.max(F.struct("n", "key")).getField("key").alias("key"))
+            rows = seen.join(keys_.select("key").distinct(), "key")
+        rows = table(rows.select("node", "key", "comp", "home"), "jaccard-visits")
         visited.append(rows)
-        if rows.isEmpty():
+        if how != "families" and rows.isEmpty():
             drop(open_)
             break
         if sets_ is None:  # later rounds know no other nodes: what is open stays open or closes
-            sets_ = verify.sets_of(seen.join(open_, "key"))
+            sets_ = verify.sets_of(inside)
         drop(open_)
         edges += _compared(rows, verify, block, ["home"], sets_)
     drop(alive, place, state, who, *visited, *([sets_] if sets_ is not None else []))
@@ -262,6 +269,15 @@ def _labelled(place: DataFrame, edges: list[DataFrame]) -> DataFrame:
     return table(state.withColumn("comp", F.coalesce("comp", "node")), "jaccard-state")
 
 
+def _families(inside: DataFrame, block: int) -> DataFrame:
+    """Rows of open keys with their family for the key: nodes that open keys connect, where they are at most ``block``."""
+    first = inside.groupBy("key").agg(F.min("node").alias("a"))
+    of = connected_components(inside.join(first, "key").select("a", F.col("node").alias("b")))
+    few = of.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= block).select("component")
+    of = of.join(few, "component").select("node", (-1 - F.col("component")).alias("family"))
+    return inside.select("node", "comp", "home").distinct().join(of, "node").select("node", F.col("family").alias("key"), "comp", "home")
+
+
 def _open(seen: DataFrame, visited: list[DataFrame]) -> DataFrame:
     """(key, n nodes) of the keys with nodes of several classes, unless all its nodes have met at one visited key."""
     groups = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
