@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import french, titles
 from ..operators import etl
 from ..sources import readers as S
+from ..sources import tourism, venues
 from . import bindings as B
 from .registry import query
 
@@ -194,3 +195,60 @@ def snk_05(s, d):
 def snk_07(s, d):
     stale = (c("ts") < F.lit("2024-01-20").cast("timestamp_ntz") - F.expr(f"interval '{etl.STALE_HOURS}' hour")) & (c("event_type") == "error")
     return t(s, d, "events").select("event_id", F.when(stale, "failed").otherwise(c("event_type")).alias("status"))
+
+
+# ---------------------------------------------------------------- tourism objects, cinema programmes, configured sites
+
+_UTC_START = f"(x - interval 1 hour * (case when {B.summer_sql('(case when timed then sd else sd - interval 1 day end)')} then 2 else 1 end))"
+
+
+@query("src_10_tourism", f"""with p as (select o_orderkey k, o_orderkey % 3 = 0 timed, o_orderdate::date + i::int sd from (select *, unnest(range(0, case when o_orderkey % 11 = 0 then 13 when o_orderkey % 2 = 0 then 2 else 1 end)) i from orders where o_orderkey % 5 <> 0 and o_orderkey % 4 <> 0) o),
+  q as (select *, sd + case when timed then interval 1230 minute else interval 0 minute end x from p),
+  u as (select k, timed, x, {_UTC_START} s, case when timed then {_UTC_START} else sd + interval 1439 minute - interval 1 hour * (case when {B.summer_sql('sd')} then 2 else 1 end) end done from q),
+  g as (select k, timed, x, s, count(*) over (partition by k) n, row_number() over (partition by k order by s) r, max(s) over (partition by k) z from u where done >= {B.NOW_SQL})
+  select 'https://data.example/' || k || case when n between 2 and 12 then '#' || case when timed then strftime(x, '%Y-%m-%dT%H:%M:%S') else strftime(x, '%Y-%m-%d') end else '' end source_id, 'Fête ' || (k % 7) title, case when k % 9 = 0 then 'festivals' else 'concerts' end category_slug, '750' || (10 + k % 10) venue_zip, 'Paris' venue_city,
+    s start_date, case when n > 12 then z end end_date, timed time_known from g where n <= 12 or r = 1""")
+def src_10(s, d):
+    k = c("o_orderkey")
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    n = F.when(k % 11 == 0, 12).when(k % 2 == 0, 1).otherwise(0)
+    period = lambda i: F.concat(F.lit('{"@type": "Period", "startDate": "'), day(F.date_add(c("o_orderdate").cast("date"), i)), F.lit('"'), F.when(k % 3 == 0, F.lit(', "startTime": "20:30:00"')).otherwise(F.lit("")), F.lit("}"))
+    whole_year = F.when(k % 7 == 0, F.lit('{"startDate": "1999-01-01T00:00:00", "endDate": "1999-12-31"}, ')).otherwise(F.lit(""))
+    label = F.when(k % 2 == 0, F.concat(F.lit('{"en": ["Feast"], "fr": ["Fête '), (k % 7).cast("string"), F.lit('"]}'))).otherwise(F.concat(F.lit('[{"@value": "Feast", "@language": "en"}, {"@value": "Fête '), (k % 7).cast("string"), F.lit('", "@language": "fr"}]')))
+    kind = F.when(k % 5 == 0, "urn:onto#SportsEvent").when(k % 9 == 0, "urn:onto#Festival").otherwise("Concert")
+    place = F.concat(F.lit('[{"schema:address": [{"schema:postalCode": "'), F.when(k % 4 == 0, "69001").otherwise(F.concat(F.lit("750"), (k % 10 + 10).cast("string"))), F.lit('", "hasAddressCity": {"rdfs:label": {"fr": ["Paris"]}}}], "schema:geo": {"schema:latitude": "0", "schema:longitude": "2.35"}}]'))
+    o = F.concat(F.lit('{"@id": "https://data.example/'), k.cast("string"), F.lit('", "@type": ["schema:Event", "'), kind, F.lit('"], "rdfs:label": '), label, F.lit(', "http://onto.example/core#isLocatedAt": '), place, F.lit(', "takesPlaceAt": ['), whole_year, F.array_join(F.transform(F.sequence(F.lit(0), n), period), ", "), F.lit("]}"))
+    return tourism.tourism(t(s, d, "orders").select(o.alias("v")), "v", B.NOW).select("source_id", "title", "category_slug", "venue_zip", "venue_city", "start_date", "end_date", "time_known")
+
+
+@query("src_12_cinema_days", "select user_id cinema, event_type film, ts::date as day, string_agg(strftime(z, '%H:%M'), ', ' order by z) times, min(z) start_date from (select distinct user_id, event_type, date_trunc('second', ts) z, ts::date ts from events) group by 1, 2, 3")
+def src_12_cinema_days(s, d):
+    g = t(s, d, "events").groupBy(c("user_id").alias("cinema"), "event_type").agg(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("startsAt"))).alias("at"))
+    films = g.groupBy("cinema").agg(F.collect_list(F.struct(c("event_type").alias("title"), F.create_map(F.lit("original"), F.slice("at", 1, 1), F.lit("dubbed"), F.slice("at", F.lit(2), F.size("at"))).alias("showtimes"))).alias("films"))
+    return S.cinema_days(films.select(F.to_json(F.struct("cinema", "films")).alias("v")), "v")
+
+
+@query("src_16_kinds", "select c_custkey as \"key\", case c_custkey % 4 when 0 then 'jsonld' when 1 then 'microdata' when 2 then 'ics' end kind, case when c_custkey % 4 = 2 then 'Fête à ' || c_custkey else c_name end title, (date '1998-07-01' + (c_custkey % 28)::int) + interval 18 hour start_date, c_custkey % 4 = 0 and c_custkey % 3 = 0 is_cancelled from customer where c_custkey % 4 < 3")
+def src_16_kinds(s, d):
+    k, day = c("c_custkey"), F.date_add(F.lit("1998-07-01").cast("date"), (c("c_custkey") % 28).cast("int"))
+    at = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T20:00:00+02:00"))
+    ld = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Event").alias("@type"), c("c_name").alias("name"), at.alias("startDate"), F.when(k % 3 == 0, "https://schema.org/EventCancelled").alias("eventStatus"))), F.lit("</script>"))
+    micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Event"><b itemprop="name">'), c("c_name"), F.lit('</b><meta itemprop="startDate" content="'), at, F.lit('"></div>'))
+    ics = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u\r\nSUMMARY:Fête à "), k.cast("string"), F.lit("\r\nDTSTART:"), F.date_format(day, "yyyyMMdd"), F.lit("T180000Z\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    config = s.createDataFrame([(0, "jsonld"), (1, "microdata"), (2, "ics")], "site int, kind string")
+    pages = t(s, d, "customer").select((k % 4).cast("int").alias("site"), k.alias("key"), F.when(k % 4 == 0, ld).when(k % 4 == 1, micro).otherwise(ics).alias("value"))
+    return venues.by_kind(pages, config).select("key", "kind", "title", "start_date", "is_cancelled")
+
+
+@query("src_14_listing_detail", """with d as (select o_orderkey k, o_orderkey % 3 <> 0 has, case when o_orderkey % 4 = 0 then null when o_orderkey % 5 = 0 then o_orderdate else o_orderdate + interval 19 hour end s from orders),
+  x as (select k, coalesce(case when has then s end, case when k % 2 = 0 then o_orderdate + interval 20 hour end) s, case when has then (k % 6)::int * 100 else 1500 end p, has from d join orders on k = o_orderkey)
+  select 'p/' || k url, s start_date, strftime(s, '%H:%M') <> '00:00' time_known, case when p > 0 or k % 12 = 0 then p end price_min, case when p = 0 and k % 12 = 0 then 'free' when p = 0 then 'unknown' else 'paid' end price_status from x where s is not null""")
+def src_14(s, d):
+    k = c("o_orderkey")
+    o = t(s, d, "orders").select(k, "o_orderdate", F.concat(F.lit("p/"), k.cast("string")).alias("url"))
+    hours = lambda n: c("o_orderdate") + F.expr(f"interval '{n}' hour")
+    cards = o.select("url", F.when(k % 2 == 0, hours(20)).alias("start_date"), F.lit(True).alias("time_known"), F.lit(1500).alias("price_min"), F.lit(1500).alias("price_max"), F.lit("paid").alias("price_status"))
+    start = F.when(k % 4 == 0, None).when(k % 5 == 0, c("o_orderdate")).otherwise(hours(19))
+    price = ((k % 6) * 100).cast("int")
+    details = o.where(k % 3 != 0).select("url", start.alias("start_date"), price.alias("price_min"), price.alias("price_max"), F.when(price > 0, "paid").when(k % 12 == 0, "free").otherwise("paid").alias("price_status"))
+    return venues.completed(cards, details).select("url", "start_date", "time_known", "price_min", "price_status")

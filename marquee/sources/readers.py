@@ -142,6 +142,14 @@ def showtimes(rows: DataFrame) -> DataFrame:
     return g.select("cinema", "film", "day", F.array_join(F.transform("ats", lambda x: F.date_format(x, "HH:mm")), ", ").alias("times"), F.element_at("ats", 1).alias("start_date"))
 
 
+def cinema_days(payloads: DataFrame, value: str) -> DataFrame:
+    """showtimes() of cinema programmes in JSON: films with their screenings by version."""
+    schema = "cinema long, films array<struct<title: string, showtimes: map<string, array<struct<startsAt: string>>>>>"
+    r = payloads.select(F.from_json(value, schema).alias("r")).select("r.cinema", F.explode("r.films").alias("f"))
+    s = r.select("cinema", F.col("f.title").alias("film"), F.explode(F.flatten(F.map_values("f.showtimes"))).alias("s"))
+    return showtimes(s.select("cinema", "film", _utc(F.col("s.startsAt")).alias("at")).where("at is not null"))
+
+
 def artist_events(payloads: DataFrame, value: str) -> DataFrame:
     schema = "array<struct<id: string, datetime: string, on_sale_datetime: string, venue: struct<name: string, latitude: string, longitude: string, city: string>, lineup: array<string>>>"
     e = payloads.select(F.explode(F.from_json(value, schema)).alias("e"))
