@@ -201,6 +201,22 @@ def test_jaccard_join_of_large_homes(spark):
         assert sorted(map(tuple, got), key=repr) == brute_classes(rs, 2, 80)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_join_of_families(spark, block):
+    """Copies edited to about the threshold, which share many keys: in one meeting, or in rounds where a family exceeds a block."""
+    rng = random.Random(6)
+    rs = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(80)]
+        for _ in range(16):
+            w = list(base)
+            for at in rng.sample(range(80), rng.choice([0, 1, 2, 3, 4])):
+                w[at] = f"x{rng.randrange(1000)}"
+            rs.append((len(rs), " ".join(w)))
+    got = jaccard_join.classes(spark.createDataFrame(rs, "doc_id long, text string"), words=4, percent=85, block=block).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_classes(rs, 4, 85)
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.classes(empty).count() == 0
 
