@@ -224,15 +224,47 @@ def merged(user: EventQuery, fixed: EventQuery) -> EventQuery:
     return replace(user, **{k: v for k, v in fixed.__dict__.items() if v != getattr(base, k)})
 
 
+# How many values a parameter may name, and what numbers may be.
+MOST_NAMED = {"cat": 4, "arr": 6, "mood": 3, "topic": 2, "xcat": 4}
+SORTS = ("relevance", "soon", "popular", "distance", "ending")
+NEAR_BOX = (48.5, 49.2, 1.9, 2.9)  # lat, lng
+RADIUS_KM = (0.5, 2.5, 15.0)  # least, usual, most
+MOST_EUROS, MOST_RUN_DAYS, MOST_TEXT, MOST_PAGE, MOST_OFFSET = 500.0, 400, 120, 48, 2000
+
+
+def _arrondissement(x: str) -> str | None:
+    """1 to 20, as a number, an ordinal or a postcode, as an ordinal."""
+    m = re.fullmatch(r"(?:750|751)?0?(\d{1,2})(?:er|e|[eè]me)?", x.lower())
+    n = int(m.group(1)) if m else 0
+    return None if not 1 <= n <= 20 else "1er" if n == 1 else f"{n}e"
+
+
 def from_params(params: dict[str, str]) -> EventQuery:
-    """URL parameters as a query, clamped; unknown values are left out."""
-    many = lambda k: tuple(x for x in params.get(k, "").split(",") if x)
-    number = lambda k: float(params[k]) if re.fullmatch(r"\d+(\.\d+)?", params.get(k, "")) else None
-    near = (number("lat"), number("lng"), min(number("r") or 3.0, 20.0))
+    """URL parameters as a query: unknown values are left out, numbers clamped; date, category and ambiance are older names of when, cat and mood."""
+
+    def named(key: str, known, older: str | None = None, read=lambda x: x) -> tuple[str, ...]:
+        given = [read(x.strip()) for k in (key, older) if k for x in params.get(k, "").split(",")]
+        return tuple(dict.fromkeys(x for x in given if x and (known is None or x in known)))[: MOST_NAMED[key]]
+
+    def number(key: str) -> float | None:
+        return float(params[key]) if re.fullmatch(r"\s*-?\d+(\.\d+)?\s*", params.get(key, "")) else None
+
+    lat, lng, most, runs_ = (number(k) for k in ("lat", "lng", "max", "runs"))
+    south, north, west, east = NEAR_BOX
+    inside = lat is not None and lng is not None and south < lat < north and west < lng < east
     return EventQuery(
-        when=params.get("when") or params.get("date"), categories=tuple(x for x in many("cat") if x in CATEGORIES), arrondissements=many("arr"), free=params.get("free") == "1",
-        max_price=number("max"), intents=tuple(x for x in many("intent") if x in INTENTS), topics=tuple(x for x in many("topic") if x in TOPICS), q=params.get("q") or None,
-        near=near if None not in near else None, sort=params.get("sort"), limit=int(min(max(number("limit") or 24, 1), 48)), offset=int(min(max(number("offset") or 0, 0), 2000)),
+        when=params.get("when") or params.get("date"), categories=named("cat", CATEGORIES, "category"), exclude_categories=named("xcat", CATEGORIES), arrondissements=named("arr", None, read=_arrondissement),
+        free=params.get("free") in ("1", "true"), max_price=min(most, MOST_EUROS) if most and most > 0 else None, intents=named("mood", INTENTS, "ambiance"), topics=named("topic", TOPICS), q=params.get("q", "").strip()[:MOST_TEXT] or None,
+        near=(lat, lng, min(max(number("radius") or RADIUS_KM[1], RADIUS_KM[0]), RADIUS_KM[2])) if inside else None, sort=params.get("sort") if params.get("sort") in SORTS else None,
+        runs_ending_within_days=int(min(runs_, MOST_RUN_DAYS)) if runs_ and runs_ > 0 else None, limit=int(min(max(number("limit") or 24, 1), MOST_PAGE)), offset=int(min(max(number("offset") or 0, 0), MOST_OFFSET)),
     )
 
 
+def to_params(q: EventQuery) -> dict[str, str]:
+    """The parameters that from_params() reads as q."""
+    lists = {"cat": q.categories, "arr": q.arrondissements, "mood": q.intents, "topic": q.topics, "xcat": q.exclude_categories}
+    out = {"when": q.when, **{k: ",".join(v) for k, v in lists.items()}, "free": "1" if q.free else None, "max": f"{q.max_price:g}" if q.max_price is not None and not q.free else None, "q": q.q}
+    if q.near:
+        out |= {"lat": f"{q.near[0]:.4f}", "lng": f"{q.near[1]:.4f}", "radius": f"{q.near[2]:g}" if q.near[2] != RADIUS_KM[1] else None}
+    out |= {"sort": q.sort if q.sort != "relevance" else None, "runs": str(q.runs_ending_within_days) if q.runs_ending_within_days else None}
+    return {k: v for k, v in out.items() if v}

@@ -1,6 +1,7 @@
 """Golden values of pure functions."""
 
 import json
+from dataclasses import replace
 from datetime import UTC, date, datetime
 
 import pytest
@@ -207,10 +208,30 @@ def test_diversified(spark):
 def test_challenge_and_params():
     assert members.challenge_of("2026-10-05") in members.CHALLENGES
     q = listing.from_params({"cat": "concerts,nope", "limit": "500", "max": "20", "lat": "48.8", "lng": "2.3", "q": "jazz"})
-    assert (q.categories, q.limit, q.max_price, q.near) == (("concerts",), 48, 20.0, (48.8, 2.3, 3.0))
+    assert (q.categories, q.limit, q.max_price, q.near) == (("concerts",), 48, 20.0, (48.8, 2.3, 2.5))
     assert listing.merged(listing.EventQuery(q="x", when="today"), listing.NAMED["tonight"]).when == "tonight"
 
 
+def test_parameters_there_and_back():
+    old = {"date": "tonight", "category": "theatre,concerts,theatre", "ambiance": "festif", "arr": "75011,1,99,5e", "free": "true", "max": "900", "radius": "40", "lat": "48.86", "lng": "2.35", "sort": "nope", "runs": "900", "q": "  " + "x" * 200}
+    q = listing.from_params(old)
+    assert (q.when, q.categories, q.intents, q.arrondissements, q.free, q.max_price, q.near, q.sort, q.runs_ending_within_days, q.q) == ("tonight", ("theatre", "concerts"), ("festif",), ("11e", "1er", "5e"), True, 500.0, (48.86, 2.35, 15.0), None, 400, "x" * 120)
+    assert listing.from_params({"lat": "10", "lng": "2.3"}).near is None and listing.from_params({"cat": "nope"}) == listing.EventQuery()
+    plain = listing.EventQuery(when="week", categories=("concerts",), exclude_categories=("theatre",), max_price=20.0, near=(48.86, 2.35, 3.0), sort="soon", runs_ending_within_days=14)
+    assert listing.from_params(listing.to_params(q)) == replace(q, max_price=None) and listing.from_params(listing.to_params(plain)) == plain
+
+
+def test_index_swap(spark, tmp_path):
+    """Readers see the old index until the new one is whole; a rebuild that shrinks too far is refused and leaves it."""
+    at = f"file://{tmp_path}"
+    etl.swapped(spark.range(500), at, "index")
+    etl.swapped(spark.range(400), at, "index")
+    assert etl.current(spark, at, "index").count() == 400
+    with pytest.raises(ValueError, match="would replace"):
+        etl.swapped(spark.range(3), at, "index")
+    assert etl.current(spark, at, "index").count() == 400
+
+
 def test_publish_refuses_to_shrink(spark, tmp_path):
     with pytest.raises(ValueError, match="would replace"):
         etl.publish(spark.range(3), str(tmp_path), "index", live=500)
