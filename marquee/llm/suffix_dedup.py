@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,9 +133,16 @@ def _entries(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, s:
     return out
 
 
+@cache
+def _masks(width: int, left: int) -> np.ndarray:
+    """Which bytes count, for every pair of the last two of a row."""
+    after, before = np.arange(width) < np.arange(width + 2)[:, None], np.arange(left) < np.arange(left + 1)[:, None]
+    return np.concatenate([np.repeat(after, left + 1, axis=0), np.tile(before, (width + 2, 1))], axis=1)
+
+
 def _counted(rows: np.ndarray, s: Shape) -> np.ndarray:
     """Which bytes of rows count, by their last two."""
-    return np.concatenate([np.arange(s.width) < rows[:, -2:-1], np.arange(s.left) < rows[:, -1:]], axis=1)
+    return _masks(s.width, s.left)[rows[:, -2].astype(np.int64) * (s.left + 1) + rows[:, -1]]
 
 
 def _ordered(rows: np.ndarray) -> np.ndarray:
@@ -210,7 +218,7 @@ def _windows(rows: np.ndarray, order: np.ndarray, first: np.ndarray, last: np.nd
 
 def packed(rows: np.ndarray, s: Shape) -> bytes:
     """Rows of bytes compressed: how many of either side count, then those that do."""
-    raw = np.ascontiguousarray(rows[:, -2:].T).tobytes() + rows[:, :-2][_counted(rows, s)].tobytes()
+    raw = np.ascontiguousarray(rows[:, -2:].T).tobytes() + np.compress(_counted(rows, s).ravel(), np.ascontiguousarray(rows[:, :-2]).ravel()).tobytes()
     return len(rows).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
@@ -307,8 +315,8 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, cols, strict=True)})
 
 
-def _scanning(s: Shape, own: bool):
-    """Merge scan of a batch against one level; own: also against itself, and with the array that becomes its level."""
+def _scanning(s: Shape, own: bool, grow: bool = True):
+    """Merge scan of a batch against one level; own: also against itself; grow: and with the array that becomes its level."""
 
     def scan(_key: tuple, t: pa.Table, level: pa.Table) -> pa.Table:
         if not len(t):
@@ -326,7 +334,7 @@ def _scanning(s: Shape, own: bool):
         back[by] = mask
         edge = size + np.r_[0, np.cumsum(count)]
         out = [(part, 0, k, n, _numbers(back[a:b])) for k, n, a, b in zip(blocks, count, edge[:-1], edge[1:], strict=True) if back[a:b].any()]
-        if own and (new := rows[begin[least != _EARLIER]]).size:
+        if own and grow and (new := rows[begin[least != _EARLIER]]).size:
             out.append((part, 1, 0, len(new), packed(new, s)))
         tidy()
         return _table(out, _SCANNED)
@@ -454,12 +462,12 @@ class Family:
         return table(df, f"suffix-{name}", self.buckets, "part", at, compression="none")
 
     def add(self, texts: DataFrame, last: bool = False) -> DataFrame:
-        """Masks for the blocks of a written batch texts(doc_id, text, block), whose ids exceed those of all batches before; last: the levels need not merge any more."""
+        """Masks for the blocks of a written batch texts(doc_id, text, block), whose ids exceed those of all batches before; last: nothing follows, so the batch becomes no level."""
         s = self.shape
         said = texts.groupBy("block").applyInArrow(_building(s), _MESSAGE).groupBy("part")
         none = self.spark.createDataFrame([], _SCANNED)
         levels = [t.where("kind = 1") for _, t in self.levels] or [none]
-        scanned = said.cogroup(levels[-1].groupBy("part")).applyInArrow(_scanning(s, True), _SCANNED)
+        scanned = said.cogroup(levels[-1].groupBy("part")).applyInArrow(_scanning(s, True, not last), _SCANNED)
         for older in levels[:-1]:
             scanned = scanned.unionByName(said.cogroup(older.groupBy("part")).applyInArrow(_scanning(s, False), _SCANNED))
         got = self._write(scanned, "level")
@@ -492,9 +500,10 @@ class Family:
         self.levels = []
 
 
-def removed_in_batch(family: Family, docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool = False, last: bool = False) -> DataFrame:
-    """Adds docs(doc_id, text), whose ids exceed all before, to the family; the results of its rows, written."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def removed_in_batch(family: Family, docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool = False, last: bool = False, size: int | None = None) -> DataFrame:
+    """Adds docs(doc_id, text), of ``size`` bytes, whose ids exceed all before, to the family; the results of its rows, written."""
+    if size is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     texts = table(docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")), "suffix-texts")
     said = family.add(texts, last)
@@ -520,10 +529,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = GRAM, block_bytes:
     total, ids = docs.agg(F.sum(F.octet_length("text")), quantiles).first()
     cuts = sorted(set(ids or []))[: batches - 1]
     family = Family(docs.sparkSession, shape_of(docs, total or 0, width, k, part_entries))
-    out = []
-    for i in range(len(cuts) + 1):
-        mine = docs.where((F.col("doc_id") > F.lit(cuts[i - 1]) if i else F.lit(True)) & (F.col("doc_id") <= F.lit(cuts[i]))) if i < len(cuts) else docs.where((F.col("doc_id") > F.lit(cuts[-1])) | F.col("doc_id").isNull()) if cuts else docs
-        out.append(removed_in_batch(family, mine, block_bytes, with_text, last=i == len(cuts)))
+    batch = F.lit(len(cuts))
+    for i in reversed(range(len(cuts))):
+        batch = F.when(F.col("doc_id") <= cuts[i], i).otherwise(batch)
+    sizes = {r[0]: r[1] or 0 for r in docs.groupBy(batch.alias("b")).agg(F.sum(F.octet_length("text"))).collect()}  # a row a batch
+    ends, out = [None, *cuts, None], []
+    for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        above = F.lit(True) if a is None else (F.col("doc_id") > a) | F.col("doc_id").isNull() if z is None else F.col("doc_id") > a
+        mine = docs.where(above if z is None else above & (F.col("doc_id") <= z))
+        out.append(removed_in_batch(family, mine, block_bytes, with_text, i == len(cuts), sizes.get(i, 0)))
     family.close()
     for more in out[1:]:
         out[0] = out[0].unionByName(more)
