@@ -133,24 +133,31 @@ def _hours(h: int) -> Column:
     return F.expr(f"interval '{h}' hour")
 
 
-def alert_items(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
-    """(user_id, id, kind, start_date), each once: reminders, ticket openings and new dates that members may get now.
-
-    follows(user_id, artist_key, followed_at), artists(id, artist_key), outings(id, start_date, created_at, on_sale_at),
-    attendances(user_id, id). Outings are cut to the two windows before they meet artists, and those before they meet
-    followers; both kinds come from one pass.
-    """
+def _alert_rows(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
+    """alert_items(), some of them several times."""
     n = times.stamp(now)
-    new, sale = F.col("created_at") > n - _hours(7 * 24), F.coalesce(F.col("on_sale_at").between(n - _hours(12), n + _hours(36)), F.lit(False))
-    open_ = outings.select("id", "start_date", "created_at", F.coalesce(new, F.lit(False)).alias("_new"), sale.alias("_sale")).where("_new or _sale")
-    keyed = open_.join(artists.select("id", "artist_key"), "id").distinct()
-    kinds = F.array_compact(F.array(F.when(F.col("_new") & (F.col("created_at") > F.col("followed_at")), "new_date"), F.when(F.col("_sale"), "on_sale")))
-    mine = follows.join(keyed, "artist_key").select("user_id", "id", F.explode(kinds).alias("kind"), "start_date")
+
+    def followed(open_: Column, kind: str, also: Column) -> DataFrame:
+        some = outings.where(open_).select("id", "start_date", "created_at").join(artists.select("id", "artist_key"), "id").distinct()
+        return follows.join(some, "artist_key").where(also).select("user_id", "id", F.lit(kind).alias("kind"), "start_date")
+
+    new = followed(F.col("created_at") > n - _hours(7 * 24), "new_date", F.col("created_at") > F.col("followed_at"))
+    sale = followed(F.col("on_sale_at").between(n - _hours(12), n + _hours(36)), "on_sale", F.lit(True))
     w = times.window("tomorrow", now)
     start = times.paris(times.night_day(now).fromordinal(times.night_day(now).toordinal() + 1), times.NIGHT_ENDS)
     tomorrow = outings.where(F.col("start_date").between(times.stamp(start), times.stamp(w.end))).select("id", "start_date")
     soon = attendances.join(tomorrow, "id").select("user_id", "id", F.lit("reminder").alias("kind"), "start_date")
-    return mine.unionByName(soon).distinct()
+    return new.unionByName(sale).unionByName(soon)
+
+
+def alert_items(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
+    """(user_id, id, kind, start_date), each once: reminders, ticket openings and new dates that members may get now.
+
+    follows(user_id, artist_key, followed_at), artists(id, artist_key), outings(id, start_date, created_at, on_sale_at),
+    attendances(user_id, id). Outings are cut to the window of their kind before they meet artists, and those before they
+    meet followers.
+    """
+    return _alert_rows(follows, artists, outings, attendances, now).distinct()
 
 
 def title_items(follows: DataFrame, outings: DataFrame, artists: DataFrame, now: datetime, categories: tuple[str, ...] = MUSIC) -> DataFrame:
@@ -170,19 +177,20 @@ def title_items(follows: DataFrame, outings: DataFrame, artists: DataFrame, now:
 
 
 def selected_items(items: DataFrame, delivered: DataFrame, settings: DataFrame | None = None, most: int = 20) -> DataFrame:
-    """(user_id, kind, id, pos): what each member gets now of items not delivered yet: the kinds they want (all, if settings(user_id, kind, wanted) say nothing), reminders first, then openings, then new dates, soonest first."""
+    """(user_id, kind, id, pos): what each member gets now of items (which may repeat) not delivered yet: the kinds they want (all, if settings(user_id, kind, wanted) say nothing), reminders first, then openings, then new dates, soonest first."""
     left = items.join(delivered.select("user_id", "id", "kind"), ["user_id", "id", "kind"], "left_anti")
     if settings is not None:
         refused = settings.where("not wanted").select("user_id", "kind").distinct()
         left = left.join(refused, ["user_id", "kind"], "left_anti")
     order = F.when(F.col("kind") == "reminder", 0).when(F.col("kind") == "on_sale", 1).otherwise(2)
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(order, "start_date", "id"))
-    return left.withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "kind", "id", "pos")
+    # equal items have equal places, so they need not be told apart before the first ``most`` are chosen, which each task does before the shuffle
+    pos = F.dense_rank().over(Window.partitionBy("user_id").orderBy(order, "start_date", "id"))
+    return left.withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "kind", "id", "pos").distinct()
 
 
 def alerts(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, delivered: DataFrame, now: datetime, most: int = 20) -> DataFrame:
     """(user_id, kind, id, pos) of alert_items() that each member gets now; see there."""
-    return selected_items(alert_items(follows, artists, outings, attendances, now), delivered, None, most)
+    return selected_items(_alert_rows(follows, artists, outings, attendances, now), delivered, None, most)
 
 
 def alert_batch(chosen: DataFrame, accounts: DataFrame, email_configured: bool = True, push_configured: bool = True, most: int = 200) -> DataFrame:
