@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables."""
+"""The queries of the thirteen operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -189,3 +189,67 @@ d as (select comp, bool_or(hit like '% allow') ok, bool_or(hit like '% block') n
 select page_id, host, path, split_part(hit, ' ', 1) rule, case when hit is not null then split_part(hit, ' ', 2) when ok then 'allow' when no then 'block' else 'allow' end verdict
 from j left join c using (k) left join d using (comp)
 """
+
+
+@_query
+def op11_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each test item."""
+    from .lexical_search import build, search
+
+    return search(build(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"), 20)
+
+
+ORACLES["op11_wavelet_search"] = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from (select distinct item_id, text from benchmark)),
+a as (select count(*) n, sum(len(w))::bigint l from d where len(w) > 0),
+p as (select r, doc_id, t, count(*) tf, any_value(m) m from (select r, doc_id, unnest(w) t, 75 + (25 * len(w)::bigint * n) // l m from d, a where len(w) > 0) group by 1, 2, 3),
+f as (select t, count(*) df from p group by 1),
+q as (select item_id, i.t, count(*) c, floor(1000 * ln((2.0::double * any_value(n) + 2) / (2 * any_value(df) + 1)))::bigint w from i join f using (t), a group by 1, 2),
+s as (select item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score from q join p using (t) group by 1, 2, 3 having score > 0)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s qualify rank <= 20
+"""
+
+
+@_query
+def op12_heap_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 16 parts of each vector, with the errors that they leave."""
+    from .vector_codes import digest_of, encode, with_label_errors
+
+    coded, books = encode(_read(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest_of(books)).alias("codebooks_sha256"))
+
+
+def _lloyd_sql() -> str:
+    assign = "select vec_id, p, arg_min(e, (list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) e from s join b{0} using (p) group by 1, 2"
+    update = "select p, e, case when x is null then y else x end y from b{0} left join (select p, e, list(m order by j) x from (select p, e, j, floor(sum(v)::double / count(*))::bigint m from a{0} join s using (vec_id, p), unnest(range(len(x))) u(j), unnest([x[j + 1]]) w(v) group by 1, 2, 3) group by 1, 2) using (p, e)"
+    steps = ", ".join(f"a{r} as materialized ({assign.format(r)}), b{r + 1} as materialized ({update.format(r)})" for r in range(2))
+    return f"""
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] x from k, range(16) r(p)),
+b0 as materialized (select p, e, x y from s join (select vec_id, row_number() over (order by vec_id) - 1 e from k qualify e < 64) using (vec_id)), {steps}, a2 as materialized ({assign.format(2)}),
+c as (select vec_id, string_agg(printf('%02x', e), '' order by p) code, sum(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))::bigint error from a2 join s using (vec_id, p) join b2 using (p, e) group by 1),
+l as (select label, sum(error)::bigint label_error from c join k using (vec_id) group by 1)
+select vec_id, code, error, label_error, (select sha256(string_agg(array_to_string(y, ','), ',' order by p, e)) from b2) codebooks_sha256 from c join k using (vec_id) join l on l.label is not distinct from k.label
+"""
+
+
+ORACLES["op12_heap_codes"] = _lloyd_sql()
+
+
+@_query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without lines that a document of a smaller id has."""
+    from .line_dedup import remove_repeats
+
+    out = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_line_dedup"] = r"""
+with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) t from documents),
+l as (select r, doc_id, j, line, case when length(k) >= 10 then k end k from (select r, doc_id, generate_subscripts(t, 1) j, unnest(t) line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from d)),
+m as (select k, min(doc_id) least from l where k is not null group by 1 having count(distinct doc_id) > 1)
+select doc_id, count(*) n_lines, count(*) filter (least is not null and doc_id > least) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by j) filter (least is null or doc_id = least), '')) kept_sha256
+from l left join m using (k) group by r, doc_id
+"""
