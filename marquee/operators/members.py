@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, times
+from .scratch import drop, table
 
 # Rewards, levels and badges.
 XP = {"saves": 5, "attendances": 30, "reviews": 15, "comments": 10, "first_review": 25, "swipes": 2, "quiz": 50}
@@ -133,31 +135,35 @@ def _hours(h: int) -> Column:
     return F.expr(f"interval '{h}' hour")
 
 
-def _alert_rows(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
-    """alert_items(), some of them several times."""
+def _followed(outings: DataFrame, artists: DataFrame, now: datetime) -> DataFrame:
+    """(artist_key, id, kind, start_date, created_at) of what followers may hear of now; outings are cut to the window of their kind before they meet artists."""
     n = times.stamp(now)
+    kinds = {"new_date": F.col("created_at") > n - _hours(7 * 24), "on_sale": F.col("on_sale_at").between(n - _hours(12), n + _hours(36))}
+    each = F.array(*(F.when(ok, F.lit(k)) for k, ok in kinds.items()))
+    some = outings.where(reduce(Column.__or__, kinds.values())).select("id", "start_date", "created_at", F.explode(F.array_compact(each)).alias("kind"))
+    return some.join(artists.select("id", "artist_key"), "id").distinct()
 
-    def followed(open_: Column, kind: str, also: Column) -> DataFrame:
-        some = outings.where(open_).select("id", "start_date", "created_at").join(artists.select("id", "artist_key"), "id").distinct()
-        return follows.join(some, "artist_key").where(also).select("user_id", "id", F.lit(kind).alias("kind"), "start_date")
 
-    new = followed(F.col("created_at") > n - _hours(7 * 24), "new_date", F.col("created_at") > F.col("followed_at"))
-    sale = followed(F.col("on_sale_at").between(n - _hours(12), n + _hours(36)), "on_sale", F.lit(True))
+def _heard_of() -> Column:
+    """A new date counts from the day on which a member followed the artist."""
+    return (F.col("kind") != "new_date") | F.coalesce(F.col("created_at") > F.col("followed_at"), F.lit(False))
+
+
+def _reminders(outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
     w = times.window("tomorrow", now)
     start = times.paris(times.night_day(now).fromordinal(times.night_day(now).toordinal() + 1), times.NIGHT_ENDS)
     tomorrow = outings.where(F.col("start_date").between(times.stamp(start), times.stamp(w.end))).select("id", "start_date")
-    soon = attendances.join(tomorrow, "id").select("user_id", "id", F.lit("reminder").alias("kind"), "start_date")
-    return new.unionByName(sale).unionByName(soon)
+    return attendances.join(tomorrow, "id").select("user_id", "id", F.lit("reminder").alias("kind"), "start_date")
 
 
 def alert_items(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, now: datetime) -> DataFrame:
     """(user_id, id, kind, start_date), each once: reminders, ticket openings and new dates that members may get now.
 
     follows(user_id, artist_key, followed_at), artists(id, artist_key), outings(id, start_date, created_at, on_sale_at),
-    attendances(user_id, id). Outings are cut to the window of their kind before they meet artists, and those before they
-    meet followers.
+    attendances(user_id, id). This is the whole list, a row for each follower of each date; see :func:`alerts` for the first of it.
     """
-    return _alert_rows(follows, artists, outings, attendances, now).distinct()
+    mine = follows.join(_followed(outings, artists, now), "artist_key").where(_heard_of()).select("user_id", "id", "kind", "start_date")
+    return mine.unionByName(_reminders(outings, attendances, now)).distinct()
 
 
 def title_items(follows: DataFrame, outings: DataFrame, artists: DataFrame, now: datetime, categories: tuple[str, ...] = MUSIC) -> DataFrame:
@@ -176,21 +182,58 @@ def title_items(follows: DataFrame, outings: DataFrame, artists: DataFrame, now:
     return mine.select("user_id", "id", F.lit("new_date").alias("kind"), "start_date").distinct()
 
 
+def _urgency() -> Column:
+    return F.when(F.col("kind") == "reminder", 0).when(F.col("kind") == "on_sale", 1).otherwise(2)
+
+
+def _wanted(items: DataFrame, delivered: DataFrame, settings: DataFrame | None) -> DataFrame:
+    """Items that were not delivered yet and whose kind the member did not refuse."""
+    left = items.join(delivered.select("user_id", "id", "kind"), ["user_id", "id", "kind"], "left_anti")
+    return left if settings is None else left.join(settings.where("not wanted").select("user_id", "kind").distinct(), ["user_id", "kind"], "left_anti")
+
+
 def selected_items(items: DataFrame, delivered: DataFrame, settings: DataFrame | None = None, most: int = 20) -> DataFrame:
     """(user_id, kind, id, pos): what each member gets now of items (which may repeat) not delivered yet: the kinds they want (all, if settings(user_id, kind, wanted) say nothing), reminders first, then openings, then new dates, soonest first."""
-    left = items.join(delivered.select("user_id", "id", "kind"), ["user_id", "id", "kind"], "left_anti")
-    if settings is not None:
-        refused = settings.where("not wanted").select("user_id", "kind").distinct()
-        left = left.join(refused, ["user_id", "kind"], "left_anti")
-    order = F.when(F.col("kind") == "reminder", 0).when(F.col("kind") == "on_sale", 1).otherwise(2)
     # equal items have equal places, so they need not be told apart before the first ``most`` are chosen, which each task does before the shuffle
-    pos = F.dense_rank().over(Window.partitionBy("user_id").orderBy(order, "start_date", "id"))
-    return left.withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "kind", "id", "pos").distinct()
+    pos = F.dense_rank().over(Window.partitionBy("user_id").orderBy(_urgency(), "start_date", "id"))
+    return _wanted(items, delivered, settings).withColumn("pos", pos).where(F.col("pos") <= most).select("user_id", "kind", "id", "pos").distinct()
 
 
-def alerts(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, delivered: DataFrame, now: datetime, most: int = 20) -> DataFrame:
-    """(user_id, kind, id, pos) of alert_items() that each member gets now; see there."""
-    return selected_items(_alert_rows(follows, artists, outings, attendances, now), delivered, None, most)
+def _first_followed(follows: DataFrame, dates: DataFrame, delivered: DataFrame, settings: DataFrame | None, most: int, depth: int) -> DataFrame:
+    """(user_id, id, kind, start_date): the first ``most`` of each member's followed dates, without joining all dates of an artist to all followers.
+
+    The dates of an artist and kind are put in order once, and members meet the first ``depth`` of each. All that a member
+    has not met lies behind the least of the next ones in their artists' lists. So a member is done who has ``most`` dates
+    before that, or whose artists have no more; the others (of whose first dates some were delivered, refused or older than
+    the follow) go on, with lists eight times as deep. Members done in a round are a written table; the rounds end as lists do.
+    """
+    order = F.struct(_urgency().alias("u"), F.col("start_date").alias("s"), F.col("id").alias("i"))
+    dates = table(dates.withColumn("at", order), "dates")
+    by_list = Window.partitionBy("artist_key", "kind").orderBy("at")
+    out: list[DataFrame] = []
+    while True:
+        heads = dates.withColumn("n", F.row_number().over(by_list)).where(F.col("n") <= depth + 1)  # a rank limit: each task sends so many of a list at most
+        heads = table(heads, "heads")
+        met = follows.join(heads.where(F.col("n") <= depth), "artist_key").where(_heard_of()).select("user_id", "id", "kind", "start_date", "at")
+        pos = F.dense_rank().over(Window.partitionBy("user_id").orderBy("at"))
+        first = _wanted(met, delivered, settings).withColumn("pos", pos).where(F.col("pos") <= most).distinct()
+        more = heads.where(F.col("n") == depth + 1).groupBy("artist_key").agg(F.min("at").alias("next"))
+        behind = follows.join(more, "artist_key").groupBy("user_id").agg(F.min("next").alias("next"))
+        have = first.groupBy("user_id").agg(F.count(F.lit(1)).alias("have"), F.max("at").alias("last"))
+        open_ = behind.join(have, "user_id", "left").where((F.coalesce("have", F.lit(0)) < most) | (F.col("last") > F.col("next"))).select("user_id")
+        open_ = table(open_, "open-members")
+        out.append(table(first.join(open_, "user_id", "left_anti").select("user_id", "id", "kind", "start_date"), "first-dates"))
+        drop(heads)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        follows = follows.join(open_, "user_id", "left_semi")
+        depth *= 8
+
+
+def alerts(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, delivered: DataFrame, now: datetime, most: int = 20, settings: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(user_id, kind, id, pos) of alert_items() that each member gets now: the first ``most``, found by reading ``depth`` dates of each artist and going on only for members who lack some."""
+    followed = _first_followed(follows, _followed(outings, artists, now), delivered, settings, most, depth or most)
+    return selected_items(followed.unionByName(_reminders(outings, attendances, now)), delivered, settings, most)
 
 
 def alert_batch(chosen: DataFrame, accounts: DataFrame, email_configured: bool = True, push_configured: bool = True, most: int = 200) -> DataFrame:

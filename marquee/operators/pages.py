@@ -83,7 +83,7 @@ def event(rows: DataFrame, chosen: DataFrame, artists: DataFrame, now: datetime,
         pos = F.row_number().over(Window.partitionBy("page").orderBy(*order))
         return met.withColumn("pos", pos).where(F.col("pos") <= most).select("page", F.lit(name).alias("block"), "pos", "id")
 
-    mine = chosen.join(artists, "id").select("page", F.col("id").alias("own"), "artist_key").distinct()
+    mine = me.join(artists, F.col("own") == F.col("id")).select("page", "own", "artist_key").distinct()
     shared = live.select("id", "start_date").join(artists.select("id", "artist_key").distinct(), "id")
     top = shared.withColumn("_k", F.row_number().over(Window.partitionBy("artist_key").orderBy(*soon))).where(F.col("_k") <= most + 1)
     met = mine.join(top, "artist_key").where("id <> own").groupBy("page", "id").agg(F.min("start_date").alias("start_date"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo, names, text, titles
 from .graph import connected_components
+from .scratch import table
 
 # Thresholds of the pair rule, and the trust in sources.
 SIMILAR, VERY_SIMILAR, NEAR_M, FAR_M, SLOT_MINUTES = 0.55, 0.8, 150, 1500, 45
@@ -32,32 +35,92 @@ def candidates(rows: DataFrame, keys: Column, id_col: str = "id", salt: int = 16
     return left.join(right, ["k", "s"]).where("a < b").select("a", "b").distinct()
 
 
-def event_keys(day_first: Column, day_last: Column, venue: Column, venue_words: Column, lat: Column, lng: Column) -> Column:
-    """Blocking keys: canonical venue, (day, venue word), and the cell with its neighbours."""
+def event_keys(day_first: Column, day_last: Column, venue: Column, name: Column, lat: Column, lng: Column) -> tuple[Column, Column]:
+    """Blocking keys of both sides of a pair: canonical venue, (day, telling word or key of the venue's name), and the cell; the right side has the cells around its own too."""
     i, j = geo.cell(lat, lng)
-    words = F.when(day_first == day_last, F.transform(venue_words, lambda w: F.concat_ws("|", F.lit("n"), day_first.cast("string"), w)))
-    cells = F.when(lat.isNotNull() & lng.isNotNull(), F.transform(geo.neighbours(i, j), lambda n: F.concat_ws("|", F.lit("g"), n["i"].cast("string"), n["j"].cast("string"))))
-    empty = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(venue.isNotNull(), F.array(F.concat(F.lit("v|"), venue.cast("string")))).otherwise(empty), F.coalesce(words, empty), F.coalesce(cells, empty)))
-
-
-def duplicates(rows: DataFrame) -> DataFrame:
-    """(duplicate, canonical) of rows(id, source, title, start_date, day_first, day_last, time_known, venue, venue_name, zip_code, lat, lng, status, quality_score, created_at)."""
-    r = rows.withColumn("_t", text.trigrams(text.plain_title(F.col("title")))).withColumn("_v", F.split(text.normal_name(F.col("venue_name")), " "))
-    pairs = candidates(r, event_keys(F.col("day_first"), F.col("day_last"), F.col("venue"), F.col("_v"), F.col("lat"), F.col("lng")))
-    side = lambda p: r.select(*(F.col(x).alias(f"{p}_{x}") for x in ("id", "source", "_t", "_v", "start_date", "day_first", "day_last", "time_known", "venue", "zip_code", "lat", "lng")))
+    spot = lambda i, j: F.concat_ws("|", F.lit("g"), i.cast("string"), j.cast("string"))
+    empty, here = F.array().cast("array<string>"), lat.isNotNull() & lng.isNotNull()
+    words = F.filter(F.array_distinct(F.concat(name["tokens"], F.array(name["key"]))), lambda w: w != "")
+    named = F.when(day_first == day_last, F.transform(words, lambda w: F.concat_ws("|", F.lit("n"), day_first.cast("string"), w)))
+    own = F.concat(F.when(venue.isNotNull(), F.array(F.concat(F.lit("v|"), venue.cast("string")))).otherwise(empty), F.coalesce(named, empty))
+    around = F.transform(geo.neighbours(i, j), lambda n: spot(n["i"], n["j"]))
+    return F.concat(own, F.when(here, F.array(spot(i, j))).otherwise(empty)), F.concat(own, F.when(here, around).otherwise(empty))
+
+
+def overlapping_pairs(rows: DataFrame, least: float = SIMILAR, hot: int = 64, width: int = 32) -> DataFrame:
+    """(a, b), a < b: pairs of rows(id, source, left, right, grams, first, last) of different sources that share a blocking key, overlap in days, and can be alike in their grams.
+
+    All pairs of a key of at most ``hot`` rows are candidates. Beyond that a set-similarity index works inside the key: two
+    sets of which a share of ``least`` agrees have in common one of the first n - ceil(least * n) + 1 grams of either, in any
+    one order; with the rarest first, few others do. Such a key is a key of (blocking key, gram, days): rows of one day meet at
+    that day, and rows of several meet all rows at every ``width`` days that they touch. So no pair is lost and a hot key
+    costs what its likely pairs do. Sizes are held against each other where rows meet.
+    """
+    size = F.size("grams")
+    cut = size - F.ceil(F.lit(least) * size).cast("int") + 1
+    base = rows.select("id", "source", "first", "last", size.alias("n"), (F.col("first") != F.col("last")).alias("long"), "left", "right")
+    crowd = table(base.select(F.explode("right").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("hot", F.col("m") > hot), "blocking-keys")
+    crowded = base.select("id", F.explode("right").alias("key")).join(crowd.where("hot"), "key", "left_semi").select("id").distinct()
+    # as many kinds of trigrams as the alphabet of 37 signs allows, 50,653
+    kinds = F.broadcast(rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("many")))
+    rare = rows.join(crowded, "id", "left_semi").select("id", cut.alias("cut"), F.explode("grams").alias("gram")).join(kinds, "gram")
+    rare = rare.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("many", "gram"))), 1, F.first("cut"))["gram"].alias("rare"))
+    rare = table(rare, "rare-grams")
+    months = F.transform(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)), lambda x: F.concat(F.lit("m"), x.cast("string")))
+    day = F.array(F.concat(F.lit("d"), F.col("first").cast("string")))
+
+    def side(keys: str, slots: Column) -> DataFrame:
+        x = base.withColumn("key", F.explode(keys)).drop("left", "right").join(crowd, "key")
+        cold = x.where("not hot").withColumn("h", F.xxhash64("key"))
+        warm = x.where("hot").join(rare, "id").withColumn("gram", F.explode("rare")).withColumn("slot", F.explode(slots)).withColumn("h", F.xxhash64("key", "gram", "slot"))
+        return cold.unionByName(warm.select(*cold.columns))
+
+    a = side("left", F.when(F.col("long"), months).otherwise(day)).alias("a")
+    b = side("right", F.when(F.col("long"), months).otherwise(F.concat(months, day))).alias("b")
+    once = F.when(~F.col("a.hot") | (F.col("a.long") == F.col("b.long")), F.col("a.id") < F.col("b.id")).otherwise(F.col("a.long"))
+    sizes = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n")
+    met = a.join(b, F.col("a.h") == F.col("b.h")).where(once & (F.col("a.source") != F.col("b.source")) & (F.col("a.first") <= F.col("b.last")) & (F.col("b.first") <= F.col("a.last")) & sizes)
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+_JUDGED = ("source", "title", "start_date", "day_first", "day_last", "time_known", "venue", "venue_name", "zip_code", "lat", "lng")
+
+
+def duplicate_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows(id, source, title, start_date, day_first, day_last, time_known, venue, venue_name, zip_code, lat, lng) that are one outing of two sources.
+
+    Days overlap, and: one place and alike titles, or very alike titles, one slot and venues whose names are compatible and
+    that are not known to differ. Rows without a start are none's duplicate.
+    """
+    r = rows.where("day_first is not null").withColumn("day_last", F.greatest(F.coalesce("day_last", "day_first"), "day_first"))
+    r = r.withColumns({"grams": text.trigrams(text.plain_title(titles.for_matching(F.col("title")))), "s": names.signature(F.col("venue_name"))})
+    left, right = event_keys(F.col("day_first"), F.col("day_last"), F.col("venue"), F.col("s"), F.col("lat"), F.col("lng"))
+    r = table(r.withColumns({"left": left, "right": right, "first": F.unix_date("day_first"), "last": F.unix_date("day_last")}), "outings-to-match")
+    pairs = overlapping_pairs(r.where(F.size("grams") > 0))
+    side = lambda p: r.select(*(F.col(x).alias(f"{p}_{x}") for x in ("id", "grams", "s", "start_date", "day_first", "time_known", "venue", "zip_code", "lat", "lng")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
     c = F.col
     metres = geo.haversine_m(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng"))
     same_place = F.coalesce(c("a_venue") == c("b_venue"), F.lit(False)) | F.coalesce(metres < NEAR_M, F.lit(False))
-    overlap = (c("a_day_first") <= c("b_day_last")) & (c("b_day_first") <= c("a_day_last"))
     minutes = F.abs(F.unix_micros(c("a_start_date").cast("timestamp")) - F.unix_micros(c("b_start_date").cast("timestamp"))) / 60e6
-    slot = (c("a_day_first") == c("b_day_first")) & (~(c("a_time_known") & c("b_time_known")) | (minutes <= SLOT_MINUTES))
-    inside = (F.size(F.array_except("a__v", "b__v")) == 0) | (F.size(F.array_except("b__v", "a__v")) == 0)
-    names = F.coalesce(c("a_zip_code") == c("b_zip_code"), F.lit(True)) & F.coalesce(metres <= FAR_M, F.lit(True)) & inside
-    sim = text.similarity(c("a__t"), c("b__t"))
-    edges = both.where((c("a_source") != c("b_source")) & overlap & ((same_place & (sim > SIMILAR)) | (~same_place & slot & (sim >= VERY_SIMILAR) & names))).select("a", "b")
-    return canonical(rows, connected_components(edges))
+    slot = (c("a_day_first") == c("b_day_first")) & (~(F.coalesce("a_time_known", F.lit(False)) & F.coalesce("b_time_known", F.lit(False))) | (minutes <= SLOT_MINUTES))
+    zips = F.coalesce(F.nullif(text.zip_code(c("a_zip_code")), F.lit("")) == F.nullif(text.zip_code(c("b_zip_code")), F.lit("")), F.lit(True))
+    alike_names = zips & F.coalesce(metres <= FAR_M, F.lit(True)) & names.compatible(c("a_s"), c("b_s"))
+    sim = text.similarity(c("a_grams"), c("b_grams"))
+    return both.where((same_place & (sim > SIMILAR)) | (~same_place & slot & (sim >= VERY_SIMILAR) & alike_names)).select("a", "b")
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """(duplicate, canonical) of rows(see :func:`duplicate_pairs`, and status, quality_score, created_at).
+
+    Rows that agree in all that the pair rule looks at have the same duplicates; the least id stands for them, and the others
+    follow it into its component.
+    """
+    kinds = table(rows.groupBy(*_JUDGED).agg(F.min("id").alias("id")), "kinds-of-outings")
+    found = connected_components(duplicate_pairs(kinds))
+    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"k.{x}")) for x in _JUDGED]
+    like = rows.alias("r").join(kinds.join(found, F.col("id") == F.col("node")).alias("k"), reduce(Column.__and__, same))
+    return canonical(rows, like.select(F.col("r.id").alias("node"), "component"))
 
 
 def canonical(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -76,83 +139,3 @@ def filled(rows: DataFrame, links: DataFrame, columns: list[str], order: str = "
     d = links.join(rows, F.col("duplicate") == F.col("id"))
     first = d.groupBy("canonical").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in columns))
     return rows.join(first, F.col("id") == F.col("canonical"), "left").select(*(x for x in rows.columns if x not in columns), *(F.coalesce(c, f"_{c}").alias(c) for c in columns))
-
-
-def link_venues(venues: DataFrame) -> DataFrame:
-    """(alias, canonical) of venues(id, name, zip_code, lat, lng, n_events, created_at) that are one place.
-
-    Same normal name, or near each other with one's words among the other's,
-    unless post codes differ or they are far apart. Within a component links are
-    taken in order of ids, and two groups never merge if any pair of them is
-    known to be apart; that part is sequential and runs on one component at a time.
-    """
-    i, j = geo.cell(F.col("lat"), F.col("lng"), 0.001, 0.0013)
-    v = venues.withColumn("_n", text.normal_name(F.col("name")))
-    cells = F.when(F.col("lat").isNotNull(), F.transform(geo.neighbours(i, j), lambda n: F.concat_ws("|", F.lit("g"), n["i"].cast("string"), n["j"].cast("string"))))
-    keys = F.concat(F.when(F.length("_n") >= 3, F.array(F.concat(F.lit("n|"), "_n"))).otherwise(F.array().cast("array<string>")), F.coalesce(cells, F.array().cast("array<string>")))
-    pairs = candidates(v, keys)
-    side = lambda p: v.select(*(F.col(x).alias(f"{p}_{x}") for x in ("id", "_n", "zip_code", "lat", "lng")))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    both = both.where(_same_place())
-    edges = both.select("a", "b")
-    comps = connected_components(edges)
-    rows = comps.join(v, F.col("node") == F.col("id")).select("component", "id", "_n", "zip_code", "lat", "lng", "n_events", "created_at")
-    links = edges.join(comps, F.col("a") == F.col("node")).select("component", "a", "b")
-    return rows.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(_cluster, "alias long, canonical long")
-
-
-def compatible_names(a: Column, b: Column) -> Column:
-    """Whether the words of one normal name are among the other's."""
-    wa, wb = F.split(a, " "), F.split(b, " ")
-    return (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
-
-
-def _same_place() -> Column:
-    c = F.col
-    metres = geo.haversine_m(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng"))
-    zips = F.coalesce(c("a_zip_code") == c("b_zip_code"), F.lit(True))
-    inside = compatible_names(c("a__n"), c("b__n"))
-    return zips & F.when(c("a__n") == c("b__n"), F.coalesce(metres < FAR_M, F.lit(True))).otherwise(F.coalesce(metres < NEAR_M, F.lit(False)) & inside)
-
-
-def _cluster(pdf, links):
-    """Union with a veto over one component: its links in order of ids, held against arrays of what tells two venues apart."""
-    import numpy as np
-    import pandas as pd
-
-    rows = pdf.sort_values("id").reset_index(drop=True)
-    place = {x: i for i, x in enumerate(rows["id"])}
-    zips = pd.factorize(rows["zip_code"].replace("", None))[0]  # -1: none
-    lat, lng = (np.radians(rows[c].to_numpy(float)) for c in ("lat", "lng"))
-    words = [frozenset(n.split()) for n in rows["_n"]]
-
-    def apart(g: list[int], h: list[int]) -> bool:
-        g, h = np.array(g), np.array(h)
-        if ((zips[g][:, None] != zips[h]) & (zips[g][:, None] >= 0) & (zips[h] >= 0)).any():
-            return True
-        half = np.sin((lat[h] - lat[g][:, None]) / 2) ** 2 + np.cos(lat[g])[:, None] * np.cos(lat[h]) * np.sin((lng[h] - lng[g][:, None]) / 2) ** 2
-        metres = 2 * geo.EARTH_M * np.arcsin(np.sqrt(half))  # NaN where a place is unknown, which is never apart
-        if (metres >= FAR_M).any():
-            return True
-        return any(not (words[g[i]] <= words[h[j]] or words[h[j]] <= words[g[i]]) for i, j in np.argwhere(metres < NEAR_M))
-
-    parent = list(range(len(rows)))
-    groups = {i: [i] for i in parent}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for b, a in sorted({(max(x, y), min(x, y)) for x, y in zip(links["a"], links["b"], strict=True)}):
-        g, h = find(place[a]), find(place[b])
-        if g != h and not apart(groups[g], groups[h]):
-            parent[h] = g
-            groups[g] += groups.pop(h)
-    out = []
-    for g in groups.values():
-        some = rows.iloc[g]
-        rank = sorted(zip(some["n_events"].fillna(0), some["lat"].notna(), -pd.to_datetime(some["created_at"]).astype("int64"), some["id"], strict=True))
-        out += [(x, rank[-1][3]) for x in some["id"] if x != rank[-1][3]]
-    return pd.DataFrame(out, columns=["alias", "canonical"]).astype("int64")

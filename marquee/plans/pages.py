@@ -18,7 +18,7 @@ def pag_01(s, d):
     return pages.home(B.rows(s, d), B.NOW, "theatre")
 
 
-_EVENT = f"""{B.BASE}, w as (select *, regexp_replace(regexp_replace({B.FOLD_SQL.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') work from live), me as (select id own, category_slug, venue_id, work from w where id % 40 = 1),
+_EVENT = f"""{B.BASE}, w as (select *, regexp_replace(regexp_replace({B.FOLD_SQL.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') work from live), me as (select id own, category_slug, venue_id, work from w),
   ar as (select distinct l_orderkey id, l_suppkey artist_key from lineitem)"""
 
 
@@ -27,7 +27,7 @@ _EVENT = f"""{B.BASE}, w as (select *, regexp_replace(regexp_replace({B.FOLD_SQL
   select own page, block, row_number() over (partition by own, block order by o, id) pos, id from x qualify pos <= 6""")
 def pag_02_event(s, d):
     rows = B.rows(s, d)
-    chosen = rows.where("id % 40 = 1").select(c("id").alias("page"), "id")
+    chosen = rows.select(c("id").alias("page"), "id")
     return pages.event(rows, chosen, t(s, d, "lineitem").select(c("l_orderkey").alias("id"), c("l_suppkey").alias("artist_key")), B.NOW)
 
 
@@ -64,7 +64,7 @@ def rec_09(s, d):
 _TOPS = {"saves": "count(*) filter (event_type = 'click') + 2 * count(*) filter (event_type = 'purchase')", "views": "count(*) filter (event_type = 'view')", "clicks": "count(*) filter (event_type = 'click')", "mean": "round(avg(value), 6)"}
 
 
-@query("srt_08_tops", "with x as (select event_id % 300 id, " + ", ".join(f"{sql}::double {k}" for k, sql in _TOPS.items()) + ", count(*) n from events group by 1) " + " union all ".join(f"(select '{k}' by, id, row_number() over (order by {k} desc, {'n desc, ' if k == 'mean' else ''}id) pos from x qualify pos <= 8)" for k in _TOPS))
+@query("srt_08_tops", "with x as (select event_id % 300 id, " + ", ".join(f"{sql}::double {k}" for k, sql in _TOPS.items()) + ", count(*) n from events group by 1) " + " union all ".join(f"(select '{k}' as \"by\", id, row_number() over (order by {k} desc, {'n desc, ' if k == 'mean' else ''}id) pos from x qualify pos <= 8)" for k in _TOPS))
 def srt_08_tops(s, d):
     k = lambda x: F.count_if(c("event_type") == x)
     x = t(s, d, "events").groupBy((c("event_id") % 300).alias("id")).agg((k("click") + 2 * k("purchase")).cast("double").alias("saves"), k("view").cast("double").alias("views"), k("click").cast("double").alias("clicks"), F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -135,7 +135,7 @@ def snk_07(s, d):
 
 # ---------------------------------------------------------------- lookups
 
-_FEATURES = """x as (select c_custkey k, unnest([0, 1, 2]) i from customer), f as (select k, i, ((k * 7 + i * 31) % 100) / 100.0 score, case when (k + i) % 5 = 0 then 'municipality' when (k + i) % 3 = 0 then 'street' else 'housenumber' end kind, 48.70 + (k % 50) * 0.01 lat, 2.1 + (k % 60) * 0.01 lng, case when k % 9 = 0 then '69001' else '750' || lpad((k % 20 + 1)::varchar, 2, '0') end zip from x)"""
+_FEATURES = """x as (select c_custkey k, unnest([0, 1, 2]) i from customer), f as (select k, i, ((k * 7 + i * 31) % 100) / 100.0 score, case when (k + i) % 5 = 0 then 'municipality' when (k + i) % 3 = 0 then 'street' else 'housenumber' end kind, 48.70::double + (k % 50) * 0.01::double lat, 2.1::double + (k % 60) * 0.01::double lng, case when k % 9 = 0 then '69001' else '750' || lpad((k % 20 + 1)::varchar, 2, '0') end zip from x)"""
 
 
 @query("geo_05_chosen_feature", f"""with {_FEATURES} select k, arg_min(i, i) feature from f where score >= {geocoding.LEAST_SCORE} and kind in ({', '.join(f"'{x}'" for x in geocoding.KINDS)}) and lat between 48.70 and 49.01 and lng between 2.14 and 2.64 and left(zip, 2) in ('75', '92', '93', '94') group by 1""")

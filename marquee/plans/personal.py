@@ -74,7 +74,7 @@ def alr_09(s, d):
     return members.deliveries(chosen, sent, delivered).withColumn("channels", F.array_join("channels", ","))
 
 
-@query("rec_12_last_dates", "with m as (select distinct user_id, event_id % 500 id, timestamp '2024-01-10' + to_hours(event_id % 500) at from events) select user_id, id, row_number() over (partition by user_id order by at, id) pos from m where at between timestamp '2024-01-15' and timestamp '2024-01-22' qualify pos <= 12")
+@query("rec_12_last_dates", "with m as (select distinct user_id, event_id % 500 id, timestamp '2024-01-10' + to_hours(event_id % 500) starts from events) select user_id, id, row_number() over (partition by user_id order by starts, id) pos from m where starts between timestamp '2024-01-15' and timestamp '2024-01-22' qualify pos <= 12")
 def rec_12(s, d):
     from datetime import UTC, datetime
 

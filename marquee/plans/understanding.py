@@ -34,59 +34,33 @@ def _rep(x: str, pattern: str, to: str = "") -> str:
 
 
 _T = f"""{B.BASE}, tt as (select id k, category_slug, ({B._list(BEFORE)})[id % {len(BEFORE)} + 1] || title || ({B._list(AFTER)})[(id // 8) % {len(AFTER)} + 1] raw from r)"""
-_U = titles.upper_accents
-
-
-def _tidy_sql(x: str) -> str:
-    return _rep(_rep(_rep(_rep(x, r"\s+", " "), r"\(\s*\)|\[\s*\]", " "), r"\s+", " "), titles.EDGES)
-
-
-def _undated(src: str, name: str) -> str:
-    """CTEs from src(k, raw) to name(k, raw, t)."""
-    cut = lambda x: f"case when {_rep(x, _U(titles.DATE_LAST))} <> {x} then {_rep(_rep(x, _U(titles.DATE_LAST)), titles.CLOCK_LAST)} else {x} end"
-    first = _rep("trim(raw)", _U(titles.DATE_FIRST))
-    return f"""{name}1 as (select *, case when {first} <> trim(raw) then {_rep(first, titles.CITY_FIRST, chr(92) + '1')} else trim(raw) end t0 from {src}),
-      {name}2 as (select *, {cut('t0')} t1 from {name}1), {name}3 as (select *, {cut('t1')} t2 from {name}2),
-      {name} as (select * exclude (t0, t1, t2), case when length({_tidy_sql('t2')}) >= 2 then {_tidy_sql('t2')} else trim(raw) end t from {name}3)"""
-
-
-def _flag_sql(src: str, name: str) -> str:
-    """CTEs from src(k, raw) to name(k, raw, clean, x, s)."""
-    sold, cancelled = _q(rf"(?i){titles.SOLD_OUT}"), _q(_U(rf"(?i){titles.CANCELLED}"))
-    out, last = [f"{name}0 as (select *, trim(raw) t, false x, false s from {src})"], f"{name}0"
-    for i, (kind, pattern, stays) in enumerate(titles.MARKS):
-        p = _U(pattern)
-        again = _rep(_rep("t", p, stays), p, stays) if kind in ("first", "last") else _rep("t", p, stays)
-        out.append(f"{name}m{i} as (select * exclude (t, x, s, f), case when f <> '' then trim({again}) else t end t, x or regexp_matches(f, {cancelled}) x, s or regexp_matches(f, {sold}) s from (select *, array_to_string(regexp_extract_all(t, {_q(p)}), ' ') f from {last}))")
-        last = f"{name}m{i}"
-        if i == 1:
-            out.append(f"{name}h as (select * exclude (x), x or regexp_matches(t, {_q(_U(titles.HAPPENING))}) x from {last})")
-            last = f"{name}h"
-    mark, gone = _q(titles.CAPITALS), r"\1 \2"
-    mixed = f"length({_rep('t', r'[^\p{L}]')}) > 0 and length({_rep('t', r'[^\p{Lu}]')}) < 0.7 * length({_rep('t', r'[^\p{L}]')}) and regexp_matches(t, {mark})"
-    out.append(f"""{name}c as (select * exclude (t, x, s), case when {mixed} then {_rep(_rep('t', titles.CAPITALS, gone), titles.CAPITALS, gone)} else t end t, x or ({mixed} and regexp_matches(t, {_q(titles.CANCELLED_CAPITALS)})) x,
-      s or ({mixed} and regexp_matches({_rep(_rep('t', titles.CANCELLED_CAPITALS, gone), titles.CANCELLED_CAPITALS, gone)}, {mark})) s from {last})""")
-    lead = _U(titles.CANCELLED_FIRST)
-    out.append(f"{name}l as (select * exclude (t, x), {_rep('t', lead, chr(92) + '1')} t, x or regexp_matches(t, {_q(lead)}) x from {name}c)")
-    out.append(f"{name} as (select * exclude (t), case when length({_tidy_sql('t')}) >= 2 then {_tidy_sql('t')} else trim(raw) end clean from {name}l)")
-    return ", ".join(out)
-
-
-@query("txt_08_without_dates", f"{_T}, {_undated('tt', 'u')} select k id, t title from u")
+# What should be left of each of them, where a rule takes something away, and what the marks say.
+_FLAG_BEFORE, _FLAG_AFTER = {3: "", 4: "", 5: "", 6: "", 7: "Le concert est : "}, {3: "", 4: " supplémentaire", 7: " : demain", 8: ""}
+_DATE_BEFORE, _DATE_AFTER = {1: "", 2: ""}, {1: "", 2: "", 6: "", 9: " au Trianon", 10: ""}
+_B, _A = f"id % {len(BEFORE)}", f"(id // 8) % {len(AFTER)}"
+
+
+def _left_sql(before: dict, after: dict) -> str:
+    pick = lambda xs, new, at: f"({B._list([new.get(i, x) for i, x in enumerate(xs)])})[{at} + 1]"
+    # only the first of two marks before a colon goes
+    second = f"case when {_B} = 7 and {_A} = 7 then ' annulée : demain' else {pick(AFTER, after, _A)} end" if 7 in after else pick(AFTER, after, _A)
+    return f"trim({pick(BEFORE, before, _B)} || title || {second})"
+
+
+@query("txt_08_without_dates", f"{B.BASE} select id, {_left_sql(_DATE_BEFORE, _DATE_AFTER)} title from r")
 def txt_08(s, d):
     return _titles(s, d).select("id", titles.without_dates(c("title")).alias("title"))
 
 
-@query("txt_07_flagged", f"{_T}, {_flag_sql('tt', 'f')} select k id, clean, x cancelled, s sold_out from f")
+@query("txt_07_flagged", f"{B.BASE} select id, {_left_sql(_FLAG_BEFORE, _FLAG_AFTER)} clean, {_B} in (3, 5, 6, 7) or {_A} = 7 cancelled, {_B} = 4 or {_A} in (3, 4, 8) sold_out from r")
 def txt_07_flagged(s, d):
     return _titles(s, d).select("id", titles.flagged(c("title")).alias("f")).select("id", "f.clean", "f.cancelled", "f.sold_out")
 
 
-_MATCH = f"{_T}, {_flag_sql('tt', 'f')}, g as (select k, category_slug, clean raw from f), {_undated('g', 'u')}, m as (select k, case when length(trim({_rep('t', titles.TAIL)})) >= 2 then trim({_rep('t', titles.TAIL)}) else t end t from u)"
 _PLAIN = _rep(_rep(_rep("replace(replace(" + B.FOLD_SQL.format("t") + ", 'œ', 'oe'), 'æ', 'ae')", r"\([^)]*\)|\[[^\]]*\]", " "), r"\b(19|20)[0-9]{2}\b", " "), "[^a-z0-9]+", " ")
 
 
-@query("txt_10_dedup_title", f"""{_MATCH}, p as (select k, t, trim({_PLAIN}) w from m), n as (select *, array_to_string(list_filter(string_split(w, ' '), lambda x: x <> '' and x not in ({', '.join(_q(x) for x in (*text.ARTICLES, *text.TITLE_NOISE))})), ' ') z from p)
+@query("txt_10_dedup_title", f"""{B.BASE}, m as (select id k, {_left_sql(_DATE_BEFORE | _FLAG_BEFORE, _DATE_AFTER | _FLAG_AFTER | {5: ""})} t from r), p as (select k, t, trim({_PLAIN}) w from m), n as (select *, array_to_string(list_filter(string_split(w, ' '), lambda x: x <> '' and x not in ({', '.join(_q(x) for x in (*text.ARTICLES, *text.TITLE_NOISE))})), ' ') z from p)
   select k id, t title, case when z <> '' then z else w end words from n""")
 def txt_10(s, d):
     return _titles(s, d).select("id", titles.for_matching(c("title")).alias("title"), titles.dedup_title(c("title")).alias("words"))
@@ -243,7 +217,7 @@ def dte_07(s, d):
 
 
 @query("dte_01_written_dates", f"""with x as (select o_orderkey id, o_orderdate d, o_orderkey % 7 k, date_diff('hour', o_orderdate + interval 12 hour, {B.paris_sql("(o_orderdate + interval 12 hour)")}) h from orders)
-  select id, case k when 1 then d + interval 20 hour - to_hours(h) when 2 then d + interval 18 hour when 4 then d + interval 19 hour when 5 then null else d + interval 12 hour - to_hours(h) end at, k in (1, 2, 4) time_known from x""")
+  select id, case k when 1 then d + interval 20 hour - to_hours(h) when 2 then d + interval 18 hour when 4 then d + interval 19 hour when 5 then null else d + interval 12 hour - to_hours(h) end as "at", k in (1, 2, 4) time_known from x""")
 def dte_01(s, d):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     k = c("o_orderkey") % 7
@@ -252,10 +226,10 @@ def dte_01(s, d):
     return t(s, d, "orders").select(c("o_orderkey").alias("id"), labels.instant(written, midnight_unknown=True).alias("w")).select("id", "w.at", "w.time_known")
 
 
-@query("dte_09_series_times", f"""with a as (select o_custkey k, o_orderdate + to_hours(o_orderkey % 3 * 2) s, o_orderdate - interval 30 day o from orders where o_custkey % 3 = 0)
+@query("dte_09_series_times", f"""with a as (select o_custkey k, o_orderdate + to_hours(o_orderkey % 3 * 2) s, o_orderdate - interval 30 day o from orders)
   select k, case when count(distinct strftime({B.paris_sql('s')}, '%H:%M')) = 1 then min(strftime({B.paris_sql('s')}, '%H:%M')) end clock, coalesce(min(o) filter (o > {_N}), max(o)) on_sale_at from a group by 1""")
 def dte_09(s, d):
-    o = t(s, d, "orders").where("o_custkey % 3 = 0").select(c("o_custkey").alias("k"), (c("o_orderdate") + F.expr("make_dt_interval(0, int(o_orderkey % 3 * 2))")).alias("s"), (c("o_orderdate") - F.expr("interval '30' day")).alias("o"))
+    o = t(s, d, "orders").select(c("o_custkey").alias("k"), (c("o_orderdate") + F.expr("make_dt_interval(0, int(o_orderkey % 3 * 2))")).alias("s"), (c("o_orderdate") - F.expr("interval '30' day")).alias("o"))
     g = o.groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("o").alias("o"))
     return g.select("k", labels.agreed_time(c("s")).alias("clock"), labels.series_on_sale(c("o"), B.NOW).alias("on_sale_at"))
 

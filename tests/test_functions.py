@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import french, geo, labels, phrases, text, times, titles
-from marquee.operators import etl, graph, listing, members, relational, resolution
+from marquee.operators import etl, graph, linking, listing, members, relational, resolution
 from marquee.sources import parsing, readers
 
 
@@ -188,7 +188,7 @@ def test_hot_blocking_key_loses_no_pair(spark):
 def test_venue_veto(spark):
     d = datetime(2026, 1, 1)
     rows = [(1, "Sunset", None, 48.8600, 2.3470, 3, d), (2, "Sunset Sunside", None, 48.8600, 2.3470, 9, d), (3, "Sunside", None, 48.8600, 2.3470, 5, d), (4, "Le Rex", "75002", None, None, 1, d), (5, "Rex", "75002", None, None, 2, d), (6, "Rex", "75003", None, None, 2, d)]
-    got = {r.alias: r.canonical for r in resolution.link_venues(spark.createDataFrame(rows, "id long, name string, zip_code string, lat double, lng double, n_events long, created_at timestamp_ntz")).collect()}
+    got = {r.alias: r.canonical for r in linking.link_venues(spark.createDataFrame(rows, "id long, name string, zip_code string, lat double, lng double, n_events long, created_at timestamp_ntz")).collect()}
     assert got == {1: 2, 4: 5}
 
 
