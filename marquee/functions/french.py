@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text
-from .titles import let
+from .text import let
 
 # Months by name, without accents, with their short forms.
 MONTHS = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ TITLE_NOISE = (
 ).split()
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def fold(c: Column) -> Column:
     """Lower case without the accents of the table (other letters stay)."""
     return F.translate(F.lower(c), ACCENTS_FROM, ACCENTS_TO)
@@ -75,8 +81,8 @@ def plain_title(c: Column) -> Column:
     """A title for comparison across sources: no brackets, years, articles or noise words."""
     bare = F.regexp_replace(fold_ligatures(c), r"\([^)]*\)|\[[^\]]*\]", " ")
     bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(19|20)[0-9]{2}\b", " "), "[^a-z0-9]+", " "))
-    kept = F.array_join(F.filter(F.split(bare, " +"), lambda w: (w != "") & ~w.isin(*ARTICLES, *TITLE_NOISE)), " ")
-    return F.when(kept != "", kept).otherwise(bare)
+    kept = lambda b: F.array_join(F.filter(F.split(b, " +"), lambda w: (w != "") & ~w.isin(*ARTICLES, *TITLE_NOISE)), " ")
+    return let(bare, lambda b: let(kept(b), lambda k: F.when(k != "", k).otherwise(b)))
 
 
 def trigrams(c: Column) -> Column:

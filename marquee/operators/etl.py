@@ -102,27 +102,28 @@ def reserved_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
     return r.select("id", slug.alias("slug"))
 
 
-def publish(df: DataFrame, path: str, name: str, least_share: float = 0.3, live: int = 0) -> DataFrame:
-    """Writes a rebuilt index beside the old one; refuses to shrink it below a share of over 200 live rows."""
-    n = df.count()
-    if live > 200 and n < least_share * live:
-        raise ValueError(f"{n} rows would replace {live}")
+def publish(df: DataFrame, path: str, name: str, least_share: float = 0.3, live: int = 0, by: str | None = None, counted: str | None = None) -> DataFrame:
+    """Writes a rebuilt index beside the old one, in folders of the column ``by``; refuses to shrink it below a share of its live rows (or of distinct ``counted``, if rows are not what counts)."""
+    if live:
+        n = df.select(counted).distinct().count() if counted else df.count()
+        if n < least_share * live:
+            raise ValueError(f"{n} rows would replace {live}")
     at = f"{path}/{name}/v={time.time_ns()}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
 
 
-def swapped(df: DataFrame, path: str, name: str, least_share: float = 0.3, small: int = 200) -> DataFrame:
+def swapped(df: DataFrame, path: str, name: str, least_share: float = 0.3, small: int = 200, by: str | None = None, counted: str | None = None) -> DataFrame:
     """publish(), guarded by the size of what readers see now, and then the switch of what they see: a one-row table ``current`` names the folder."""
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/current")
     known = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    live = current(spark, path, name).count() if known else 0
-    new = publish(df, path, name, least_share, live if live > small else 0)
-    at = new.inputFiles()[0].rsplit("/", 1)[0] if new.inputFiles() else None
-    if at is None:
-        raise ValueError("nothing was written")
-    spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/current")
+    seen = current(spark, path, name) if known else None
+    live = 0 if seen is None else seen.select(counted).distinct().count() if counted else seen.count()
+    new = publish(df, path, name, least_share, live if live > small else 0, by, counted)
+    spark.createDataFrame([(new._written_at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/current")
     return new
 
 

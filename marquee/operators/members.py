@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from .scratch import drop, table
+from .scratch import table
 
 # Rewards, levels and badges.
 XP = {"saves": 5, "attendances": 30, "reviews": 15, "comments": 10, "first_review": 25, "swipes": 2, "quiz": 50}
 LEVELS = (0, 100, 300, 700, 1500)
 BADGES = {"first-save": ("saves", 1), "quiz-done": ("quiz", 1), "first-attend": ("attendances", 1), "five-outings": ("attendances", 5), "first-review": ("reviews", 1), "five-reviews": ("reviews", 5), "explorer-paris": ("arrondissements", 5), "curieux": ("categories", 5), "bon-plan": ("free_events", 5), "match-master": ("swipes", 50)}
+DEEPER = 64  # times the depth of the lists of dates that a round of alerts reads
 CHALLENGES = ("lieu-phare", "gratuit-arrondissement", "trois-categories", "deux-sorties")
 # Categories of musical outings.
 MUSIC = ("concerts", "festivals")
@@ -202,32 +203,33 @@ def selected_items(items: DataFrame, delivered: DataFrame, settings: DataFrame |
 def _first_followed(follows: DataFrame, dates: DataFrame, delivered: DataFrame, settings: DataFrame | None, most: int, depth: int) -> DataFrame:
     """(user_id, id, kind, start_date): the first ``most`` of each member's followed dates, without joining all dates of an artist to all followers.
 
-    The dates of an artist and kind are put in order once, and members meet the first ``depth`` of each. All that a member
+    The dates of an artist and kind are put in order, and members meet the first ``depth`` of each. All that a member
     has not met lies behind the least of the next ones in their artists' lists. So a member is done who has ``most`` dates
     before that, or whose artists have no more; the others (of whose first dates some were delivered, refused or older than
-    the follow) go on, with lists eight times as deep. Members done in a round are a written table; the rounds end as lists do.
+    the follow) go on, with lists that are ``DEEPER`` times as deep, until no list is longer.
     """
     order = F.struct(_urgency().alias("u"), F.col("start_date").alias("s"), F.col("id").alias("i"))
     dates = table(dates.withColumn("at", order), "dates")
+    longest = dates.groupBy("artist_key", "kind").count().agg(F.max("count")).first()[0] or 0
     by_list = Window.partitionBy("artist_key", "kind").orderBy("at")
     out: list[DataFrame] = []
     while True:
         heads = dates.withColumn("n", F.row_number().over(by_list)).where(F.col("n") <= depth + 1)  # a rank limit: each task sends so many of a list at most
-        heads = table(heads, "heads")
         met = follows.join(heads.where(F.col("n") <= depth), "artist_key").where(_heard_of()).select("user_id", "id", "kind", "start_date", "at")
         pos = F.dense_rank().over(Window.partitionBy("user_id").orderBy("at"))
         first = _wanted(met, delivered, settings).withColumn("pos", pos).where(F.col("pos") <= most).distinct()
+        if depth >= longest:
+            out.append(first.select("user_id", "id", "kind", "start_date"))
+            return reduce(DataFrame.unionByName, out)
+        first = table(first, "first-dates")
         more = heads.where(F.col("n") == depth + 1).groupBy("artist_key").agg(F.min("at").alias("next"))
         behind = follows.join(more, "artist_key").groupBy("user_id").agg(F.min("next").alias("next"))
         have = first.groupBy("user_id").agg(F.count(F.lit(1)).alias("have"), F.max("at").alias("last"))
         open_ = behind.join(have, "user_id", "left").where((F.coalesce("have", F.lit(0)) < most) | (F.col("last") > F.col("next"))).select("user_id")
         open_ = table(open_, "open-members")
-        out.append(table(first.join(open_, "user_id", "left_anti").select("user_id", "id", "kind", "start_date"), "first-dates"))
-        drop(heads)
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+        out.append(first.join(open_, "user_id", "left_anti").select("user_id", "id", "kind", "start_date"))
         follows = follows.join(open_, "user_id", "left_semi")
-        depth *= 8
+        depth *= DEEPER
 
 
 def alerts(follows: DataFrame, artists: DataFrame, outings: DataFrame, attendances: DataFrame, delivered: DataFrame, now: datetime, most: int = 20, settings: DataFrame | None = None, depth: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules whose queries register themselves."""
-    from . import catalogue, listings, more, pages, personal, relational, sources, understanding  # noqa: F401
+    from . import catalogue, listings, more, pages, personal, relational, sources, stores, understanding  # noqa: F401
 
 
 load()

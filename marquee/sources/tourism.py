@@ -25,8 +25,40 @@ def local_names(json: Column) -> Column:
     return F.regexp_replace(json, r'"[^"@\\]*[#/:]([A-Za-z]+)"(\s*:)', '"$1"$2')
 
 
+def texts(v: Column, language: str = "fr") -> Column:
+    """Every text of a variant, at any depth: literals and numbers, lists, ``@value`` objects and maps by language; what is unmarked or in the language first, each part in the order of the document (of keys, in a map).
+
+    A reference (an ``@id`` with at most one more key), a boolean, a null and keys that name no language have no text. The
+    walk is breadth-first: a list of open values is expanded level by level, as often as the value is deep.
+    """
+    node = "struct<path: array<int>, language: string, value: variant>"
+    level = f"array<{node}>"
+    named = lambda path, tongue, value: F.struct(path.alias("path"), tongue.alias("language"), value.alias("value")).cast(node)
+    deep = lambda n, i: F.concat(n["path"], F.array(i))
+
+    def inside(n: Column) -> Column:
+        """The parts of a list or an object; any other value stands for itself."""
+        items = F.try_variant_get(n["value"], "$", "array<variant>")
+        keys = F.try_variant_get(n["value"], "$", "map<string,variant>")
+        tongue = F.coalesce(_string(_at(n["value"], "['@language']")), n["language"])
+        by_key = F.map_entries(F.map_filter(keys, lambda k, _: k.rlike("^@?[a-z]{2}(-[A-Za-z]{2})?$|^@none$")))
+        parts = F.when(items.isNotNull(), F.transform(items, lambda x, i: named(deep(n, i), n["language"], x)))
+        parts = parts.when(F.map_contains_key(keys, "@value"), F.array(named(deep(n, F.lit(0)), tongue, F.try_element_at(keys, F.lit("@value")))))
+        parts = parts.when(F.map_contains_key(keys, "@id") & (F.size(keys) <= 2), F.array().cast(level))
+        parts = parts.when(keys.isNotNull(), F.transform(by_key, lambda e, i: named(deep(n, i), F.when(e["key"] != "@none", F.substr(F.ltrim(e["key"], F.lit("@")), F.lit(1), F.lit(2))), e["value"])))
+        return parts.otherwise(F.array(n)).cast(level)
+
+    signs = F.regexp_replace(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[{\]}]", "")
+    step = lambda a, x: F.struct((a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    depth = F.aggregate(F.filter(F.split(signs, ""), lambda x: x != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+    start = F.filter(F.array(named(F.array().cast("array<int>"), F.lit(None).cast("string"), v)), lambda n: n["value"].isNotNull()).cast(level)
+    leaves = F.aggregate(F.sequence(F.lit(0), F.coalesce(depth, F.lit(0))), start, lambda nodes, _: F.flatten(F.transform(nodes, inside)).cast(level))
+    said = F.filter(F.transform(leaves, lambda n: F.struct(F.coalesce(n["language"] != language, F.lit(False)).alias("other"), n["path"].alias("path"), F.trim(_string(n["value"])).alias("text"), F.schema_of_variant(n["value"]).alias("kind"))), lambda n: ~n["kind"].isin("BOOLEAN", "VOID") & (n["text"] != ""))
+    return F.array_sort(said)["text"]
+
+
 def text(v: Column) -> Column:
-    """A literal, a list of literals, ``@value`` objects or a map by language as one text: French or unmarked first, then any."""
+    """What most properties are, without a walk: a literal, a list of literals, ``@value`` objects or a map by language as one text: French or unmarked first, then any."""
     by_language = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
     marked = lambda x: F.coalesce(_string(_at(x, "['@language']")), F.lit("fr"))
     french = F.transform(_many(v), lambda x: F.coalesce(_string(x), F.when(marked(x) == "fr", _string(_at(x, "['@value']"))), _string(_one(_at(x, "fr"))), _string(_one(_at(x, "['@fr']")))))
@@ -78,7 +110,7 @@ def tourism(payloads: DataFrame, value: str, now) -> DataFrame:
     """Rows of events within the departments from objects (one JSON object a row) of all their coming periods."""
     o = F.col("o")
     found = payloads.select(F.try_parse_json(local_names(F.col(value))).alias("o")).where("o is not null")
-    found = found.select("o", F.coalesce(_string(_at(o, "['@id']")), text(_at(o, "uri")), text(_at(o, "uuid"))).alias("uri"), text(_at(o, "label")).alias("title"), _classes(o).alias("classes")).where("uri is not null and title is not null")
+    found = found.select("o", F.coalesce(_string(_at(o, "['@id']")), text(_at(o, "uri")), text(_at(o, "uuid"))).alias("uri"), F.get(texts(_at(o, "label")), F.lit(0)).alias("title"), _classes(o).alias("classes")).where("uri is not null and title is not null")
     any_of = lambda names: F.arrays_overlap("classes", F.array(*map(F.lit, names)))
     found = found.where(any_of(EVENT_CLASSES) & ~(any_of(LEFT_OUT) & ~any_of(CATEGORY_OF_CLASS)))
     place = _one(_at(o, "isLocatedAt"))
