@@ -81,8 +81,7 @@ class _Reader(HTMLParser):
         for at in range(len(self.open) - 1, 0, -1):
             if tag in _CLOSED_BY.get(self.open[at].tag, ()):
                 del self.open[at:]
-                break
-            if self.open[at].tag in _HOLDS:
+            elif self.open[at].tag in _HOLDS:
                 break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].inside.append(node)
