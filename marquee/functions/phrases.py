@@ -47,7 +47,7 @@ PEOPLE = r"\b(\d|deux|trois|quatre|cinq|six)\s+(?:personnes|amis|potes|places)\b
 NUMBERS = {"deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "six": 6}
 COUPLE = r"\b(a deux|en couple|tous les deux)\b"
 NEAR = r"\b(pres de moi|autour de moi|a cote|pas loin|proche|dans le coin|quartier)\b"
-ASKED_GENRES = r"\b(jazz|rock|rap|electro|classique|opera|blues|soul|funk|reggae|metal|techno|house|salsa|tango|photo|street art|manga|bd|cirque|magie|impro|stand[ -]?up|piano)\b"
+ASKED_GENRES = r"\b(jazz|rock|rap|electro|classique|opera|blues|soul|funk|reggae|metal|techno|house|salsa|tango|photo|street art|impressionnis\w*|manga|bd|cirque|magie|impro|stand[ -]?up|piano|orgue)\b"
 MOST_KEYWORDS = 4
 PLACE = r"(?:(?:dans le|le|du) )?\b(?:750\d{2}|\d{1,2})\s?(?:er|eme|e)?\b\s?(?:€|euros?\b|ans\b|h\b|heures?\b|personnes?\b|min)?"
 UNIT = r"(?:€|euros?|ans|h|heures?|personnes?|min)$"

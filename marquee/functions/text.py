@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 ACCENTS_FROM = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
 ACCENTS_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 
+# Greek and Cyrillic letters in Latin ones, letter by letter, and those that take several.
+LETTERS = {"αβγδεζηικλμνξοπρσςτυωάέήίόύώϊϋ": "abgdezeiklmnxoprsstuoaeeiouoiu", "абвгдеёзийклмнопрстуфыэіїє": "abvgdeeziiklmnoprstufyeiie"}
+LETTERS_OF_SEVERAL = {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ъ": " ", "ь": " "}
+
 # Words that a search ignores.
 STOP_WORDS = (
     "a au aux avec ce ces dans de des du en et je la le les mon ma mes ou par pas pour quelque chose sur un une veux voudrais cherche ce soir paris sortir sortie truc"
@@ -47,9 +52,16 @@ def fold_py(s: str) -> str:
     return s.lower().translate(str.maketrans(ACCENTS_FROM, ACCENTS_TO)).replace("œ", "oe").replace("æ", "ae")
 
 
+def transliterated(c: Column) -> Column:
+    """Lower-case Greek and Cyrillic letters in Latin ones; other scripts have no table and stay as they are (so they are no words to :func:`words_of`)."""
+    foreign = c.rlike("[\u0370-\u04FF]")
+    single = F.translate(c, "".join(LETTERS), "".join(LETTERS.values()))
+    return F.when(foreign, reduce(lambda out, kv: F.replace(out, F.lit(kv[0]), F.lit(kv[1])), LETTERS_OF_SEVERAL.items(), single)).otherwise(c)
+
+
 def words_of(c: Column) -> Column:
-    """Folded text as words of letters and digits, one space apart; ``&`` reads as et."""
-    spelled = F.replace(fold_ligatures(c), F.lit("&"), F.lit(" et "))
+    """Folded text as words of letters and digits, one space apart; ``&`` reads as et, and Greek and Cyrillic as :func:`transliterated`."""
+    spelled = let(F.replace(fold_ligatures(c), F.lit("&"), F.lit(" et ")), transliterated)
     return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
 
 

@@ -33,13 +33,13 @@ def _finish(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nodes, t["a"].type), "p": pa.array([find(x) for x in nodes], t["a"].type)})
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(node, component) for every end of an edge; a component is named by its least node.
 
     Each round every node joins its neighbour (or itself) of the least hash, a
     new hash each round, and the edges between the joined nodes remain: their
     number falls by a constant factor in expectation whatever the shape, so
-    chains and stars take a logarithmic number of rounds. When at most ``FEW``
+    chains and stars take a logarithmic number of rounds. When at most ``few``
     edges remain, one task finishes them by union-find. Each round is a written
     table; the chain of maps is folded pairwise from its end, a table a step.
     Groups are aggregated before they are shuffled; a hub is one partial row a
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     kind = now.schema["a"].dataType.simpleString()
     maps: list[DataFrame] = []
     for r in range(MOST_ROUNDS):
-        if now.count() <= FEW:
+        if now.count() <= few:
             break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, r=r: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("v"))
@@ -61,17 +61,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = after
     else:
         raise RuntimeError("components did not settle")
-    label = table(now.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_finish, f"a {kind}, p {kind}").select(F.col("a").alias("node"), F.col("p").alias("root")), "labels")
+    label = now.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_finish, f"a {kind}, p {kind}").select(F.col("a").alias("node"), F.col("p").alias("root"))
+    if not maps:  # the task's roots are its least nodes already
+        out = settled(label.select("node", F.col("root").alias("component")), "components")
+        drop(now)
+        return out
+    label = table(label, "labels")
     drop(now)
     for parent in reversed(maps):
         up = label.select(F.col("node").alias("p"), "root")
         after = table(parent.join(up, "p", "left").select(F.col("a").alias("node"), F.coalesce("root", "p").alias("root")), "labels")
         drop(label, parent)
         label = after
-    if maps:  # the last task's roots are its least nodes already, but contraction names nodes by hash
-        least = label.groupBy("root").agg(F.min("node").alias("component"))
-        out = settled(label.join(least, "root").select("node", "component"), "components")
-    else:
-        out = settled(label.select("node", F.col("root").alias("component")), "components")
+    least = label.groupBy("root").agg(F.min("node").alias("component"))  # contraction names nodes by hash
+    out = settled(label.join(least, "root").select("node", "component"), "components")
     drop(label)
     return out

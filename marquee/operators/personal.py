@@ -108,10 +108,10 @@ def reason(fits_intent: Column) -> Column:
     )
 
 
-def candidates(rows: DataFrame, categories: tuple[str, ...], intents: tuple[str, ...], arrondissements: tuple[str, ...], budget: str, exclude_ids: tuple, now: datetime, when: str = "week") -> DataFrame:
+def candidates(rows: DataFrame, categories: tuple[str, ...], intents: tuple[str, ...], arrondissements: tuple[str, ...], budget: str, seen: DataFrame | None, now: datetime, when: str = "week") -> DataFrame:
     """(id, score): the four lists of one plan (its categories and budget, its first intent, its places, anything) fused and lifted by the plan.
 
-    rows: listing.with_dims(). A plan's lists are bounded listings, so nothing here grows with the catalogue but the four scans.
+    rows: listing.with_dims(); seen(id) is left out of the lists, which are not filled up for it. A plan's lists are bounded listings, so nothing here grows with the catalogue but the four scans.
     """
     base = L.EventQuery(when=when, with_image=True, group_films=False)
     most = {"free": 0.0, "cheap": float(CHEAP_EUROS)}.get(budget)
@@ -123,7 +123,8 @@ def candidates(rows: DataFrame, categories: tuple[str, ...], intents: tuple[str,
     for i, q in enumerate(q for q in asked if q):
         order = Window.orderBy(*L.ordering(q, now))  # over a bounded page
         page = L.listing(rows, q, now).withColumn("r", F.row_number().over(order) - 1).where(F.col("r") < q.limit)
-        lists.append(page.where(~F.col("id").isin(*exclude_ids) if exclude_ids else F.lit(True)).select("id", "r", F.lit(i).alias("l"), "category_slug", "arrondissement", "price_status", "image_url"))
+        page = page if seen is None else page.join(seen.select("id"), "id", "left_anti")
+        lists.append(page.select("id", "r", F.lit(i).alias("l"), "category_slug", "arrondissement", "price_status", "image_url"))
     every = reduce(DataFrame.unionByName, lists)
     fused = relational.fused(every, "id", "r", "l").select("id", "score")
     cards = every.dropDuplicates(["id"]).select("id", "category_slug", "arrondissement", "price_status", "image_url")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import editorial, listing
+from ..operators import cleanup, editorial, listing
 from . import bindings as B
 from .registry import query
 
@@ -178,10 +178,60 @@ def er_01(s, d):
     return editorial.resolved_venues(q, v, [("name", ["name"]), ("address", ["zip", "address"])])
 
 
-@query("er_17_cleanups", f"{B.BASE} select id, case when title like 'Métallos%' then 'rejected' when price_min > 8000 then 'draft' else status end status, case when price_min > 8000 then 0 else price_min end price_min from outings")
+_ER_17 = {
+    "source": ("case id % 9 when 0 then 'paris_opendata' when 1 then 'lebonbon' when 2 then 'eventbrite' when 3 then 'infoconcert' else source end"), "title": "case id % 23 when 0 then 'ANNULÉ - ' || title when 1 then 'Job fair ' || title else title end",
+    "description": "case when id % 5 = 0 then 'Entrée 12,50 €' else 'rien' end", "end_date": "case id % 17 when 0 then start_date - interval '3' hour when 1 then start_date - interval '40' hour when 2 then start_date + interval '500' day else end_date end",
+    "status": "case when id % 13 = 0 then 'draft' else status end", "is_free": "price_status = 'free'", "price_status": "case when id % 8 = 0 then 'unknown' else price_status end", "price_min": "case when id % 19 = 0 then price_max else price_min end",
+    "price_max": "case when id % 19 = 0 then price_min when id % 29 = 0 then 150000 when id % 29 = 1 then 40000 else price_max end", "last_seen_at": "case when id % 2 = 1 then start_date end", "venue_id": "case when id % 4 <> 3 then venue_id end",
+    "venue_name": "case id % 37 when 0 then 'Lieu secret' when 1 then 'Salle X, Lyon' when 2 then 'Adresse communiquée après inscription' else venue_name end", "zip_code": "case id % 41 when 0 then '75 018' when 1 then '750009' when 2 then 'à venir' when 3 then '69001' else zip_code end",
+    "lat": "case id % 43 when 0 then 48.857 when 1 then 45.0 else lat end", "lng": "case id % 43 when 0 then 2.352 when 1 then 2.3 else lng end", "geocode_status": "'pending'", "has_activity": "id % 3 = 0", "arrondissement": "case when id % 7 <> 0 then arrondissement end",
+}
+_OPEN_SQL, _IN_SQL = "status in ('active', 'draft')", "coalesce(left(zip_code, 2) in ('75', '92', '93', '94'), false)"
+_ARR_SQL = ("arrondissement is null and regexp_matches(zip_code, '^75(0(0[1-9]|1[0-9]|20)|116)$')", {"arrondissement": "case when zip_code[4:5] = '01' then '1er' else ltrim(zip_code[4:5], '0') || 'e' end"}, None)
+_UTC_SQL = lambda x: f"({x} - interval 1 hour * (case when {B.summer_sql(f'({x} - interval 3 hour)')} then 2 else 1 end))"
+_FREE_OF_PRICE = {"price_status": "'unknown'", "price_min": "0", "price_max": "0", "is_free": "false"}
+_CLOCK_SQL = f"strftime({B.paris_sql('start_date')}, '%H:%M:%S')"
+_ER_17_RULES = {
+    "price_status": ("price_status = 'unknown' and (is_free or price_max > 0 or price_min > 0)", {"price_status": "case when is_free then 'free' else 'paid' end"}, None), "price_order": ("price_min > price_max", {"price_min": "price_max", "price_max": "price_min"}, None),
+    "overnight": ("end_date < start_date and end_date + interval 1 day > start_date", {"end_date": "end_date + interval 1 day"}, None), "end_before_start": ("end_date < start_date", {"end_date": "null"}, None),
+    "date_only": (f"time_known and (strftime(start_date, '%H:%M:%S') = '00:00:00' or {_CLOCK_SQL} = '00:00:00')", {"time_known": "false"}, None), "arrondissement": _ARR_SQL,
+    "middle_of_the_city": ("round(lat, 3) = 48.857 and round(lng, 3) = 2.352", {"lat": "null", "lng": "null", "geocode_status": "'pending'"}, None), "geocoded": ("lat is not null and lng is not null and geocode_status = 'pending'", {"geocode_status": "'ok'"}, None),
+    "zone_of_open_data": ("source = 'paris_opendata' and last_seen_at is null", {"start_date": _UTC_SQL("start_date"), "end_date": _UTC_SQL("end_date")}, "tz_fixed"), "expired": (f"status = 'active' and coalesce(end_date, start_date + interval 3 hour) < {B.NOW_SQL} - interval 6 hour", {"status": "'expired'"}, None),
+    "editorial": ("source = 'lebonbon' and venue_id is null and status in ('active', 'draft', 'expired')", {"status": "'rejected'"}, "editorial_not_event"), "out_of_region": (f"venue_id is not null and {_OPEN_SQL} and not (lat between 48.12 and 49.24 and lng between 1.44 and 3.56)", {"status": "'rejected'"}, "out_of_zone"),
+    "business": (f"{_OPEN_SQL} and source = 'eventbrite' and title like 'Job fair%'", {"status": "'rejected'"}, "off_topic_business"), "not_free": ("source = 'infoconcert' and is_free and description like '%€'", _FREE_OF_PRICE, "free_flag_corrected"),
+    "high_price": ("status = 'active' and price_max > 30000", {"status": "'draft'"}, "price_outlier"), "too_long": ("status = 'active' and end_date > start_date + interval 400 day", {"status": "'draft'"}, "duration_outlier"),
+    "zip_code": ("not regexp_matches(zip_code, '^[0-9]{5}$')", {"zip_code": "case zip_code when '75 018' then '75018' when '750009' then '75009' end"}, None), "arrondissement_again": _ARR_SQL,
+    "placeholder_venue": (f"not has_activity and venue_id is not null and {_OPEN_SQL} and (venue_name = 'Lieu secret' or venue_name like 'Adresse%')", {"status": "'rejected'"}, "placeholder_venue"),
+    "out_of_zone": (f"not has_activity and venue_id is not null and {_OPEN_SQL} and not list_contains(reasons, 'out_of_zone') and (coalesce(not {_IN_SQL} and zip_code is not null, false) or coalesce(not (lat between 48.70 and 49.01 and lng between 2.14 and 2.64) and not {_IN_SQL}, false) or venue_name like '%, Lyon')", {"status": "'rejected'"}, "out_of_zone"),
+    "called_off": (f"not has_activity and {_OPEN_SQL} and title like 'ANNULÉ%'", {"status": "'cancelled'"}, "title_cancelled"), "absurd_price": (f"price_max > 100000 and price_status <> 'unknown' and {_OPEN_SQL}", _FREE_OF_PRICE, "price_reset"),
+    "no_time_given": (f"time_known and {_OPEN_SQL} and {_CLOCK_SQL} in ('00:00:00', '23:59:00')", {"time_known": "false"}, "time_unknown"),
+}
+
+
+def _er_17_sql() -> str:
+    out = [f"q as (select * replace ({', '.join(f'{v} as {k}' for k, v in _ER_17.items() if k not in ('description', 'is_free', 'last_seen_at', 'geocode_status', 'has_activity'))}), {', '.join(f'{_ER_17[k]} {k}' for k in ('description', 'is_free', 'last_seen_at', 'geocode_status', 'has_activity'))}, []::varchar[] reasons, []::varchar[] done from r)"]
+    last = "q"
+    for i, (name, (cond, new, reason)) in enumerate(_ER_17_RULES.items()):
+        put = new | {"done": f"list_append(done, '{name}')"} | ({"reasons": f"list_append(reasons, '{reason}')"} if reason else {})
+        out.append(f"q{i} as materialized (select * replace ({', '.join(f'case when coalesce({cond}, false) then {v} else {k} end as {k}' for k, v in put.items())}) from {last})")
+        last = f"q{i}"
+    return f"{B.BASE}, {', '.join(out)}, fin as (select * from {last})"
+
+
+def _er_17_rows(s, d):
+    rows = B.rows(s, d)
+    return cleanup.cleaned(rows.select("id", *(F.expr(v).alias(k) for k, v in _ER_17.items()), *(c(x) for x in ("start_date", "time_known"))), cleanup.rules(B.NOW))
+
+
+@query("er_17_cleanups", f"{_er_17_sql()} select id, status, price_status, price_min, price_max, is_free, start_date, end_date, time_known, zip_code, arrondissement, lat, geocode_status, array_to_string(reasons, ',') reasons, array_to_string(done, ',') cleaned_by from fin")
 def er_17(s, d):
-    rules = [(c("title").startswith("Métallos"), {"status": F.lit("rejected")}), ((c("price_min") > 8000) & (c("status") != "rejected"), {"status": F.lit("draft")}), (c("price_min") > 8000, {"price_min": F.lit(0)})]
-    return editorial.cleaned(B.outings(s, d), rules).select("id", "status", "price_min")
+    out = _er_17_rows(s, d)
+    return out.select("id", "status", "price_status", "price_min", "price_max", "is_free", "start_date", "end_date", "time_known", "zip_code", "arrondissement", "lat", "geocode_status", F.array_join("reasons", ",").alias("reasons"), F.array_join("cleaned_by", ",").alias("cleaned_by"))
+
+
+@query("er_17_counts", f"{_er_17_sql()} select unnest(done) as rule, count(*) n from fin group by 1")
+def er_17_counts(s, d):
+    return cleanup.counts(_er_17_rows(s, d))
 
 
 @query("er_18_shard_plan")
