@@ -6,8 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import french, titles
-from ..operators import etl
+from ..functions import french, text, titles
+from ..operators import discovery, etl
 from ..sources import readers as S
 from ..sources import tourism, venues
 from . import bindings as B
@@ -160,9 +160,36 @@ def txt_07(s, d):
     return t(s, d, "orders").select(k.alias("k"), titles.flagged(title).alias("f")).select("k", "f.clean", "f.cancelled", "f.sold_out")
 
 
-@query("txt_09_title_case", "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') title from part")
+_SHOUTS = {"LE BAL DE L'OPÉRA AVEC DJ ": "Le Bal de l'Opéra avec DJ ", "NUIT UB40, LOUIS XIV ET ": "Nuit UB40, Louis XIV et ", "SAINT-GERMAIN : LE ": "Saint-Germain : le ", "": ""}
+
+
+@query("txt_09_title_case", f"select p_partkey, ({B._list(list(_SHOUTS.values()))})[p_partkey % 4 + 1] || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') title from part")
 def txt_09(s, d):
-    return t(s, d, "part").select("p_partkey", S.title_case(F.upper("p_name")).alias("title"))
+    first = F.element_at(F.array(*map(F.lit, _SHOUTS)), (c("p_partkey") % 4 + 1).cast("int"))
+    return t(s, d, "part").select("p_partkey", S.title_case(F.concat(first, F.upper("p_name"))).alias("title"))
+
+
+_FOREIGN = {"Жанна Щукина": "zhanna shchukina", "Θέατρο Ψυχή": "theatro psukhe", "Ля Скала": "lia skala", "東京 Hall": "hall", "Œuvre & Çà": "oeuvre et ca"}
+
+
+@query("txt_04_fold", f"select p_partkey, ({B._list(list(_FOREIGN.values()))})[p_partkey % 5 + 1] || ' ' || p_name words from part")
+def txt_04(s, d):
+    first = F.element_at(F.array(*map(F.lit, _FOREIGN)), (c("p_partkey") % 5 + 1).cast("int"))
+    return t(s, d, "part").select("p_partkey", text.words_of(F.concat_ws(" -", first, "p_name")).alias("words"))
+
+
+_FOUND = "source, doc_id, case lang when 'fr' then 'in' when 'en' then 'out' when 'de' then 'online' end zone, n_chars % 3 > 0 cultural, source in ('src0', 'src1') official, source = 'src1' cultural_name"
+
+
+@query("src_20_sources", f"""with s as (select {_FOUND} from documents qualify row_number() over (partition by source order by md5('7:' || source || ':' || doc_id), doc_id) <= 100),
+  g as (select source, count(*) n, count(*) filter (zone = 'in') n_in, count(*) filter (zone = 'out') n_out, count(*) filter (cultural) n_cultural, bool_or(official) o, bool_or(cultural_name) nm from s group by 1),
+  h as (select *, (n_in + n_out)::double k, case when n_in + n_out > 0 then n_in / (n_in + n_out) else 0 end share from g),
+  w as (select *, case when n_in = 0 then 'nothing in the zone' when not o and n < 5 then 'too few rows' when n_cultural / n < (case when o then 0.25 else 0.4 end) and not (nm and o) then 'off topic' when not o then case when share >= 0.8 then 'in the zone' else 'mostly out of the zone' end
+    when share >= 0.5 then 'in the zone' when n_in < 3 then 'too few in the zone' else 'partly in the zone' end reason from h)
+  select source, n, n_in, n_out, n_cultural, share, round(case when k > 0 then greatest((share + 1.96 * 1.96 / (2 * k) - 1.96 * sqrt(share * (1 - share) / k + 1.96 * 1.96 / (4 * k * k))) / (1 + 1.96 * 1.96 / k), 0) else 0 end, 6) least_share, case reason when 'in the zone' then 'all' when 'partly in the zone' then 'dept' end as mode, reason from w""")
+def src_20_sources(s, d):
+    x = t(s, d, "documents").select("source", "doc_id", F.when(c("lang") == "fr", "in").when(c("lang") == "en", "out").when(c("lang") == "de", "online").alias("zone"), (c("n_chars") % 3 > 0).alias("cultural"), c("source").isin("src0", "src1").alias("official"), (c("source") == "src1").alias("cultural_name"))
+    return discovery.judged(discovery.sampled(x, "source", "doc_id"), "source").withColumn("least_share", F.round("least_share", 6))
 
 
 @query("txt_06_title_artists", "select p_partkey, list_filter(string_split(p_name, ' '), lambda w: length(w) between 2 and 80) artists from part")

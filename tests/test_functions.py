@@ -90,7 +90,9 @@ def test_titles(spark):
     assert one(titles.category_override(F.lit("Blind test musical"), F.lit("concerts"))) == "soirees" and one(titles.category_override(F.lit("Blind test"), F.lit("cinema"))) is None
     assert one(titles.category_override(F.lit("Atelier gravure"), F.lit("expos"))) == "ateliers" and one(titles.category_override(F.lit("Conférence-débat"), F.lit("festivals"))) is None
     assert tuple(one(titles.followable(F.lit("Fakear (complet) | Paris")))) == ("fakear", "Fakear")
-    assert parsing.title_case("LE GRAND BAL DE L'OPÉRA") == "Le Grand Bal de L'Opéra"
+    assert parsing.title_case("LE GRAND BAL DE L'OPÉRA") == "Le Grand Bal de l'Opéra"
+    shouted = {"LES 4 SAISONS DE VIVALDI": "Les 4 Saisons de Vivaldi", "L'AVARE - LOUIS XIV ET LA COUR": "L'Avare - Louis XIV et la Cour", "DJ PNL : LE LIVE À SAINT-GERMAIN (LE BAL)": "DJ PNL : le Live à Saint-Germain (Le Bal)", "JUSQU’À L’AUBE AVEC UB40": "Jusqu’À l’Aube avec UB40", "ABCD": "ABCD", "": "", "QU'EST-CE QUE L'ART": "Qu'Est-Ce Que l'Art"}
+    assert {k: parsing.title_case(k) for k in shouted} == shouted
     assert parsing.title_case("Le Bal") == "Le Bal"
 
 
