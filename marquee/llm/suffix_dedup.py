@@ -54,6 +54,7 @@ BATCHES = 4
 BLOCK_BYTES = 3 << 20
 PART_ENTRIES = 250_000
 SAMPLES = 32  # sampled suffixes for each range
+MOST_BUCKETS = 20_000  # of a level; Spark refuses over 100,000, and a bucket may hold any number of ranges
 HOT = 8  # sampled texts around one anchor, a quarter of a range, from which on it is hot
 SAMPLED_BYTES = 50_000_000
 SAMPLED_SHARE = 0.002
@@ -442,7 +443,7 @@ class Family:
 
     def __init__(self, spark: SparkSession, shape: Shape, at: str | None = None):
         self.spark, self.shape, self.at = spark, shape, at.rstrip("/") if at else None
-        self.buckets = shape.parts * (2 if shape.hot else 1)
+        self.buckets = min(MOST_BUCKETS, shape.parts * (2 if shape.hot else 1))  # a bucket may hold several ranges
         self.levels: list[tuple[int, DataFrame]] = []  # (entries, table), the oldest first
         self.gone: list[DataFrame] = []
         self.number = 0

@@ -122,6 +122,18 @@ def test_suffix_arrays_against_brute_force(parts, hot, piece, monkeypatch):
     assert sorted(out, key=repr) == brute_repeats(rs)
 
 
+def test_more_ranges_than_buckets(spark, monkeypatch):
+    """Ranges beyond the number of buckets share them; results are the same."""
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKETS", 3)
+    rng = random.Random(3)
+    base = ["".join(rng.choice(["ab", "cde", "fghi", "j", "klmno"]) + " " for _ in range(200)) for _ in range(3)]
+    rs = [(i, "".join(x[a : a + rng.randrange(30, 160)] for x, a in ((rng.choice(base), rng.randrange(400)) for _ in range(4)))) for i in range(40)]
+    docs = spark.createDataFrame(rs, "doc_id long, text string")
+    assert suffix_dedup.shape_of(docs, sum(len(t) for _, t in rs), part_entries=50).parts > 3
+    got = suffix_dedup.remove_repeats(docs, block_bytes=2000, part_entries=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rs))
+
+
 def test_entries_come_back():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 100, 3000).astype(np.uint8)
