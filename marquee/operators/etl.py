@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels, text, times
+from ..functions import artists, labels, text, times
 
 SERIES_MIN = 4
 # Sources with a row for each screening on purpose.
@@ -89,6 +89,14 @@ def purged(rows: DataFrame, now: datetime, *activity: DataFrame) -> DataFrame:
     return out
 
 
+def backfilled_artists(rows: DataFrame, have: DataFrame, now: datetime) -> DataFrame:
+    """(id, artist_key, name, origin) for live musical outings that have(id) no artists yet: what their titles say."""
+    todo = rows.where((F.col("status") == "active") & F.col("canonical_id").isNull() & F.col("category_slug").isin(*artists.MUSICAL) & (times.effective_end(F.col("start_date"), F.col("end_date")) >= times.stamp(now)))
+    todo = todo.join(have.select("id"), "id", "left_anti")
+    none = F.lit(None).cast("array<string>")
+    return todo.select("id", F.explode(artists.of_outing(F.col("title"), F.col("category_slug"), none, F.col("venue_name"))).alias("a")).select("id", F.col("a.key").alias("artist_key"), "a.name", "a.origin")
+
+
 def reserved_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
     """(id, slug): the base slug if free, else with six, else eight digits of a hash; the first by id wins a base."""
     w = Window.partitionBy("base").orderBy("id")

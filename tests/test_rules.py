@@ -70,3 +70,19 @@ def test_letters_of_other_scripts(spark):
     cases = {"Жанна Щукина": "zhanna shchukina", "ΘΈΑΤΡΟ ψυχή": "theatro psukhe", "東京": "", "Été & Œuvre": "ete et oeuvre", "Большой": "bol shoi", None: None}
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").orderBy("i").select(text.words_of(F.col("c")).alias("w")).collect()
     assert [r.w for r in rows] == list(cases.values())
+
+
+def test_artists_of_titles_and_sources(spark):
+    """Names, programmes, genres, composers and phrases; source names first; the venue is no artist."""
+    none = None
+    cases = [
+        ("Zolan Ferr x Mira Quay", "concerts", none, none, [("Zolan Ferr", "title"), ("Mira Quay", "title")]), ("Deathcal + special guests : Fungo", "soirees", none, none, [("Deathcal", "title"), ("Fungo", "title")]), ("Zolan Ferr x Mira Quay", "theatre", none, none, []), ("Zolan Ferr", none, none, none, []),
+        ("Eaux of Deep Metal", "concerts", none, none, [("Eaux of Deep Metal", "title")]), ("Jazz from Nowhere", "concerts", none, none, []), ("Bach, Liszt & Odile Brandt", "concerts", none, none, [("Odile Brandt", "title")]), ("Autour de minuit", "concerts", none, none, []), ("Boum 1986", "concerts", none, none, []),
+        ("Lost + Baratin", "concerts", none, "Baratin", [("Lost", "title")]), ("Pop - les Classiques", "concerts", ["Charles Vent", "charles vent", "TBA", "Halle Nord", None, "x" * 130], "Halle Nord", [("Charles Vent", "source")]), ("Maître Mou", "theatre", ["Hilde Besson"], none, [("Hilde Besson", "source")]),
+        ("Zolan Ferr", "concerts", ["No Information"], none, [("Zolan Ferr", "title")]), (none, "concerts", none, none, []), ("", "concerts", [], "", []), ("a + b + " * 4000, "concerts", none, none, []), ("Leo Odin, JR.", "concerts", none, none, [("Leo Odin JR.", "title")]), ("Lot @ la Grange", "concerts", none, none, [("Lot", "title")]),
+    ]
+    from marquee.functions import artists
+
+    rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, title string, category string, given array<string>, venue string")
+    got = {r.i: [(a.name, a.origin) for a in r.a] for r in rows.select("i", artists.of_outing(F.col("title"), F.col("category"), F.col("given"), F.col("venue")).alias("a")).collect()}
+    assert got == {i: c[4] for i, c in enumerate(cases)}
