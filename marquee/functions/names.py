@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text
+from .text import let
 
 # Words for a kind of place or a programme, which do not tell places apart.
 GENERIC_WORDS = (
@@ -31,9 +32,11 @@ def _telling(words: Column) -> Column:
 
 def tokens(name: Column) -> Column:
     """The telling words of a name in order; those after the last ``à`` are a town, if two telling words come before it."""
-    folded = text.words_of(F.coalesce(name, F.lit("")))
-    before = _telling(F.split(F.regexp_extract(folded, "^(.*) a .*$", 1), " "))
-    return F.when(F.size(before) >= 2, before).otherwise(_telling(F.split(folded, " ")))
+    def of(folded: Column) -> Column:
+        before = _telling(F.split(F.regexp_extract(folded, "^(.*) a .*$", 1), " "))
+        return let(before, lambda head: F.when(F.size(head) >= 2, head).otherwise(_telling(F.split(folded, " "))))
+
+    return let(text.words_of(F.coalesce(name, F.lit(""))), of)
 
 
 def key(tokens_: Column) -> Column:
@@ -45,12 +48,17 @@ def signature(name: Column) -> Column:
     """All that :func:`compatible` needs of a name, computed once: tokens, key, plain name, digits, trigrams, the tokens of the complex and of each hall."""
     name = F.coalesce(name, F.lit(""))
     parts = F.filter(F.split(name, PART_MARKS), lambda p: F.btrim(p, F.lit(" )")) != "")
-    by_part = F.transform(parts, tokens)
-    own = tokens(name)
-    return F.struct(
-        own.alias("tokens"), key(own).alias("key"), text.normal_name(name).alias("plain"), F.filter(own, lambda w: w.rlike("^[0-9]+$")).alias("digits"), F.exists(own, lambda w: w.isin(*OPEN_PLACES)).alias("open"),
-        text.trigrams(F.array_join(own, " ")).alias("grams"), F.coalesce(F.get(by_part, F.lit(0)), F.array().cast("array<string>")).alias("complex"), F.filter(F.slice(by_part, 2, 1000), lambda t: F.size(t) > 0).alias("halls"),
-    )
+
+    def of(own: Column) -> Column:
+        return F.struct(own.alias("tokens"), key(own).alias("key"), F.filter(own, lambda w: w.rlike("^[0-9]+$")).alias("digits"), F.exists(own, lambda w: w.isin(*OPEN_PLACES)).alias("open"), text.trigrams(F.array_join(own, " ")).alias("grams"))
+
+    def by_part(each: Column) -> Column:
+        return F.struct(F.coalesce(F.get(each, F.lit(0)), F.array().cast("array<string>")).alias("complex"), F.filter(F.slice(each, 2, 1000), lambda t: F.size(t) > 0).alias("halls"))
+
+    def whole(x: Column) -> Column:
+        return F.struct(*(x["own"][f].alias(f) for f in ("tokens", "key", "digits", "open", "grams")), x["plain"].alias("plain"), *(x["parts"][f].alias(f) for f in ("complex", "halls")))
+
+    return let(F.struct(let(tokens(name), of).alias("own"), text.normal_name(name).alias("plain"), let(F.transform(parts, tokens), by_part).alias("parts")), whole)
 
 
 def _inside(a: Column, b: Column) -> Column:
