@@ -6,21 +6,21 @@ similarity is at least ``percent`` / 100; a class is what links connect.
 * Documents of equal sets collapse to one node first.
 * Shingles that often recur within a few megabytes of text are the frequent
   class: about the ``most_frequent`` most counted, which bounds what is broadcast
-  (any class gives the same links).
+  (any class gives the same links). All others are rare.
 * A set of n shingles differs from any partner in at most
-  d = floor(n * (100 - percent) / percent) shingles, both ways together. The
+  d = floor(n * (100 - percent) / percent) shingles, both ways together. Its keys
+  are its rare shingles, one by one, and combinations of its frequent ones: the
   space of hashes is cut into m ranges, m the power of two from 1.18 d on, and the
-  shingles of one range are a combination: up to 1 / 1.18 of n / d on average, and
-  d differences spoil at most d of them. Ordered by any rule, the d + 1 first combinations of
-  either set then hold one that both have. This is the extended prefix; the rule
-  is: not all of frequent shingles, then the larger ones, then by hash. What two
-  unlike texts share by chance or as a passage is seldom a whole combination,
-  so the keys of several nodes stay in proportion to what is alike, where single
-  shingles would be shared by ever more texts.
+  frequent shingles of one range are a combination. One difference spoils one key
+  at most, so in any order of keys the d + 1 first of either set hold one that both
+  have, if one of them has so many keys. This is the extended prefix; the order is:
+  single rare shingles by hash, then combinations, the larger ones first. A set
+  of few rare shingles is thus extended into its combinations, of which a passage
+  that many texts share seldom fills a whole one.
 * Sets so near the next power of two that a partner has it take its ranges too.
-  A set with d ranges or fewer (a small one) also has its d + 1 first shingles by
-  hash as single keys: if neither of two partners has more than d, they share
-  one of these.
+  A set with d keys or fewer (a small one) also has its d + 1 first shingles,
+  rare ones first, as single keys: if neither of two partners has more, they
+  share one of these.
 * Keys that one node alone has go, and those of the same nodes are kept once.
 * Each node goes to its most common key, its home. A home is compared, by exact
   intersections, in blocks of ``block`` nodes: each within itself and with the
@@ -109,16 +109,18 @@ def _first_of(row: np.ndarray, order: tuple[np.ndarray, ...], most: np.ndarray)
     return at[rank < most[r]]
 
 
-def _combinations(h: np.ndarray, row: np.ndarray, often: np.ndarray, ranges: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and rows of the first combinations of each row, and how many ranges each row fills; h is in order within rows."""
-    m = ranges[row].astype(np.uint64)
-    part = ((h >> np.uint64(32)) * m) >> np.uint64(32)
-    edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
-    size = np.diff(np.r_[edge, len(h)])
-    key = B.mix(np.add.reduceat(B.mix(h ^ _S1), edge) + B.mix(part[edge] * _S2 + m[edge]))
-    plain = np.minimum.reduceat(often, edge)  # 1: all of them frequent
-    r = row[edge]
-    some = _first_of(r, (key, -np.minimum(size, 8), plain), most)
+def _prefixes(h: np.ndarray, row: np.ndarray, often: np.ndarray, ranges: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and rows of the extended prefix of each row, and how many keys there are to choose from; h is in order within rows."""
+    rare, rr = h[~often], row[~often]
+    f, fr = h[often], row[often]
+    m = ranges[fr].astype(np.uint64)
+    part = ((f >> np.uint64(32)) * m) >> np.uint64(32)
+    edge = np.flatnonzero(np.r_[True, (fr[1:] != fr[:-1]) | (part[1:] != part[:-1])]) if len(f) else np.empty(0, np.int64)
+    size = np.diff(np.r_[edge, len(f)]) if len(f) else edge
+    together = B.mix(np.add.reduceat(B.mix(f ^ _S1), edge) + B.mix(part[edge] * _S2 + m[edge])) if len(f) else f
+    key, r = np.r_[B.mix(rare ^ _S2), together], np.r_[rr, fr[edge]]
+    after = np.r_[np.zeros(len(rare), np.int64), 9 - np.minimum(size, 8)]  # single tokens, then combinations, larger ones first
+    some = _first_of(r, (key, after), most)
     return key[some], r[some], np.bincount(r, minlength=len(ranges))
 
 
@@ -128,26 +130,27 @@ def keys(h: np.ndarray, begin: np.ndarray, frequent: np.ndarray, percent: int) -
     row = np.repeat(np.arange(len(n)), n)
     if not len(h):
         return np.empty(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    often = np.zeros(len(h), np.int8)
+    often = np.zeros(len(h), bool)
     if len(frequent):
         at = np.searchsorted(frequent, h)
         at[at == len(frequent)] = 0
-        often = (frequent[at] == h).astype(np.int8)
+        often = frequent[at] == h
     most = n * (100 - percent) // percent + 1
     ranges = np.ones(len(n), np.int64)
     while (low := 100 * percent * ranges < SPARE * (100 - percent) * n).any():
         ranges[low] *= 2
-    one, rows_one, filled = _combinations(h, row, often, ranges, most)
-    near = (SPARE * (100 - percent) * n >= percent * percent * ranges) & (n > 0)  # a partner may be of the next power
+    one, rows_one, filled = _prefixes(h, row, often, ranges, most)
+    rare = np.bincount(row[~often], minlength=len(n))
+    near = (SPARE * (100 - percent) * n >= percent * percent * ranges) & (rare < most)  # a partner may be of the next power
     found, rows_ = [one], [rows_one]
-    for which, double in ((near, 2), (filled < most, 0)):
+    for which, double in ((near, 2), ((filled < most) & (n > 0), 0)):
         inside = which[row]
         if not inside.any():
             continue
         if double:
-            k, r, _ = _combinations(h[inside], row[inside], often[inside], ranges * double, most)
+            k, r, _ = _prefixes(h[inside], row[inside], often[inside], ranges * double, most)
         else:
-            some = _first_of(row[inside], (h[inside],), most)
+            some = _first_of(row[inside], (h[inside], often[inside]), most)
             k, r = B.mix(h[inside][some] ^ _S2), row[inside][some]
         found.append(k)
         rows_.append(r)
@@ -228,7 +231,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
         drop(state)
         state = _labelled(place, edges)
         seen = alive.join(state.drop("c"), "node")
-        open_ = table(_open(seen, visited), "jaccard-open")
+        open_ = _open(seen, visited)
         inside = seen.join(open_, "key")
         if how == "families":
             rows = _families(inside, block)
@@ -279,12 +282,24 @@ def _families(inside: DataFrame, block: int) -> DataFrame:
 
 
 def _open(seen: DataFrame, visited: list[DataFrame]) -> DataFrame:
-    """(key, n nodes) of the keys with nodes of several classes, unless all its nodes have met at one visited key."""
+    """(key, n nodes) of the keys with nodes of several classes, unless all its nodes have met at one visited key.
+
+    Where all have met, the node of the fewest visits was there too, and so was a
+    bit of the place in what the masks of all of them share: those places alone
+    are looked up for the other nodes.
+    """
     groups = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    past = reduce(DataFrame.unionByName, (v.select("node", F.col("key").alias("at")) for v in visited))
-    met = seen.join(groups.select("key"), "key").select("node", "key").join(past, "node").groupBy("key", "at").agg(F.count(F.lit(1)).alias("m"))
+    past = table(reduce(DataFrame.unionByName, (v.select("node", F.col("key").alias("at")) for v in visited)).distinct(), "jaccard-past")
+    bits = [F.expr(f"shiftleft(1L, cast(pmod(xxhash64(at, {k}), 64) as int))") for k in range(2)]
+    masks = past.groupBy("node").agg(F.bit_or(bits[0]).alias("m0"), F.bit_or(bits[1]).alias("m1"), F.count(F.lit(1)).alias("c"))
+    held = table(seen.join(groups.select("key"), "key").select("node", "key").join(masks, "node"), "jaccard-held")
+    common = held.groupBy("key").agg(F.bit_and("m0").alias("m0"), F.bit_and("m1").alias("m1"), F.min(F.struct("c", "node")).getField("node").alias("node"))
+    places = common.where("m0 <> 0 and m1 <> 0").join(past, "node").where((F.col("m0").bitwiseAND(bits[0]) != 0) & (F.col("m1").bitwiseAND(bits[1]) != 0)).select("key", "at")
+    met = held.select("node", "key").join(places, "key").join(past, ["node", "at"]).groupBy("key", "at").agg(F.count(F.lit(1)).alias("m"))
     met = met.groupBy("key").agg(F.max("m").alias("m"))
-    return groups.join(met, "key", "left").where("m is null or m < n").select("key", "n")
+    out = table(groups.join(met, "key", "left").where("m is null or m < n").select("key", "n"), "jaccard-open")
+    drop(past, held)
+    return out
 
 
 def _frequent(docs: DataFrame, words: int, most: int) -> np.ndarray:
