@@ -42,7 +42,8 @@ Defined results: null or empty text has no shingles and is its own class; fewer
 words than a shingle make one shingle of the whole; rows of one id are one
 node of the graph, each compared by its own text (each row returned); null ids
 are left out of the links and get a null class. Shingles are told apart by 64
-bits of a hash. Other columns stay out.
+bits of a hash, and by 56 of them where two sets are compared (seven bytes a
+shingle are shuffled). Other columns stay out.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from . import bytesnp as B
 from . import filters
-from .common import buffer, collected, drop, runs, table, tidy
+from .common import binaries, buffer, collected, drop, runs, table, tidy
 
 MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
@@ -388,6 +389,19 @@ def _shared(nodes: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ sets of the nodes that are compared
 
 
+def _packed(h: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Sets of hashes one after another as a binary column, seven bytes a hash (its lowest byte goes)."""
+    return binaries(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 1:]).ravel(), 7 * begin)
+
+
+def _unpacked(blob) -> np.ndarray:
+    """The set of a value of _packed(); hashes without their lowest byte."""
+    seven = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+    eight = np.zeros((len(seven), 8), np.uint8)
+    eight[:, :7] = seven
+    return eight.view(np.uint64).ravel()
+
+
 class _Verifier:
     """Compares the sets of nodes in groups; who: node, rep (the document that has its set), h1."""
 
@@ -404,8 +418,7 @@ class _Verifier:
                 buf, off = buffer(batch.column("text"))
                 for i, j in runs(off):
                     h, begin = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], words)
-                    blobs = [h[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-                    yield pa.record_batch({"rep": batch.column("doc_id").slice(i, j - i), "h1": pa.array(_fingerprints(h, begin)[0].view(np.int64)), "set": pa.array(blobs, pa.binary())})
+                    yield pa.record_batch({"rep": batch.column("doc_id").slice(i, j - i), "h1": pa.array(_fingerprints(h, begin)[0].view(np.int64)), "set": _packed(h, begin)})
                 del buf, off
                 tidy()
 
@@ -432,7 +445,7 @@ class _Verifier:
             if (side < 0).any() or (side == 0).any() and (side == 1).any():
                 blobs = t["set"]
                 past = [tuple(t[h][int(k)].as_py() for h in homes) for k in first]
-                found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), past, [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in first], side, percent)
+                found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), past, [_unpacked(blobs[int(k)].as_buffer()) for k in first], side, percent)
             return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
         links = lambda held: table(rows.join(held, "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
