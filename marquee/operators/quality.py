@@ -95,7 +95,9 @@ def promoted(rows: DataFrame) -> DataFrame:
     """Rows whose venue has been located since: fifteen points back, published from the threshold if nothing forbids it."""
     found = F.array_contains("soft", "venue_not_geocoded") & F.col("lat").isNotNull()
     points = F.when(found, F.least(F.col("score") + 15, F.lit(100))).otherwise(F.col("score"))
-    return rows.withColumn("score", points).withColumn("status", F.when(found & (F.col("status") == "draft") & (points >= PUBLISH) & (F.size("hard") == 0), "active").otherwise(F.col("status"))).withColumn("soft", F.when(found, F.array_remove("soft", "venue_not_geocoded")).otherwise(F.col("soft")))
+    published = found & (F.col("status") == "draft") & (points >= PUBLISH) & (F.size("hard") == 0)
+    # all at once: each looks at the score as it was
+    return rows.withColumns({"score": points, "status": F.when(published, "active").otherwise(F.col("status")), "soft": F.when(found, F.array_remove("soft", "venue_not_geocoded")).otherwise(F.col("soft"))})
 
 
 def category(words: Column, vocabulary: dict[str, str], priority: list[str]) -> Column:
