@@ -36,7 +36,7 @@ def src_01(s, d):
 @query("src_03_microdata", "select o_orderkey k, o_orderpriority title, strftime(o_orderdate, '%Y-%m-%d') start_date, 'V' || o_custkey venue_name from orders")
 def src_03(s, d):
     page = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Event"><h2 itemprop="name">'), c("o_orderpriority"), F.lit('</h2><meta itemprop="startDate" content="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"><span itemprop="location" itemscope itemtype="https://schema.org/Place"><b itemprop="name">V'), c("o_custkey").cast("string"), F.lit("</b></span></div>"))
-    return S.microdata(_orders(s, d).select(c("o_orderkey").alias("k"), page.alias("v")), "k", "v").select("k", "title", "start_date", "venue_name")
+    return S.microdata(B.spread(_orders(s, d)).select(c("o_orderkey").alias("k"), page.alias("v")), "k", "v").select("k", "title", "start_date", "venue_name")
 
 
 @query("src_04_icalendar", "select o_orderkey k, 'u' || o_orderkey uid, 'A, ' || o_orderpriority title, o_orderdate + interval 18 hour start_date, o_orderkey % 10 = 0 is_cancelled from orders")
@@ -274,7 +274,7 @@ def src_10(s, d):
     kind = F.when(k % 5 == 0, "urn:onto#SportsEvent").when(k % 9 == 0, "urn:onto#Festival").otherwise("Concert")
     place = F.concat(F.lit('[{"schema:address": [{"schema:postalCode": "'), F.when(k % 4 == 0, "69001").otherwise(F.concat(F.lit("750"), (k % 10 + 10).cast("string"))), F.lit('", "hasAddressCity": {"rdfs:label": {"fr": ["Paris"]}}}], "schema:geo": {"schema:latitude": "0", "schema:longitude": "2.35"}}]'))
     o = F.concat(F.lit('{"@id": "https://data.example/'), k.cast("string"), F.lit('", "@type": ["schema:Event", "'), kind, F.lit('"], "rdfs:label": '), label, F.lit(', "http://onto.example/core#isLocatedAt": '), place, F.lit(', "takesPlaceAt": ['), whole_year, F.array_join(F.transform(F.sequence(F.lit(0), n), period), ", "), F.lit("]}"))
-    return tourism.tourism(t(s, d, "orders").select(o.alias("v")), "v", B.NOW).select("source_id", "title", "category_slug", "venue_zip", "venue_city", "start_date", "end_date", "time_known")
+    return tourism.tourism(B.spread(t(s, d, "orders").select(o.alias("v"))), "v", B.NOW).select("source_id", "title", "category_slug", "venue_zip", "venue_city", "start_date", "end_date", "time_known")
 
 
 @query("src_12_cinema_days", "select user_id cinema, event_type film, ts::date as day, string_agg(strftime(z, '%H:%M'), ', ' order by z) times, min(z) start_date from (select distinct user_id, event_type, date_trunc('second', ts) z, ts::date ts from events) group by 1, 2, 3")

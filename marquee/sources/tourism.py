@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..functions.text import once
 from .structured import _at, _many, _number, _one, _string
 
 # Classes of the platform's ontology; the first one present gives the category.
@@ -79,8 +80,9 @@ def _clock(v: Column) -> Column:
 def periods(objects: DataFrame, key: str) -> DataFrame:
     """(key, start_date, end_date, time_known, last) of every period of objects(key, o): Paris clock times as UTC; last: when it is over."""
     p = objects.select(key, F.explode(_many(_at(F.col("o"), "takesPlaceAt"))).alias("p"))
-    day = lambda n: F.substring(text(_at(F.col("p"), n)), 1, 10).try_cast("date")
-    p = p.select(key, day("startDate").alias("sd"), day("endDate").alias("ed"), _clock(text(_at(F.col("p"), "startTime"))).alias("st"), _clock(text(_at(F.col("p"), "endTime"))).alias("et")).where("sd is not null")
+    p = once(p, key, *(text(_at(F.col("p"), n)).alias(n) for n in ("startDate", "endDate", "startTime", "endTime")))
+    day = lambda n: F.substring(n, 1, 10).try_cast("date")
+    p = once(p, key, day("startDate").alias("sd"), day("endDate").alias("ed"), _clock(F.col("startTime")).alias("st"), _clock(F.col("endTime")).alias("et")).where("sd is not null")
     p = p.withColumn("ed", F.expr("if(ed < sd, null, ed)"))
     p = p.where(~F.expr("coalesce(st is null and et is null and dayofyear(sd) = 1 and month(ed) = 12 and day(ed) = 31, false)"))  # a whole year is a lasting offer
     at = lambda d, m: times.from_paris(F.expr(f"cast({d} as timestamp_ntz) + make_dt_interval(0, 0, {m})"))
@@ -88,7 +90,7 @@ def periods(objects: DataFrame, key: str) -> DataFrame:
     end = F.when(F.col("_timed").isNull() | (F.col("st").isNotNull() & (F.col("_timed") <= F.col("start_date"))), F.col("_day")).otherwise(F.col("_timed"))
     p = p.withColumn("end_date", end)
     last = F.coalesce("end_date", F.when(F.col("st").isNull(), at("sd", "1439")).otherwise(F.col("start_date")))
-    return p.select(key, "start_date", "end_date", F.col("st").isNotNull().alias("time_known"), last.alias("last"))
+    return once(p, key, "start_date", "end_date", F.col("st").isNotNull().alias("time_known"), last.alias("last"))
 
 
 def occurrences(coming: DataFrame, key: str) -> DataFrame:
@@ -109,24 +111,30 @@ def occurrences(coming: DataFrame, key: str) -> DataFrame:
 def tourism(payloads: DataFrame, value: str, now) -> DataFrame:
     """Rows of events within the departments from objects (one JSON object a row) of all their coming periods."""
     o = F.col("o")
-    found = payloads.select(F.try_parse_json(local_names(F.col(value))).alias("o")).where("o is not null")
-    found = found.select("o", F.coalesce(_string(_at(o, "['@id']")), text(_at(o, "uri")), text(_at(o, "uuid"))).alias("uri"), F.get(texts(_at(o, "label")), F.lit(0)).alias("title"), _classes(o).alias("classes")).where("uri is not null and title is not null")
+    found = once(payloads, F.try_parse_json(local_names(F.col(value))).alias("o")).where("o is not null")
+    found = once(found, "o", F.coalesce(_string(_at(o, "['@id']")), text(_at(o, "uri")), text(_at(o, "uuid"))).alias("uri"), F.get(texts(_at(o, "label")), F.lit(0)).alias("title"), _classes(o).alias("classes")).where("uri is not null and title is not null")
     any_of = lambda names: F.arrays_overlap("classes", F.array(*map(F.lit, names)))
     found = found.where(any_of(EVENT_CLASSES) & ~(any_of(LEFT_OUT) & ~any_of(CATEGORY_OF_CLASS)))
-    place = _one(_at(o, "isLocatedAt"))
-    address, geo = _one(_at(place, "address")), _one(_at(place, "geo"))
-    town = _one(_at(address, "hasAddressCity"))
+    # level by level, as each of them is looked at many times
+    found = once(found, *found.columns, _one(_at(o, "isLocatedAt")).alias("place"))
+    place = F.col("place")
+    found = once(found, *found.columns, _one(_at(place, "address")).alias("address"), _one(_at(place, "geo")).alias("geo"))
+    address, geo = F.col("address"), F.col("geo")
+    found = once(found, *found.columns, _one(_at(address, "hasAddressCity")).alias("town"))
+    town = F.col("town")
     lat, lng = (_number(_one(_at(geo, n))) for n in ("latitude", "longitude"))
     category = None
     for name, slug in CATEGORY_OF_CLASS.items():
         category = F.when(F.array_contains("classes", name), slug) if category is None else category.when(F.array_contains("classes", name), slug)
-    rows = found.select(
-        "o", "uri", "title", category.alias("category_slug"), F.coalesce(text(_at(place, "label")), text(_at(place, "name"))).alias("venue_name"), F.nullif(F.regexp_extract(text(_at(address, "postalCode")), r"\d{5}", 0), F.lit("")).alias("venue_zip"),
+    rows = once(
+        found, "o", "uri", "title", category.alias("category_slug"), F.coalesce(text(_at(place, "label")), text(_at(place, "name"))).alias("venue_name"), F.nullif(F.regexp_extract(text(_at(address, "postalCode")), r"\d{5}", 0), F.lit("")).alias("venue_zip"),
         F.coalesce(text(_at(address, "addressLocality")), text(_at(town, "label"))).alias("venue_city"), text(_at(_one(_at(town, "isPartOfDepartment")), "insee")).alias("department"), F.when((lat != 0) & (lng != 0), lat).alias("lat"), F.when((lat != 0) & (lng != 0), lng).alias("lng"),
     ).dropDuplicates(["uri"])
     rows = rows.where(F.coalesce(F.left("venue_zip", F.lit(2)), F.col("department")).isin(*DEPARTMENTS))
-    coming = occurrences(periods(rows.select(F.col("uri").alias("at"), "o"), "at").where(F.col("last") >= times.stamp(now)), "at")
-    out = rows.drop("o").join(coming, F.col("uri") == F.col("at"))
+    # the rows' other columns go along with their periods, so that objects are read once
+    kept = F.struct(*(x for x in rows.columns if x != "o"))
+    coming = occurrences(periods(rows.select(kept.alias("of"), "o"), "of").where(F.col("last") >= times.stamp(now)), "of")
+    out = coming.select("of.*", "start_date", "end_date", "time_known", "n")
     paris = times.to_paris(F.col("start_date"))
     local = F.when(F.col("time_known"), F.date_format(paris, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(paris, "yyyy-MM-dd"))
     return out.select(F.when(F.col("n") > 1, F.concat("uri", F.lit("#"), local)).otherwise(F.col("uri")).alias("source_id"), "title", "category_slug", "venue_name", "venue_zip", "venue_city", "lat", "lng", "start_date", "end_date", "time_known")
