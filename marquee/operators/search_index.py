@@ -31,14 +31,14 @@ def _folder(gram: Column) -> Column:
 
 def grams(c: Column) -> Column:
     """Distinct runs of three characters of a folded text; an empty array where it is shorter or null."""
-    t = F.coalesce(c, F.lit(""))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
-    return F.array_distinct(F.filter(runs, lambda g: F.length(g) == 3))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
+    return F.array_distinct(F.filter(text.let(F.coalesce(c, F.lit("")), runs), lambda g: F.length(g) == 3))  # a text is folded once, not for each run
 
 
 def rebuild(rows: DataFrame, folded: Column, path: str, name: str, least_share: float = 0.3, small: int = 200) -> None:
     """Makes a generation of rows(id) by a folded text, and the current one of it; ValueError if over ``small`` indexed ids would fall to under ``least_share`` of them."""
-    each = rows.select("id", F.explode(grams(folded)).alias("gram"))
+    texts = rows.select("id", folded.alias("text")).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)  # a table's row groups may be fewer than the cores
+    each = texts.select("id", F.explode(grams(F.col("text"))).alias("gram"))
     postings = each.withColumn("folder", _folder(F.col("gram"))).repartition("folder").sortWithinPartitions("folder", "gram", "id")
     etl.swapped(postings, path, name, least_share, small, by="folder", counted="id")
     spark = rows.sparkSession
