@@ -181,3 +181,22 @@ def test_alerts_go_on_for_members_who_lack_some(spark, monkeypatch, depth):
         want = members.selected_items(members.alert_items(follows, artists, outings, went, NOW), delivered, s, 6)
         got = members.alerts(follows, artists, outings, went, delivered, NOW, 6, s, depth)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_pages_of_plain_tags_are_read_as_any_other():
+    plain = ["<!DOCTYPE html><body><nav><li><a href=/a>Un<li>Deux</nav><script>var x = '<p>';</script><!-- c --><P Class='a b' hidden>Caf&eacute; &amp; th\u00e9<p>x<br/>y</div></body>", "<ul><li><a href='u'>t</a><li>q", ""]
+    odd = ["a < b", "<a href='?a=1&b=2'>", "<title>a <b></title>", "<td x = 1>", "<![CDATA[x]]>", "<script>a</script", "<a"]
+    dump = lambda n: (n.tag, n.attributes, [x if isinstance(x, str) else dump(x) for x in n.inside])
+    for page in plain + odd:
+        reader = listing_pages._Reader()
+        reader.feed(page)
+        reader.close()
+        assert dump(listing_pages.tree(page)) == dump(reader.tree.root())
+    assert all(listing_pages._plain(p) is not None for p in plain) and all(listing_pages._plain(p) is None for p in odd)
+
+
+def test_what_a_card_says_is_worked_out_once_a_row(spark):
+    rows = spark.createDataFrame([(1, 0, {"title": "t", "when": "le 12 mars 2027 \u00e0 20h30"})], "key int, pos int, fields map<string,string>")
+    out = listing_pages.events(rows, F.lit("https://s.example/l"), date(2026, 10, 7))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("duree") == 1  # the pattern of lengths is in every copy of the dates
+    assert out.count() == 1
