@@ -16,8 +16,8 @@ texts sampled. Order and equality are those of the bytes.
   side; where one of them holds more than one text, their windows are compared
   one by one. Answers go back as one bit a window.
 * The batch's merged array becomes a level of its own, a table in buckets of its
-  ranges, so that no level is ever shuffled again. While the last two levels are
-  of like size, they merge into one.
+  ranges, so that no level is ever shuffled again. A level of like size merges with
+  it in the scan, and while the last two levels are of like size, they merge into one.
 * The ranges are cut at quantiles of a sample of suffixes. A string of k bytes
   before which or after which the sample shows many different texts (edges of a
   passage that a large share of the documents has) is hot: its windows are held
@@ -165,8 +165,8 @@ def _starts(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
 
 
-def covered(rows: np.ndarray, order: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows in order of their bytes: a mask of windows that a row of smaller ``order`` has (bit: bytes before the anchor), where runs of equal rows begin, and the least order of each run."""
+def covered(rows: np.ndarray, order: np.ndarray, s: Shape, copies: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order of their bytes: a mask of windows that a row of smaller ``order`` has (bit: bytes before the anchor), where runs of equal rows begin, and the least order of each run; copies: only of windows that an equal row has."""
     if not len(rows):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     begin = _starts(rows)
@@ -177,9 +177,13 @@ def covered(rows: np.ndarray, order: np.ndarray, s: Shape) -> tuple[np.ndarray,
     one = np.uint64(1)
     full = ((one << (last + 1).astype(np.uint64)) - one) & ~((one << first.astype(np.uint64)) - one)
     some = np.zeros(len(begin), np.uint64)
+    if copies:
+        return np.where(order > least[run], full[run], np.uint64(0)), begin, least
     gram = np.flatnonzero(np.r_[True, (distinct[1:, : s.k] != distinct[:-1, : s.k]).any(axis=1), True])
     many = np.diff(gram)
-    which = np.flatnonzero(np.repeat(many > 1, many))  # runs around whose anchor there are other texts
+    at = gram[:-1]
+    apart = (many > 1) & (np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at))  # where all are of one order, as in a level, none covers another
+    which = np.flatnonzero(np.repeat(apart, many))  # runs around whose anchor there are other texts
     if len(which):
         of = np.repeat(np.arange(len(many)), many)[which]
         windows = np.cumsum(last[which] - first[which] + 9)  # and what a row takes by itself
@@ -316,12 +320,12 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, cols, strict=True)})
 
 
-def _scanning(s: Shape, own: bool, grow: bool = True):
-    """Merge scan of a batch against one level; own: also against itself; grow: and with the array that becomes its level."""
+def _scanning(s: Shape, own: bool, grow: bool = True, merge: bool = False):
+    """Merge scan of a batch against one level; own: also against itself; grow: and with the array that becomes its level; merge: of which the level scanned becomes a part."""
 
     def scan(_key: tuple, t: pa.Table, level: pa.Table) -> pa.Table:
         if not len(t):
-            return _table([], _SCANNED)
+            return level.cast(_table([], _SCANNED).schema) if merge else _table([], _SCANNED)
         part, blocks = t["part"][0].as_py(), t["block"].to_pylist()
         held = [unpacked(b, s) for b in level["blob"].to_pylist()]
         size = sum(len(h) for h in held)
@@ -335,7 +339,7 @@ def _scanning(s: Shape, own: bool, grow: bool = True):
         back[by] = mask
         edge = size + np.r_[0, np.cumsum(count)]
         out = [(part, 0, k, n, _numbers(back[a:b])) for k, n, a, b in zip(blocks, count, edge[:-1], edge[1:], strict=True) if back[a:b].any()]
-        if own and grow and (new := rows[begin[least != _EARLIER]]).size:
+        if own and grow and (new := rows[begin if merge else begin[least != _EARLIER]]).size:
             out.append((part, 1, 0, len(new), packed(new, s)))
         tidy()
         return _table(out, _SCANNED)
@@ -360,7 +364,7 @@ _FINISHED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binar
 def _finishing(s: Shape, with_text: bool):
     def finish(_key: tuple, t: pa.Table, said: pa.Table) -> pa.Table:
         b = Block(t, s)
-        mask, begin, least = covered(b.rows, b.order, s)
+        mask, begin, least = covered(b.rows, b.order, s, copies=True)  # distinct rows were held against each other, this block's too, where they were merged
         dealt = dict(b.dealt(b.rows[begin]))
         told = np.zeros(len(begin), np.uint64)
         for part, n, blob in zip(said["part"].to_pylist(), said["n"].to_pylist(), said["blob"].to_pylist(), strict=True):
@@ -462,18 +466,20 @@ class Family:
         at = f"{self.at}/{name}-{self.number:06d}" if self.at else None
         return table(df, f"suffix-{name}", self.buckets, "part", at, compression="none")
 
-    def add(self, texts: DataFrame, last: bool = False) -> DataFrame:
-        """Masks for the blocks of a written batch texts(doc_id, text, block), whose ids exceed those of all batches before; last: nothing follows, so the batch becomes no level."""
+    def add(self, texts: DataFrame, last: bool = False, size: int = 0) -> DataFrame:
+        """Masks for the blocks of a written batch texts(doc_id, text, block), whose ids exceed those of all batches before; last: nothing follows, so the batch becomes no level; size: the bytes of texts, where a level that is like them in size by that merges with them as it is scanned."""
         s = self.shape
         said = texts.groupBy("block").applyInArrow(_building(s), _MESSAGE).groupBy("part")
         none = self.spark.createDataFrame([], _SCANNED)
         levels = [t.where("kind = 1") for _, t in self.levels] or [none]
-        scanned = said.cogroup(levels[-1].groupBy("part")).applyInArrow(_scanning(s, True, not last), _SCANNED)
+        at_once = not last and bool(self.levels) and self.levels[-1][0] * (s.width - s.k + 2) < 3 * size
+        scanned = said.cogroup(levels[-1].groupBy("part")).applyInArrow(_scanning(s, True, not last, at_once), _SCANNED)
         for older in levels[:-1]:
             scanned = scanned.unionByName(said.cogroup(older.groupBy("part")).applyInArrow(_scanning(s, False), _SCANNED))
         got = self._write(scanned, "level")
-        size = got.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-        self.levels.append((size, got))
+        if at_once:
+            self.gone.append(self.levels.pop()[1])
+        self.levels.append((got.where("kind = 1").agg(F.sum("n")).first()[0] or 0, got))
         if not last:
             self._merge()
         if self.at:
@@ -507,7 +513,7 @@ def removed_in_batch(family: Family, docs: DataFrame, block_bytes: int = BLOCK_B
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     texts = table(docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")), "suffix-texts")
-    said = family.add(texts, last)
+    said = family.add(texts, last, size)
     schema = _FINISHED.replace(", kept binary", ", kept_text string, text_sha256 string") if with_text else _FINISHED
     out = table(texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_finishing(family.shape, with_text), schema), "suffix-results")
     drop(texts)

@@ -76,6 +76,34 @@ def test_suffix_dedup(docs, block_bytes):
     assert sorted(map(tuple, got), key=repr) == brute_repeats(rows())
 
 
+def test_suffix_rows_of_one_order_are_not_compared(monkeypatch):
+    s = suffix_dedup.Shape(50, 12, 1, (), ())
+    texts = ["z" * 5 + "the quick brown fox jumps over the lazy dog again and again " + c * 30 for c in "abcd"]
+    table = lambda ids: pa.table({"doc_id": pa.array(ids, pa.int64()), "text": [texts[i] for i in ids], "block": pa.array([0] * len(ids), pa.int32())})
+    none = suffix_dedup._table([], suffix_dedup._SCANNED)
+    first, second = (suffix_dedup._scanning(s, True)((), suffix_dedup._building(s)((), table(ids)), none) for ids in ([0, 1], [2, 3]))
+    calls, windows = [], suffix_dedup._windows
+    monkeypatch.setattr(suffix_dedup, "_windows", lambda *a: calls.append(len(a[0])) or windows(*a))
+    level = lambda t: t.filter(pc.equal(t["kind"], 1))
+    out = suffix_dedup._finishing(s, False)((), table([0, 1]), first.filter(pc.equal(first["kind"], 0))).to_pylist()
+    assert not calls and [r["n_removed"] > 0 for r in out] == [False, True]  # what was merged is not compared again
+    one = suffix_dedup._building(s)((), table([0]))
+    suffix_dedup._scanning(s, True)((), one.set_column(1, "block", pa.array([1], pa.int32())), level(first))
+    assert not calls  # a copy of what the level holds, and a level by itself
+    both = suffix_dedup._scanning(s, True, True, True)((), suffix_dedup._building(s)((), table([2, 3])), level(first))
+    merged = suffix_dedup._merging(s)((), level(first), level(suffix_dedup._scanning(s, True)((), suffix_dedup._building(s)((), table([2, 3])), level(first))))
+    assert level(both)["blob"].to_pylist() == merged["blob"].to_pylist()
+    assert suffix_dedup._scanning(s, True, True, True)((), one.slice(0, 0), level(first)).equals(level(first))
+
+
+def test_suffix_levels_merge_as_they_are_scanned(spark, docs, monkeypatch):
+    names = []
+    write = suffix_dedup.Family._write
+    monkeypatch.setattr(suffix_dedup.Family, "_write", lambda self, df, name: names.append(name) or write(self, df, name))
+    suffix_dedup.remove_repeats(docs, block_bytes=2000, part_entries=50)
+    assert names.count("level") == 4 and names.count("merged") < 1
+
+
 def test_suffix_dedup_empty(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
