@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..operators.scratch import drop, settled, table
+from ..operators.scratch import drop, few, settled, small, table
 
-__all__ = ["CHUNK", "binaries", "buffer", "collected", "drop", "free", "runs", "settled", "table", "tidy"]
+__all__ = ["CHUNK", "binaries", "buffer", "collected", "drop", "few", "free", "runs", "settled", "small", "table", "tidy"]
 
 CHUNK = 1 << 19  # bytes of text handled at once
 

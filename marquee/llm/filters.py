@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..operators.scratch import FEW_ROWS
 from . import bytesnp as B
 
 SLOT_BITS = 1 << 16
@@ -24,7 +25,10 @@ def _places(ids: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 def build(numbers: DataFrame) -> np.ndarray:
     """Bits, a row a slot, of a Bloom filter of the one column (longs) of a written frame; nulls are left out."""
     numbers = numbers.toDF("id").where("id is not null")
-    slots = int(max(1, min(MOST_SLOTS, -(-numbers.count() * BITS_EACH // SLOT_BITS))))
+    count = numbers.count()
+    slots = int(max(1, min(MOST_SLOTS, -(-count * BITS_EACH // SLOT_BITS))))
+    if count <= FEW_ROWS:
+        numbers = numbers.coalesce(1)
 
     def deal(batches):
         for batch in batches:

@@ -36,7 +36,9 @@ similarity is at least ``percent`` / 100; a class is what links connect.
 
 Hot keys are aggregated before they are shuffled, hot groups are cut into
 blocks, only links that join two classes leave a task, and no pair is ever a
-row. Every step is a written table that goes when it has been read.
+row. Every step is a written table that goes when it has been read. Tables of
+ids and keys of few rows (see ``few``) are joined and grouped in one task, as
+dealing them out takes longer; texts, keys of texts and sets are always dealt out.
 
 Defined results: null or empty text has no shingles and is its own class; fewer
 words than a shingle make one shingle of the whole; rows of one id are one
@@ -48,8 +50,6 @@ shingle are shuffled). Other columns stay out.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from . import bytesnp as B
 from . import filters
-from .common import binaries, buffer, collected, drop, runs, table, tidy
+from .common import binaries, buffer, collected, drop, few, runs, small, table, tidy
 
 MOST_FREQUENT = 200_000
 COUNT_BYTES = 4 << 20
@@ -214,68 +214,81 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLO
     nodes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))  # equal sets have equal keys
     nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     alive = _shared(nodes)
-    who = table(alive.select("node").distinct().join(nodes.select("node", "rep", "h1"), "node"), "jaccard-open-nodes")
+    light = few(nodes).select("node", "rep", "h1", "h2", "n")
+    who = small(alive.select("node").distinct().join(light.select("node", "rep", "h1"), "node"), "jaccard-open-nodes")
     verify = _Verifier(docs, who, words, percent)
 
     size = alive.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     best = alive.join(size, "key").groupBy("node").agg(F.max(F.struct("c", "key")).getField("key").alias("key"))
-    place = table(best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "jaccard-homes")
-    edges = [verify(_first_blocks(place, block), place)]
-    state = _labelled(place, edges)
+    place = small(best.join(best.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "jaccard-homes")
+    state = _labelled(place, [verify(_first_blocks(place, block), place)])
     wide = state.where(F.col("c") > block)
-    edges += _compared(wide.select("node", F.col("home").alias("key"), "comp"), verify, block, [])
-    visited, sets_ = [table(place.select("node", "key"), "jaccard-visited")], None
+    links = _compared(wide.select("node", F.col("home").alias("key"), "comp"), verify, block, [])
+    visited, sets_ = [small(place.select("node", "key"), "jaccard-visited")], None
     for how in ["families"] + ["rounds"] * ROUNDS + ["all"]:
-        drop(state)
-        state = _labelled(place, edges)
-        seen = alive.join(state.drop("c"), "node")
+        state, links = _labelled(place, links, state), []
+        seen = small(alive.join(state.drop("c"), "node"), "jaccard-seen")
         open_ = _open(seen, visited)
+        if open_.isEmpty():
+            drop(seen, open_)
+            break
+        if sets_ is None:  # later rounds know no other nodes: what is open stays open or closes
+            inside = small(seen.join(open_, "key").select("node", "key"), "jaccard-inside")
+            drop(alive)
+            alive = inside
+            sets_ = verify.sets_of(alive)
         inside = seen.join(open_, "key")
         if how == "families":
             rows = _families(inside, block)
         else:
             keys_ = open_ if how == "all" else inside.groupBy("node").agg(F.max(F.struct("n", "key")).getField("key").alias("key"))
             rows = seen.join(keys_.select("key").distinct(), "key")
-        rows = table(rows.select("node", "key", "comp", "home"), "jaccard-visits")
+        rows = small(rows.select("node", "key", "comp", "home"), "jaccard-visits")
         visited.append(rows)
-        if how != "families" and rows.isEmpty():
-            drop(open_)
-            break
-        if sets_ is None:  # later rounds know no other nodes: what is open stays open or closes
-            sets_ = verify.sets_of(inside)
-        drop(open_)
-        edges += _compared(rows, verify, block, ["home"], sets_)
-    drop(alive, place, state, who, *visited, *([sets_] if sets_ is not None else []))
+        drop(seen, open_)
+        links = _compared(rows, verify, block, ["home"], sets_)
+    state = _labelled(place, links, state)
+    drop(alive, place, who, *visited, *([sets_] if sets_ is not None else []))
 
+    known = few(signed).select("doc_id", "n", "h1", "h2").where("n > 0 and doc_id is not null")
     ids = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("a"), F.max(F.struct("h1", "h2", "n")).alias("z")).where("a <> z").select("doc_id")
-    again = known.join(ids, "doc_id").join(nodes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
-    again = table(again.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).select("a", F.explode("b").alias("b")), "jaccard-links")  # different texts of one id
-    edges.append(again)
-    labels = connected_components(reduce(DataFrame.unionByName, edges))
-    drop(*edges)
-    joined = nodes.join(labels, "node", "left")
+    again = known.join(ids, "doc_id").join(light.select("h1", "h2", "n", "node"), ["h1", "h2", "n"])
+    again = small(again.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).select("a", F.explode("b").alias("b")), "jaccard-links")  # different texts of one id
+    labels = few(connected_components(few(_named(state), again)))
+    drop(again, state)
+    joined = light.join(labels, "node", "left")
     least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = joined.join(least, "component", "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("component_id"))
     linked = known.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = table(linked.unionByName(alone), "jaccard-classes")  # three numbers a document
+    alone = few(signed).where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = small(linked.unionByName(alone), "jaccard-classes")  # three numbers a document
     drop(signed, nodes)
     return out
 
 
-def _labelled(place: DataFrame, edges: list[DataFrame]) -> DataFrame:
-    """node, home, c and comp (the class so far) of every node of place, written."""
-    labels = connected_components(reduce(DataFrame.unionByName, edges))
+def _named(state: DataFrame) -> DataFrame:
+    """The classes of _labelled() as links."""
+    return state.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+
+def _labelled(place: DataFrame, links: list[DataFrame], before: DataFrame | None = None) -> DataFrame:
+    """node, home, c and comp (the class so far) of every node of place, written; of the links and the classes before, which go."""
+    old = [] if before is None else [before]
+    labels = few(connected_components(few(*map(_named, old), *links)))
     state = place.select("node", F.col("key").alias("home"), "c").join(labels.select("node", F.col("component").alias("comp")), "node", "left")
-    return table(state.withColumn("comp", F.coalesce("comp", "node")), "jaccard-state")
+    state = small(state.withColumn("comp", F.coalesce("comp", "node")), "jaccard-state")
+    drop(*links, *old)
+    return state
 
 
 def _families(inside: DataFrame, block: int) -> DataFrame:
     """Rows of open keys with their family for the key: nodes that open keys connect, where they are at most ``block``."""
     first = inside.groupBy("key").agg(F.min("node").alias("a"))
-    of = connected_components(inside.join(first, "key").select("a", F.col("node").alias("b")))
-    few = of.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= block).select("component")
-    of = of.join(few, "component").select("node", (-1 - F.col("component")).alias("family"))
+    both = small(inside.join(first, "key").select("a", F.col("node").alias("b")), "jaccard-families")
+    of = few(connected_components(both))
+    drop(both)
+    within = of.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= block).select("component")
+    of = of.join(within, "component").select("node", (-1 - F.col("component")).alias("family"))
     return inside.select("node", "comp", "home").distinct().join(of, "node").select("node", F.col("family").alias("key"), "comp", "home")
 
 
@@ -287,16 +300,17 @@ def _open(seen: DataFrame, visited: list[DataFrame]) -> DataFrame:
     are looked up for the other nodes.
     """
     groups = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    past = table(reduce(DataFrame.unionByName, (v.select("node", F.col("key").alias("at")) for v in visited)).distinct(), "jaccard-past")
+    past = small(few(*(v.select("node", F.col("key").alias("at")) for v in visited)).distinct(), "jaccard-past")
     bits = [F.expr(f"shiftleft(1L, cast(pmod(xxhash64(at, {k}), 64) as int))") for k in range(2)]
     masks = past.groupBy("node").agg(F.bit_or(bits[0]).alias("m0"), F.bit_or(bits[1]).alias("m1"), F.count(F.lit(1)).alias("c"))
-    held = table(seen.join(groups.select("key"), "key").select("node", "key").join(masks, "node"), "jaccard-held")
+    held = small(seen.join(groups.select("key"), "key").select("node", "key").join(masks, "node"), "jaccard-held")
     common = held.groupBy("key").agg(F.bit_and("m0").alias("m0"), F.bit_and("m1").alias("m1"), F.min(F.struct("c", "node")).getField("node").alias("node"))
     places = common.where("m0 <> 0 and m1 <> 0").join(past, "node").where((F.col("m0").bitwiseAND(bits[0]) != 0) & (F.col("m1").bitwiseAND(bits[1]) != 0)).select("key", "at")
+    places = small(places, "jaccard-places")
     met = held.select("node", "key").join(places, "key").join(past, ["node", "at"]).groupBy("key", "at").agg(F.count(F.lit(1)).alias("m"))
     met = met.groupBy("key").agg(F.max("m").alias("m"))
-    out = table(groups.join(met, "key", "left").where("m is null or m < n").select("key", "n"), "jaccard-open")
-    drop(past, held)
+    out = small(groups.join(met, "key", "left").where("m is null or m < n").select("key", "n"), "jaccard-open")
+    drop(past, held, places)
     return out
 
 
@@ -315,7 +329,7 @@ def _frequent(docs: DataFrame, words: int, most: int) -> np.ndarray:
             tidy()
 
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 10 * LEAST_COUNT)
-    counted = table(counted.select("h", F.floor(8 * F.log2("n")).cast("int").alias("grade")), "jaccard-counts")
+    counted = small(counted.select("h", F.floor(8 * F.log2("n")).cast("int").alias("grade")), "jaccard-counts")
     grades = sorted(map(tuple, counted.groupBy("grade").count().collect()), reverse=True)  # some hundred rows at most
     held, least = 0, None
     for grade, n in grades:
@@ -377,11 +391,11 @@ def _shared(nodes: DataFrame) -> DataFrame:
             may = filters.may_have(bits.value, k)
             yield pa.record_batch({"node": pa.array(node[may]), "key": pa.array(k[may])})
 
-    held = table(nodes.select("node", "keys").mapInArrow(narrow, "node long, key long").join(counted, "key"), "jaccard-entries")
+    held = small(nodes.select("node", "keys").mapInArrow(narrow, "node long, key long").join(counted, "key"), "jaccard-entries")
     bits.destroy()
     groups = held.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(node, 1))").alias("x"))
     groups = groups.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key")
-    alive = table(held.join(groups, "key").select("node", "key"), "jaccard-shared")
+    alive = small(held.join(groups, "key").select("node", "key"), "jaccard-shared")
     drop(counted, held)
     return alive
 
@@ -409,7 +423,7 @@ class _Verifier:
         self.docs, self.who, self.words, self.percent = docs, who, words, percent
 
     def _sets(self, wanted: DataFrame, bits) -> DataFrame:
-        """(node, set): a filter spares the documents that are not wanted, a join follows."""
+        """wanted with the set of each rep and h1: a filter spares the documents that are not wanted, a join follows."""
         words = self.words
 
         def gather(batches):
@@ -423,11 +437,11 @@ class _Verifier:
                 tidy()
 
         held = self.docs.where("doc_id is not null").mapInArrow(gather, "rep long, h1 long, set binary")
-        return held.join(wanted, ["rep", "h1"]).select("node", "set")
+        return held.join(wanted, ["rep", "h1"]).drop("rep", "h1")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, set) of nodes that are looked at again and again, written."""
-        wanted = table(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
+        wanted = small(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
         bits = self.docs.sparkSession.sparkContext.broadcast(filters.build(wanted.select("rep")))
         out = table(self._sets(wanted, bits), "jaccard-sets", compression="none")
         bits.destroy()
@@ -448,12 +462,12 @@ class _Verifier:
                 found = _links(ids.tolist(), t["comp"].to_numpy()[first].tolist(), past, [_unpacked(blobs[int(k)].as_buffer()) for k in first], side, percent)
             return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-        links = lambda held: table(rows.join(held, "node").groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
+        links = lambda held: small(held.groupBy("key", "kind", "i", "j").applyInArrow(group, "a long, b long"), "jaccard-links")
         if sets is not None:
-            return links(sets)
-        wanted = table(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
+            return links(rows.join(sets, "node"))
+        wanted = small(nodes.select("node").distinct().join(self.who, "node"), "jaccard-wanted")
         bits = self.docs.sparkSession.sparkContext.broadcast(filters.build(wanted.select("rep")))
-        out = links(self._sets(wanted, bits))
+        out = links(self._sets(rows.join(wanted, "node"), bits))  # sets are dealt out by document, then by group
         bits.destroy()
         drop(wanted)
         return out
@@ -488,7 +502,7 @@ def _compared(rows: DataFrame, verify: _Verifier, block: int, homes: list[str],
     mains = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
     mains = mains.select("key", F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c")).alias("no"), blocks(F.col("m.c")).alias("nm"), (F.col("c") <= block).alias("one"))
-    rows = table(rows.join(mains, "key"), "jaccard-groups")
+    rows = small(rows.join(mains, "key"), "jaccard-groups")
     out = []
     if not rows.isEmpty():
         apart = F.col("comp") != F.col("main")

@@ -257,6 +257,30 @@ def test_jaccard_join_of_families(spark, block):
     assert sorted(map(tuple, got), key=repr) == brute_classes(rs, 4, 85)
 
 
+def test_jaccard_join_of_few_rows_deals_out_little(spark):
+    """Tables of few ids and keys take no shuffles, however many partitions these have; the classes are the same."""
+    base = [f"w{i}" for i in range(60)]
+    rs = [(i, " ".join(base[: 60 - i % 3] + [f"x{i % 4}"])) for i in range(12)]
+    rs += [(20 + i, f"a{i} b{i} c{i} d{i}") for i in range(4)]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-rows", "")
+        got = jaccard_join.classes(spark.createDataFrame(rs, "doc_id long, text string"), words=4, percent=85).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=repr) == brute_classes(rs, 4, 85)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-rows") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s))
+    assert tasks < 700
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.classes(empty).count() == 0
 
