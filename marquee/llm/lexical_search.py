@@ -34,20 +34,23 @@ either table are not looked at.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesnp as B
-from .common import buffer, runs, table
+from .common import buffer, drop, runs, table, tidy
 
 TOP = 20
-SHARD_POSTINGS, SHARD_DOCS = 2_000_000, 1 << 15
+#: A shard is one large row. Parquet's writer looks at sizes every hundred rows only, and a reader decodes a whole row group at once; so each row is looked at, and a group ends behind a shard or two.
+ROW_GROUPS = {"parquet.block.size": str(1 << 23), "parquet.enable.dictionary": "false"} | {f"parquet.{x}.size.row.check.{y}": "1" for x in ("block", "page") for y in ("min", "max")}
+SHARD_POSTINGS, SHARD_DOCS = 1 << 19, 1 << 15  # a shard is one row, which Spark and Python hold several times over: some 5 MB
 MOST_ASKED = 1 << 20
 AT_ONCE, FINE = 256, 3  # nodes of a query expanded at a time; levels above the leaves that are not put back among the open nodes
 
@@ -105,6 +108,18 @@ class _Batchwise:
         return pa.record_batch({"ids": listed, "sizes": blob(size, np.int64), "terms": blob(known, np.uint64), "ends": blob(ends, np.int64), "docs": blob(place[doc][by], np.uint32), "counts": blob(count[by], np.uint32)})
 
 
+@contextlib.contextmanager
+def _one_by_one(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python one at a time: a shard is a row, and a batch of them is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class Index:
     """shards: a row a shard; frequencies: (term, df); both written tables. n_docs documents have a term, n_terms are all their terms."""
@@ -131,12 +146,14 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: s
             for i, j in runs(off):
                 open_.add(batch.column("id").slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 if open_.full():
-                    yield open_.row()
-                    open_ = _Batchwise()
+                    made, open_ = open_.row(), _Batchwise()
+                    tidy()
+                    yield made
         if open_.n_docs:
             yield open_.row()
+            tidy()
 
-    raw = table(named.mapInArrow(collect, f"ids array<{kind}>, sizes binary, terms binary, ends binary, docs binary, counts binary"), "postings")
+    raw = table(named.mapInArrow(collect, f"ids array<{kind}>, sizes binary, terms binary, ends binary, docs binary, counts binary"), "postings", **ROW_GROUPS)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +166,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: s
                 n = _nd(sizes, np.int64)
                 yield pa.record_batch({"docs": pa.array([int((n > 0).sum())]), "terms": pa.array([int(n.sum())])})
 
-    df = table(raw.select("terms", "ends").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
-    n_docs, n_terms = (x or 0 for x in raw.select("sizes").mapInArrow(totals, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first())
+    with _one_by_one(docs.sparkSession):
+        df = table(raw.select("terms", "ends").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
+        n_docs, n_terms = (x or 0 for x in raw.select("sizes").mapInArrow(totals, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first())
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +186,14 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: s
                     bits.append(np.packbits(bit.astype(bool)).tobytes())
                     seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
                 blob = lambda x: pa.array([x], pa.binary())
-                yield pa.record_batch({"ids": batch.column("ids").slice(i, 1), "n_docs": pa.array([len(sizes)], pa.int32()), "terms": blob(known.tobytes()), "ends": blob(ends.tobytes()), "bits": blob(b"".join(bits)), "impacts": blob(impact[by].astype(np.uint32).tobytes())})
-
-    shards = table(raw.mapInArrow(turn, f"ids array<{kind}>, n_docs int, terms binary, ends binary, bits binary, impacts binary"), "wavelet-shards", at=at)
+                made = pa.record_batch({"ids": batch.column("ids").slice(i, 1), "n_docs": pa.array([len(sizes)], pa.int32()), "terms": blob(known.tobytes()), "ends": blob(ends.tobytes()), "bits": blob(b"".join(bits)), "impacts": blob(impact[by].astype(np.uint32).tobytes())})
+                del sizes, known, ends, doc, tf, norm, impact, term, by, seq, bits, bit
+                tidy()
+                yield made
+
+    with _one_by_one(docs.sparkSession):
+        shards = table(raw.mapInArrow(turn, f"ids array<{kind}>, n_docs int, terms binary, ends binary, bits binary, impacts binary"), "wavelet-shards", at=at, **ROW_GROUPS)
+    drop(raw)
     return Index(shards, df, n_docs, n_terms)
 
 
@@ -281,7 +304,10 @@ def search(index: Index, items: DataFrame, k: int = TOP, id_col: str = "item_id"
     for more in found[1:]:
         out = out.union(more)
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    with _one_by_one(items.sparkSession):
+        best = table(out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score"), "found")
+    drop(asked)
+    return best
 
 
 def _searcher(asked: pa.Table, k: int):
@@ -315,6 +341,8 @@ def _searcher(asked: pa.Table, k: int):
                     who_ += [q] * len(top)
                     scores += [x[0] for x in top]
                     docs += [x[1] for x in top]
+                del shard  # the next one is not to be made beside it
+                tidy()
                 yield pa.record_batch({"item_id": names.take(pa.array(who_, pa.int64())), "doc_id": batch.column("ids")[i].values.take(pa.array(docs, pa.int64())), "score": pa.array(scores, pa.int64())})
 
     return run

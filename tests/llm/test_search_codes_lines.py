@@ -91,6 +91,23 @@ def test_search_of_nothing(spark):
     assert lexical_search.search(some, items.where("false")).collect() == []
 
 
+def test_shards_are_read_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    """A row group ends behind a few large shards, and one shard at a time goes to Python."""
+    import pyarrow.parquet as pq
+
+    name, at = "spark.sql.execution.arrow.maxRecordsPerBatch", tmp_path / "shards"
+    before = spark.conf.get(name)
+    docs = spark.range(24, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 80000), i -> id || 'x' || i), ' ')").alias("text"))
+    index = lexical_search.build(docs, at=f"file://{at}")
+    groups = [m.row_group(i) for f in at.glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert len(groups) == sum(g.num_rows for g in groups) > 3 and max(g.total_byte_size for g in groups) < 1 << 24
+    handed = []
+    one = lexical_search.table
+    monkeypatch.setattr(lexical_search, "table", lambda df, what, **more: handed.append((what, spark.conf.get(name))) or one(df, what, **more))
+    got = lexical_search.search(index, spark.createDataFrame([(1, "3x7 5x9 5x10")], "item_id long, text string"), 5).collect()
+    assert [r.doc_id for r in got] == [5, 3] and ("found", "1") in handed and spark.conf.get(name) == before
+
+
 def test_runs_of_a_tree_are_postings_by_impact():
     """Every node's run of a term is that term's postings among the node's documents, best first."""
     rng = np.random.default_rng(1)
